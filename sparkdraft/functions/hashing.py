@@ -29,6 +29,7 @@ def seeded_fraction(seed: int, *keys: Column) -> Column:
 def mix32(value: Column) -> Column:
     """A 32-bit integer mix, far cheaper than a digest for per-element use."""
     low = F.lit(0xFFFFFFFF)
-    a = (value * F.lit(2654435761)).bitwiseAND(low)
+    # 31 bits in, so that neither product leaves the 64-bit range.
+    a = (value.bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(2654435761)).bitwiseAND(low)
     b = (F.shiftright(a, 16).bitwiseXOR(a) * F.lit(73244475)).bitwiseAND(low)
     return F.shiftright(b, 16).bitwiseXOR(b)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkdraft.functions.arrays import shift
 from sparkdraft.functions.text import find_all, strip
 from sparkdraft.operators.templates import Template, get_template
+from sparkdraft.operators.turns import breaks_order
 
 # Markers and preamble of the channel format.
 CHANNEL_PREAMBLE = (
@@ -83,16 +85,13 @@ def resolve_system(conversation: Column, system_prompt: str | None) -> Column:
 
 def valid_prefix(conversation: Column) -> Column:
     """The messages before the first one that is out of order."""
-    start = F.when(F.get(conversation, F.lit(0))["role"] == "system", 1).otherwise(0)
+    before = shift(F.transform(conversation, lambda m: m["role"]), 1, F.lit(None), left=False)
 
-    def breaks(m, i):
-        role = m["role"]
-        prev = F.get(conversation, i - 1)["role"]
-        tool = (role == "tool") & ~prev.isin("assistant", "tool")
-        reply = (role == "assistant") & ~prev.isin("user", "tool")
-        return F.when(i < start, False).when(i == start, role != "user").otherwise(tool | reply)
+    def breaks(z, i):
+        role, prev = z["m"]["role"], z["p"]
+        return F.coalesce(breaks_order(role, i, prev), F.lit(False))
 
-    flags = F.transform(conversation, breaks)
+    flags = F.transform(F.arrays_zip(conversation.alias("m"), before.alias("p")), breaks)
     first = F.array_position(flags, F.lit(True)).cast("int")
     return F.when(first > 0, F.slice(conversation, F.lit(1), first - 1)).otherwise(conversation)
 

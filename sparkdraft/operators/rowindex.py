@@ -37,20 +37,18 @@ def with_row_index(
 ) -> DataFrame:
     """Number the rows 0, 1, 2, … in the order of a unique numeric ``key``.
 
-    One light pass over the key finds bucket bounds, a second counts per
-    bucket, and the rows are numbered inside their bucket.  The bounds are
+    A light pass over the key finds bucket bounds, another counts per bucket,
+    and the rows are numbered inside their bucket.  The bounds are
     constants in the plan, so a retried task sorts rows into the same buckets.
     ``order_by`` refines the order where ``key`` is a monotone stand-in, for
     instance the leading digits of a digest.
     """
-    steps = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    n, quantiles = df.agg(
-        F.count("*"), F.percentile_approx(key, F.lit(steps), F.lit(10 * MAX_BUCKETS))
-    ).first()
-    wanted = min(MAX_BUCKETS, max(1, -(-n // rows_per_bucket)))
-    every = MAX_BUCKETS / wanted
-    picks = [quantiles[int(i * every) - 1] for i in range(1, wanted)] if n else []
-    bounds = sorted({b for b in picks if b is not None})
+    wanted = min(MAX_BUCKETS, max(1, -(-df.count() // rows_per_bucket)))
+    bounds = []
+    if wanted > 1:
+        steps = [i / wanted for i in range(1, wanted)]
+        found = df.agg(F.percentile_approx(key, F.lit(steps), F.lit(20 * wanted))).first()[0]
+        bounds = sorted(set(found or []))
     marked = df.withColumn("_bucket", _bucket(F.col(key), bounds))
     ordered = [F.col(key)] if order_by is None else order_by
     local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*ordered)) - 1

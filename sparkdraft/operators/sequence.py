@@ -96,7 +96,9 @@ def assign_ranks(df: DataFrame, world: int, total: Column, how: str = "round_rob
     all workers get equally many.  ``ranges`` cuts the index range into
     contiguous pieces, the first ``n % world`` one row longer.
     """
-    n = total
+    # The total may be a scalar subquery, which a lambda cannot hold.
+    counted = df.withColumn("_n", total)
+    n = F.col("_n")
     if how == "ranges":
         size, extra = F.floor(n / world), n % world
         long = extra * (size + 1)
@@ -104,32 +106,29 @@ def assign_ranks(df: DataFrame, world: int, total: Column, how: str = "round_rob
             extra + F.floor((F.col(index) - long) / F.greatest(size, F.lit(1)))
         )
         start = rank * size + F.least(rank, extra)
-        return df.withColumn("rank", rank.cast("int")).withColumn("slot", F.col(index) - start)
+        return counted.withColumn("rank", rank.cast("int")).withColumn("slot", F.col(index) - start).drop("_n")
     if how != "round_robin":
         raise ValueError(f"unknown assignment {how!r}")
     missing = F.pmod(-n, F.lit(world))
     # A dealt position beyond n wraps to the front; short tables wrap repeatedly.
-    again = F.when(
-        F.col(index) < missing,
-        F.transform(
-            F.sequence(F.lit(1).cast("bigint"), F.floor((missing - 1 - F.col(index)) / n) + 1),
-            lambda k: k * n + F.col(index),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    places = F.concat(F.array(F.col(index).cast("bigint")), again)
+    again = F.floor((missing - 1 - F.col(index)) / n) + 1
+    turns = F.when(F.col(index) < missing, again).otherwise(0)
     return (
-        df.withColumn("_at", F.explode(places))
+        counted.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), turns.cast("bigint"))))
+        .withColumn("_at", F.col("_k") * n + F.col(index))
         .withColumn("rank", (F.col("_at") % world).cast("int"))
         .withColumn("slot", F.floor(F.col("_at") / world))
-        .drop("_at")
+        .drop("_at", "_k", "_n")
     )
 
 
-def lookahead_steps(df: DataFrame, steps: int, target: str | None = None) -> DataFrame:
+def lookahead_steps(
+    df: DataFrame, steps: int, target: str | None = None, fill: Column | None = None
+) -> DataFrame:
     """One row per look-ahead step: ids and mask moved left by the step.
 
     ``target`` names a per-position array; step ``i`` sees its places
-    ``i .. i+n-1``, null past the end.
+    ``i .. i+n-1``, with ``fill`` (default null) past the end.
     """
     out = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
     zero = F.lit(0)
@@ -137,15 +136,15 @@ def lookahead_steps(df: DataFrame, steps: int, target: str | None = None) -> Dat
         "loss_mask", shift(F.col("loss_mask"), F.col("step"), zero)
     )
     if target:
-        empty = F.lit(None)
+        empty = F.lit(None) if fill is None else fill
         out = out.withColumn(target, shift(F.col(target), F.col("step"), empty))
     return out
 
 
 def anchor_candidates(mask: Column, block: int) -> Column:
     """Positions with mask 1 that still have a whole block to their right."""
-    last = F.greatest(F.size(mask) - block, F.lit(0))
-    return F.filter(F.sequence(F.lit(0), last), lambda p: F.get(mask, p) == 1)
+    room = F.slice(mask, F.lit(1), F.greatest(F.size(mask) - block, F.lit(0)) + 1)
+    return F.filter(F.transform(room, lambda m, i: F.when(m == 1, i)), lambda i: i.isNotNull())
 
 
 def sample_anchors(
@@ -191,11 +190,10 @@ def block_noise(ids: Column, block: int, mask_id: int) -> Column:
 
 def block_noise_by_id(ids: Column, block_ids: Column, mask_id: int) -> Column:
     """As :func:`block_noise`, blocks given by runs of equal block ids."""
+    before = shift(block_ids, 1, F.lit(None), left=False)
     return F.transform(
-        ids,
-        lambda t, i: F.when((i == 0) | (F.get(block_ids, i) != F.get(block_ids, i - 1)), t).otherwise(
-            F.lit(mask_id)
-        ),
+        F.arrays_zip(ids.alias("t"), block_ids.alias("b"), before.alias("p")),
+        lambda x: F.when(~x["b"].eqNullSafe(x["p"]), x["t"]).otherwise(F.lit(mask_id)),
     )
 
 

@@ -3,11 +3,13 @@
 All of it is per row: arrays in, arrays out, no shuffle.
 """
 
-from __future__ import annotations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparkdraft.functions.arrays import shift
 from sparkdraft.functions.text import find_all, quote
 from sparkdraft.operators.templates import Template, get_template
 from sparkdraft.operators.tokens import VOCAB_SIZE, pieces, token_ids
@@ -59,37 +61,37 @@ def span_parts(text: Column, template: str | Template, kind: str | None = None)
     )
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def prefix_sums(arrays: pd.Series) -> pd.Series:
+    """For each array, the sum of the elements before each place.
+
+    Spark has no running sum over an array in linear time; this is one.
+    """
+    return arrays.map(lambda a: np.concatenate(([0], np.cumsum(a)[:-1])).astype(np.int32) if len(a) else a)
+
+
 def assistant_spans(
-    text: Column, template: str | Template, kind: str | None = None, last_only: bool = False
-) -> Column:
-    """``array<struct<start, end, content>>`` with code-point offsets, end exclusive."""
+    df: DataFrame, text: str, template: str | Template, kind: str | None = None, last_only: bool = False
+) -> DataFrame:
+    """Add ``spans``: ``array<struct<start, end, content>>``.
+
+    Offsets count code points, from 0, end exclusive.
+    """
     header, _ = template_pattern(template, kind)
     width = len(header)
-    zero = F.lit(0).cast("int")
-    placed = F.aggregate(
-        span_parts(text, template, kind),
-        F.struct(
-            zero.alias("at"),
-            F.array().cast("array<struct<start:int,end:int,content:string>>").alias("out"),
-        ),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["gap"]) + width + F.length(p["span"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(p["gap"]) + width).alias("start"),
-                        (acc["at"] + F.length(p["gap"]) + width + F.length(p["span"])).alias("end"),
-                        p["span"].alias("content"),
-                    )
-                ),
-            ).alias("out"),
+    parts = df.withColumn("_p", span_parts(F.col(text), template, kind))
+    widths = F.transform("_p", lambda p: F.length(p["gap"]) + width + F.length(p["span"]))
+    placed = F.transform(
+        F.arrays_zip(F.col("_p").alias("p"), F.col("_at").alias("at")),
+        lambda x: F.struct(
+            (x["at"] + F.length(x["p"]["gap"]) + width).alias("start"),
+            (x["at"] + F.length(x["p"]["gap"]) + width + F.length(x["p"]["span"])).alias("end"),
+            x["p"]["span"].alias("content"),
         ),
-        lambda acc: acc["out"],
     )
     if last_only:
-        return F.slice(placed, F.greatest(F.size(placed), F.lit(1)), F.lit(1))
-    return placed
+        placed = F.slice(placed, F.greatest(F.size("_p"), F.lit(1)), F.lit(1))
+    return parts.withColumn("_at", prefix_sums(widths)).withColumn("spans", placed).drop("_p", "_at")
 
 
 def segments(
@@ -152,41 +154,44 @@ def masked_tokens(
     )
 
 
-def offsets(token_texts: Column) -> Column:
-    """``array<struct<s, e>>`` of code-point offsets, for a length-limited array."""
-    return F.aggregate(
-        token_texts,
-        F.struct(
-            F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")
-        ),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t)).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(acc["at"].alias("s"), (acc["at"] + F.length(t)).alias("e"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-
-
-def offset_mask(token_offsets: Column, spans: Column, policy: str, closed_end: bool = True) -> Column:
-    """1 for tokens in a span, by offsets.
+def _offset_mask(contained: bool, closed_end: bool):
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def mask(lengths: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for widths, first, last in zip(lengths, starts, ends):
+            stop = np.cumsum(widths)
+            start = stop - widths
+            if not len(first):
+                out.append(np.zeros(len(stop), np.int32))
+                continue
+            # Spans are disjoint and ascending: one candidate per token decides.
+            if contained:
+                i = np.searchsorted(first, start, "right") - 1
+                hit = (i >= 0) & (stop <= last[i])
+            else:
+                i = np.searchsorted(first, stop, "left") - 1
+                hit = (i >= 0) & ((start <= last[i]) if closed_end else (start < last[i]))
+            out.append(hit.astype(np.int32))
+        return pd.Series(out)
+
+    return mask
+
+
+def offset_mask(token_texts: Column, spans: Column, policy: str, closed_end: bool = True) -> Column:
+    """1 for tokens in one of the ascending spans, by character offsets.
 
     ``contained`` wants the token wholly inside.  ``overlap`` wants a common
     character; with ``closed_end`` a token that starts right at a span's end
     counts too.
     """
-
-    def inside(o, s):
-        if policy == "contained":
-            return (o["s"] >= s["start"]) & (o["e"] <= s["end"])
-        if policy == "overlap":
-            starts = o["s"] <= s["end"] if closed_end else o["s"] < s["end"]
-            return (o["e"] > s["start"]) & starts
+    if policy not in ("contained", "overlap"):
         raise ValueError(f"unknown policy {policy!r}")
-
-    return F.transform(token_offsets, lambda o: F.exists(spans, lambda s: inside(o, s)).cast("int"))
+    mask = _offset_mask(policy == "contained", closed_end)
+    return mask(
+        F.transform(token_texts, F.length),
+        F.transform(spans, lambda s: s["start"]),
+        F.transform(spans, lambda s: s["end"]),
+    )
 
 
 def mask_runs(df: DataFrame, key: str, tokens: str = "pieces", mask: str = "loss_mask") -> DataFrame:
@@ -194,16 +199,14 @@ def mask_runs(df: DataFrame, key: str, tokens: str = "pieces", mask: str = "loss
 
     The run borders come from the arrays themselves, row by row.
     """
-    n = F.size(mask)
-    border = F.filter(
-        F.sequence(F.lit(0), n),
-        lambda i: (i == 0) | (i == n) | (F.get(F.col(mask), i) != F.get(F.col(mask), i - 1)),
-    )
-    staged = df.filter(n > 0).select(key, tokens, mask, border.alias("_b"))
-    runs = F.transform(
-        F.slice("_b", F.lit(1), F.size("_b") - 1),
-        lambda s, i: F.struct(s.alias("start"), F.get(F.col("_b"), i + 1).alias("end")),
-    )
+    # Arrays are walked, never indexed from a lambda: a computed column would
+    # be evaluated again for every element.
+    before = shift(F.col(mask), 1, F.lit(None), left=False)
+    change = F.zip_with(mask, before, lambda m, b: ~m.eqNullSafe(b))
+    starts = F.filter(F.transform(change, lambda c, i: F.when(c, i)), lambda i: i.isNotNull())
+    staged = df.filter(F.size(mask) > 0).select(key, tokens, mask, starts.alias("_s"))
+    ends = F.concat(F.slice("_s", F.lit(2), F.size("_s")), F.array(F.size(mask)))
+    runs = F.arrays_zip(F.col("_s").alias("start"), ends.alias("end"))
     return staged.select(key, tokens, mask, F.explode(runs).alias("r")).select(
         key,
         F.get(F.col(mask), F.col("r.start")).alias("mask"),

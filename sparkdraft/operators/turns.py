@@ -79,26 +79,40 @@ def truncate_roles(turns: DataFrame, size: int = CHUNK, also: Column | None = No
     )
 
 
-def with_system_turn(turns: DataFrame, system_prompt: str | None) -> DataFrame:
+def with_system_turn(turns: DataFrame, prompt: str | None, role: str = "system", unless: tuple[str, ...] = ("system",)) -> DataFrame:
     """Put the template's system prompt at turn -1 where the data has none.
 
-    A leading system message of the data wins, and an empty prompt adds nothing.
+    A conversation that opens with one of the roles in ``unless`` keeps its own
+    opening, and an empty prompt adds nothing.  No shuffle.
     """
-    if not system_prompt:
+    if not prompt:
         return turns
-    needs = (F.col("turn") == 0) & (F.col("role") != "system")
+    needs = (F.col("turn") == 0) & ~F.col("role").isin(*unless)
     rest = [c for c in turns.columns if c not in ("turn", "role", "text")]
     own = F.struct(F.col("turn").cast("bigint").alias("turn"), F.col("role"), F.col("text"))
     extra = F.struct(
-        F.lit(-1).cast("bigint").alias("turn"),
-        F.lit("system").alias("role"),
-        F.lit(system_prompt).alias("text"),
+        F.lit(-1).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.lit(prompt).alias("text")
     )
     return turns.select(
         *rest, F.inline(F.when(needs, F.array(extra, own)).otherwise(F.array(own)))
     ).select(*turns.columns)
 
 
+def ending_with(turns: DataFrame, role: str = "assistant", size: int = CHUNK) -> DataFrame:
+    """Turns of the conversations whose last turn has the given role."""
+    ends = (
+        turns.groupBy("conv_id")
+        .agg(F.max(F.struct("turn", "role")).alias("_end"), F.min("turn").alias("_first"))
+        .filter(F.col("_end.role") == role)
+        .select(
+            "conv_id",
+            F.explode(F.sequence(chunk_of(F.col("_first"), size), chunk_of(F.col("_end.turn"), size))).alias("chunk"),
+        )
+    )
+    cut = turns.withColumn("chunk", chunk_of(F.col("turn"), size))
+    return cut.join(ends, ["conv_id", "chunk"], "left_semi").select(*turns.columns)
+
+
 def start_role_rejects(turns: DataFrame) -> DataFrame:
     """Conversations that open with an assistant turn, with the reason."""
     return turns.filter((F.col("turn") == 0) & (F.col("role") == "assistant")).select(

@@ -33,23 +33,38 @@ def token_frequency(df: DataFrame, ids: str = "input_ids", mask: str = "loss_mas
     )
 
 
+def _with_unused(freq: DataFrame, size: int) -> DataFrame:
+    """The counted ids plus every id below ``size``, ``freq`` null where unused.
+
+    A union and a regrouping rather than an anti-join, so that the counts over
+    the corpus are computed once.
+    """
+    ids = freq.sparkSession.range(size).select(
+        F.col("id").cast("int").alias("token_id"), F.lit(None).cast("bigint").alias("freq")
+    )
+    both = freq.select("token_id", "freq").unionByName(ids)
+    return both.groupBy("token_id").agg(F.max("freq").alias("freq"))
+
+
 def fill_vocab(freq: DataFrame, size: int) -> DataFrame:
     """Add unused ids below ``size`` with count 0 until there are ``size`` ids."""
-    spark = freq.sparkSession
-    candidates = spark.range(size).select(F.col("id").cast("int").alias("token_id"))
-    unused = candidates.join(freq.select("token_id"), "token_id", "left_anti")
-    have = freq.agg(F.count("*").alias("n")).scalar()
-    position = F.row_number().over(Window.orderBy("token_id"))
-    # The window sees at most `size` ids, a configured number.
-    wanted = unused.withColumn("_p", position).filter(F.col("_p") <= F.lit(size) - have)
-    return freq.select("token_id", "freq").unionByName(
-        wanted.select("token_id", F.lit(0).cast("bigint").alias("freq"))
+    # The window holds one row per vocabulary id, a configured number.
+    order = F.row_number().over(Window.orderBy(F.col("freq").isNull(), "token_id"))
+    ranked = _with_unused(freq, size).withColumn("_p", order)
+    return ranked.filter(F.col("freq").isNotNull() | (F.col("_p") <= size)).select(
+        "token_id", F.coalesce("freq", F.lit(0).cast("bigint")).alias("freq")
     )
 
 
 def keep_top(freq: DataFrame, size: int) -> DataFrame:
-    """The ``size`` most frequent ids; equal counts go to the smaller id."""
-    return fill_vocab(freq, size).orderBy(F.desc("freq"), F.asc("token_id")).limit(size)
+    """The ``size`` most frequent ids; equal counts go to the smaller id.
+
+    Unused ids count 0 and come last, smallest first, which is the filling.
+    """
+    counted = _with_unused(freq, size).select(
+        "token_id", F.coalesce("freq", F.lit(0).cast("bigint")).alias("freq")
+    )
+    return counted.orderBy(F.desc("freq"), F.asc("token_id")).limit(size)
 
 
 def draft_vocab(freq: DataFrame, size: int) -> DataFrame:
@@ -63,11 +78,12 @@ def draft_vocab(freq: DataFrame, size: int) -> DataFrame:
 
 def coverage(freq: DataFrame, size: int) -> DataFrame:
     """One row: kept and total counts, and their ratio (0 without tokens)."""
-    kept = keep_top(freq, size).agg(F.coalesce(F.sum("freq"), F.lit(0)).cast("bigint").alias("kept"))
-    both = freq.agg(F.coalesce(F.sum("freq"), F.lit(0)).cast("bigint").alias("total"))
-    return both.select(kept.scalar().alias("kept"), "total").select(
-        "kept", "total", F.coalesce(F.try_divide("kept", "total"), F.lit(0.0)).alias("ratio")
+    rank = F.row_number().over(Window.orderBy(F.desc("freq"), F.asc("token_id")))
+    sums = freq.withColumn("_r", rank).agg(
+        F.coalesce(F.sum(F.when(F.col("_r") <= size, F.col("freq"))), F.lit(0)).cast("bigint").alias("kept"),
+        F.coalesce(F.sum("freq"), F.lit(0)).cast("bigint").alias("total"),
     )
+    return sums.withColumn("ratio", F.coalesce(F.try_divide("kept", "total"), F.lit(0.0)))
 
 
 def target_flags(draft: DataFrame, target_size: int) -> DataFrame:

@@ -1,6 +1,15 @@
 """All registered queries."""
 
-from sparkdraft.plans import corpus  # noqa: F401
+from sparkdraft.plans import (  # noqa: F401
+    chat,
+    corpus,
+    dashboard,
+    regeneration,
+    scoring,
+    shaping,
+    training,
+    vocabulary,
+)
 from sparkdraft.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
