@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdraft.functions.hashing import leading_number, seeded_hex
+from sparkdraft.functions.rows import evaluate_once
 from sparkdraft.functions.text import strip
 from sparkdraft.operators.sampling import cap_per_group, head_sample
 
@@ -169,9 +170,8 @@ def _ceval(df: DataFrame, idx: str) -> DataFrame:
         options = F.array(*[_first_column(df, x, f"option_{x}") for x in LETTERS])
     question = _first_column(df, "question", "inputs", "problem", "content")
     label = exam_label(_first_column(df, "answer", "target", "label", "correct").cast("string"))
-    return _rows(df, idx, exam_prompt(question, options), label).filter(
-        "question is not null and label is not null"
-    )
+    rows = evaluate_once(_rows(df, idx, exam_prompt(question, options), label))
+    return rows.filter("question is not null and label is not null")
 
 
 def _mmstar(df: DataFrame, idx: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdraft.functions.arrays import shift
+from sparkdraft.functions.rows import explode_rows
 from sparkdraft.functions.text import find_all, strip
 from sparkdraft.operators.templates import Template, get_template
 from sparkdraft.operators.turns import breaks_order
@@ -176,6 +177,5 @@ def channel_segments(content: Column) -> Column:
 def split_channels(df: DataFrame, content: str = "text") -> DataFrame:
     """One row per channel segment, with ``segment`` as its position."""
     rest = [c for c in df.columns if c != content]
-    return df.select(*rest, F.posexplode(channel_segments(F.col(content))).alias("segment", "_s")).select(
-        *rest, "segment", "_s.channel", "_s.content"
-    )
+    parts = explode_rows(df, channel_segments(F.col(content)), *rest, pos="segment", item="_s")
+    return parts.select(*rest, "segment", "_s.channel", "_s.content")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sparkdraft.functions.arrays import pad_right, shift, window_of, zero_last
 from sparkdraft.functions.hashing import mix32
+from sparkdraft.functions.rows import evaluate_once, explode_rows
 
 
 
@@ -165,7 +166,7 @@ def sample_anchors(
         most = count
     else:
         raise ValueError(f"unknown cap {cap!r}")
-    limited = found.withColumn("_n", F.least(F.lit(n), most - 1)).filter("_n > 0")
+    limited = evaluate_once(found.withColumn("_n", F.least(F.lit(n), most - 1))).filter("_n > 0")
     ranked = F.array_sort(
         F.transform(
             "_valid",
@@ -229,13 +230,9 @@ def block_labels(df: DataFrame, key: str, block: int, gamma: float | None = None
         (F.col("a.k") == 1) & (at < size) & (k > 0), F.get(F.col("loss_mask"), safe)
     ).otherwise(0)
     decay = F.lit(1.0) if not gamma else F.exp(-F.greatest(k - 1, F.lit(0)) / F.lit(float(gamma)))
+    blocks = F.arrays_zip(F.col("anchors").alias("a"), F.col("keep").alias("k"))
     return (
-        df.select(
-            key,
-            "input_ids",
-            "loss_mask",
-            F.posexplode(F.arrays_zip(F.col("anchors").alias("a"), F.col("keep").alias("k"))).alias("anchor_no", "a"),
-        )
+        explode_rows(df, blocks, key, "input_ids", "loss_mask", pos="anchor_no", item="a")
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k"))
         .select(
             key,

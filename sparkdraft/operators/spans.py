@@ -10,23 +10,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdraft.functions.arrays import shift
+from sparkdraft.functions.rows import explode_rows
 from sparkdraft.functions.text import find_all, quote
 from sparkdraft.operators.templates import Template, get_template
 from sparkdraft.operators.tokens import VOCAB_SIZE, pieces, token_ids
 
-# Terminators of the round and channel formats, as patterns.
-ROUND_END = r"\[Round \d+\] USER:"
+# Terminators of the round and channel formats.
+ROUND_END = ("[", r"Round \d+\] USER:")
 CHANNEL_HEADER = "<|start|>assistant"
 CHANNEL_USER = "<|start|>user<|message|>"
 
-#: End of text, or just before a final line break, as a lazy match sees it.
-AT_END = r"(?=\n?\z)"
 
+def _literal(text: str) -> tuple[str, str]:
+    """A literal as its first character and a pattern for the others."""
+    return text[0], quote(text[1:])
 
-def span_pattern(header: str, end: str) -> str:
-    r"""Gap, header, span.  ``\G`` ties each match to the one before, which keeps
-    the search linear in the text where no further header follows."""
-    return rf"\G([\s\S]*?){quote(header)}([\s\S]*?(?:{end}))"
+
+def _until(first: str, rest: str) -> str:
+    """Text up to a terminator, to the end, or to a final line break.
+
+    Runs without the terminator's first character are taken whole and nothing is
+    ever given back, so the match is one fast forward walk.
+    """
+    c = quote(first)
+    return rf"(?:[^{c}\n]++|\n(?!\z)|{c}(?!{rest}))*+"
+
+
+def span_pattern(header: str, end: tuple[str, str], keep_end: bool) -> str:
+    r"""Gap, header and span in one match.
+
+    ``\G`` ties each match to the one before: text after the last header is
+    walked once and not tried again from every place.  ``keep_end`` takes the
+    terminator into the span.
+    """
+    first, rest = _literal(header)
+    c = quote(first)
+    gap = rf"(?:[^{c}]++|{c}(?!{rest}))*+"
+    closing = f"(?:{quote(end[0])}{end[1]})?+" if keep_end else ""
+    return rf"\G{gap}{quote(header)}{_until(*end)}{closing}"
 
 
 def template_pattern(template: str | Template, kind: str | None = None) -> tuple[str, str]:
@@ -40,25 +61,34 @@ def template_pattern(template: str | Template, kind: str | None = None) -> tuple
     if kind is None:
         kind = "channels" if t.parser_type == "openai-harmony" else t.pattern_type
     if kind == "round":
-        return t.assistant_header, span_pattern(t.assistant_header, f"{ROUND_END}|{AT_END}")
+        return t.assistant_header, span_pattern(t.assistant_header, ROUND_END, True)
     if kind == "channels":
-        return CHANNEL_HEADER, span_pattern(CHANNEL_HEADER, f"(?={quote(CHANNEL_USER)})|{AT_END}")
+        return CHANNEL_HEADER, span_pattern(CHANNEL_HEADER, _literal(CHANNEL_USER), False)
     if kind == "pair":
         header = f"{t.end_of_turn or ''}{t.assistant_header}"
-        user = quote(f"{t.end_of_turn or ''}{t.user_header}")
-        return header, span_pattern(header, f"(?={user})|{AT_END}")
+        user = f"{t.end_of_turn or ''}{t.user_header}"
+        return header, span_pattern(header, _literal(user), False)
     if t.end_of_turn is None:
         # Without an end marker a turn lasts until the next user header.
-        return t.assistant_header, span_pattern(t.assistant_header, f"(?={quote(t.user_header)})|{AT_END}")
-    return t.assistant_header, span_pattern(t.assistant_header, f"{quote(t.end_of_turn)}|{AT_END}")
+        return t.assistant_header, span_pattern(t.assistant_header, _literal(t.user_header), False)
+    return t.assistant_header, span_pattern(t.assistant_header, _literal(t.end_of_turn), True)
 
 
 def span_parts(text: Column, template: str | Template, kind: str | None = None) -> Column:
-    """``array<struct<gap, span>>``: the text before each header, and its span."""
-    _, pattern = template_pattern(template, kind)
-    return F.arrays_zip(
-        find_all(text, pattern, 1).alias("gap"), find_all(text, pattern, 2).alias("span")
-    )
+    """``array<struct<gap, span>>``: the text before each header, and its span.
+
+    A gap holds no header, so the first header found in a match divides it.
+    """
+    header, pattern = template_pattern(template, kind)
+
+    def divide(whole):
+        at = F.instr(whole, header)
+        return F.struct(
+            F.substring(whole, F.lit(1), at - 1).alias("gap"),
+            F.substring(whole, at + len(header), F.length(whole)).alias("span"),
+        )
+
+    return F.transform(find_all(text, pattern), divide)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -204,10 +234,10 @@ def mask_runs(df: DataFrame, key: str, tokens: str = "pieces", mask: str = "loss
     before = shift(F.col(mask), 1, F.lit(None), left=False)
     change = F.zip_with(mask, before, lambda m, b: ~m.eqNullSafe(b))
     starts = F.filter(F.transform(change, lambda c, i: F.when(c, i)), lambda i: i.isNotNull())
-    staged = df.filter(F.size(mask) > 0).select(key, tokens, mask, starts.alias("_s"))
+    staged = df.select(key, tokens, mask, starts.alias("_s"))
     ends = F.concat(F.slice("_s", F.lit(2), F.size("_s")), F.array(F.size(mask)))
-    runs = F.arrays_zip(F.col("_s").alias("start"), ends.alias("end"))
-    return staged.select(key, tokens, mask, F.explode(runs).alias("r")).select(
+    runs = F.when(F.size("_s") > 0, F.arrays_zip(F.col("_s").alias("start"), ends.alias("end")))
+    return explode_rows(staged, runs, key, tokens, mask, item="r").select(
         key,
         F.get(F.col(mask), F.col("r.start")).alias("mask"),
         "r.start",

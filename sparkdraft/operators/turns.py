@@ -162,8 +162,12 @@ def nest_turns(turns: DataFrame, max_turns: int) -> DataFrame:
     at least one token, so later turns could not reach the result anyway.
     """
     message = F.struct("turn", "role", F.col("text").alias("content"))
+    # Rows are shuffled as they are: gathering before the shuffle saves nothing.
+    # A set number of partitions keeps the costly per-row work that follows spread.
+    partitions = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         turns.filter(F.col("turn") < max_turns)
+        .repartition(partitions, "conv_id")
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list(message)).alias("_m"))
         .select(

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkdraft.functions.rows import explode_rows
+
 #: Vocabularies up to this size may be broadcast; larger ones are joined.
 BROADCAST_LIMIT = 1_000_000
 
@@ -25,8 +27,9 @@ def token_frequency(df: DataFrame, ids: str = "input_ids", mask: str = "loss_mas
     Partial counts are at most one row per id and task, so common ids do not
     skew the shuffle.
     """
+    places = F.arrays_zip(F.col(ids).alias("id"), F.col(mask).alias("m"))
     return (
-        df.select(F.explode(F.arrays_zip(F.col(ids).alias("id"), F.col(mask).alias("m"))).alias("t"))
+        explode_rows(df, places, item="t")
         .filter("t.m = 1")
         .groupBy(F.col("t.id").alias("token_id"))
         .agg(F.count("*").alias("freq"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkdraft.functions.rows import explode_rows
 from sparkdraft.functions.text import WHITESPACE, digest, quote
 from sparkdraft.operators import render as R
 from sparkdraft.operators import spans as SP
@@ -324,7 +325,7 @@ def tokenize(t: Tables) -> DataFrame:
     """,
 )
 def token_vocab(t: Tables) -> DataFrame:
-    tokens = t.documents.select(F.explode(TK.pieces(F.col("text"))).alias("token"))
+    tokens = explode_rows(t.spread_documents, TK.pieces(F.col("text")), item="token").select("token")
     return TK.token_vocab(tokens, size=5000)
 
 
@@ -368,13 +369,13 @@ SPAN_COLUMNS_SQL = """
 
 
 def span_rows(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.posexplode("spans").alias("n", "s")).select(
+    return explode_rows(df, F.col("spans"), "doc_id", pos="n", item="s").select(
         "doc_id", "n", "s.start", F.col("s.end").alias("stop"), F.md5("s.content").alias("content_md5")
     )
 
 
 def chatml_texts(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", chatml_document(F.col("text")).alias("text"))
+    return t.spread_documents.select("doc_id", chatml_document(F.col("text")).alias("text"))
 
 
 QWEN_SPANS_SQL = regex_spans_sql(QWEN.assistant_header, quote(QWEN.end_of_turn))
@@ -417,7 +418,7 @@ def spans_round(t: Tables) -> DataFrame:
         F.split("text", "\n"),
         lambda l, i: F.concat(F.lit("[Round "), i.cast("string"), F.lit("] USER:"), l, F.lit(" ASSISTANT:"), l),
     )
-    texts = t.documents.select("doc_id", F.array_join(said, "").alias("text"))
+    texts = t.spread_documents.select("doc_id", F.array_join(said, "").alias("text"))
     return span_rows(SP.assistant_spans(texts, "text", "longcat"))
 
 
@@ -463,7 +464,7 @@ def pair_texts(t: Tables) -> DataFrame:
         ),
     )
     opening = F.lit(f"{QWEN.system_header}s{QWEN.end_of_turn}")
-    return t.documents.select("doc_id", F.concat(opening, F.array_join(said, "")).alias("text"))
+    return t.spread_documents.select("doc_id", F.concat(opening, F.array_join(said, "")).alias("text"))
 
 
 @query("spans_pair", f"with {PAIR_SQL} {SPAN_COLUMNS_SQL}")
@@ -494,7 +495,7 @@ def channel_texts(t: Tables) -> DataFrame:
             F.lit("<|end|>"),
         ),
     )
-    return t.documents.select("doc_id", F.array_join(said, "").alias("text"))
+    return t.spread_documents.select("doc_id", F.array_join(said, "").alias("text"))
 
 
 @query("spans_channels", f"with {CHANNEL_TEXT_SQL} {SPAN_COLUMNS_SQL}")
@@ -544,10 +545,9 @@ def offset_mask_sql(candidate: str, inside: str) -> str:
     return f"""
     toks as (
         select id, i, e - length(tk) as s, e
-        from (select id, i, tk[i] as tk,
-                     cast(sum(length(tk[i])) over (partition by id order by i) as bigint) as e
-              from (select id, regexp_extract_all(txt, {TOKEN_SQL}) as tk from rendered),
-                   unnest(range(1, len(tk) + 1)) as u(i))),
+        from (select id, i, tk, cast(sum(length(tk)) over (partition by id order by i) as bigint) as e
+              from (select id, unnest(tk) as tk, unnest(range(1, len(tk) + 1)) as i
+                    from (select id, regexp_extract_all(txt, {TOKEN_SQL}) as tk from rendered)))),
     bounds as (select id, stop - length(content) as ss, stop as se from spans),
     judged as (
         select t.id, t.i, cast(coalesce({inside}, false) as int) as m

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkdraft.functions.rows import evaluate_once, explode_rows
 from sparkdraft.operators import sampling as S
 from sparkdraft.operators.rowindex import with_row_index
 from sparkdraft.operators.turns import start_role_rejects
@@ -25,9 +26,7 @@ def head_rest(docs: DataFrame) -> DataFrame:
 
 
 def exploded(df: DataFrame, *keep: str) -> DataFrame:
-    return df.select(*keep, F.posexplode("conversations").alias("pos", "m")).select(
-        *keep, "pos", "m.role", "m.content"
-    )
+    return explode_rows(df, F.col("conversations"), *keep, item="m").select(*keep, "pos", "m.role", "m.content")
 
 
 def turns_sql(select_id: str, user: str, assistant: str, source: str = "documents", extra: str = "") -> str:
@@ -497,9 +496,10 @@ def cap_per_group(t: Tables) -> DataFrame:
 def word_sequences(docs: DataFrame) -> DataFrame:
     """Documents as sequences: a word's length is its id, odd ids count as loss."""
     ids = F.transform(F.split("text", " "), lambda w: F.length(w))
-    return docs.select(F.col("doc_id").alias("sample"), ids.alias("input_ids")).withColumn(
+    made = docs.select(F.col("doc_id").alias("sample"), ids.alias("input_ids")).withColumn(
         "loss_mask", F.transform("input_ids", lambda x: x % 2)
     )
+    return evaluate_once(made)
 
 
 SEQ_SQL = """
@@ -519,5 +519,5 @@ SEQ_SQL = """
     """,
 )
 def min_loss_filter(t: Tables) -> DataFrame:
-    kept = S.min_loss_filter(word_sequences(t.documents), block_size=16)
+    kept = S.min_loss_filter(word_sequences(t.spread_documents), block_size=16)
     return kept.select("sample", F.size("input_ids").alias("n"), S.total(F.col("loss_mask")).alias("loss_tokens"))

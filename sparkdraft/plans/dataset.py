@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdraft.functions.hashing import seeded_hex
+from sparkdraft.functions.rows import evaluate_once
 from sparkdraft.operators.render import render
 from sparkdraft.operators.sampling import drop_empty
 from sparkdraft.operators.spans import assistant_spans, masked_tokens, offset_mask
@@ -37,7 +38,9 @@ def build_dataset(
     else:
         nested = drop_empty(require_columns(df, "conversations"))
         text = render(F.col("conversations"), t, render_mode)
-        ready = nested.withColumn("text", text).drop("conversations").filter("text is not null")
+        ready = nested.withColumn("text", text).drop("conversations")
+        if t.parser_type != "general":
+            ready = evaluate_once(ready).filter("text is not null")
     if t.parser_type == "openai-harmony":
         rows = _contained(ready, template, max_length, last_only, vocab_size)
     else:

@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkdraft.sources.files import fill_cores
+
 
 class Query(NamedTuple):
     run: Callable[[SparkSession, str], DataFrame]
@@ -35,5 +37,10 @@ class Tables:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
+    @property
+    def spread_documents(self) -> DataFrame:
+        """The documents over all cores, for queries that work hard on each text."""
+        return fill_cores(self.documents, "doc_id")
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -241,7 +241,7 @@ def outputs(t: Tables) -> DataFrame:
     output = F.when(doc % 8 == 0, forms[0])
     for i, form in enumerate(forms[1:], 1):
         output = output.when(doc % 8 == i, form)
-    return t.documents.select(
+    return t.spread_documents.select(
         doc.alias("q_idx"), "source", letter(doc % 4).alias("letter"), output.otherwise(F.col("text")).alias("output")
     )
 
@@ -368,7 +368,7 @@ def programs(t: Tables) -> DataFrame:
     fenced = F.concat("head", F.lit("\n```python\n"), "text", F.lit("\n```"), "rest")
     defined = F.concat(F.lit("Sure. def f(a, b):\n  "), "head", F.lit("\n\ndef g():\n"), "rest")
     output = F.when(kind == 0, fenced).when(kind == 1, defined).otherwise(F.col("text"))
-    return head_rest(t.documents).select("doc_id", "head", output.alias("output"))
+    return head_rest(t.spread_documents).select("doc_id", "head", output.alias("output"))
 
 
 @query("ans_code", f"with {CODE_SQL} select doc_id, pred from coded")

@@ -27,7 +27,7 @@ def md5_sql(items: str) -> str:
     """,
 )
 def truncate_close(t: Tables) -> DataFrame:
-    return SQ.truncate_and_close(word_sequences(t.documents), 128).select(
+    return SQ.truncate_and_close(word_sequences(t.spread_documents), 128).select(
         "sample",
         F.size("input_ids").alias("n"),
         digest(F.col("input_ids")).alias("ids_md5"),
@@ -58,7 +58,7 @@ SHARDS, OVERLAP, LIMIT = 4, 3, 512
     """,
 )
 def overlap_shard(t: Tables) -> DataFrame:
-    return SQ.overlap_shards(word_sequences(t.documents), LIMIT, SHARDS, OVERLAP).select(
+    return SQ.overlap_shards(word_sequences(t.spread_documents), LIMIT, SHARDS, OVERLAP).select(
         "sample",
         "shard",
         "chunk",
@@ -80,7 +80,7 @@ def overlap_shard(t: Tables) -> DataFrame:
 )
 def shard_positions(t: Tables) -> DataFrame:
     length = F.least(F.size("input_ids"), F.lit(LIMIT))
-    rings = word_sequences(t.documents).select(
+    rings = word_sequences(t.spread_documents).select(
         "sample", F.ceil(length / SHARDS).cast("int").alias("chunk"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ring")
     )
     places = rings.select(
@@ -110,7 +110,7 @@ BATCH = 8
 )
 def batch_pad(t: Tables) -> DataFrame:
     padded = SQ.pad_batches(
-        word_sequences(t.documents), BATCH, index="sample", multiple=4, arrays=("input_ids", "loss_mask")
+        word_sequences(t.spread_documents), BATCH, index="sample", multiple=4, arrays=("input_ids", "loss_mask")
     )
     return padded.select(
         "sample",
@@ -168,7 +168,7 @@ def resume_anti(t: Tables) -> DataFrame:
 )
 def shift_left(t: Tables) -> DataFrame:
     zero = F.lit(0)
-    return word_sequences(t.documents).select(
+    return word_sequences(t.spread_documents).select(
         "sample",
         digest(shift(F.col("input_ids"), 1, zero)).alias("left_md5"),
         digest(shift(F.col("input_ids"), 1, zero, left=False)).alias("right_md5"),
@@ -186,7 +186,7 @@ def shift_left(t: Tables) -> DataFrame:
     """,
 )
 def lookahead_steps(t: Tables) -> DataFrame:
-    rows = word_sequences(t.documents).withColumn("target", F.transform("input_ids", lambda x: x * 2))
+    rows = word_sequences(t.spread_documents).withColumn("target", F.transform("input_ids", lambda x: x * 2))
     return SQ.lookahead_steps(rows, 3, "target", F.lit(-1)).select(
         "sample",
         "step",
@@ -217,7 +217,7 @@ ANCHOR_SQL = f"""
 
 
 def anchored(t: Tables) -> DataFrame:
-    return SQ.sample_anchors(word_sequences(t.documents), BLOCK, ANCHORS, "sample")
+    return SQ.sample_anchors(word_sequences(t.spread_documents), BLOCK, ANCHORS, "sample")
 
 
 @query(
@@ -245,7 +245,7 @@ def anchor_sample(t: Tables) -> DataFrame:
 )
 def block_noise(t: Tables) -> DataFrame:
     noise = SQ.block_noise(F.col("input_ids"), BLOCK, MASK_ID)
-    return word_sequences(t.documents).select("sample", digest(noise).alias("noise_md5"))
+    return word_sequences(t.spread_documents).select("sample", digest(noise).alias("noise_md5"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkdraft.functions.rows import explode_rows
 from sparkdraft.operators import sequence as SQ
 from sparkdraft.operators import training_metrics as TM
 from sparkdraft.plans.corpus import metric_long
@@ -54,11 +55,10 @@ def positions(t: Tables) -> DataFrame:
     """,
 )
 def target_softmax(t: Tables) -> DataFrame:
-    return (
-        positions(t)
-        .select("vec_id", "position_mask", F.posexplode("target_p").alias("place", "p"))
-        .withColumn("p", F.round("p", 6))
+    spread = explode_rows(
+        positions(t), F.col("target_p"), "vec_id", "position_mask", pos="place", item="p"
     )
+    return spread.withColumn("p", F.round("p", 6))
 
 
 @query(

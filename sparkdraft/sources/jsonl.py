@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkdraft.functions.rows import evaluate_once
 from sparkdraft.functions.text import strip
 
 _ELEMENTS = T.ArrayType(T.StringType())
@@ -34,7 +35,7 @@ def clean_lines(lines: DataFrame, value: str = "value") -> tuple[DataFrame, Data
     shape = F.schema_of_variant(F.try_variant_get(parsed, "$.conversations", "variant"))
     keep = [c for c in lines.columns if c != value]
     # Reason and messages in one projection, so that a line is parsed once.
-    judged = lines.filter(text != "").select(
+    judged = evaluate_once(lines.filter(text != "").select(
         *keep,
         F.col(value),
         F.when(parsed.isNull(), "invalid json")
@@ -42,7 +43,7 @@ def clean_lines(lines: DataFrame, value: str = "value") -> tuple[DataFrame, Data
         .when(raw.isNotNull() & ~shape.startswith("ARRAY"), "conversations is not a list")
         .alias("reason"),
         raw.alias("_raw"),
-    )
+    ))
     good = judged.filter("reason is null").select(
         *keep,
         F.coalesce(_messages(F.col("_raw")), F.array().cast("array<map<string,string>>")).alias(
