@@ -6,10 +6,9 @@ hashing.  The id space is bounded by construction, needs no vocabulary table,
 no join and no shuffle.  :func:`tokenizer_udf` plugs in a trained tokenizer.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,8 +65,6 @@ def tokenizer_udf(tokenizer_json: str):
     ``tokenizer_json`` is the serialised tokenizer (the content of a
     ``tokenizer.json``); each Python worker loads it once.
     """
-    import pandas as pd
-
     schema = T.StructType(
         [
             T.StructField("input_ids", T.ArrayType(T.IntegerType())),

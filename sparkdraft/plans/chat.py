@@ -258,7 +258,7 @@ def channel_split(t: Tables) -> DataFrame:
     )
     one = F.concat(F.lit("<|channel|>final<|message|>"), "text", F.lit("<|end|>"))
     text = F.when(kind == 0, two).when(kind == 1, one).otherwise(F.col("text"))
-    return R.split_channels(head_rest(t.documents).select("doc_id", text.alias("text")))
+    return R.split_channels(head_rest(t.spread_documents).select("doc_id", text.alias("text")))
 
 
 GENERAL = {n: x for n, x in TEMPLATES.items() if x.parser_type != "openai-harmony"}
@@ -287,7 +287,7 @@ def templates(t: Tables) -> DataFrame:
         )
         for n, x in GENERAL.items()
     ]
-    written = t.conversations.select(F.inline(F.array(*sizes)))
+    written = t.spread_conversations.select(F.inline(F.array(*sizes)))
     return written.groupBy("template").agg(F.count("*").alias("turns"), F.sum("chars").alias("chars"))
 
 
@@ -306,7 +306,7 @@ ID_SQL = "cast(cast(('0x' || substr(md5(p), 1, 7)) as bigint) % 32768 as int)"
     """,
 )
 def tokenize(t: Tables) -> DataFrame:
-    return TK.tokenize(t.conversations).select(
+    return TK.tokenize(t.spread_conversations).select(
         "conv_id",
         "turn",
         F.size("pieces").alias("n_tokens"),

@@ -76,7 +76,7 @@ def dirty_lines(docs: DataFrame) -> DataFrame:
     """,
 )
 def src_jsonl_clean(t: Tables) -> DataFrame:
-    good, _ = jsonl.clean_lines(dirty_lines(t.documents))
+    good, _ = jsonl.clean_lines(dirty_lines(t.spread_documents))
     return (
         jsonl.as_messages(good)
         .select("doc_id", F.posexplode_outer("conversations").alias("pos", "m"))
@@ -93,7 +93,7 @@ def src_jsonl_clean(t: Tables) -> DataFrame:
     """,
 )
 def src_jsonl_rejects(t: Tables) -> DataFrame:
-    _, rejects = jsonl.clean_lines(dirty_lines(t.documents))
+    _, rejects = jsonl.clean_lines(dirty_lines(t.spread_documents))
     return rejects.groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -206,7 +206,7 @@ def latest_epoch(t: Tables) -> DataFrame:
 def norm_messages(t: Tables) -> DataFrame:
     # Every fifth row opens with a role the adapter must reject.
     role = F.when(F.col("doc_id") % 5 == 0, "system").otherwise("user")
-    raw = head_rest(t.documents).select(
+    raw = head_rest(t.spread_documents).select(
         F.col("doc_id").alias("prompt_id"),
         F.array(
             F.struct(role.alias("role"), F.col("head").alias("content")),
@@ -269,7 +269,7 @@ def norm_image(t: Tables) -> DataFrame:
     def name(key: str) -> Column:
         return F.concat(F.lit("img_"), F.col(key).cast("string"), F.lit(".jpg"))
 
-    raw = head_rest(t.documents).select(
+    raw = head_rest(t.spread_documents).select(
         F.col("doc_id").alias("id"),
         name("doc_id").alias("image"),
         F.array(
@@ -284,7 +284,7 @@ def norm_image(t: Tables) -> DataFrame:
 
 @query("norm_qa_md5", turns_sql("md5(head || rest)", "head", "rest"))
 def norm_qa_md5(t: Tables) -> DataFrame:
-    raw = head_rest(t.documents)
+    raw = head_rest(t.spread_documents)
     return exploded(N.qa_to_conversation(raw, F.col("head"), F.col("rest")), "id")
 
 
@@ -295,7 +295,7 @@ def norm_qa_md5(t: Tables) -> DataFrame:
     ),
 )
 def norm_qa_coalesce(t: Tables) -> DataFrame:
-    raw = head_rest(t.documents)
+    raw = head_rest(t.spread_documents)
     own = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("string"))
     return exploded(N.qa_to_conversation(raw, F.col("head"), F.col("rest"), own), "id")
 
@@ -309,7 +309,7 @@ def norm_qa_coalesce(t: Tables) -> DataFrame:
     ),
 )
 def norm_mcq_concat(t: Tables) -> DataFrame:
-    raw = head_rest(t.documents).select(
+    raw = head_rest(t.spread_documents).select(
         F.col("head").alias("Problem"),
         F.concat(F.lit("a) "), "lang", F.lit(" b) "), "source").alias("options"),
         F.col("rest").alias("Rationale"),
@@ -349,7 +349,7 @@ def norm_mcq_shuffle(t: Tables) -> DataFrame:
         F.col("n_chars").cast("string"),
     ]
     made = N.mcq_to_conversation(
-        head_rest(t.documents), F.col("head"), wrong, F.col("source"), F.col("rest"), F.col("doc_id"), seed=7
+        head_rest(t.spread_documents), F.col("head"), wrong, F.col("source"), F.col("rest"), F.col("doc_id"), seed=7
     )
     return exploded(made, "id")
 
@@ -375,7 +375,7 @@ QA_COLUMNS = {
     """,
 )
 def corpus_catalog(t: Tables) -> DataFrame:
-    base = head_rest(t.documents)
+    base = head_rest(t.spread_documents)
     parts = {}
     for corpus, (user, assistant) in QA_COLUMNS.items():
         raw = base.select(F.col("head").alias(user), F.col("rest").alias(assistant))

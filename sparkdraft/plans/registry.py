@@ -42,5 +42,10 @@ class Tables:
         """The documents over all cores, for queries that work hard on each text."""
         return fill_cores(self.documents, "doc_id")
 
+    @property
+    def spread_conversations(self) -> DataFrame:
+        """The turns over all cores."""
+        return fill_cores(self.conversations, "conv_id", "turn")
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -60,7 +60,7 @@ PLACE_SQL = "cast(cast(('0x' || substr(md5('0|' || doc_id), 1, 8)) as bigint) %
     """,
 )
 def mcq_prompt_shuffled(t: Tables) -> DataFrame:
-    raw = head_rest(t.documents).select(
+    raw = head_rest(t.spread_documents).select(
         F.col("doc_id").alias("q_idx"),
         F.col("head").alias("Question"),
         F.concat(F.lit(" right"), F.col("doc_id").cast("string")).alias("Correct Answer"),
@@ -82,7 +82,7 @@ def mcq_prompt_shuffled(t: Tables) -> DataFrame:
     """,
 )
 def mcq_prompt_fixed(t: Tables) -> DataFrame:
-    raw = head_rest(t.documents).select(
+    raw = head_rest(t.spread_documents).select(
         F.col("source").alias("subset"),
         F.col("doc_id").alias("q_idx"),
         F.col("rest").alias("question"),
@@ -118,7 +118,7 @@ def exam_prompt(t: Tables) -> DataFrame:
         F.lit("C"), F.when(~some, F.concat(F.lit(" "), F.col("n_chars").cast("string"))),
         F.lit("D"), F.when(F.col("doc_id") % 9 == 0, "").otherwise("last"),
     )
-    raw = head_rest(t.documents).select(
+    raw = head_rest(t.spread_documents).select(
         F.col("doc_id").alias("q_idx"),
         F.col("head").alias("question"),
         options.alias("options"),
@@ -139,7 +139,7 @@ def exam_prompt(t: Tables) -> DataFrame:
     """,
 )
 def context_prompt(t: Tables) -> DataFrame:
-    raw = head_rest(t.documents).select(
+    raw = head_rest(t.spread_documents).select(
         F.col("doc_id").alias("q_idx"),
         F.col("head").alias("question"),
         F.when(F.col("doc_id") % 3 != 0, F.col("rest")).alias("context"),
@@ -159,7 +159,7 @@ def context_prompt(t: Tables) -> DataFrame:
     """,
 )
 def plain_prompts(t: Tables) -> DataFrame:
-    raw = head_rest(t.documents).withColumnRenamed("doc_id", "q_idx")
+    raw = head_rest(t.spread_documents).withColumnRenamed("doc_id", "q_idx")
     plain = P.build_prompts(raw.withColumnRenamed("text", "problem"), "simpleqa")
     contest = P.build_prompts(
         raw.select("q_idx", F.col("head").alias("Problem"), F.col("lang").alias("Answer")), "aime"
@@ -196,7 +196,7 @@ def options_parse(t: Tables) -> DataFrame:
     answer = F.get(
         F.array(*[F.lit(a) for a in (" b", "C", "D", "AB", "a")]), (F.col("doc_id") % 5).cast("int")
     )
-    raw = head_rest(t.documents).select(
+    raw = head_rest(t.spread_documents).select(
         F.col("doc_id").alias("q_idx"),
         F.when(F.col("doc_id") % 4 == 0, F.col("head")).otherwise(listed).alias("question"),
         answer.alias("answer"),
