@@ -91,13 +91,18 @@ def span_parts(text: Column, template: str | Template, kind: str | None = None)
     return F.transform(find_all(text, pattern), divide)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def prefix_sums(arrays: pd.Series) -> pd.Series:
-    """For each array, the sum of the elements before each place.
+def prefix_sums(array: Column) -> Column:
+    """The sum of the elements before each place.
 
-    Spark has no running sum over an array in linear time; this is one.
+    Spark has no running sum over an array in linear time; this is one.  The
+    function is a closure, so it travels to the workers by value.
     """
-    return arrays.map(lambda a: np.concatenate(([0], np.cumsum(a)[:-1])).astype(np.int32) if len(a) else a)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def sums(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: np.concatenate(([0], np.cumsum(a)[:-1])).astype(np.int32) if len(a) else a)
+
+    return sums(array)
 
 
 def assistant_spans(

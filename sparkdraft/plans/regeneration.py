@@ -72,12 +72,16 @@ def regen_summary(t: Tables) -> DataFrame:
     return RG.run_summary(status_rows(t), earlier=5)
 
 
-def digest_responder(messages: list[dict], params: dict) -> dict:
+def digest_responder() -> RG.Responder:
     """A stand-in model: answers with a digest of its context."""
-    if params["fail"] in messages[-1]["content"]:
-        raise RuntimeError("unreachable")
-    text = "".join(m["content"] for m in messages)
-    return {"content": hashlib.md5(text.encode()).hexdigest()}
+
+    def respond(messages: list[dict], params: dict) -> dict:
+        if params["fail"] in messages[-1]["content"]:
+            raise RuntimeError("unreachable")
+        text = "".join(m["content"] for m in messages)
+        return {"content": hashlib.md5(text.encode()).hexdigest()}
+
+    return respond
 
 
 @query(
@@ -101,7 +105,7 @@ def digest_responder(messages: list[dict], params: dict) -> dict:
 )
 def regen_apply(t: Tables) -> DataFrame:
     nested = nest_turns(t.conversations, MAX_TURNS + 1)
-    done = RG.regenerate(nested, digest_responder, {"fail": "zz"}, "conv_id", MAX_TURNS)
+    done = RG.regenerate(nested, digest_responder(), {"fail": "zz"}, "conv_id", MAX_TURNS)
     success, _ = RG.route(done)
     answers = F.filter("conversations", lambda m: m["role"] == "assistant")
     return success.select("id", F.posexplode(answers).alias("request", "m")).select(
