@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -114,7 +115,13 @@ def plan_requests(turns: DataFrame) -> DataFrame:
 
 
 def regenerate(
-    df: DataFrame, responder: Responder, params: dict, id: str = "id", max_turns: int | None = None
+    df: DataFrame,
+    responder: Responder,
+    params: dict,
+    id: str = "id",
+    max_turns: int | None = None,
+    concurrency: int = 1,
+    endpoint: str | None = None,
 ) -> DataFrame:
     """Answer every user turn anew: ``id, conversations, status, error``.
 
@@ -122,9 +129,12 @@ def regenerate(
     the turns follow each other, since an answer is part of the next context.
     ``responder(messages, params)`` returns ``{"content": ..., "thinking": ...}``
     and may raise, which makes an error row.  An error row keeps its messages.
+    A task works on ``concurrency`` conversations at a time, as waiting for a
+    model costs no CPU.  ``endpoint`` names a column that is passed on to the
+    responder as ``params["endpoint"]``.
     """
 
-    def answer(messages: list[dict]) -> tuple[list[dict], str | None]:
+    def answer(messages: list[dict], params: dict) -> tuple[list[dict], str | None]:
         if messages and messages[0]["role"] == "assistant":
             return messages, STARTS_WITH_ASSISTANT
         if max_turns is not None and len(messages) > max_turns:
@@ -145,21 +155,24 @@ def regenerate(
         return context, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, conversation in zip(batch["_id"], batch["conversations"]):
-                messages = [dict(m) for m in conversation]
-                done, error = answer(messages)
-                shaped = [{"thinking": None, **m} for m in done]
-                rows.append((key, shaped, "error" if error else "success", error))
-            yield pd.DataFrame(rows, columns=["id", "conversations", "status", "error"])
+        def row(key, conversation, address) -> tuple:
+            own = params if address is None else {**params, "endpoint": address}
+            done, error = answer([dict(m) for m in conversation], own)
+            shaped = [{"thinking": None, **m} for m in done]
+            return key, shaped, "error" if error else "success", error
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                rows = list(pool.map(row, batch["_id"], batch["conversations"], batch["_endpoint"]))
+                yield pd.DataFrame(rows, columns=["id", "conversations", "status", "error"])
 
     message = F.transform(
         "conversations", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
     )
-    return df.select(F.col(id).cast("string").alias("_id"), message.alias("conversations")).mapInPandas(
-        run, REGENERATED
-    )
+    address = F.lit(None).cast("string") if endpoint is None else F.col(endpoint)
+    return df.select(
+        F.col(id).cast("string").alias("_id"), message.alias("conversations"), address.alias("_endpoint")
+    ).mapInPandas(run, REGENERATED)
 
 
 def route(regenerated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -129,15 +129,12 @@ def assistant_spans(
     return parts.withColumn("_at", prefix_sums(widths)).withColumn("spans", placed).drop("_p", "_at")
 
 
-def segments(
-    text: Column, template: str | Template, kind: str | None = None, last_only: bool = False
-) -> Column:
+def segments(text: Column, parts: Column, header: str, last_only: bool = False) -> Column:
     """The whole text as ``array<struct<part, mask>>``, mask 1 inside spans.
 
-    Joined again, the parts give the text itself.
+    ``parts`` are the text's :func:`span_parts`, best given as a column of their
+    own: they are used more than once.  Joined again, the segments are the text.
     """
-    header, _ = template_pattern(template, kind)
-    parts = span_parts(text, template, kind)
     n = F.size(parts)
 
     def pair(p, i):
@@ -174,11 +171,13 @@ def masked_tokens(
     start and up to its end.  The text is cut at the span edges and each part
     tokenised on its own, which gives just these counts in one linear pass.
     """
+    header, _ = template_pattern(template, kind)
+    parted = df.withColumn("_p", span_parts(F.col(text), template, kind))
     tokenised = F.transform(
-        segments(F.col(text), template, kind, last_only),
+        segments(F.col(text), F.col("_p"), header, last_only),
         lambda s: F.struct(pieces(s["part"]).alias("p"), s["mask"].alias("mask")),
     )
-    flat = df.withColumn("_t", tokenised)
+    flat = parted.withColumn("_t", tokenised).drop("_p")
     tokens = F.flatten(F.transform("_t", lambda s: s["p"]))
     mask = F.flatten(F.transform("_t", lambda s: F.array_repeat(s["mask"], F.size(s["p"]))))
     if max_length is not None:
@@ -229,6 +228,33 @@ def offset_mask(token_texts: Column, spans: Column, policy: str, closed_end: boo
     )
 
 
+def token_rows(df: DataFrame, key: str, tokens: str = "pieces") -> DataFrame:
+    """``key, place, start, stop``: one row per token with its character offsets."""
+    widths = F.transform(tokens, F.length)
+    placed = df.select(key, widths.alias("_w")).withColumn("_s", prefix_sums(F.col("_w")))
+    pairs = F.arrays_zip(F.col("_w").alias("w"), F.col("_s").alias("s"))
+    rows = explode_rows(placed, pairs, key, pos="place", item="t")
+    return rows.select(key, "place", F.col("t.s").alias("start"), (F.col("t.s") + F.col("t.w")).alias("stop"))
+
+
+def tokens_in_spans(tokens: DataFrame, spans: DataFrame, key: str, width: int = 256) -> DataFrame:
+    """Tokens wholly inside a span of the same text, by a bucketed range join.
+
+    ``spans`` has ``key, start, stop``, disjoint within a key.  Offsets are cut
+    into buckets of ``width`` characters and a span is sent to each bucket it
+    touches, so a bucket pairs at most ``width`` tokens with ``width`` spans and
+    a long text is spread over its buckets.
+    """
+    first, last = F.floor(F.col("start") / width), F.floor(F.col("stop") / width)
+    reached = spans.select(
+        key, F.col("start").alias("_from"), F.col("stop").alias("_to"), F.explode(F.sequence(first, last)).alias("_bucket")
+    )
+    cut = tokens.withColumn("_bucket", first)
+    return cut.join(reached, [key, "_bucket"]).filter(
+        (F.col("start") >= F.col("_from")) & (F.col("stop") <= F.col("_to"))
+    ).select(*tokens.columns)
+
+
 def mask_runs(df: DataFrame, key: str, tokens: str = "pieces", mask: str = "loss_mask") -> DataFrame:
     """Runs of equal mask: ``key, mask, start, end, text`` (end exclusive).
 

@@ -51,10 +51,17 @@ def tokenize(
 def token_vocab(df: DataFrame, token: str = "token", size: int = VOCAB_SIZE) -> DataFrame:
     """The ``size`` most frequent tokens with dense ids (count down, token up).
 
-    Counting combines on the map side; the ranking window sees ``size`` rows.
+    Distinct tokens may be very many.  A histogram of the counts, one row per
+    distinct count, tells how frequent a token must be; only those, and the ties
+    at the edge, take part in the final sort.  Both read the same shuffle.
     """
     counts = df.groupBy(token).agg(F.count("*").alias("freq"))
-    top = counts.orderBy(F.desc("freq"), F.asc(token)).limit(size)
+    down = Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)
+    histogram = counts.groupBy("freq").agg(F.count("*").alias("n"))
+    above = histogram.select("freq", F.coalesce(F.sum("n").over(down), F.lit(0)).alias("above"))
+    least = above.filter(F.col("above") < size).agg(F.min("freq").alias("f")).scalar()
+    frequent = counts.filter(F.col("freq") >= least)
+    top = frequent.orderBy(F.desc("freq"), F.asc(token)).limit(size)
     rank = F.row_number().over(Window.orderBy(F.desc("freq"), F.asc(token)))
     return top.select(F.col(token), "freq", (rank - 1).cast("bigint").alias("token_id"))
 

@@ -54,17 +54,20 @@ def invalid_json(text: Column) -> Column:
 def truncate_roles(turns: DataFrame, size: int = CHUNK, also: Column | None = None) -> DataFrame:
     """Keep each conversation up to its first out-of-order turn.
 
-    ``also`` marks further turns to cut at, such as unreadable tool calls.
+    ``also`` marks further turns to cut at, such as unreadable tool calls.  The
+    cuts come from the roles alone; the texts meet them in one join, which Spark
+    turns into a broadcast join where the broken conversations prove few.
     """
-    bad = breaks_order(F.col("role"), F.col("turn"), F.col("prev_role"))
-    if also is not None:
-        bad = bad | F.coalesce(also, F.lit(False))
-    marked = with_previous_role(turns, size).withColumn("_bad", F.coalesce(bad, F.lit(False)))
-    # One row per broken conversation and chunk from the break on: the join key
-    # is (conversation, chunk), the very partitioning the turns already have.
+    flag = F.lit(False) if also is None else F.coalesce(also, F.lit(False))
+    roles = turns.select("conv_id", "turn", "role", flag.alias("_also"))
+    order = breaks_order(F.col("role"), F.col("turn"), F.col("prev_role"))
+    bad = F.coalesce(order, F.lit(False)) | F.col("_also")
+    # One row per broken conversation and chunk from the break on, so that a
+    # long conversation is joined by as many tasks as it has chunks.
     cuts = (
-        marked.groupBy("conv_id")
-        .agg(F.min(F.when(F.col("_bad"), F.col("turn"))).alias("_cut"), F.max("turn").alias("_last"))
+        with_previous_role(roles, size)
+        .groupBy("conv_id")
+        .agg(F.min(F.when(bad, F.col("turn"))).alias("_cut"), F.max("turn").alias("_last"))
         .filter("_cut is not null")
         .select(
             "conv_id",
@@ -73,7 +76,8 @@ def truncate_roles(turns: DataFrame, size: int = CHUNK, also: Column | None = No
         )
     )
     return (
-        marked.join(cuts, ["conv_id", "chunk"], "left")
+        turns.withColumn("chunk", chunk_of(F.col("turn"), size))
+        .join(cuts, ["conv_id", "chunk"], "left")
         .filter(F.col("_cut").isNull() | (F.col("turn") < F.col("_cut")))
         .select(*turns.columns)
     )
@@ -159,7 +163,9 @@ def nest_turns(turns: DataFrame, max_turns: int) -> DataFrame:
 
     The bound is what makes the gathering safe.  A caller that cuts token
     sequences at ``max_length`` passes ``max_length``: every rendered turn holds
-    at least one token, so later turns could not reach the result anyway.
+    at least one token, so later turns could not reach the result anyway.  Not
+    for work that looks at a conversation's end (last turn only, thinking
+    templates), nor for the fallback rendering, which gives tool turns no token.
     """
     message = F.struct("turn", "role", F.col("text").alias("content"))
     # Rows are shuffled as they are: gathering before the shuffle saves nothing.

@@ -568,6 +568,20 @@ def mask_contained(t: Tables) -> DataFrame:
     return mask_summary(spanned.withColumn("loss_mask", mask), "doc_id")
 
 
+@query(
+    "span_range_join",
+    f"""
+    with {CHANNEL_TEXT_SQL}, {offset_mask_sql("t.s >= b.ss", "t.e <= b.se")}
+    select id as doc_id, cast(i - 1 as int) as place from judged where m = 1
+    """,
+)
+def span_range_join(t: Tables) -> DataFrame:
+    texts = channel_texts(t)
+    tokens = SP.token_rows(texts.select("doc_id", TK.pieces(F.col("text")).alias("pieces")), "doc_id")
+    spans = span_rows(SP.assistant_spans(texts, "text", "gpt-oss")).select("doc_id", "start", "stop")
+    return SP.tokens_in_spans(tokens, spans, "doc_id").select("doc_id", "place")
+
+
 @query(
     "mask_overlap",
     f"""

@@ -55,10 +55,20 @@ def test_regenerate(spark):
     assert got["bad role"].error == "Invalid message role: tool"
     assert got["fails"].error == "model down" and [m.content for m in got["fails"].conversations] == ["boom"]
     assert got["long"].error == "Conversation has more than 8 turns"
-    success, errors = RG.route(RG.regenerate(df, echo, {"model": "m"}))
+    success, errors = RG.route(RG.regenerate(df, echo, {"model": "m"}, concurrency=3))
     assert success.count() == 2 and errors.count() == 3
 
 
+def test_endpoint_reaches_the_responder(spark):
+    def where(messages, params):
+        return {"content": params["endpoint"]}
+
+    df = spark.createDataFrame([(str(i), say(("user", "u"))) for i in range(4)], SCHEMA)
+    named = df.withColumn("at", RG.assign_endpoint(F.col("id").cast("long"), ["a", "b"]))
+    got = {r.id: r.conversations[1].content for r in RG.regenerate(named, where, {}, endpoint="at").collect()}
+    assert got == {"0": "a", "1": "b", "2": "a", "3": "b"}
+
+
 def test_parameters():
     assert RG.request_parameters("m") == {"model": "m", "max_tokens": 4096, "temperature": 0.7, "stream": False}
     full = RG.request_parameters("m", 5, 0.0, top_p=0.9, top_k=3, repetition_penalty=1.1)

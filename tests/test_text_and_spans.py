@@ -217,7 +217,7 @@ def test_spans_match_python_on_random_texts(spark, name):
     end = r"\[Round \d+\] USER:" if t.pattern_type == "round" else re.escape(t.end_of_turn)
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     spanned = SP.assistant_spans(rows, "text", name)
-    parts = SP.segments(F.col("text"), name)
+    parts = SP.segments(F.col("text"), SP.span_parts(F.col("text"), name), t.assistant_header)
     got = spanned.select("id", "spans", F.transform(parts, lambda p: p["part"]).alias("p")).collect()
     for r in got:
         text = texts[r.id]
