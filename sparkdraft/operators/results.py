@@ -24,14 +24,15 @@ SERIES = ("target", "draft", "config")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """``target, key, benchmark_name, results`` from result JSON files.
+    """``target, key, benchmark_name, results`` from dashboard JSON files.
 
-    Each line is one target: ``{"target": …, "benchmarks": {key: {…}}}``; a file
-    that does not parse gives no rows.
+    A file is one object ``{target: {key: {benchmark_name, results}}}``, at most
+    a few megabytes; one that does not parse gives no rows.
     """
-    schema = f"target string, benchmarks map<string, {BENCHMARK_RESULT.simpleString()}>"
-    raw = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return raw.select("target", F.explode("benchmarks").alias("key", "b")).select(
+    schema = f"map<string, map<string, {BENCHMARK_RESULT.simpleString()}>>"
+    files = spark.read.text(path, wholetext=True)
+    targets = files.select(F.explode(F.from_json("value", schema)).alias("target", "_b"))
+    return targets.select("target", F.explode("_b").alias("key", "b")).select(
         "target", "key", "b.benchmark_name", "b.results"
     )
 

@@ -12,7 +12,9 @@ from sparkdraft.operators.sampling import drop_empty
 from sparkdraft.operators.spans import assistant_spans, masked_tokens, offset_mask
 from sparkdraft.operators.templates import get_template
 from sparkdraft.operators.tokens import VOCAB_SIZE, pieces, token_ids
+from sparkdraft.operators.vocab import draft_vocab, target_flags, token_frequency
 from sparkdraft.schemas import require_columns
+from sparkdraft.sources.files import cache_key, cached
 
 
 def build_dataset(
@@ -52,6 +54,21 @@ def build_dataset(
     return rows.orderBy(seeded_hex(seed, F.col(key)), key)
 
 
+def vocab_mapping(
+    rows: DataFrame, target_size: int, draft_size: int, root: str, **parameters
+) -> tuple[DataFrame, DataFrame]:
+    """``(draft_vocab, target_flags)``, stored below ``root`` under all parameters.
+
+    The tokens are counted when nothing is stored yet; the flags come from the
+    stored draft vocabulary, not from a second count.
+    """
+    spark = rows.sparkSession
+    key = cache_key(target=target_size, draft=draft_size, **parameters)
+    draft = cached(spark, root, f"{key}/draft", lambda: draft_vocab(token_frequency(rows), draft_size))
+    flags = cached(spark, root, f"{key}/target", lambda: target_flags(draft, target_size))
+    return draft, flags
+
+
 def _contained(df: DataFrame, template: str, max_length: int, last_only: bool, vocab_size: int) -> DataFrame:
     """The channel format marks tokens that lie wholly inside a span."""
     spanned = assistant_spans(df, "text", template, last_only=last_only)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -178,6 +179,14 @@ def result_name(name: str | None, stamp: Column) -> Column:
     return F.concat(F.lit(f"{head}results_"), F.date_format(stamp, "yyyyMMdd_HHmmss"))
 
 
+def save_results(nested: DataFrame, root: str, name: str | None, stamp: datetime) -> str:
+    """Write one JSON line per benchmark below a stamped folder and return its path."""
+    head = f"{name}_" if name else ""
+    path = f"{root.rstrip('/')}/{head}results_{stamp:%Y%m%d_%H%M%S}.jsonl"
+    nested.coalesce(1).write.json(path)
+    return path
+
+
 def metric_rows(df: DataFrame, run: Column, mode: Column, step: Column, values: dict[str, Column]) -> DataFrame:
     """Wide metric columns to ``run, mode, step, name, value``; nulls are left out."""
     pairs = F.array(

@@ -101,6 +101,19 @@ def test_specs_and_grid(spark):
     assert SC.config_grid(df, ["1,0,0,0", "1,3,1,4"]).count() == 10
 
 
+def test_results_are_nested_and_saved(spark, tmp_path):
+    from datetime import datetime
+
+    from sparkdraft.sources.files import save_results
+
+    runs = spark.createDataFrame([("b", 1, 3, 1, 4, 2.0), ("b", 1, 3, 1, 4, 1.0), ("b", 1, 0, 0, 0, 5.0)], "bench string, batch_size int, steps int, topk int, num_draft_tokens int, latency double")
+    path = save_results(SC.nest_results(runs), str(tmp_path), "n", datetime(2024, 1, 2, 3, 4, 5))
+    assert path.endswith("/n_results_20240102_030405.jsonl")
+    (row,) = spark.read.json(path).collect()
+    got = json.loads(row.results)
+    assert [(r["steps"], [m["latency"] for m in r["metrics"]]) for r in got] == [(0, [5.0]), (3, [1.0, 2.0])]
+
+
 def test_prompts(spark):
     mm = spark.createDataFrame([(0, "q ", ["a", " b", "c", "d "], 2)], "q_idx long, question string, choices array<string>, answer int")
     (r,) = P.build_prompts(mm, "mmlu").collect()
@@ -136,8 +149,7 @@ def test_prompts(spark):
 
 
 RESULTS = {
-    "target": "T",
-    "benchmarks": {
+    "T": {
         "k1": {
             "benchmark_name": "gsm8k",
             "results": [
@@ -153,8 +165,9 @@ RESULTS = {
 
 @pytest.fixture(scope="module")
 def flat(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("results") / "r.json"
-    path.write_text(json.dumps(RESULTS) + "\n{broken\n")
+    path = tmp_path_factory.mktemp("results")
+    (path / "r.json").write_text(json.dumps(RESULTS, indent=2))
+    (path / "broken.json").write_text("{broken")
     return RS.flatten_results(RS.read_results(spark, str(path)), "base")
 
 

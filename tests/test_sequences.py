@@ -180,6 +180,19 @@ def test_vocabulary_reduction(spark, rows, size):
     assert c.ratio == pytest.approx(c.kept / c.total)
 
 
+def test_vocab_mapping_is_stored_once(spark, rows, tmp_path):
+    from sparkdraft.plans.dataset import vocab_mapping
+
+    draft, flags = vocab_mapping(rows, 64, 10, str(tmp_path), data="d", template="qwen")
+    kept = {r.token_id for r in draft.collect()}
+    assert len(kept) == 10 and {r.token_id for r in flags.collect() if r.in_draft} == kept
+    # Other rows under the same parameters: the stored maps are used.
+    again, _ = vocab_mapping(rows.limit(0), 64, 10, str(tmp_path), data="d", template="qwen")
+    assert {r.token_id for r in again.collect()} == kept
+    other, _ = vocab_mapping(rows.limit(0), 64, 10, str(tmp_path), data="e", template="qwen")
+    assert {r.token_id for r in other.collect()} == set(range(10))
+
+
 def test_coverage_without_tokens(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert tuple(V.coverage(V.token_frequency(empty), 3).first()) == (0, 0, 0.0)
