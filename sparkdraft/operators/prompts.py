@@ -205,6 +205,11 @@ def _math500(df: DataFrame, idx: str) -> DataFrame:
     return _rows(df, idx, F.col("problem"), boxed(F.col("solution")))
 
 
+def _humaneval(df: DataFrame, idx: str) -> DataFrame:
+    gold = [c for c in ("test", "entry_point", "canonical_solution") if c in df.columns]
+    return _rows(df, idx, F.col("prompt"), F.to_json(F.struct(*gold)) if gold else None)
+
+
 # Benchmark names and their columns.
 BENCHMARKS: dict[str, Benchmark] = {
     "gsm8k": Benchmark(_gsm8k, "last_integer", "exact"),
@@ -215,7 +220,7 @@ BENCHMARKS: dict[str, Benchmark] = {
     "mmlu": Benchmark(_mmlu, "marker", "exact", cap="subset"),
     "ceval": Benchmark(_ceval, "letter", "valid_only", cap="position"),
     "mmstar": Benchmark(_mmstar, "ranged_letter", "letter"),
-    "humaneval": Benchmark(_labelled("prompt", ("entry_point",)), "code"),
+    "humaneval": Benchmark(_humaneval, "code"),
     "livecodebench": Benchmark(_plain("question_content")),
     "financeqa": Benchmark(
         lambda df, idx: _rows(df, idx, context_prompt(F.col("question"), F.col("context")))

@@ -9,7 +9,7 @@ from sparkdraft.functions.arrays import shift
 from sparkdraft.functions.rows import explode_rows
 from sparkdraft.functions.text import find_all, strip
 from sparkdraft.operators.templates import Template, get_template
-from sparkdraft.operators.turns import breaks_order
+from sparkdraft.operators.turns import breaks_order, invalid_json
 
 # Markers and preamble of the channel format.
 CHANNEL_PREAMBLE = (
@@ -84,33 +84,43 @@ def resolve_system(conversation: Column, system_prompt: str | None) -> Column:
     return F.when(F.coalesce(own, F.lit(False)), conversation).otherwise(F.concat(extra, conversation))
 
 
-def valid_prefix(conversation: Column) -> Column:
-    """The messages before the first one that is out of order."""
+def valid_prefix(conversation: Column, tool_calls: bool = False) -> Column:
+    """Role and content of the messages before the first one that is out of order.
+
+    With ``tool_calls`` the messages have that field, and one whose calls do not
+    parse as JSON also ends the conversation.
+    """
     before = shift(F.transform(conversation, lambda m: m["role"]), 1, F.lit(None), left=False)
 
     def breaks(z, i):
         role, prev = z["m"]["role"], z["p"]
-        return F.coalesce(breaks_order(role, i, prev), F.lit(False))
+        bad = F.coalesce(breaks_order(role, i, prev), F.lit(False))
+        # A leading system message is taken as it is, whatever it carries.
+        first = (i == 0) & (role == "system")
+        return bad | (~first & invalid_json(z["m"]["tool_calls"])) if tool_calls else bad
 
     flags = F.transform(F.arrays_zip(conversation.alias("m"), before.alias("p")), breaks)
     first = F.array_position(flags, F.lit(True)).cast("int")
-    return F.when(first > 0, F.slice(conversation, F.lit(1), first - 1)).otherwise(conversation)
+    kept = F.when(first > 0, F.slice(conversation, F.lit(1), first - 1)).otherwise(conversation)
+    return F.transform(kept, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
 
 
-def render(conversation: Column, template: str | Template, mode: str = "native") -> Column:
+def render(
+    conversation: Column, template: str | Template, mode: str = "native", tool_calls: bool = False
+) -> Column:
     """A message array as one text.
 
     Messages are cut at the first out-of-order turn and the system prompt is
     resolved first.  A ``thinking`` template ends in the last assistant message
     after a generation prompt and is null where the last message is another's.
-    ``mode`` is ``native`` or ``fallback``.
+    ``mode`` is ``native`` or ``fallback``; ``tool_calls`` as in :func:`valid_prefix`.
     """
     t = _template(template)
     if t.parser_type == "openai-harmony":
         return render_channels(conversation)
     use_fallback = mode == "fallback" or t.system_header is None
     piece = fallback_piece if use_fallback else native_piece
-    messages = resolve_system(valid_prefix(conversation), t.system_prompt)
+    messages = resolve_system(valid_prefix(conversation, tool_calls), t.system_prompt)
 
     def join(part):
         return F.concat(

@@ -21,7 +21,7 @@ REST_SQL = f"substr(text, length({HEAD_SQL}) + 2)"
 
 
 def head_rest(docs: DataFrame) -> DataFrame:
-    head = F.split_part("text", F.lit("\n"), F.lit(1))
+    head = F.substring_index("text", "\n", 1)
     return docs.withColumn("head", head).withColumn("rest", F.expr("substr(text, length(head) + 2)"))
 
 
@@ -72,15 +72,15 @@ def dirty_lines(docs: DataFrame) -> DataFrame:
     union all
     select doc_id, 1, 'assistant', 'ok', '{"f":1}' from documents where doc_id % 8 = 6
     union all
-    select doc_id, cast(null as int), null, null, null from documents where doc_id % 8 in (2, 4)
+    select doc_id, -1, null, null, null from documents where doc_id % 8 in (2, 4)
     """,
 )
 def src_jsonl_clean(t: Tables) -> DataFrame:
     good, _ = jsonl.clean_lines(dirty_lines(t.spread_documents))
-    return (
-        jsonl.as_messages(good)
-        .select("doc_id", F.posexplode_outer("conversations").alias("pos", "m"))
-        .select("doc_id", "pos", "m.role", "m.content", "m.tool_calls")
+    # An empty conversation is shown as place -1.
+    spread = jsonl.as_messages(good).select("doc_id", F.posexplode_outer("conversations").alias("pos", "m"))
+    return spread.select(
+        "doc_id", F.coalesce("pos", F.lit(-1)).alias("pos"), "m.role", "m.content", "m.tool_calls"
     )
 
 

@@ -39,7 +39,8 @@ def build_dataset(
         ready = require_columns(df, "text").filter(F.col("text") != "")
     else:
         nested = drop_empty(require_columns(df, "conversations"))
-        text = render(F.col("conversations"), t, render_mode)
+        fields = df.schema["conversations"].dataType.elementType.names
+        text = render(F.col("conversations"), t, render_mode, "tool_calls" in fields)
         ready = nested.withColumn("text", text).drop("conversations")
         if t.parser_type != "general":
             ready = evaluate_once(ready).filter("text is not null")
@@ -50,8 +51,9 @@ def build_dataset(
     rows = rows.drop("text")
     if seed is None:
         return rows
-    key = next(c for c in ("id", "conv_id", "doc_id") if c in rows.columns)
-    return rows.orderBy(seeded_hex(seed, F.col(key)), key)
+    named = [F.col(c) for c in ("id", "conv_id", "doc_id") if c in rows.columns]
+    key = named[0] if named else F.md5(F.array_join("pieces", ""))
+    return rows.orderBy(seeded_hex(seed, key), key)
 
 
 def vocab_mapping(

@@ -78,7 +78,7 @@ def mcq_prompt_shuffled(t: Tables) -> DataFrame:
         select *, [lang, source || ' ', cast(n_chars as varchar), ' none'] as c from base)
     select 'mmlu' as bench, source as subset, doc_id as q_idx, {choice_sql('rest', 'c')} as question,
            substr('ABCD', cast(doc_id % 4 as int) + 1, 1) as label
-    from listed qualify row_number() over (partition by source order by doc_id) <= 40
+    from listed
     """,
 )
 def mcq_prompt_fixed(t: Tables) -> DataFrame:
@@ -91,7 +91,7 @@ def mcq_prompt_fixed(t: Tables) -> DataFrame:
         ),
         (F.col("doc_id") % 4).alias("answer"),
     )
-    return P.build_prompts(raw, "mmlu", num_samples=40)
+    return P.build_prompts(raw, "mmlu")
 
 
 @query(
@@ -563,14 +563,18 @@ def specs(t: Tables) -> DataFrame:
     "bench_spec",
     f"""
     with {SPEC_SQL}, parts as (select spec, string_split(spec, ':') as p from specs)
-    select spec, p[1] as bench, try_cast(p[2] as int) as num_samples,
+    select spec, p[1] as bench, coalesce(try_cast(p[2] as int), -1) as num_samples,
            array_to_string(string_split(p[3], ','), '+') as subsets,
            case when len(p) > 3 then 'invalid benchmark format' end as error
     from parts
     """,
 )
 def bench_spec(t: Tables) -> DataFrame:
-    return SC.parse_specs(specs(t)).withColumn("subsets", F.array_join("subsets", "+"))
+    parsed = SC.parse_specs(specs(t))
+    # No sample limit is shown as -1.
+    return parsed.withColumn("subsets", F.array_join("subsets", "+")).withColumn(
+        "num_samples", F.coalesce("num_samples", F.lit(-1))
+    )
 
 
 @query(

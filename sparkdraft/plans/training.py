@@ -150,12 +150,13 @@ def log_interval(t: Tables) -> DataFrame:
 @query(
     "metric_windows",
     """
-    select date_trunc('hour', ts) as window_start, event_type as name, count(*) as n, min(value) as low, max(value) as high
+    select cast(date_trunc('hour', ts) as varchar) as window_start, event_type as name, count(*) as n, min(value) as low, max(value) as high
     from events group by 1, 2
     """,
 )
 def metric_windows(t: Tables) -> DataFrame:
-    return TM.metric_windows(t.events.withColumnRenamed("event_type", "name"))
+    windows = TM.metric_windows(t.events.withColumnRenamed("event_type", "name"))
+    return windows.withColumn("window_start", F.col("window_start").cast("string"))
 
 
 @query(

@@ -7,7 +7,7 @@ from sparkdraft.operators import regen as RG
 from sparkdraft.operators.training_metrics import metric_windows
 from sparkdraft.operators.vocab import token_frequency
 from sparkdraft.plans.dataset import build_dataset
-from sparkdraft.sources.jsonl import as_messages, clean_lines
+from sparkdraft.sources.jsonl import as_messages, clean_lines, read_conversations
 from sparkdraft.streaming import jobs
 
 SCHEMA = "id string, conversations array<struct<role:string, content:string>>"
@@ -103,6 +103,26 @@ LINES = [
 ]
 
 
+def test_lines_to_training_rows(spark, tmp_path):
+    lines = [
+        '{"conversations": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo", "tool_calls": [{"n": 1}]}]}',
+        '{"conversations": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "bad call", "tool_calls": "{oops"}]}',
+        '{"conversations": [{"role": "system", "content": "s", "tool_calls": "{oops"}, {"role": "user", "content": "q"}]}',
+        "broken",
+    ]
+    path = tmp_path / "chats.jsonl"
+    path.write_text("\n".join(lines))
+    good, _ = read_conversations(spark, str(path))
+    rows = build_dataset(as_messages(good), "qwen", seed=1)
+    texts = sorted("".join(r.pieces) for r in rows.collect())
+    head = "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\nhi<|im_end|>\n"
+    assert texts == sorted([
+        head + "<|im_start|>assistant\nyo<|im_end|>\n",
+        head,
+        "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nq<|im_end|>\n",
+    ])
+
+
 def test_stream_ingest_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):
