@@ -14,21 +14,27 @@ from sparkdraft.functions.text import find_all, last_match, strip
 # The patterns and sentinel below define the benchmarks' answers.
 INVALID = "-9999999"
 MARKER = "Answer: "
-BOXED = r"(?U)\\boxed\{([^}]+)\}"
+# Patterns tied to the start skip what cannot match, so that a failed try is not
+# repeated from every later place: where one opening has no closing, none has.
+BOXED = r"\A(?:[^\\]++|\\(?!boxed\{[^}]))*+\\boxed\{([^}]++)\}"
 BOXED_BARE = r"(?U)\\boxed\s+([^\s]+)"
 BOXED_DIGITS = r"(?U)\\boxed\s+(\d+)"
-NUMBER = r"[-+]?\d*\.?\d+"
+# Possessive digits: a long run that leads nowhere is not tried at every length.
+NUMBER = r"[-+]?(?:\d*+\.)?\d++"
 ANSWER_NUMBER = rf"(?iuU)answer[\s:]+({NUMBER})"
 EQUALS_NUMBER = rf"(?iuU)(?:is|equals?|=\s*)({NUMBER})\s*$"
 ANSWER_DIGITS = r"(?iuU)answer[\s:]+(\d+)"
-EQUALS_DIGITS = r"(?iuU)(?:is|equals?|=\s*)(\d+)\s*$"
+EQUALS_DIGITS = r"(?iuU)(?:is|equals?|=\s*)(\d++)\s*$"
 # Python's word boundary around a letter: no letter, digit or underscore beside it.
 NOT_AFTER = r"(?<![\p{L}\p{N}_])"
 NOT_BEFORE = r"(?![\p{L}\p{N}_])"
 LETTER_MARKS = (r"\((%s)\)", r"\[(%s)\]", r"答案[：:]\s*(%s)", r"Answer[：:]\s*(%s)")
 CHOSEN_MARK = r"选择[：:]\s*(%s)"
-CODE_BLOCK = r"(?s)```(?:python)?\n(.*?)```"
-CODE_FUNCTION = r"(?sU)(def\s+\w+\([^)]*\):.*?)(?=\n\ndef\s+|\z)"
+CODE_BLOCK = r"\A(?:[^`]++|`(?!``(?:python)?\n))*+```(?:python)?\n((?:[^`]++|`(?!``))*+)```"
+CODE_FUNCTION = (
+    r"(?U)\A(?:[^d]++|d(?!ef\s+\w+\()|def\s+\w+\([^)]*+(?:\)(?!:)|\z))*+"
+    r"(def\s+\w+\([^)]*+\):(?:[^\n]++|\n(?!\ndef\s))*+)"
+)
 
 
 def _first(col: Column, pattern: str) -> Column:
@@ -49,32 +55,28 @@ def last_integer(output: Column) -> Column:
 
 def boxed(output: Column) -> Column:
     """Boxed content, else a number after answer words, else the last number."""
-    return (
-        F.when(output.rlike(BOXED), strip(F.regexp_extract(output, BOXED, 1)))
-        .when(output.rlike(BOXED_BARE), strip(F.regexp_extract(output, BOXED_BARE, 1)))
-        .otherwise(
-            F.coalesce(
-                last_match(output, ANSWER_NUMBER, 1),
-                last_match(output, EQUALS_NUMBER, 1),
-                last_match(output, rf"(?U){NUMBER}"),
-            )
-        )
+    return F.coalesce(
+        strip(_first(output, BOXED)),
+        strip(_first(output, BOXED_BARE)),
+        last_match(output, ANSWER_NUMBER, 1),
+        last_match(output, EQUALS_NUMBER, 1),
+        last_match(output, rf"(?U){NUMBER}"),
     )
 
 
 def contest(output: Column) -> Column:
     """The last integer of the box, else after answer words, else up to 999."""
-    inside = strip(F.regexp_extract(output, BOXED, 1))
+    inside = strip(_first(output, BOXED))
     loose = F.filter(
         find_all(output, rf"(?U){NOT_AFTER}\d+{NOT_BEFORE}"), lambda n: n.rlike(r"(?U)^0*\d{1,3}$")
     )
-    return F.when(output.rlike(BOXED), F.coalesce(last_match(inside, r"(?U)\d+"), inside)).otherwise(
-        F.coalesce(
-            _first(output, BOXED_DIGITS),
-            last_match(output, ANSWER_DIGITS, 1),
-            last_match(output, EQUALS_DIGITS, 1),
-            F.try_element_at(loose, F.lit(-1)),
-        )
+    return F.coalesce(
+        last_match(inside, r"(?U)\d+"),
+        inside,
+        _first(output, BOXED_DIGITS),
+        last_match(output, ANSWER_DIGITS, 1),
+        last_match(output, EQUALS_DIGITS, 1),
+        F.try_element_at(loose, F.lit(-1)),
     )
 
 

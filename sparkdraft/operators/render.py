@@ -29,7 +29,12 @@ CHANNEL_OPEN = {
     "assistant_final": "<|start|>assistant<|channel|>final<|message|>",
 }
 CHANNEL_CLOSE = "<|end|>"
-CHANNEL_SEGMENT = r"(?s)<\|channel\|>(.*?)<\|message\|>(.*?)<\|end\|>"
+# Each part runs to the first next marker and is never given back.  Matches are
+# tied together: where one opening has no end, no later one has.
+CHANNEL_SEGMENT = (
+    r"\G(?:[^<]++|<(?!\|channel\|>))*+<\|channel\|>((?:[^<]++|<(?!\|message\|>))*+)<\|message\|>"
+    r"((?:[^<]++|<(?!\|end\|>))*+)<\|end\|>"
+)
 EFFORT_ROLE = "assistant_reasoning_effort"
 
 

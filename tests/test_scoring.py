@@ -118,7 +118,7 @@ def test_prompts(spark):
     mm = spark.createDataFrame([(0, "q ", ["a", " b", "c", "d "], 2)], "q_idx long, question string, choices array<string>, answer int")
     (r,) = P.build_prompts(mm, "mmlu").collect()
     assert r.label == "C" and r.question.endswith("\n\nq\n\nA) a\nB) b\nC) c\nD) d")
-    more = mm.select(F.lit("s").alias("subset"), F.explode(F.sequence(F.lit(0), F.lit(5))).cast("long").alias("q_idx"), "question", "choices", "answer")
+    more = mm.drop("q_idx").select(F.lit("s").alias("subset"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(6)])).alias("q_idx"), "question", "choices", "answer")
     both = more.union(more.withColumn("subset", F.lit("t")))
     assert P.build_prompts(both, "mmlu", num_samples=2).count() == 4
     seen = set()
