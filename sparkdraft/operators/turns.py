@@ -169,8 +169,12 @@ def nest_turns(turns: DataFrame, max_turns: int) -> DataFrame:
     """
     message = F.struct("turn", "role", F.col("text").alias("content"))
     # Rows are shuffled as they are: gathering before the shuffle saves nothing.
-    # A set number of partitions keeps the costly per-row work that follows spread.
-    partitions = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A set number of partitions keeps the costly per-row work that follows spread;
+    # an input of fewer partitions than cores gets one partition per core.
+    spark = turns.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    small = turns.rdd.getNumPartitions() < cores
+    partitions = cores if small else int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         turns.filter(F.col("turn") < max_turns)
         .repartition(partitions, "conv_id")

@@ -374,3 +374,18 @@ def test_hot_conversation_is_cut_into_chunks(spark):
     assert kept.agg(F.count("*"), F.max("turn")).first() == (4322, 4321)
     sizes = TN.with_previous_role(turns, 100).groupBy("conv_id", "chunk").count()
     assert sizes.agg(F.max("count")).first()[0] == 100
+
+
+def test_patterns_stay_linear_on_hostile_texts(spark):
+    # Openings without closings: a pattern that retries from each place would need hours.
+    from sparkdraft.functions.answers import EXTRACTORS
+
+    n = 400_000
+    bits = ["<", "<|im_start|>assistant\n", "<|channel|>a<|message|>", "def f(", "```\n", r"\boxed{a", "is 1 ", " ", "7"]
+    rows = spark.createDataFrame([(b * (n // len(b)) + "x",) for b in bits], "text string").repartition(8)
+    text = F.col("text")
+    answers = [f(text).isNotNull().alias(k) for k, f in EXTRACTORS.items()]
+    assert rows.select(*answers).collect()
+    assert R.split_channels(rows).filter("channel = 'text'").count() == len(bits)
+    masked = SP.masked_tokens(rows, "text", "qwen").select(F.size("pieces") == F.size("loss_mask"))
+    assert {r[0] for r in masked.collect()} == {True}
