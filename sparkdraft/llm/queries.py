@@ -1,6 +1,6 @@
 """All queries of the corpus operators."""
 
-from sparkdraft.llm import exact_dedup, quality, simhash  # noqa: F401
+from sparkdraft.llm import exact_dedup, mixing, quality, simhash  # noqa: F401
 from sparkdraft.llm.common import QUERIES
 
 __all__ = ["QUERIES"]
