@@ -1,6 +1,17 @@
 """All queries of the corpus operators."""
 
-from sparkdraft.llm import exact_dedup, mixing, quality, simhash  # noqa: F401
+from sparkdraft.llm import (  # noqa: F401
+    exact_dedup,
+    html_text,
+    language,
+    license_scan,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    url_filter,
+    warc,
+)
 from sparkdraft.llm.common import QUERIES
 
 __all__ = ["QUERIES"]
