@@ -10,9 +10,8 @@
    apart by digest; counts combine before the shuffle, so a text that a third of
    all rows share arrives as one row from each task.  The index is written in key
    order, one range of keys per file.
-4. Texts behind one digest are compared byte by byte.  Only digests with several
-   entries are looked at: the list of them is a stored table, so the planner
-   knows its size when it joins it to the texts.
+4. Texts behind one digest are compared byte by byte: they are grouped by digest
+   and bytes, copies combine before the shuffle, and a digest must keep one text.
 """
 
 from __future__ import annotations
@@ -113,10 +112,9 @@ def build_index(
 
 def _compare_bytes(source: DataFrame, index: DataFrame) -> None:
     """Stop if two different texts have one digest."""
-    several = stored(index.filter("group_size > 1").select("digest"), "several")
+    # Copies meet in the task that reads them; one text per task and digest is moved.
     chains = (
-        source.select("norm", F.sha2("norm", 256).alias("digest"))
-        .join(several, "digest")
+        source.select(F.sha2("norm", 256).alias("digest"), "norm")
         .groupBy("digest", "norm")
         .agg(F.count("*").alias("n"))
     )
