@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkdraft.functions.hashing import seeded_fraction
 from sparkdraft.functions.text import word_count
@@ -21,50 +21,49 @@ EFFORT_WEIGHTS = {"low": 4, "medium": 4, "high": 2}
 
 Responder = Callable[[list[dict], dict], dict]
 
-MESSAGE = T.StructType(
-    [
-        T.StructField("role", T.StringType()),
-        T.StructField("content", T.StringType()),
-        T.StructField("thinking", T.StringType()),
-    ]
-)
-REGENERATED = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("conversations", T.ArrayType(MESSAGE)),
-        T.StructField("status", T.StringType()),
-        T.StructField("error", T.StringType()),
-    ]
-)
-
-
-def request_parameters(
-    model: str,
-    max_tokens: int = 4096,
-    temperature: float = 0.7,
-    top_p: float | None = None,
-    top_k: int | None = None,
-    repetition_penalty: float | None = None,
-) -> dict:
-    """Checked sampling parameters, with the optional ones only where given."""
-    if not 0.0 <= temperature <= 1.0:
-        raise ValueError("temperature must lie between 0 and 1")
-    if max_tokens <= 0:
-        raise ValueError("max_tokens must be positive")
-    params = {"model": model, "max_tokens": max_tokens, "temperature": temperature, "stream": False}
-    if top_p is not None:
-        params["top_p"] = top_p
-    if repetition_penalty is not None:
-        params["presence_penalty"] = repetition_penalty
-    if top_k is not None:
-        params["extra_body"] = {"top_k": top_k}
-    return params
+# What a request may carry, its type and bounds (exclusive lower, inclusive upper).
+PARAMETERS: dict[str, tuple[str, float | None, float | None]] = {
+    "model": ("string", None, None),
+    "temperature": ("double", None, 1.0),
+    "max_tokens": ("bigint", 0, None),
+    "top_p": ("double", None, None),
+    "top_k": ("bigint", None, None),
+    "presence_penalty": ("double", None, None),
+    "reasoning_effort": ("string", None, None),
+    "endpoint": ("string", None, None),
+}
+DEFAULTS = {"max_tokens": 4096, "temperature": 0.7}
+
+
+def request_parameters(**given) -> Column:
+    """The parameters of a row's requests as one struct; values are constants or columns.
+
+    Constants are checked against :data:`PARAMETERS` when the plan is made.
+    Parameters that are not given are null, and are not sent.
+    """
+    unknown = set(given) - set(PARAMETERS)
+    if unknown:
+        raise ValueError(f"unknown parameters: {sorted(unknown)}")
+    values = {**DEFAULTS, **given}
+    if values.get("model") is None:
+        raise ValueError("a request needs a model")
+    fields = []
+    for name, (kind, above, most) in PARAMETERS.items():
+        value = values.get(name)
+        if not isinstance(value, Column) and value is not None:
+            if (above is not None and value <= above) or (most is not None and value > most):
+                raise ValueError(f"{name} is out of bounds: {value!r}")
+            if name == "temperature" and value < 0:
+                raise ValueError(f"{name} is out of bounds: {value!r}")
+        fields.append((value if isinstance(value, Column) else F.lit(value)).cast(kind).alias(name))
+    return F.struct(*fields)
 
 
 def turn_error(role: Column, turn: Column, failed: Column | None = None) -> Column:
     """Why a turn spoils its conversation, or null."""
     error = F.when((turn == 0) & (role == "assistant"), F.lit(STARTS_WITH_ASSISTANT)).when(
-        ~role.isin("system", "user", "assistant"), F.concat(F.lit(INVALID_ROLE), role)
+        ~F.coalesce(role, F.lit("")).isin("system", "user", "assistant"),
+        F.concat(F.lit(INVALID_ROLE), F.coalesce(role, F.lit("null"))),
     )
     return error if failed is None else error.when((role == "user") & failed.isNotNull(), failed)
 
@@ -114,65 +113,145 @@ def plan_requests(turns: DataFrame) -> DataFrame:
     )
 
 
-def regenerate(
-    df: DataFrame,
-    responder: Responder,
-    params: dict,
-    id: str = "id",
-    max_turns: int | None = None,
-    concurrency: int = 1,
-    endpoint: str | None = None,
-) -> DataFrame:
-    """Answer every user turn anew: ``id, conversations, status, error``.
-
-    Conversations are independent, so Spark spreads them over tasks; inside one
-    the turns follow each other, since an answer is part of the next context.
-    ``responder(messages, params)`` returns ``{"content": ..., "thinking": ...}``
-    and may raise, which makes an error row.  An error row keeps its messages.
-    A task works on ``concurrency`` conversations at a time, as waiting for a
-    model costs no CPU.  ``endpoint`` names a column that is passed on to the
-    responder as ``params["endpoint"]``.
+class _Talk:
+    """One conversation under way: its context so far, and why it ended."""
+
+    def __init__(self, responder: Responder, params: dict):
+        self.responder, self.params = responder, params
+        self.context: list[dict] = []
+        self.error: str | None = None
+        self.begun = False
+
+    def hear(self, role: str | None, content: str | None) -> dict | None:
+        """Take one message of the data; the model's reply if it is the user's."""
+        if self.error is not None:
+            return None
+        first, self.begun = not self.begun, True
+        if role == "assistant":
+            self.error = STARTS_WITH_ASSISTANT if first else None
+            return None
+        if role not in ("system", "user"):
+            self.error = f"{INVALID_ROLE}{'null' if role is None else role}"
+            return None
+        self.context.append({"role": role, "content": content})
+        if role == "system":
+            return None
+        try:
+            reply = {"thinking": None, **self.responder(list(self.context), self.params)}
+        except Exception as e:  # any failure of the model ends the conversation as an error
+            self.error = str(e)
+            return None
+        self.context.append({"role": "assistant", **reply})
+        return reply
+
+
+_REPLY = "struct<content:string,thinking:string>"
+
+
+def regenerate(df: DataFrame, responder: Responder, params: Column, concurrency: int = 1) -> DataFrame:
+    """Answer every user message of nested ``conversations`` anew.
+
+    All columns and message fields are kept; ``status`` and ``error`` are added,
+    and ``thinking`` to the messages.  ``responder(messages, params)`` returns
+    ``{"content": ..., "thinking": ...}`` and may raise, which makes an error row
+    with the messages as they were.  ``params`` is a struct as
+    :func:`request_parameters` makes it; a task works on ``concurrency``
+    conversations at a time, as waiting for a model costs no CPU.  Only roles,
+    contents and parameters go to Python.  Conversations too long to be one row
+    go through :func:`regenerate_turns`.
     """
+    element = df.schema["conversations"].dataType.elementType
+    names = [f.name for f in element.fields]
 
-    def answer(messages: list[dict], params: dict) -> tuple[list[dict], str | None]:
-        if messages and messages[0]["role"] == "assistant":
-            return messages, STARTS_WITH_ASSISTANT
-        if max_turns is not None and len(messages) > max_turns:
-            return messages, f"Conversation has more than {max_turns} turns"
-        context: list[dict] = []
-        for m in messages:
-            if m["role"] == "assistant":
-                continue
-            if m["role"] not in ("system", "user"):
-                return messages, f"{INVALID_ROLE}{m['role']}"
-            context.append({"role": m["role"], "content": m["content"]})
-            if m["role"] == "user":
-                try:
-                    reply = responder(list(context), params)
-                except Exception as e:  # any failure of the model is a row of its own
-                    return messages, str(e)
-                context.append({"role": "assistant", "thinking": None, **reply})
-        return context, None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def row(key, conversation, address) -> tuple:
-            own = params if address is None else {**params, "endpoint": address}
-            done, error = answer([dict(m) for m in conversation], own)
-            shaped = [{"thinking": None, **m} for m in done]
-            return key, shaped, "error" if error else "success", error
+    def talk(roles, contents, own: str) -> tuple:
+        talk = _Talk(responder, json.loads(own))
+        replies = [talk.hear(r, c) for r, c in zip(roles, contents)]
+        return [r and {"content": r["content"], "thinking": r["thinking"]} for r in replies], talk.error
 
+    def run(roles: pd.Series, contents: pd.Series, own: pd.Series) -> pd.DataFrame:
         with ThreadPoolExecutor(concurrency) as pool:
-            for batch in batches:
-                rows = list(pool.map(row, batch["_id"], batch["conversations"], batch["_endpoint"]))
-                yield pd.DataFrame(rows, columns=["id", "conversations", "status", "error"])
+            found = list(pool.map(talk, roles, contents, own))
+        return pd.DataFrame(found, columns=["replies", "error"])
+
+    def message(m: Column) -> Column:
+        kept = [m[n].alias(n) for n in names if n != "thinking"]
+        own = m["thinking"].cast("string") if "thinking" in names else F.lit(None).cast("string")
+        return F.struct(*kept, own.alias("thinking"))
+
+    def answer(r: Column) -> Column:
+        given = {"role": F.lit("assistant"), "content": r["content"]}
+        fields = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in element.fields if f.name != "thinking"]
+        return F.struct(*fields, r["thinking"].alias("thinking"))
+
+    talked = F.pandas_udf(run, f"replies array<{_REPLY}>, error string").asNondeterministic()
+    column = F.coalesce(F.col("conversations"), F.array().cast(df.schema["conversations"].dataType))
+    # As JSON, which leaves out what is not given and keeps whole numbers whole.
+    heard = [F.transform(column, lambda m: m["role"]), F.transform(column, lambda m: m["content"])]
+    found = df.withColumn("_found", talked(*heard, F.to_json(params)))
+    pairs = F.filter(
+        F.arrays_zip(column.alias("m"), F.col("_found.replies").alias("r")), lambda x: x["m"]["role"] != "assistant"
+    )
+    anew = F.flatten(
+        F.transform(
+            pairs,
+            lambda x: F.when(x["r"].isNull(), F.array(message(x["m"]))).otherwise(
+                F.array(message(x["m"]), answer(x["r"]))
+            ),
+        )
+    )
+    failed = F.col("_found.error").isNotNull()
+    return found.select(
+        *[F.col(c) for c in df.columns if c not in ("conversations", "status", "error")],
+        F.when(failed, F.transform(column, message)).otherwise(anew).alias("conversations"),
+        F.when(failed, "error").otherwise("success").alias("status"),
+        F.col("_found.error").alias("error"),
+    )
 
-    message = F.transform(
-        "conversations", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
+
+def regenerate_turns(turns: DataFrame, responder: Responder, params: Column) -> DataFrame:
+    """The same over exploded turns, for conversations of any length.
+
+    ``conv_id, turn, role, text, thinking, error``: the system and user turns as
+    they stand, each answer under the turn it answers, and at most one row with
+    an ``error``, where its conversation ended.  The turns of a conversation
+    follow each other through one task, which holds its context and no more.
+    """
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    rows = turns.select(
+        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text",
+        F.to_json(params).alias("params"),
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, talk = object(), None
+        for batch in batches:
+            out = []
+            for key, turn, role, text, own in batch.itertuples(index=False, name=None):
+                if key != name:
+                    name, talk = key, _Talk(responder, json.loads(own))
+                if talk.error is not None:
+                    continue
+                reply = talk.hear(role, text)
+                if talk.error is not None:
+                    out.append((key, turn, role, text, None, talk.error))
+                elif role != "assistant":
+                    out.append((key, turn, role, text, None, None))
+                if reply is not None:
+                    out.append((key, turn, "assistant", reply["content"], reply["thinking"], None))
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text", "thinking", "error"])
+
+    done = (
+        rows.repartition("conv_id")
+        .sortWithinPartitions("conv_id", "turn")
+        .mapInPandas(run, "conv_id string, turn bigint, role string, text string, thinking string, error string")
     )
-    address = F.lit(None).cast("string") if endpoint is None else F.col(endpoint)
-    return df.select(
-        F.col(id).cast("string").alias("_id"), message.alias("conversations"), address.alias("_endpoint")
-    ).mapInPandas(run, REGENERATED)
+    return done.withColumn("conv_id", F.col("conv_id").cast(kind))
+
+
+def route_turns(regenerated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(turns of conversations without an error, conv_id and error of the others)``."""
+    failed = regenerated.filter("error is not null").select("conv_id", "error")
+    return regenerated.join(failed, "conv_id", "left_anti").drop("error"), failed
 
 
 def route(regenerated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,7 +293,7 @@ def context_length(conversation: Column) -> Column:
             F.lit(0),
             lambda a, p: a + F.coalesce(word_count(p["text"]), F.lit(0)),
         )
-        return F.when(content.startswith("[{") & parts.isNotNull(), listed).otherwise(
+        return F.when(content.rlike(r"^\s*\[") & parts.isNotNull(), listed).otherwise(
             F.coalesce(word_count(content), F.lit(0))
         )
 

@@ -11,13 +11,9 @@ from sparkdraft.functions.text import WORD
 from sparkdraft.operators import regen as RG
 from sparkdraft.operators.rowindex import with_row_index
 from sparkdraft.operators.sampling import skip_existing
-from sparkdraft.operators.turns import nest_turns
 from sparkdraft.plans.chat import MESSY_SQL, lit, messy_turns
 from sparkdraft.plans.registry import Tables, query
 
-#: Conversations with more turns than a model takes become error rows.
-MAX_TURNS = 4096
-
 
 @query(
     "regen_plan",
@@ -38,8 +34,9 @@ STATUS_SQL = f"""
     {MESSY_SQL},
     judged as (
         select conv_id, turn,
-               case when turn = 0 and role = 'assistant' then {lit(RG.STARTS_WITH_ASSISTANT)}
-                    when role not in ('system', 'user', 'assistant') then {lit(RG.INVALID_ROLE)} || role
+               case when turn = 0 and role = 'assistant' then 'Data starts with an assistant message'
+                    when coalesce(role, '') not in ('system', 'user', 'assistant')
+                         then 'Invalid message role: ' || coalesce(role, 'null')
                     when role = 'user' and conv_id % 17 = 0 then 'unreachable' end as error
         from messy),
     status as (
@@ -76,7 +73,7 @@ def digest_responder() -> RG.Responder:
     """A stand-in model: answers with a digest of its context."""
 
     def respond(messages: list[dict], params: dict) -> dict:
-        if params["fail"] in messages[-1]["content"]:
+        if params["model"] in messages[-1]["content"]:
             raise RuntimeError("unreachable")
         text = "".join(m["content"] for m in messages)
         return {"content": hashlib.md5(text.encode()).hexdigest()}
@@ -104,12 +101,12 @@ def digest_responder() -> RG.Responder:
     """,
 )
 def regen_apply(t: Tables) -> DataFrame:
-    nested = nest_turns(t.conversations, MAX_TURNS + 1)
-    done = RG.regenerate(nested, digest_responder(), {"fail": "zz"}, "conv_id", MAX_TURNS)
-    success, _ = RG.route(done)
-    answers = F.filter("conversations", lambda m: m["role"] == "assistant")
-    return success.select("id", F.posexplode(answers).alias("request", "m")).select(
-        "id", "request", F.col("m.content").alias("answer")
+    params = RG.request_parameters(model="zz")
+    success, _ = RG.route_turns(RG.regenerate_turns(t.conversations, digest_responder(), params))
+    # An answer's request number is that of the user turn it stands under.
+    numbered = RG.plan_requests(t.conversations).select("conv_id", "turn", F.col("request").cast("int").alias("request"))
+    return success.filter("role = 'assistant'").join(numbered, ["conv_id", "turn"]).select(
+        F.col("conv_id").cast("string").alias("id"), "request", F.col("text").alias("answer")
     )
 
 

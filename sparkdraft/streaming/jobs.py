@@ -8,12 +8,12 @@ micro-batch overwrites its own output folder, so nothing is written twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from sparkdraft.operators.regen import REGENERATED, Responder, regenerate, route
+from sparkdraft.operators.regen import Responder, regenerate, route
 from sparkdraft.operators.training_metrics import metric_windows
 from sparkdraft.operators.vocab import token_frequency
 from sparkdraft.plans.dataset import build_dataset
@@ -37,6 +37,13 @@ def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
+def stored_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The same with the number of the micro-batch that wrote a row, as ``batch``."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def ingest(lines: DataFrame, good_path: str, rejects_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """JSON lines to a table of clean conversations and a table of rejects."""
 
@@ -75,31 +82,35 @@ def token_counts(rows: DataFrame, path: str, checkpoint: str, once: bool = True)
 def regeneration(
     conversations: DataFrame,
     responder: Responder,
-    params: dict,
+    params: Column,
     success_path: str,
     error_path: str,
     checkpoint: str,
     once: bool = True,
     id: str = "id",
-    max_turns: int | None = None,
 ) -> StreamingQuery:
     """Answer new conversations; those already answered or failed are passed over.
 
-    Ids seen before are found by an anti-join with the stored outputs, which
-    keeps no state in the stream and survives any restart.  The answers are
-    written once, partitioned by status, before they are split: a model is never
-    asked twice for one micro-batch's outcome.
+    Ids seen in earlier micro-batches are found by an anti-join with the stored
+    outputs, which keeps no state in the stream and survives any restart.  The
+    answers of a micro-batch are first written to a folder of their own.  When the
+    batch is replayed, that folder is used again if it was finished, so the model
+    is asked once and the outputs come out the same.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = stored(spark, success_path, REGENERATED).select("id")
-        failed = stored(spark, error_path, REGENERATED).select("id")
-        keyed = batch.withColumn(id, F.col(id).cast("string")).dropDuplicates([id])
-        fresh = keyed.join(done.union(failed).withColumnRenamed("id", id), id, "left_anti")
-        staging = f"{checkpoint}/answers/batch={batch_id}"
-        regenerate(fresh, responder, params, id, max_turns).write.mode("overwrite").parquet(staging)
-        success, errors = route(spark.read.schema(REGENERATED).parquet(staging))
+        answers = f"{checkpoint}/answers/batch={batch_id}"
+        if not exists(spark, f"{answers}/_SUCCESS"):
+            keyed = batch.withColumn(id, F.col(id).cast("string")).dropDuplicates([id])
+            seen = T.StructType([T.StructField(id, T.StringType()), T.StructField("batch", T.LongType())])
+            earlier = [
+                stored_batches(spark, path, seen).filter(F.col("batch") < batch_id).select(id)
+                for path in (success_path, error_path)
+            ]
+            fresh = keyed.join(earlier[0].union(earlier[1]), id, "left_anti")
+            regenerate(fresh, responder, params).write.mode("overwrite").parquet(answers)
+        success, errors = route(spark.read.parquet(answers))
         _write_batch(errors, error_path, batch_id)
         _write_batch(success, success_path, batch_id)
 

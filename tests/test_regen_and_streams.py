@@ -21,6 +21,7 @@ TALKS = [
     ("ok", say(("system", "s"), ("user", "a"), ("assistant", "old"), ("user", "b"))),
     ("starts wrong", say(("assistant", "x"), ("user", "a"))),
     ("bad role", say(("user", "a"), ("tool", "t"))),
+    ("no role", say(("user", "a"), (None, "t"))),
     ("fails", say(("user", "boom"))),
     ("long", say(*[("user", "u")] * 9)),
 ]
@@ -38,11 +39,14 @@ def make_echo():
 echo = make_echo()
 
 
+PARAMS = {"model": "m"}
+
+
 def test_regenerate(spark):
-    df = spark.createDataFrame(TALKS, SCHEMA)
-    got = {r.id: r for r in RG.regenerate(df, echo, {"model": "m"}, max_turns=8).collect()}
+    df = spark.createDataFrame(TALKS, SCHEMA).withColumn("kept", F.length("id"))
+    got = {r.id: r for r in RG.regenerate(df, echo, RG.request_parameters(**PARAMS)).collect()}
     ok = got["ok"]
-    assert ok.status == "success" and ok.error is None
+    assert ok.status == "success" and ok.error is None and ok.kept == 2
     assert [(m.role, m.content) for m in ok.conversations] == [
         ("system", "s"),
         ("user", "a"),
@@ -53,30 +57,65 @@ def test_regenerate(spark):
     assert ok.conversations[2].thinking == "hm"
     assert got["starts wrong"].error == RG.STARTS_WITH_ASSISTANT
     assert got["bad role"].error == "Invalid message role: tool"
+    assert got["no role"].error == "Invalid message role: null"
     assert got["fails"].error == "model down" and [m.content for m in got["fails"].conversations] == ["boom"]
-    assert got["long"].error == "Conversation has more than 8 turns"
-    success, errors = RG.route(RG.regenerate(df, echo, {"model": "m"}, concurrency=3))
-    assert success.count() == 2 and errors.count() == 3
+    assert got["long"].status == "success" and len(got["long"].conversations) == 18
+    success, errors = RG.route(RG.regenerate(df, echo, RG.request_parameters(**PARAMS), concurrency=3))
+    assert success.count() == 2 and errors.count() == 4
 
 
-def test_endpoint_reaches_the_responder(spark):
-    def where(messages, params):
-        return {"content": params["endpoint"]}
+def test_regenerate_keeps_message_fields(spark):
+    df = spark.createDataFrame(
+        [(7, [{"role": "user", "content": "a", "name": "Ann", "n": 3}], None), (8, None, "x")],
+        "id bigint, conversations array<struct<role:string, content:string, name:string, n:int>>, note string",
+    )
+    rows = {r.id: r for r in RG.regenerate(df, echo, RG.request_parameters(**PARAMS)).collect()}
+    assert [tuple(m) for m in rows[7].conversations] == [("user", "a", "Ann", 3, None), ("assistant", "m:a", None, None, "hm")]
+    assert rows[8].conversations == [] and rows[8].status == "success" and rows[8].note == "x"
 
-    df = spark.createDataFrame([(str(i), say(("user", "u"))) for i in range(4)], SCHEMA)
-    named = df.withColumn("at", RG.assign_endpoint(F.col("id").cast("long"), ["a", "b"]))
-    got = {r.id: r.conversations[1].content for r in RG.regenerate(named, where, {}, endpoint="at").collect()}
-    assert got == {"0": "a", "1": "b", "2": "a", "3": "b"}
 
+def test_turns_of_any_length(spark):
+    """Ten thousand turns go through one context, whatever the batches."""
+    talk = [("long", i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(10_000)]
+    talk += [("bad", 0, "user", "a"), ("bad", 1, None, "b"), ("bad", 2, "user", "c"), ("wrong", 0, "assistant", "x")]
+    df = spark.createDataFrame(talk, "conv_id string, turn bigint, role string, text string")
 
-def test_parameters():
-    assert RG.request_parameters("m") == {"model": "m", "max_tokens": 4096, "temperature": 0.7, "stream": False}
-    full = RG.request_parameters("m", 5, 0.0, top_p=0.9, top_k=3, repetition_penalty=1.1)
-    assert full["top_p"] == 0.9 and full["presence_penalty"] == 1.1 and full["extra_body"] == {"top_k": 3}
-    with pytest.raises(ValueError):
-        RG.request_parameters("m", temperature=1.5)
-    with pytest.raises(ValueError):
-        RG.request_parameters("m", max_tokens=0)
+    def count(messages, params):
+        return {"content": str(len(messages))}
+
+    done = RG.regenerate_turns(df, count, RG.request_parameters(**PARAMS))
+    success, errors = RG.route_turns(done)
+    answers = sorted((r.turn, int(r.text)) for r in success.filter("role = 'assistant'").collect())
+    assert answers == [(2 * i, 2 * i + 1) for i in range(5000)]
+    assert {r.conv_id: r.error for r in errors.collect()} == {
+        "bad": "Invalid message role: null",
+        "wrong": RG.STARTS_WITH_ASSISTANT,
+    }
+
+
+def test_parameters_reach_the_responder(spark):
+    def say_all(messages, params):
+        return {"content": "/".join(f"{k}={params[k]}" for k in sorted(params))}
+
+    df = spark.createDataFrame([(str(i), say(("user", "u"))) for i in range(4)], SCHEMA)
+    params = RG.request_parameters(
+        model="m",
+        top_k=3,
+        endpoint=RG.assign_endpoint(F.col("id").cast("long"), ["a", "b"]),
+        reasoning_effort=F.when(F.col("id") == "1", RG.weighted_choice(F.col("id"))),
+    )
+    got = {r.id: r.conversations[1].content for r in RG.regenerate(df, say_all, params).collect()}
+    rest = "max_tokens=4096/model=m/temperature=0.7/top_k=3"
+    assert got["0"] == f"endpoint=a/{rest}" and got["3"] == f"endpoint=b/{rest}"
+    assert got["1"].startswith("endpoint=b/max_tokens=4096/model=m/reasoning_effort=")
+
+
+def test_parameters(spark):
+    row = spark.range(1).select(RG.request_parameters(model="m", max_tokens=5, temperature=0.0, top_p=0.9).alias("p")).first().p
+    assert (row.model, row.max_tokens, row.temperature, row.top_p, row.top_k) == ("m", 5, 0.0, 0.9, None)
+    for wrong in ({"temperature": 1.5}, {"temperature": -0.1}, {"max_tokens": 0}, {"model": None}, {"depth": 3}):
+        with pytest.raises(ValueError):
+            RG.request_parameters(**{"model": "m", **wrong})
     with pytest.raises(ValueError):
         RG.assign_endpoint(F.lit(1), [])
 
@@ -155,18 +194,31 @@ def test_stream_rows_and_counts_equal_batch(spark, tmp_path):
 def test_stream_regeneration_resumes(spark, tmp_path):
     source_dir = str(tmp_path / "in")
     spark.createDataFrame(TALKS[:3], SCHEMA).coalesce(1).write.parquet(source_dir)
-    args = (echo, {"model": "m"}, str(tmp_path / "ok"), str(tmp_path / "err"), str(tmp_path / "ck"))
+    args = (RG.request_parameters(**PARAMS), str(tmp_path / "ok"), str(tmp_path / "err"), str(tmp_path / "ck"))
     stream = lambda: spark.readStream.schema(SCHEMA).parquet(source_dir)
-    jobs.regeneration(stream(), *args).awaitTermination()
+    outcome = lambda: [
+        sorted((r.id, r.status, r.error, r.batch) for r in spark.read.parquet(str(tmp_path / d)).collect())
+        for d in ("ok", "err")
+    ]
+    jobs.regeneration(stream(), echo, *args).awaitTermination()
     # More input arrives, with two conversations that were handled before.
-    spark.createDataFrame([TALKS[0], TALKS[2], TALKS[3], ("new", say(("user", "z")))], SCHEMA).coalesce(1).write.mode(
+    spark.createDataFrame([TALKS[0], TALKS[2], TALKS[4], ("new", say(("user", "z")))], SCHEMA).coalesce(1).write.mode(
         "append"
     ).parquet(source_dir)
-    jobs.regeneration(stream(), *args).awaitTermination()
-    ok = jobs.stored(spark, str(tmp_path / "ok"), RG.REGENERATED)
-    err = jobs.stored(spark, str(tmp_path / "err"), RG.REGENERATED)
-    assert sorted(r.id for r in ok.collect()) == ["new", "ok"]
-    assert sorted(r.id for r in err.collect()) == ["bad role", "fails", "starts wrong"]
+    jobs.regeneration(stream(), echo, *args).awaitTermination()
+    done = outcome()
+    assert [r[0] for r in done[0]] == ["new", "ok"]
+    assert [r[0] for r in done[1]] == ["bad role", "fails", "starts wrong"]
+
+    def never(messages, params):
+        raise AssertionError("the model was asked again")
+
+    # A crash before the last commit: the batch is replayed, from the answers it has.
+    commits = sorted((tmp_path / "ck" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    jobs.regeneration(stream(), never, *args).awaitTermination()
+    assert outcome() == done
 
 
 def test_live_windows_equal_batch_for_closed_windows(spark, tmp_path):
