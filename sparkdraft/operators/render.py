@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkdraft.functions.arrays import shift
 from sparkdraft.functions.rows import explode_rows
-from sparkdraft.functions.text import find_all, strip
+from sparkdraft.functions.text import find_all, quote, strip
 from sparkdraft.operators.templates import Template, get_template
-from sparkdraft.operators.turns import breaks_order, invalid_json
+from sparkdraft.operators.turns import breaks_order, invalid_json, with_neighbours
 
 # Markers and preamble of the channel format.
 CHANNEL_PREAMBLE = (
@@ -42,17 +42,84 @@ def _template(template: str | Template) -> Template:
     return get_template(template) if isinstance(template, str) else template
 
 
-def native_piece(template: str | Template, role: Column, content: Column) -> Column:
-    """One message as the model's own template writes it; null for a role it lacks."""
+#: A tool call as messages carry it: bare, or inside ``function``.
+_CALL = "struct<name:string,arguments:string>"
+CALLS = f"array<struct<name:string,arguments:string,function:{_CALL}>>"
+
+
+def calls_text(template: str | Template, content: Column, calls: Column) -> Column:
+    """The calls of a message after its content; empty where it has none.
+
+    ``calls`` is JSON text: a list of calls with ``name`` and ``arguments``.
+    """
+    t = _template(template)
+    if t.tool_call is None:
+        return F.lit("")
+    opening, closing = t.tool_call
+
+    def one(call):
+        name = F.coalesce(call["function"]["name"], call["name"], F.lit(""))
+        given = F.coalesce(call["function"]["arguments"], call["arguments"], F.lit("null"))
+        body = F.concat(F.lit('{"name": "'), name, F.lit('", "arguments": '), given, F.lit("}"))
+        return F.concat(F.lit(opening), body, F.lit(closing))
+
+    written = F.array_join(F.transform(F.from_json(calls, CALLS), one), "")
+    # The line break that parts calls from each other also parts them from a content.
+    start = F.when(content == "", F.expr("2")).otherwise(F.lit(1))
+    return F.coalesce(F.substring(written, start, F.length(written)), F.lit(""))
+
+
+def native_piece(
+    template: str | Template,
+    role: Column,
+    content: Column,
+    prev_role: Column | None = None,
+    next_role: Column | None = None,
+    last: Column | None = None,
+    calls: Column | None = None,
+) -> Column:
+    """One message as the model's own template writes it; null for a role it lacks.
+
+    ``last`` marks the conversation's last message.  Replies of tools look at the
+    roles before and after, as they may share a turn.
+    """
     t = _template(template)
     close = F.lit(t.end_of_turn or "")
-    opening = (
-        F.when(role == "user", F.lit(t.user_header or ""))
-        .when(role == "assistant", F.lit(t.assistant_header or ""))
-        .when(role == "system", F.lit(t.system_header or ""))
-        .when(role == "tool", F.lit(t.tool_header or ""))
+    text = F.coalesce(content, F.lit(""))
+    last = F.lit(False) if last is None else last
+    none = F.lit(None).cast("string")
+    prev_role, next_role = (none if r is None else r for r in (prev_role, next_role))
+    thought = F.lit("")
+    answer = text
+    if t.thought_end:
+        answer = F.regexp_replace(text, f"(?s)^.*{quote(t.thought_end)}\\n*", "")
+        # What stands before the mark, without the opening one and line breaks around it.
+        before = F.regexp_extract(text, f"(?s)^(.*?)(?:{quote(t.thought_end)}|$)", 1)
+        thought = F.when(
+            text.contains(t.thought_end), F.regexp_replace(before, r"(?s)^(?:.*<think>)?\n*|\n*$", "")
+        ).otherwise(F.lit(""))
+    history = F.concat(F.lit(t.history_assistant or t.assistant_header or ""), answer)
+    if t.last_assistant is None:
+        ending = F.concat(F.lit(t.assistant_header or ""), text)
+    else:
+        head, tail = t.last_assistant.split("\n\n", 1)
+        ending = F.concat(F.lit(head + "\n"), thought, F.lit("\n" + tail), answer)
+    said = F.when(last, ending).otherwise(history)
+    if calls is not None:
+        said = F.concat(said, calls_text(t, answer, calls))
+    if t.tool_reply is None:
+        reply = F.concat(F.lit(t.tool_header or ""), text, close)
+    else:
+        opening, closing = t.tool_reply
+        first = F.when(prev_role.eqNullSafe(F.lit("tool")), "").otherwise((t.native_user or t.user_header).rstrip("\n"))
+        final = F.when(next_role.eqNullSafe(F.lit("tool")), "").otherwise(t.end_of_turn or "")
+        reply = F.concat(first, F.lit(opening), text, F.lit(closing), final)
+    return (
+        F.when(role == "user", F.concat(F.lit(t.native_user or t.user_header or ""), text, close))
+        .when(role == "assistant", F.concat(said, close))
+        .when(role == "system", F.concat(F.lit(t.system_header or ""), text, F.lit(t.system_suffix), close))
+        .when(role == "tool", reply)
     )
-    return F.concat(opening, F.coalesce(content, F.lit("")), close)
 
 
 def fallback_piece(template: str | Template, role: Column, content: Column) -> Column:
@@ -84,13 +151,19 @@ def resolve_system(conversation: Column, system_prompt: str | None) -> Column:
     """A conversation that opens with its own system message or the template's."""
     if not system_prompt:
         return conversation
-    extra = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content")))
+    extra = F.array(
+        F.struct(
+            F.lit("system").alias("role"),
+            F.lit(system_prompt).alias("content"),
+            F.lit(None).cast("string").alias("tool_calls"),
+        )
+    )
     own = F.get(conversation, F.lit(0))["role"] == "system"
     return F.when(F.coalesce(own, F.lit(False)), conversation).otherwise(F.concat(extra, conversation))
 
 
 def valid_prefix(conversation: Column, tool_calls: bool = False) -> Column:
-    """Role and content of the messages before the first one that is out of order.
+    """Role, content and calls of the messages before the first one that is out of order.
 
     With ``tool_calls`` the messages have that field, and one whose calls do not
     parse as JSON also ends the conversation.
@@ -107,7 +180,14 @@ def valid_prefix(conversation: Column, tool_calls: bool = False) -> Column:
     flags = F.transform(F.arrays_zip(conversation.alias("m"), before.alias("p")), breaks)
     first = F.array_position(flags, F.lit(True)).cast("int")
     kept = F.when(first > 0, F.slice(conversation, F.lit(1), first - 1)).otherwise(conversation)
-    return F.transform(kept, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+
+    def message(m):
+        calls = m["tool_calls"] if tool_calls else F.lit(None)
+        return F.struct(
+            m["role"].alias("role"), m["content"].alias("content"), calls.cast("string").alias("tool_calls")
+        )
+
+    return F.transform(kept, message)
 
 
 def render(
@@ -124,21 +204,37 @@ def render(
     if t.parser_type == "openai-harmony":
         return render_channels(conversation)
     use_fallback = mode == "fallback" or t.system_header is None
-    piece = fallback_piece if use_fallback else native_piece
     messages = resolve_system(valid_prefix(conversation, tool_calls), t.system_prompt)
-
-    def join(part):
-        return F.concat(
-            F.lit(t.bos), F.array_join(F.transform(part, lambda m: piece(t, m["role"], m["content"])), "")
-        )
-
-    if t.parser_type != "thinking":
-        return join(messages)
+    thinking = t.parser_type == "thinking"
+
+    def write(part, ended):
+        """All messages; ``ended`` says whether the last of them ends the conversation."""
+        if use_fallback:
+            pieces = F.transform(part, lambda m: fallback_piece(t, m["role"], m["content"]))
+        else:
+            roles = F.transform(part, lambda m: m["role"])
+            framed = F.arrays_zip(
+                part.alias("m"),
+                shift(roles, 1, F.lit(None), left=False).alias("p"),
+                shift(roles, 1, F.lit(None)).alias("n"),
+                shift(F.transform(part, lambda m: F.lit(False)), 1, F.lit(ended)).alias("e"),
+            )
+            pieces = F.transform(
+                framed,
+                lambda x: native_piece(
+                    t, x["m"]["role"], x["m"]["content"], x["p"], x["n"], x["e"],
+                    x["m"]["tool_calls"] if tool_calls else None,
+                ),
+            )
+        return F.concat(F.lit(t.bos), F.array_join(pieces, ""))
+
+    if not thinking:
+        return write(messages, True)
     last = F.try_element_at(messages, F.lit(-1))
     history = F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
     return F.when(
         last["role"] == "assistant",
-        F.concat(join(history), F.lit(t.assistant_header), last["content"], F.lit(t.end_of_turn or "")),
+        F.concat(write(history, False), F.lit(t.assistant_header), last["content"], F.lit(t.end_of_turn or "")),
     )
 
 
@@ -171,10 +267,16 @@ def with_pieces(turns: DataFrame, template: str, mode: str = "native") -> DataFr
     """Exploded turns with ``piece``, their part of the rendered text.
 
     The rendered conversation is the pieces in turn order, so a conversation of
-    any length is written without being gathered.
+    any length is written without being gathered.  A ``tool_calls`` column, if
+    there is one, holds JSON text.
     """
-    piece = fallback_piece if mode == "fallback" else native_piece
-    return turns.withColumn("piece", piece(template, F.col("role"), F.col("text")))
+    if mode == "fallback":
+        return turns.withColumn("piece", fallback_piece(template, F.col("role"), F.col("text")))
+    calls = F.col("tool_calls") if "tool_calls" in turns.columns else None
+    piece = native_piece(
+        template, F.col("role"), F.col("text"), F.col("prev_role"), F.col("next_role"), F.col("is_last"), calls
+    )
+    return with_neighbours(turns).select(*turns.columns, piece.alias("piece"))
 
 
 def channel_segments(content: Column) -> Column:

@@ -26,42 +26,47 @@ def _literal(text: str) -> tuple[str, str]:
     return text[0], quote(text[1:])
 
 
-def _until(first: str, rest: str) -> str:
-    """Text up to a terminator, to the end, or to a final line break.
+def _until(*ends: tuple[str, str]) -> str:
+    """Text up to the first terminator, to the end, or to a final line break.
 
-    Runs without the terminator's first character are taken whole and nothing is
+    Runs without a terminator's first character are taken whole and nothing is
     ever given back, so the match is one fast forward walk.
     """
-    c = quote(first)
-    return rf"(?:[^{c}\n]++|\n(?!\z)|{c}(?!{rest}))*+"
+    firsts = "".join(quote(first) for first, _ in ends)
+    others = "".join(rf"|{quote(first)}(?!{rest})" for first, rest in ends)
+    return rf"(?:[^{firsts}\n]++|\n(?!\z){others})*+"
 
 
-def span_pattern(header: str, end: tuple[str, str], keep_end: bool) -> str:
+def span_pattern(header: str, end: tuple[str, str], keep_end: bool, *more: tuple[str, str]) -> str:
     r"""Gap, header and span in one match.
 
     ``\G`` ties each match to the one before: text after the last header is
     walked once and not tried again from every place.  ``keep_end`` takes the
-    terminator into the span.
+    terminator into the span.  ``more`` are further terminators, which start with
+    another character.
     """
     first, rest = _literal(header)
     c = quote(first)
+    ends = (end, *more)
     gap = rf"(?:[^{c}]++|{c}(?!{rest}))*+"
-    closing = f"(?:{quote(end[0])}{end[1]})?+" if keep_end else ""
-    return rf"\G{gap}{quote(header)}{_until(*end)}{closing}"
+    closing = f"(?:{'|'.join(quote(e) + r for e, r in ends)})?+" if keep_end else ""
+    return rf"\G{gap}{quote(header)}{_until(*ends)}{closing}"
 
 
 def template_pattern(template: str | Template, kind: str | None = None) -> tuple[str, str]:
     """``(header, pattern)`` for a template; ``kind`` overrides its own.
 
     ``general`` spans run up to and including the end-of-turn marker, ``round``
-    spans to the next round's user mark, ``pair`` spans to just before the next
+    spans to that marker or the next round's user mark, ``pair`` spans to just before the next
     user header, ``channels`` spans to just before the next user message.
     """
     t = get_template(template) if isinstance(template, str) else template
     if kind is None:
         kind = "channels" if t.parser_type == "openai-harmony" else t.pattern_type
     if kind == "round":
-        return t.assistant_header, span_pattern(t.assistant_header, ROUND_END, True)
+        # A text without round marks still ends its turns.
+        more = (_literal(t.end_of_turn),) if t.end_of_turn else ()
+        return t.assistant_header, span_pattern(t.assistant_header, ROUND_END, True, *more)
     if kind == "channels":
         return CHANNEL_HEADER, span_pattern(CHANNEL_HEADER, _literal(CHANNEL_USER), False)
     if kind == "pair":

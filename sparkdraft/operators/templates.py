@@ -26,6 +26,17 @@ class Template:
     system_header: str | None = None
     tool_header: str | None = None
     bos: str = ""
+    #: Where the native text differs from the headers that mark spans.
+    native_user: str | None = None
+    history_assistant: str | None = None
+    last_assistant: str | None = None
+    system_suffix: str = ""
+    #: Replies of tools share a user turn, each between these two marks.
+    tool_reply: tuple[str, str] | None = None
+    #: Calls of tools follow the content, each between these two marks.
+    tool_call: tuple[str, str] | None = None
+    #: Earlier answers are written without the thoughts before this mark.
+    thought_end: str | None = None
 
 
 # The markers below must be exactly what the models were trained on.
@@ -40,6 +51,12 @@ LONG_PROMPT = (
 )
 CHATML_SYSTEM = "<|im_start|>system\n"
 CHATML_TOOL = "<|im_start|>tool\n"
+CHATML_ASSISTANT = "<|im_start|>assistant\n"
+CHATML_REPLY = ("\n<tool_response>\n", "\n</tool_response>")
+CHATML_CALL = ("\n<tool_call>\n", "\n</tool_call>")
+THOUGHT_END = "</think>"
+KIMI_USER = "<|im_user|>user<|im_middle|>"
+DEEPSEEK_BOS = "<｜begin▁of▁sentence｜>"
 TEMPLATES: dict[str, Template] = {
     "llama3": Template(
         "<|start_header_id|>assistant<|end_header_id|>\n\n",
@@ -66,6 +83,8 @@ TEMPLATES: dict[str, Template] = {
         "<|im_end|>\n",
         system_header=CHATML_SYSTEM,
         tool_header=CHATML_TOOL,
+        tool_reply=CHATML_REPLY,
+        tool_call=CHATML_CALL,
     ),
     "qwen2-vl": Template(
         "<|im_start|>assistant\n",
@@ -74,6 +93,8 @@ TEMPLATES: dict[str, Template] = {
         "<|im_end|>\n",
         system_header=CHATML_SYSTEM,
         tool_header=CHATML_TOOL,
+        tool_reply=CHATML_REPLY,
+        tool_call=CHATML_CALL,
     ),
     "phi3": Template(
         "<|assistant|>\n",
@@ -118,6 +139,9 @@ TEMPLATES: dict[str, Template] = {
         enable_thinking=True,
         system_header=CHATML_SYSTEM,
         tool_header=CHATML_TOOL,
+        tool_reply=CHATML_REPLY,
+        tool_call=CHATML_CALL,
+        thought_end=THOUGHT_END,
     ),
     "qwen3-instruct": Template(
         "<|im_start|>assistant\n<think>\n\n</think>\n",
@@ -126,6 +150,11 @@ TEMPLATES: dict[str, Template] = {
         "<|im_end|>\n",
         system_header=CHATML_SYSTEM,
         tool_header=CHATML_TOOL,
+        tool_reply=CHATML_REPLY,
+        tool_call=CHATML_CALL,
+        history_assistant=CHATML_ASSISTANT,
+        last_assistant="<|im_start|>assistant\n<think>\n\n</think>\n\n",
+        thought_end=THOUGHT_END,
     ),
     "qwen3-next-thinking": Template(
         "<|im_start|>assistant\n<think>\n",
@@ -136,6 +165,10 @@ TEMPLATES: dict[str, Template] = {
         enable_thinking=True,
         system_header=CHATML_SYSTEM,
         tool_header=CHATML_TOOL,
+        tool_reply=CHATML_REPLY,
+        tool_call=CHATML_CALL,
+        history_assistant=CHATML_ASSISTANT,
+        thought_end=THOUGHT_END,
     ),
     "kimi-k2-thinking": Template(
         "<|im_assistant|>assistant<|im_middle|>",
@@ -146,6 +179,8 @@ TEMPLATES: dict[str, Template] = {
         enable_thinking=True,
         system_header="<|im_system|>system<|im_middle|>",
         tool_header="<|im_system|>tool<|im_middle|>",
+        native_user=KIMI_USER,
+        history_assistant="<|im_assistant|>assistant<|im_middle|><think></think>",
     ),
     "kimi-k2-instruct": Template(
         "<|im_assistant|>assistant<|im_middle|>",
@@ -154,9 +189,10 @@ TEMPLATES: dict[str, Template] = {
         "<|im_end|>",
         system_header="<|im_system|>system<|im_middle|>",
         tool_header="<|im_system|>tool<|im_middle|>",
+        native_user=KIMI_USER,
     ),
     "deepseek-v3": Template(
-        "<｜Assistant｜>", "<｜User｜>", DEFAULT_PROMPT, "<｜end▁of▁sentence｜>"
+        "<｜Assistant｜>", "<｜User｜>", DEFAULT_PROMPT, "<｜end▁of▁sentence｜>", bos=DEEPSEEK_BOS
     ),
     "ling-flash-2.0": Template(
         "<role>ASSISTANT</role>",
@@ -165,6 +201,7 @@ TEMPLATES: dict[str, Template] = {
         "<|role_end|>",
         system_header="<role>SYSTEM</role>",
         tool_header="<role>OBSERVATION</role>",
+        system_suffix="\ndetailed thinking off",
     ),
     "deepseek-v32": Template(
         "<｜Assistant｜>",
@@ -173,6 +210,7 @@ TEMPLATES: dict[str, Template] = {
         "<｜end▁of▁sentence｜>",
         parser_type="thinking",
         enable_thinking=True,
+        bos=DEEPSEEK_BOS,
     ),
     "gemma": Template(
         "<start_of_turn>model\n",

@@ -3,22 +3,19 @@
 No tokenizer file ships with the library, so the default cuts text losslessly
 with one regular expression and gives every piece an id from a fixed range by
 hashing.  The id space is bounded by construction, needs no vocabulary table,
-no join and no shuffle.  :func:`tokenizer_udf` plugs in a trained tokenizer.
+no join and no shuffle.  :func:`encode` gives ids from a vocabulary table instead,
+and the mask policies take offsets of any other tokenizer as columns.
 """
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sparkdraft.functions.hashing import leading_number
 from sparkdraft.functions.text import find_all
 
-#: Marker tokens, runs of up to 32 ASCII letters or digits, single characters.
-TOKEN = r"<\|[a-z_]{1,32}\|>|[0-9A-Za-z]{1,32}|[^0-9A-Za-z]"
+#: Marker tokens, runs of ASCII letters or digits, single characters.
+TOKEN = r"<\|[a-z_]+\|>|[0-9A-Za-z]+|[^0-9A-Za-z]"
 
 #: Default size of the target vocabulary.
 VOCAB_SIZE = 32768
@@ -48,6 +45,24 @@ def tokenize(
     return df.withColumn("pieces", found).withColumn("input_ids", token_ids(F.col("pieces"), vocab_size))
 
 
+def encode(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "pieces", unknown: int = 0) -> DataFrame:
+    """Add ``input_ids`` from a table ``token, token_id``; other tokens get ``unknown``.
+
+    ``key`` tells the rows apart.  Only distinct tokens meet the vocabulary: the
+    tokens of a row are reduced to distinct ones, looked up, and come back as one
+    map per row, so a common token costs a row one lookup however often it stands there.
+    """
+    distinct = df.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
+    found = (
+        distinct.join(vocab.select("token", F.col("token_id").cast("int").alias("token_id")), "token")
+        .groupBy(key)
+        .agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("_ids"))
+    )
+    joined = df.join(found, key, "left")
+    ids = F.transform(tokens, lambda t: F.coalesce(F.try_element_at("_ids", t), F.lit(unknown)))
+    return joined.withColumn("input_ids", ids).drop("_ids")
+
+
 def token_vocab(df: DataFrame, token: str = "token", size: int = VOCAB_SIZE) -> DataFrame:
     """The ``size`` most frequent tokens with dense ids (count down, token up).
 
@@ -64,38 +79,3 @@ def token_vocab(df: DataFrame, token: str = "token", size: int = VOCAB_SIZE) ->
     top = frequent.orderBy(F.desc("freq"), F.asc(token)).limit(size)
     rank = F.row_number().over(Window.orderBy(F.desc("freq"), F.asc(token)))
     return top.select(F.col(token), "freq", (rank - 1).cast("bigint").alias("token_id"))
-
-
-def tokenizer_udf(tokenizer_json: str):
-    """A pandas UDF ``text -> struct<input_ids, starts, ends>`` for a tokenizer.
-
-    ``tokenizer_json`` is the serialised tokenizer (the content of a
-    ``tokenizer.json``); each Python worker loads it once.
-    """
-    schema = T.StructType(
-        [
-            T.StructField("input_ids", T.ArrayType(T.IntegerType())),
-            T.StructField("starts", T.ArrayType(T.IntegerType())),
-            T.StructField("ends", T.ArrayType(T.IntegerType())),
-        ]
-    )
-
-    @F.pandas_udf(schema)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-        for texts in batches:
-            known = texts.fillna("").tolist()
-            done = tokenizer.encode_batch(known, add_special_tokens=False)
-            yield pd.DataFrame(
-                {
-                    "input_ids": [d.ids for d in done],
-                    "starts": [[s for s, _ in d.offsets] for d in done],
-                    "ends": [[e for _, e in d.offsets] for d in done],
-                }
-            )
-
-    return encode

@@ -32,6 +32,23 @@ def with_previous_role(turns: DataFrame, size: int = CHUNK) -> DataFrame:
     return framed.withColumn("prev_role", F.lag("role").over(before)).filter(F.col("chunk") == own)
 
 
+def with_neighbours(turns: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Add ``prev_role``, ``next_role`` and ``is_last``, over chunks with one turn more at either end."""
+    own = chunk_of(F.col("turn"), size)
+    place = F.pmod(F.col("turn"), F.lit(size))
+    homes = (
+        F.when(place == size - 1, F.array(own, own + 1)).when(place == 0, F.array(own, own - 1)).otherwise(F.array(own))
+    )
+    order = Window.partitionBy("conv_id", "_chunk").orderBy("turn")
+    framed = turns.withColumn("_chunk", F.explode(homes)).select(
+        "*",
+        F.lag("role").over(order).alias("prev_role"),
+        F.lead("role").over(order).alias("next_role"),
+        F.lead("turn").over(order).isNull().alias("is_last"),
+    )
+    return framed.filter(F.col("_chunk") == own).drop("_chunk")
+
+
 def breaks_order(role: Column, turn: Column, prev_role: Column) -> Column:
     """Whether a turn is where its conversation goes out of order.
 
@@ -39,11 +56,15 @@ def breaks_order(role: Column, turn: Column, prev_role: Column) -> Column:
     user; a tool turn follows an assistant or tool turn; an assistant turn
     follows a user or tool turn.  Other roles go unchecked.
     """
-    opening = ((turn == 0) & (role != "system")) | ((turn == 1) & (prev_role == "system"))
-    tool = (role == "tool") & ~prev_role.isin("assistant", "tool")
-    reply = (role == "assistant") & ~prev_role.isin("user", "tool")
+    before = F.coalesce(prev_role, F.lit(""))
+    opening = ((turn == 0) & ~role.eqNullSafe(F.lit("system"))) | ((turn == 1) & (before == "system"))
+    tool = (role == "tool") & ~before.isin("assistant", "tool")
+    reply = (role == "assistant") & ~before.isin("user", "tool")
     leading_system = (turn == 0) & (role == "system")
-    return F.when(leading_system, False).when(opening, role != "user").otherwise(tool | reply)
+    # A role that is null is nobody's: it opens no conversation and is nobody's answer.
+    return (
+        F.when(leading_system, False).when(opening, ~role.eqNullSafe(F.lit("user"))).otherwise(tool | reply)
+    )
 
 
 def invalid_json(text: Column) -> Column:
@@ -158,27 +179,35 @@ def explode_conversations(df: DataFrame, id: str = "id") -> DataFrame:
     ).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "m.role", F.col("m.content").alias("text"))
 
 
-def nest_turns(turns: DataFrame, max_turns: int) -> DataFrame:
-    """``conv_id, conversations`` from the first ``max_turns`` turns of each.
+def nest_turns(turns: DataFrame, max_tokens: int | None = None, size: int = CHUNK) -> DataFrame:
+    """``conv_id, conversations`` of exploded turns.
 
-    The bound is what makes the gathering safe.  A caller that cuts token
-    sequences at ``max_length`` passes ``max_length``: every rendered turn holds
-    at least one token, so later turns could not reach the result anyway.  Not
-    for work that looks at a conversation's end (last turn only, thinking
-    templates), nor for the fallback rendering, which gives tool turns no token.
+    A caller that cuts token sequences at ``max_tokens`` passes that number: a
+    user's or an assistant's turn is rendered to one token at least, so turns after
+    that many of them cannot reach the result, and are not gathered.  Turns of
+    other roles are not counted, as some templates write nothing for them.  The
+    cut is found from roles alone, per chunk and then per conversation; only
+    conversations that are cut meet it.  Not for work that looks at a
+    conversation's end (last turn only, thinking templates).
     """
+    rows = turns
+    if max_tokens is not None:
+        own = chunk_of(F.col("turn"), size)
+        chunks = turns.groupBy("conv_id", own.alias("_chunk")).agg(
+            F.count_if(F.col("role").isin("user", "assistant")).alias("_n")
+        )
+        before = Window.partitionBy("conv_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        full = (
+            chunks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+            .filter(F.col("_before") >= max_tokens)
+            .groupBy("conv_id")
+            .agg(F.min("_chunk").alias("_end"))
+        )
+        rows = turns.join(full, "conv_id", "left").filter(F.col("_end").isNull() | (own < F.col("_end"))).drop("_end")
     message = F.struct("turn", "role", F.col("text").alias("content"))
     # Rows are shuffled as they are: gathering before the shuffle saves nothing.
-    # A set number of partitions keeps the costly per-row work that follows spread;
-    # an input of fewer partitions than cores gets one partition per core.
-    spark = turns.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    small = turns.rdd.getNumPartitions() < cores
-    partitions = cores if small else int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
-        turns.filter(F.col("turn") < max_turns)
-        .repartition(partitions, "conv_id")
-        .groupBy("conv_id")
+        rows.groupBy("conv_id")
         .agg(F.array_sort(F.collect_list(message)).alias("_m"))
         .select(
             "conv_id",

@@ -124,14 +124,18 @@ def alternating_roles(t: Tables) -> DataFrame:
 # ----------------------------------------------------------------- rendering
 
 
-def native_sql(name: str, source: str) -> str:
-    x = get_template(name)
+def chatml_sql(source: str, last: str = "<|im_start|>assistant\n") -> str:
+    """Pieces of the ChatML layout, written out: replies of tools share a user turn."""
     return f"""
-    select conv_id, turn,
-           case role when 'user' then {lit(x.user_header)} when 'assistant' then {lit(x.assistant_header)}
-                     when 'system' then {lit(x.system_header)} when 'tool' then {lit(x.tool_header)} end
-           || text || {lit(x.end_of_turn)} as piece
-    from {source}
+    select conv_id, turn, case role
+             when 'user' then '<|im_start|>user\n' || text || '<|im_end|>\n'
+             when 'assistant' then case when e then '{last}' else '<|im_start|>assistant\n' end || text || '<|im_end|>\n'
+             when 'system' then '<|im_start|>system\n' || text || '<|im_end|>\n'
+             when 'tool' then case when p is distinct from 'tool' then '<|im_start|>user' else '' end
+                 || '\n<tool_response>\n' || text || '\n</tool_response>'
+                 || case when n is distinct from 'tool' then '<|im_end|>\n' else '' end end as piece
+    from (select *, lag(role) over w as p, lead(role) over w as n, lead(turn) over w is null as e
+          from {source} window w as (partition by conv_id order by turn))
     """
 
 
@@ -154,12 +158,36 @@ def valid_turns(t: Tables, template: str) -> DataFrame:
 
 @query(
     "render_chatml",
-    f"with {cut_sql('conversations')}, {with_prompt_sql(QWEN.system_prompt)} {native_sql('qwen', 'full_turns')}",
+    f"with {cut_sql('conversations')}, {with_prompt_sql('You are a helpful assistant.')} {chatml_sql('full_turns')}",
 )
 def render_chatml(t: Tables) -> DataFrame:
     return R.with_pieces(valid_turns(t, "qwen"), "qwen").select("conv_id", "turn", "piece")
 
 
+@query(
+    "render_tools",
+    f"""
+    with {MESSY_SQL}, said as (
+        select conv_id, turn, text, case when role = 'assistant' and turn = 0 then 'user' else role end as role,
+               case when role = 'assistant' and turn > 0 and (conv_id + turn) % 5 = 2 then true end as calls
+        from messy)
+    select conv_id, turn,
+           case when calls then replace(piece, '<|im_end|>', '\n<tool_call>\n{{"name": "f", "arguments": null}}\n</tool_call><|im_end|>')
+                else piece end as piece
+    from ({chatml_sql('said')}) join said using (conv_id, turn)
+    """,
+)
+def render_tools(t: Tables) -> DataFrame:
+    """Turns of tools, some next to each other, and answers that call one."""
+    turns = messy_turns(t.conversations)
+    first = (F.col("role") == "assistant") & (F.col("turn") == 0)
+    calls = F.when((F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 5 == 2), '[{"name":"f"}]')
+    said = turns.withColumn("tool_calls", F.when(~first, calls)).withColumn(
+        "role", F.when(first, "user").otherwise(F.col("role"))
+    )
+    return R.with_pieces(said, "qwen").select("conv_id", "turn", "piece")
+
+
 PHI3 = get_template("phi3")
 
 
@@ -179,16 +207,13 @@ def render_fallback(t: Tables) -> DataFrame:
     return R.with_pieces(TN.truncate_roles(turns), "phi3", "fallback").select("conv_id", "turn", "piece")
 
 
-NEXT = get_template("qwen3-next-thinking")
-
-
 @query(
     "render_thinking",
     f"""
-    with {cut_sql('conversations')}, {with_prompt_sql(NEXT.system_prompt)},
+    with {cut_sql('conversations')}, {with_prompt_sql('You are a helpful assistant.')},
     ends as (select conv_id, arg_max(role, turn) as last_role from full_turns group by conv_id),
     ready as (select f.* from full_turns f join ends using (conv_id) where last_role = 'assistant')
-    {native_sql('qwen3-next-thinking', 'ready')}
+    {chatml_sql('ready', '<|im_start|>assistant' + chr(10) + '<think>' + chr(10))}
     """,
 )
 def render_thinking(t: Tables) -> DataFrame:
@@ -607,8 +632,8 @@ def training_rows(t: Tables, template: str = "qwen") -> DataFrame:
 
 # Rows of the data set: id, toks (list), mask (0/1 string), both cut to length.
 DATASET_SQL = f"""
-    {cut_sql('conversations')}, {with_prompt_sql(QWEN.system_prompt)},
-    pieces as ({native_sql('qwen', 'full_turns')}),
+    {cut_sql('conversations')}, {with_prompt_sql('You are a helpful assistant.')},
+    pieces as ({chatml_sql('full_turns')}),
     rendered as (select conv_id as id, string_agg(piece, '' order by turn) as txt from pieces group by conv_id),
     {QWEN_SPANS_SQL}, {PREFIX_MASK_SQL},
     dataset as (select id as conv_id, toks[:{MAX_LENGTH}] as toks, substr(mask, 1, {MAX_LENGTH}) as mask from masked)

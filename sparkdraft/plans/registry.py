@@ -7,7 +7,6 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdraft.sources.files import fill_cores
 
 
 class Query(NamedTuple):
@@ -37,15 +36,23 @@ class Tables:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
+    def spread(self, df: DataFrame, *key: str) -> DataFrame:
+        """``df`` in as many partitions as ``sparkdraft.input.partitions`` says, where that is set.
+
+        For inputs of a few large row groups, which Spark cannot split, ahead of work
+        that is hard on each row.  Whoever runs the queries knows their files; the
+        setting is absent by default, and no plan depends on the size of the data.
+        """
+        wanted = self.spark.conf.get("sparkdraft.input.partitions", None)
+        return df if wanted is None else df.repartition(int(wanted), *key)
+
     @property
     def spread_documents(self) -> DataFrame:
-        """The documents over all cores, for queries that work hard on each text."""
-        return fill_cores(self.documents, "doc_id")
+        return self.spread(self.documents, "doc_id")
 
     @property
     def spread_conversations(self) -> DataFrame:
-        """The turns over all cores."""
-        return fill_cores(self.conversations, "conv_id", "turn")
+        return self.spread(self.conversations, "conv_id", "turn")
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

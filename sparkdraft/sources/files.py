@@ -44,16 +44,6 @@ def read_any(spark: SparkSession, path: str | list[str], schema: T.StructType |
     return reader.load(paths)
 
 
-def fill_cores(df: DataFrame, *key: str) -> DataFrame:
-    """Spread an input of fewer partitions than cores, for costly per-row work.
-
-    Large inputs have more partitions than cores and pass through unchanged.
-    ``key`` should tell the rows apart, so that none of the parts is large.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
-
-
 def merge_sources(sources: dict[str, DataFrame], name: str = "subset") -> DataFrame:
     """Concatenate tables, tagging every row with the source it came from."""
     if not sources:

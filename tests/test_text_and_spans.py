@@ -75,7 +75,18 @@ def chatml(conv, prompt):
     kept = in_order(conv)
     if conv[0]["role"] != "system":
         kept = say(("system", prompt)) + kept
-    return "".join(f"<|im_start|>{m['role']}\n{m['content']}<|im_end|>\n" for m in kept)
+    out = []
+    for i, m in enumerate(kept):
+        if m["role"] != "tool":
+            out.append(f"<|im_start|>{m['role']}\n{m['content']}<|im_end|>\n")
+            continue
+        # Replies of tools next to each other share one turn of the user.
+        if i == 0 or kept[i - 1]["role"] != "tool":
+            out.append("<|im_start|>user")
+        out.append(f"\n<tool_response>\n{m['content']}\n</tool_response>")
+        if i + 1 == len(kept) or kept[i + 1]["role"] != "tool":
+            out.append("<|im_end|>\n")
+    return "".join(out)
 
 
 def python_spans(text, header, end):
@@ -112,6 +123,69 @@ def test_render_native_matches_python(convs):
     assert {r.id: r.t for r in got} == {k: chatml(v, QWEN.system_prompt) for k, v in CONVERSATIONS.items()}
 
 
+SYSTEM = "You are a helpful assistant."
+OPEN = f"<|im_start|>system\n{SYSTEM}<|im_end|>\n<|im_start|>user\nQ1<|im_end|>\n<|im_start|>assistant\n"
+NEXT = "<|im_end|>\n<|im_start|>user\nQ2<|im_end|>\n<|im_start|>assistant\n"
+KIMI = (
+    f"<|im_system|>system<|im_middle|>{SYSTEM}<|im_end|><|im_user|>user<|im_middle|>Q1<|im_end|>"
+    "<|im_assistant|>assistant<|im_middle|>{0}A1<|im_end|><|im_user|>user<|im_middle|>Q2<|im_end|>"
+    "<|im_assistant|>assistant<|im_middle|>A2<|im_end|>"
+)
+DEEP = "<｜begin▁of▁sentence｜>{0}<｜User｜>Q1<｜Assistant｜>A1<｜end▁of▁sentence｜><｜User｜>Q2<｜Assistant｜>A2<｜end▁of▁sentence｜>"
+# Per template: the whole text of two rounds, and the texts under the mask.
+LAYOUTS = {
+    "qwen": (f"{OPEN}A1{NEXT}A2<|im_end|>\n", ["A1<|im_end|>\n", "A2<|im_end|>\n"]),
+    "qwen3-instruct": (f"{OPEN}A1{NEXT}<think>\n\n</think>\n\nA2<|im_end|>\n", ["\nA2<|im_end|>\n"]),
+    "qwen3-thinking": (f"{OPEN}A1{NEXT}A2<|im_end|>\n", ["A1<|im_end|>\n", "A2<|im_end|>\n"]),
+    "qwen3-next-thinking": (f"{OPEN}A1{NEXT}<think>\nA2<|im_end|>\n", ["A2<|im_end|>\n"]),
+    "kimi-k2-instruct": (KIMI.format(""), ["A1<|im_end|>", "A2<|im_end|>"]),
+    "kimi-k2-thinking": (KIMI.format("<think></think>"), ["<think></think>A1<|im_end|>", "A2<|im_end|>"]),
+    "deepseek-v3": (DEEP.format(SYSTEM), ["A1<｜end▁of▁sentence｜>", "A2<｜end▁of▁sentence｜>"]),
+    "deepseek-v32": (DEEP.format(""), ["A1<｜end▁of▁sentence｜>", "A2<｜end▁of▁sentence｜>"]),
+    "ling-flash-2.0": (
+        f"<role>SYSTEM</role>{SYSTEM}\ndetailed thinking off<|role_end|><role>HUMAN</role>Q1<|role_end|>"
+        "<role>ASSISTANT</role>A1<|role_end|><role>HUMAN</role>Q2<|role_end|><role>ASSISTANT</role>A2<|role_end|>",
+        ["A1<|role_end|>", "A2<|role_end|>"],
+    ),
+    "longcat": (f"{SYSTEM} USER:Q1 ASSISTANT:A1</longcat_s> USER:Q2 ASSISTANT:A2</longcat_s>", ["A1</longcat_s>", "A2</longcat_s>"]),
+}
+
+
+@pytest.mark.parametrize("template", list(LAYOUTS))
+def test_layouts_as_models_write_them(spark, template):
+    talk = say(("user", "Q1"), ("assistant", "A1"), ("user", "Q2"), ("assistant", "A2"))
+    rows = spark.createDataFrame([("x", talk)], SCHEMA)
+    text, masked = LAYOUTS[template]
+    assert rows.select(R.render(F.col("conversations"), template)).first()[0] == text
+    got = build_dataset(rows, template).first()
+    runs, inside = [], False
+    for piece, m in zip(got.pieces, got.loss_mask):
+        if m and not inside:
+            runs.append("")
+        if m:
+            runs[-1] += piece
+        inside = m
+    assert "".join(got.pieces) == text and runs == masked
+
+
+def test_thoughts_and_calls(spark):
+    kind = "id string, conversations array<struct<role:string, content:string, tool_calls:string>>"
+    talk = [
+        ("user", "Q1", None),
+        ("assistant", "<think>\nhm\n</think>\n\nA1", '[{"function": {"name": "f", "arguments": {"a": 1}}}, {"name": "g", "arguments": "{}"}]'),
+        ("tool", "T1", None),
+        ("tool", "T2", None),
+        ("assistant", "<think>\nso\n</think>\n\nA2", None),
+    ]
+    rows = spark.createDataFrame([("x", talk)], kind)
+    assert rows.select(R.render(F.col("conversations"), "qwen3-instruct", tool_calls=True)).first()[0] == (
+        f"{OPEN}A1\n<tool_call>\n"
+        '{"name": "f", "arguments": {"a":1}}\n</tool_call>\n<tool_call>\n{"name": "g", "arguments": {}}\n</tool_call>'
+        "<|im_end|>\n<|im_start|>user\n<tool_response>\nT1\n</tool_response>\n<tool_response>\nT2\n</tool_response>"
+        "<|im_end|>\n<|im_start|>assistant\n<think>\nso\n</think>\n\nA2<|im_end|>\n"
+    )
+
+
 def test_render_fallback_skips_tool_turns(convs):
     t = get_template("phi3")
     got = {r.id: r.t for r in convs.select("id", R.render(F.col("conversations"), "phi3", "fallback").alias("t")).collect()}
@@ -214,7 +288,9 @@ def test_spans_match_python_on_random_texts(spark, name):
         "a", " b", "\n", "é", "🌞", "[Round 3] USER:", "[Round x] USER:", "<", "|", "$1",
     ]
     texts = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(300)]
-    end = r"\[Round \d+\] USER:" if t.pattern_type == "round" else re.escape(t.end_of_turn)
+    end = re.escape(t.end_of_turn)
+    if t.pattern_type == "round":
+        end = rf"(?:\[Round \d+\] USER:|{end})"
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     spanned = SP.assistant_spans(rows, "text", name)
     parts = SP.segments(F.col("text"), SP.span_parts(F.col("text"), name), t.assistant_header)
@@ -319,16 +395,25 @@ def test_tokens_rejoin_and_fit_the_vocabulary(spark):
         assert all(0 <= i < 100 for i in r.input_ids)
 
 
-def test_tokenizer_udf(spark):
-    tokenizers = pytest.importorskip("tokenizers")
-    model = tokenizers.models.WordLevel({"[UNK]": 0, "hello": 1, "world": 2}, unk_token="[UNK]")
-    tok = tokenizers.Tokenizer(model)
-    tok.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
-    encode = TK.tokenizer_udf(tok.to_str())
-    rows = spark.createDataFrame([("hello big world",), ("",)], "t string")
-    a, b = rows.select(encode("t").alias("e")).collect()
-    assert list(a.e.input_ids) == [1, 0, 2] and list(a.e.starts) == [0, 6, 10] and list(a.e.ends) == [5, 9, 15]
-    assert list(b.e.input_ids) == []
+def test_encode_by_vocabulary(spark):
+    rows = TK.tokenize(spark.createDataFrame([(1, "a b a"), (2, ""), (3, "c")], "id int, text string")).drop("input_ids")
+    vocab = spark.createDataFrame([("a", 5), (" ", 7), ("z", 9)], "token string, token_id bigint")
+    got = {r.id: list(r.input_ids) for r in TK.encode(rows, vocab, "id").collect()}
+    assert got == {1: [5, 7, 0, 7, 5], 2: [], 3: [0]}
+
+
+def test_nesting_drops_only_what_cannot_be_reached(spark):
+    """Turns of other roles are not counted against the limit."""
+    roles = ["user", "assistant"]
+    talk = [("a", i, "other" if i < 3000 else roles[i % 2], f"t{i}") for i in range(9000)]
+    talk += [("b", i, roles[i % 2], f"t{i}") for i in range(10)]
+    df = spark.createDataFrame(talk, "conv_id string, turn bigint, role string, text string")
+    got = {r.conv_id: [m.content for m in r.conversations] for r in TN.nest_turns(df, 100).collect()}
+    assert got["b"] == [f"t{i}" for i in range(10)]
+    assert got["a"] == [f"t{i}" for i in range(len(got["a"]))]
+    assert 3100 <= len(got["a"]) <= 3100 + 2 * 512
+    whole = {r.conv_id: len(r.conversations) for r in TN.nest_turns(df).collect()}
+    assert whole == {"a": 9000, "b": 10}
 
 
 def test_template_registry(spark):
