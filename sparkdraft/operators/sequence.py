@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkdraft.functions.arrays import pad_right, shift, window_of, zero_last
-from sparkdraft.functions.hashing import mix32
+from sparkdraft.functions.hashing import leading_number, mix32, seeded_hex
 from sparkdraft.functions.rows import evaluate_once, explode_rows
 
 
@@ -166,12 +166,16 @@ def sample_anchors(
         most = count
     else:
         raise ValueError(f"unknown cap {cap!r}")
-    limited = evaluate_once(found.withColumn("_n", F.least(F.lit(n), most - 1))).filter("_n > 0")
+    # One digest of seed and key per row, whatever the key's type; positions are mixed with it.
+    start = leading_number(seeded_hex(seed, F.col(key)), 8)
+    limited = evaluate_once(
+        found.withColumn("_n", F.least(F.lit(n), most - 1)).withColumn("_start", start)
+    ).filter("_n > 0")
     ranked = F.array_sort(
         F.transform(
             "_valid",
             lambda p: F.struct(
-                mix32(p.cast("bigint") + 1 + F.col(key).cast("bigint") * 40503 + seed).alias("h"), p.alias("p")
+                mix32(((p.cast("bigint") + 1) * 40503).bitwiseXOR(F.col("_start"))).alias("h"), p.alias("p")
             ),
         )
     )
@@ -180,7 +184,7 @@ def sample_anchors(
     return (
         picked.withColumn("anchors", pad_right(F.col("_a"), F.col("_n"), F.lit(0)))
         .withColumn("keep", pad_right(F.array_repeat(F.lit(1), F.size("_a")), F.col("_n"), F.lit(0)))
-        .drop("_valid", "_n", "_a")
+        .drop("_valid", "_n", "_a", "_start")
     )
 
 

@@ -199,14 +199,15 @@ def lookahead_steps(t: Tables) -> DataFrame:
 BLOCK, ANCHORS, MASK_ID = 8, 16, 99
 MIX_SQL = """
     hashed as (
-        select *, ((p + 1 + sample * 40503 + 42) & 2147483647) * 2654435761 & 4294967295 as h1 from candidates),
+        select *, (xor((p + 1) * 40503, start) & 2147483647) * 2654435761 & 4294967295 as h1 from candidates),
     mixed as (select *, (xor(h1 >> 16, h1) * 73244475) & 4294967295 as h2 from hashed),
     ranked as (select *, xor(h2 >> 16, h2) as h from mixed)
 """
 ANCHOR_SQL = f"""
     {SEQ_SQL},
     candidates as (
-        select sample, p, count(*) over (partition by sample) as n_valid
+        select sample, p, count(*) over (partition by sample) as n_valid,
+               cast('0x' || substr(md5('42|' || sample), 1, 8) as bigint) as start
         from seqs, unnest(range(0, greatest(len(ids) - {BLOCK}, 0) + 1)) as u(p) where mask[p + 1] = 1),
     {MIX_SQL},
     picked as (
@@ -235,6 +236,35 @@ def anchor_sample(t: Tables) -> DataFrame:
     )
 
 
+def _keyed_sql(key: str) -> str:
+    """The same choice for another key of the rows."""
+    return ANCHOR_SQL.replace("md5('42|' || sample)", f"md5('42|' || {key})")
+
+
+@query(
+    "anchor_text_key",
+    f"""
+    with {_keyed_sql("md5(cast(sample as varchar))")}
+    select sample, array_to_string(anchors, ',') as anchors from anchored
+    """,
+)
+def anchor_text_key(t: Tables) -> DataFrame:
+    rows = word_sequences(t.spread_documents).withColumn("key", F.md5(F.col("sample").cast("string")))
+    return SQ.sample_anchors(rows, BLOCK, ANCHORS, "key").select("sample", F.array_join("anchors", ",").alias("anchors"))
+
+
+@query(
+    "anchor_large_key",
+    f"""
+    with {_keyed_sql("(sample + 4000000000000000000)")}
+    select sample, array_to_string(anchors, ',') as anchors from anchored
+    """,
+)
+def anchor_large_key(t: Tables) -> DataFrame:
+    rows = word_sequences(t.spread_documents).withColumn("key", F.col("sample") + 4_000_000_000_000_000_000)
+    return SQ.sample_anchors(rows, BLOCK, ANCHORS, "key").select("sample", F.array_join("anchors", ",").alias("anchors"))
+
+
 @query(
     "block_noise",
     f"""

@@ -197,3 +197,13 @@ def test_coverage_without_tokens(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert tuple(V.coverage(V.token_frequency(empty), 3).first()) == (0, 0, 0.0)
     assert V.draft_vocab(V.token_frequency(empty), 3).count() == 3
+
+
+def test_anchor_seeds_are_independent(spark):
+    rows = spark.createDataFrame([("a", [1] * 400, list(range(400)))], "id string, loss_mask array<int>, input_ids array<int>")
+    picks = [set(SQ.sample_anchors(rows, 4, 60, "id", seed=s).first().anchors) for s in (42, 43, 44)]
+    for first in picks:
+        for second in picks:
+            if first is not second:
+                # Some 9 of 60 coincide by chance; a shifted copy would share nearly all.
+                assert max(len({x + d for x in first} & second) for d in range(-20, 21)) < 35
