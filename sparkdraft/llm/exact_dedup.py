@@ -148,7 +148,8 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """``docs``, all columns, without the rows that :func:`exact_dedup` drops."""
     marked = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("kept_row"))
     dropped = exact_dedup(docs, key, text).filter(~F.col("kept")).select("row")
-    return marked.join(stored(dropped, "dropped"), "row", "left_anti").select("kept_row.*")
+    # The list grows with the corpus: merged at every size, never broadcast.
+    return marked.join(stored(dropped, "dropped").hint("merge"), "row", "left_anti").select("kept_row.*")
 
 
 @query(

@@ -115,13 +115,13 @@ def blocks_of(html: str) -> list[Block]:
         links[:] = [0, 0]
         in_link = False
 
-    at, size = 0, len(html)
+    at, size, last_tag = 0, len(html), html.rfind(">")
     while at < size:
         piece = _PIECE.match(html, at)
-        if piece is None:  # an unclosed tag at the end of the page
-            break
-        at = piece.end()
         text = piece["text"]
+        if text == "<" and at > last_tag and html[at + 1 : at + 2].isalpha():
+            break  # an unclosed tag at the end of the page
+        at = piece.end()
         if text is not None:
             if not (skip or stack and stack[-1].left_out):
                 text = unescape(text)
@@ -253,9 +253,9 @@ def labels_of(blocks: list[Block]) -> list[int]:
         elif place - left > right - place:
             out[i] = labels[chosen[right]]
         else:
-            out[i] = GOOD if has_article and GOOD in (labels[chosen[left]], labels[chosen[right]]) else min(
-                labels[chosen[left]], labels[chosen[right]]
-            )
+            # As near to one as to the other: a block without a link is text.
+            same = labels[chosen[left]] == labels[chosen[right]]
+            out[i] = labels[chosen[left]] if same else (BAD if blocks[i].n_links else GOOD)
     return out
 
 

@@ -231,7 +231,7 @@ def write_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
         mix_sources(docs, key, text, source, **options).filter("taken > 0").select("row", "size", "taken", "shards"),
         "chosen",
     )
-    uses = marked.join(chosen, "row").select(
+    uses = marked.join(chosen.hint("merge"), "row").select(
         "row",
         "mixed",
         "size",

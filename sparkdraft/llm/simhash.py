@@ -267,7 +267,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     """``docs``, all columns, with one row of each component: that with the smallest id."""
     marked = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("kept_row"))
     dropped = near_duplicates(docs, key, text, shingle).filter("row <> first_row").select("row")
-    return marked.join(stored(dropped, "dropped"), "row", "left_anti").select("kept_row.*")
+    # The list grows with the corpus: merged at every size, never broadcast.
+    return marked.join(stored(dropped, "dropped").hint("merge"), "row", "left_anti").select("kept_row.*")
 
 
 @query("op10_simhash_near_dedup")
