@@ -12,6 +12,7 @@ from sparkdraft.functions.hashing import leading_number, seeded_hex
 from sparkdraft.functions.rows import evaluate_once
 from sparkdraft.functions.text import strip
 from sparkdraft.operators.sampling import cap_per_group, head_sample
+from sparkdraft.sources.files import check_subsets
 
 # Wording of the prompts.
 LETTERS = ("A", "B", "C", "D")
@@ -235,15 +236,30 @@ def register_benchmark(name: str, benchmark: Benchmark, override: bool = False)
     BENCHMARKS[name] = benchmark
 
 
-def build_prompts(df: DataFrame, bench: str, idx: str = "q_idx", num_samples: int | None = None) -> DataFrame:
+def build_prompts(
+    df: DataFrame,
+    bench: str,
+    idx: str = "q_idx",
+    num_samples: int | None = None,
+    subsets: list[str] | None = None,
+    known: list[str] | None = None,
+) -> DataFrame:
     """``bench, [subset,] q_idx, question, label`` of a named benchmark.
 
+    ``subsets`` keeps the rows of these subsets; one that is not among ``known``
+    is refused, as are subsets of a table that has none.
     ``num_samples`` keeps the first questions, per subset where the benchmark
     says so; the cut comes before the prompts are written.
     """
     if bench not in BENCHMARKS:
         raise ValueError(f"unknown benchmark {bench!r}; known: {sorted(BENCHMARKS)}")
     spec = BENCHMARKS[bench]
+    if subsets is not None:
+        if "subset" not in df.columns:
+            raise ValueError(f"benchmark {bench!r} has no subsets here")
+        if known is not None:
+            check_subsets(subsets, known)
+        df = df.filter(F.col("subset").isin(*subsets))
     rows = spec.build(df, idx)
     if num_samples is not None:
         if spec.cap == "position":

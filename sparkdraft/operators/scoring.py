@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkdraft.functions.answers import extract_answer
 from sparkdraft.functions.text import strip
+from sparkdraft.operators.prompts import BENCHMARKS
 
 # Tolerance of numeric comparison, and what Python reads as a number.
 TOLERANCE = 1e-6
@@ -86,6 +88,42 @@ def run_metrics(
     return sums.withColumn("output_throughput", throughput).withColumn("accept_length", accepted).drop("_v")
 
 
+def score_benchmark(questions: DataFrame, outputs: DataFrame, bench: str, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """One row per run: questions joined to outputs, answers extracted, judged and summed.
+
+    ``questions`` come from ``build_prompts``; ``outputs`` have ``by``, ``q_idx``,
+    ``answer_key``, ``output``, ``completion_tokens``, ``verify_ct`` and
+    ``latency``, one row per question and answer key.  Extractor, rule and keys are
+    those of the benchmark; ``accuracy`` is null where it has no rule.  Tokens are
+    summed over all keys, answers judged under the first one.
+    """
+    if bench not in BENCHMARKS:
+        raise ValueError(f"unknown benchmark {bench!r}; known: {sorted(BENCHMARKS)}")
+    spec = BENCHMARKS[bench]
+    keys = [c for c in ("subset", "q_idx") if c in questions.columns and c in outputs.columns]
+    known = outputs.filter(F.col("answer_key").isin(*spec.answer_keys)).join(questions.select(*keys, "label"), keys)
+    speed = run_metrics(known, by)
+    pred = extract_answer(F.col("output"), spec.extractor)
+    judged = known.filter(F.col("answer_key") == spec.answer_keys[0]).withColumn("pred", pred)
+    counts = accuracy(judged, spec.accuracy or "exact", by=by)
+    total = judged.groupBy(*by).agg(F.count("*").alias("num_questions"))
+    ratio = F.col("accuracy").cast("double") if spec.accuracy else F.lit(None).cast("double")
+    return (
+        speed.join(counts.select(*by, "valid", ratio.alias("accuracy")), list(by))
+        .join(total, list(by))
+        .select(
+            F.lit(bench).alias("bench"),
+            *by,
+            "latency",
+            "output_throughput",
+            "accept_length",
+            "accuracy",
+            "num_questions",
+            F.col("valid").alias("num_valid_predictions"),
+        )
+    )
+
+
 def average_runs(runs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Mean of each metric over the runs; accuracy over those that have one."""
     names = ("latency", "output_throughput", "accept_length", "accuracy")

@@ -4,10 +4,10 @@ All of it is per row: arrays in, arrays out, no shuffle.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkdraft.functions.arrays import shift
 from sparkdraft.functions.rows import explode_rows
@@ -96,16 +96,38 @@ def span_parts(text: Column, template: str | Template, kind: str | None = None)
     return F.transform(find_all(text, pattern), divide)
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a list array in one piece, and each row's length; a null row has none."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths
+
+
+def _listed(values: np.ndarray, lengths: np.ndarray, like: pa.Array) -> pa.Array:
+    """Rows of the given lengths again, null where ``like`` is."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+    mask = like.is_null() if like.null_count else None
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()), mask=mask)
+
+
+def _sums_before(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Within each row, the sum of the elements before a place: one running sum over all."""
+    before = np.cumsum(values) - values
+    starts = np.cumsum(lengths) - lengths
+    base = before[np.minimum(starts, max(len(before) - 1, 0))] if len(before) else np.zeros(len(starts), np.int64)
+    return before - np.repeat(base, lengths)
+
+
 def prefix_sums(array: Column) -> Column:
     """The sum of the elements before each place.
 
-    Spark has no running sum over an array in linear time; this is one.  The
-    function is a closure, so it travels to the workers by value.
+    Spark has no running sum over an array in linear time; this is one, over a
+    whole batch of rows at a time.
     """
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def sums(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: np.concatenate(([0], np.cumsum(a)[:-1])).astype(np.int32) if len(a) else a)
+    @F.arrow_udf("array<int>")
+    def sums(lists: pa.Array) -> pa.Array:
+        values, lengths = _flat(lists)
+        return _listed(_sums_before(values, lengths), lengths, lists)
 
     return sums(array)
 
@@ -193,27 +215,48 @@ def masked_tokens(
     )
 
 
-def _offset_mask(contained: bool, closed_end: bool):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def mask(lengths: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        out = []
-        for widths, first, last in zip(lengths, starts, ends):
-            stop = np.cumsum(widths)
-            start = stop - widths
-            if not len(first):
-                out.append(np.zeros(len(stop), np.int32))
-                continue
-            # Spans are disjoint and ascending: one candidate per token decides.
-            if contained:
-                i = np.searchsorted(first, start, "right") - 1
-                hit = (i >= 0) & (stop <= last[i])
-            else:
-                i = np.searchsorted(first, stop, "left") - 1
-                hit = (i >= 0) & ((start <= last[i]) if closed_end else (start < last[i]))
-            out.append(hit.astype(np.int32))
-        return pd.Series(out)
-
-    return mask
+def _hits(
+    start: np.ndarray, stop: np.ndarray, n_tokens: np.ndarray, first: np.ndarray, last: np.ndarray,
+    n_spans: np.ndarray, contained: bool, closed_end: bool,
+) -> np.ndarray:
+    """Which tokens of all rows lie in a span of their own row.
+
+    Spans are disjoint and ascending: one candidate per token decides, and one
+    search finds it for all rows when places are counted on from row to row.
+    """
+    if not len(first):
+        return np.zeros(len(start), np.int32)
+    wide = int(max(stop.max(initial=0), last.max(initial=0))) + 2
+    row = np.repeat(np.arange(len(n_tokens)), n_tokens)
+    of = np.repeat(np.arange(len(n_spans)), n_spans)
+    places = of * wide + first
+    if contained:
+        i = np.searchsorted(places, row * wide + start, "right") - 1
+        inside = stop <= last[i]
+    else:
+        i = np.searchsorted(places, row * wide + stop, "left") - 1
+        inside = (start <= last[i]) if closed_end else (start < last[i])
+    return ((i >= 0) & (of[i] == row) & inside).astype(np.int32)
+
+
+def _checked(policy: str) -> bool:
+    if policy not in ("contained", "overlap"):
+        raise ValueError(f"unknown policy {policy!r}")
+    return policy == "contained"
+
+
+def offset_mask_at(starts: Column, ends: Column, spans: Column, policy: str, closed_end: bool = True) -> Column:
+    """:func:`offset_mask` for tokens given by character offsets, of any tokenizer."""
+    contained = _checked(policy)
+
+    @F.arrow_udf("array<int>")
+    def mask(starts: pa.Array, ends: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+        start, lengths = _flat(starts)
+        first, spans = _flat(firsts)
+        hit = _hits(start, _flat(ends)[0], lengths, first, _flat(lasts)[0], spans, contained, closed_end)
+        return _listed(hit, lengths, starts)
+
+    return mask(starts, ends, F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]))
 
 
 def offset_mask(token_texts: Column, spans: Column, policy: str, closed_end: bool = True) -> Column:
@@ -223,9 +266,16 @@ def offset_mask(token_texts: Column, spans: Column, policy: str, closed_end: boo
     character; with ``closed_end`` a token that starts right at a span's end
     counts too.
     """
-    if policy not in ("contained", "overlap"):
-        raise ValueError(f"unknown policy {policy!r}")
-    mask = _offset_mask(policy == "contained", closed_end)
+    contained = _checked(policy)
+
+    @F.arrow_udf("array<int>")
+    def mask(widths: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+        width, lengths = _flat(widths)
+        start = _sums_before(width, lengths)
+        first, spans = _flat(firsts)
+        hit = _hits(start, start + width, lengths, first, _flat(lasts)[0], spans, contained, closed_end)
+        return _listed(hit, lengths, widths)
+
     return mask(
         F.transform(token_texts, F.length),
         F.transform(spans, lambda s: s["start"]),

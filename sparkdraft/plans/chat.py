@@ -354,6 +354,26 @@ def token_vocab(t: Tables) -> DataFrame:
     return TK.token_vocab(tokens, size=5000)
 
 
+@query(
+    "encode_vocab",
+    f"""
+    with toks as (select conv_id, turn, regexp_extract_all(text, {TOKEN_SQL}) as toks from conversations),
+    flat as (select conv_id, turn, i, toks[i] as token from toks, unnest(range(1, len(toks) + 1)) as u(i)),
+    vocab as (
+        select token, row_number() over (order by n desc, token) - 1 as id
+        from (select token, count(*) as n from flat group by token order by n desc, token limit 500))
+    select conv_id, turn, md5(string_agg(coalesce(id, 500), ',' order by i)) as ids_md5
+    from flat left join vocab using (token) group by conv_id, turn
+    """,
+)
+def encode_vocab(t: Tables) -> DataFrame:
+    turns = t.spread_conversations.select("conv_id", "turn", TK.pieces(F.col("text")).alias("pieces"))
+    keyed = turns.filter(F.size("pieces") > 0).withColumn("key", F.struct("conv_id", "turn"))
+    vocab = TK.token_vocab(explode_rows(keyed, F.col("pieces"), item="token").select("token"), size=500)
+    ids = TK.encode(keyed, vocab, "key", unknown=500)
+    return ids.select("conv_id", "turn", digest(F.col("input_ids")).alias("ids_md5"))
+
+
 # --------------------------------------------------------------------- spans
 
 
@@ -593,6 +613,23 @@ def mask_contained(t: Tables) -> DataFrame:
     return mask_summary(spanned.withColumn("loss_mask", mask), "doc_id")
 
 
+@query(
+    "mask_from_offsets",
+    f"""
+    with {CHANNEL_TEXT_SQL}, {offset_mask_sql("t.s >= b.ss", "t.e <= b.se")} {MASK_COLUMNS_SQL}
+    """,
+)
+def mask_from_offsets(t: Tables) -> DataFrame:
+    """Tokens that come as offsets, as any tokenizer gives them."""
+    spanned = SP.assistant_spans(channel_texts(t), "text", "gpt-oss").withColumn("pieces", TK.pieces(F.col("text")))
+    widths = F.transform("pieces", F.length)
+    placed = spanned.withColumn("starts", SP.prefix_sums(widths)).withColumn(
+        "ends", F.zip_with("starts", widths, lambda s, w: s + w)
+    )
+    mask = SP.offset_mask_at(F.col("starts"), F.col("ends"), F.col("spans"), "contained")
+    return mask_summary(placed.withColumn("loss_mask", mask), "doc_id")
+
+
 @query(
     "span_range_join",
     f"""

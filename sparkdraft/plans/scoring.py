@@ -611,3 +611,113 @@ def bench_nest(t: Tables) -> DataFrame:
         "tokens",
     )
     return SC.nest_results(runs)
+
+
+# ------------------------------------------------------------ whole benchmarks
+
+# Predictions of each extractor in SQL: the tables before, and the one with ``pred``.
+PREDICTIONS = {
+    "last_integer": (f"{OUTPUTS_SQL}, {LAST_INT_SQL}", "last_int"),
+    "contest": (f"{OUTPUTS_SQL}, {CONTEST_SQL}", "contest"),
+    "boxed": (f"{OUTPUTS_SQL}, {BOXED_SQL}", "boxed"),
+    "marker": (
+        f"{OUTPUTS_SQL}, marked as (select *, case when contains(output, 'Answer: ') "
+        f"then trim(split_part(output, 'Answer: ', 2), {WS}) end as pred from outputs)",
+        "marked",
+    ),
+    "letter": (f"{OUTPUTS_SQL}, {LETTER_SQL}", "letters"),
+    "ranged_letter": (
+        rf"""{OUTPUTS_SQL}, ranged as (
+            select *, list_filter([
+                list_filter(regexp_extract_all(upper(output), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]'))[1],
+                nullif(regexp_extract(upper(output), '\(([A-Z])\)', 1), ''),
+                nullif(regexp_extract(upper(output), '\[([A-Z])\]', 1), ''),
+                nullif(regexp_extract(upper(output), 'ANSWER[：:]\s*([A-Z])', 1), '')],
+                lambda l: l is not null and l between 'A' and 'D')[1] as pred
+            from outputs)""",
+        "ranged",
+    ),
+    "as_is": (f"{OUTPUTS_SQL}, plain as (select *, output as pred from outputs)", "plain"),
+}
+LETTER_LABEL = "substr('ABCD', cast(q_idx % 4 as int) + 1, 1)"
+NUMBER_LABEL = "cast(q_idx % 1000 as varchar)"
+EXACT = "pred is not distinct from label"
+# Benchmark: extractor, label, rule, rows the rule judges.
+SCORED = {
+    "gsm8k": ("last_integer", NUMBER_LABEL, EXACT, "true"),
+    "aime": ("contest", NUMBER_LABEL, "trim(pred) = label or try_cast(trim(pred) as bigint) = cast(label as bigint)", "true"),
+    "math500": ("boxed", NUMBER_LABEL, "lower(pred) = label or abs(try_cast(pred as double) - cast(label as double)) < 1e-6", "true"),
+    "gpqa": ("marker", f"substr('ABCD', {PLACE_SQL.replace('doc_id', 'q_idx')} + 1, 1)", EXACT, "true"),
+    "mmlu": ("marker", LETTER_LABEL, EXACT, "true"),
+    "ceval": ("letter", LETTER_LABEL, EXACT, "pred is not null"),
+    "mmstar": ("ranged_letter", LETTER_LABEL, "upper(trim(pred)) = label", "true"),
+    "livecodebench": ("as_is", "null", None, "true"),
+    "financeqa": ("as_is", "null", None, "true"),
+    "simpleqa": ("as_is", "null", None, "true"),
+    "mtbench": ("as_is", "null", None, "true"),
+}
+
+
+ASKED = {
+    "aime": "Problem",
+    "gpqa": "Question",
+    "math500": "problem",
+    "simpleqa": "problem",
+    "livecodebench": "question_content",
+}
+
+
+def question_table(t: Tables, bench: str) -> DataFrame:
+    """A table with the columns that the benchmark asks for."""
+    doc = F.col("doc_id")
+    letter = F.substring(F.lit("ABCD"), (doc % 4 + 1).cast("int"), F.lit(1))
+    number = (doc % 1000).cast("string")
+    return t.documents.select(
+        doc.alias("q_idx"),
+        F.lit("Which?").alias(ASKED.get(bench, "question")),
+        F.lit("Since.").alias("context"),
+        F.array(F.lit("one"), F.lit("two")).alias("turns"),
+        F.array(*[F.lit(x) for x in ("k", "l", "m", "n")]).alias("choices"),
+        *[F.lit(f"w{i}").alias(f"Incorrect Answer {i}") for i in (1, 2, 3)],
+        F.lit("c").alias("Correct Answer"),
+        letter.alias("letter"),
+        number.alias("number"),
+    )
+
+
+def score_query(bench: str):
+    extractor, label, rule, judged = SCORED[bench]
+    tables, predicted = PREDICTIONS[extractor]
+    ratio = f"sum(cast(coalesce({rule}, false) and {judged} as int)) / nullif(count(*) filter (where {judged}), 0)"
+    if bench == "ceval":
+        ratio = f"coalesce({ratio}, 0)"
+    sql = f"""
+        with {tables}, labelled as (select *, {label} as label from {predicted})
+        select '{bench}' as bench, source as run, cast(1.5 as double) as latency,
+               sum(q_idx % 50 + 1) / 1.5 as output_throughput,
+               sum(q_idx % 50 + 1) / sum(q_idx % 7 + 1) as accept_length,
+               {f'cast({ratio} as double)' if rule else 'cast(null as double)'} as accuracy,
+               count(*) as num_questions, count(pred) as num_valid_predictions
+        from labelled group by source
+    """
+
+    def run(t: Tables) -> DataFrame:
+        raw = question_table(t, bench)
+        answer = {"mmlu": (F.col("q_idx") % 4), "gsm8k": F.col("number"), "math500": F.col("number"), "aime": F.col("number")}
+        raw = raw.withColumn("answer", answer.get(bench, F.col("letter")))
+        given = outputs(t).select(
+            "q_idx",
+            F.col("source").alias("run"),
+            "output",
+            F.lit(P.BENCHMARKS[bench].answer_keys[0]).alias("answer_key"),
+            (F.col("q_idx") % 50 + 1).alias("completion_tokens"),
+            (F.col("q_idx") % 7 + 1).alias("verify_ct"),
+            F.lit(1.5).cast("double").alias("latency"),
+        )
+        return SC.score_benchmark(P.build_prompts(raw, bench), given, bench)
+
+    query(f"score_{bench}", sql)(run)
+
+
+for _bench in SCORED:
+    score_query(_bench)
