@@ -13,7 +13,7 @@ from sparkdraft.plans.registry import Tables, query
 from sparkdraft.schemas import require_columns
 from sparkdraft.sources import files, jsonl
 from sparkdraft.sources import normalise as N
-from sparkdraft.sources.catalog import normalise_corpus
+from sparkdraft.sources.catalog import judge_corpus, normalise_corpus
 
 # A document's first line serves as the question, the rest as the answer.
 HEAD_SQL = "split_part(text, chr(10), 1)"
@@ -388,6 +388,67 @@ def corpus_catalog(t: Tables) -> DataFrame:
     )
 
 
+JUDGED_SQL = f"""
+    base as (select *, {HEAD_SQL} as head, {REST_SQL} as rest from documents),
+    judged as (
+        select 'ultrachat' as corpus, cast(doc_id as varchar) as id, 2 as messages, 0 as skipped,
+               case when doc_id % 5 = 0 then 'role other than user or assistant' end as reason from base
+        union all
+        select 'sharegpt', cast(doc_id as varchar), case when doc_id % 4 = 0 then 1 else 2 end,
+               case when doc_id % 4 = 0 then 1 else 0 end, null from base
+        union all
+        select 'allava4v', cast(doc_id as varchar), 2, 0, case when doc_id % 3 = 0 then 'image is missing' end from base
+        union all
+        select 'gsm8k', md5(head || rest), 2, 0, null from base)
+"""
+
+
+def judged_corpora(t: Tables) -> DataFrame:
+    """Four corpora with odd roles, unknown speakers and missing images among their rows."""
+    base = head_rest(t.spread_documents)
+    doc = F.col("doc_id")
+
+    def pair(name: str, who: Column, text: str, other: Column, said: str) -> Column:
+        return F.array(
+            F.struct(who.alias(name), F.col("head").alias(text)), F.struct(other.alias(name), F.col("rest").alias(said))
+        )
+
+    chat = pair("role", F.lit("user"), "content", F.when(doc % 5 == 0, "critic").otherwise("assistant"), "content")
+    said = pair("from", F.lit("human"), "value", F.when(doc % 4 == 0, "narrator").otherwise("gpt"), "value")
+    seen = pair("from", F.lit("human"), "value", F.lit("gpt"), "value")
+    image = F.concat(doc.cast("string"), F.lit(".png"))
+    present = t.documents.filter(doc % 3 != 0).select(F.concat(F.lit("images/"), image).alias("path"))
+    parts = [
+        judge_corpus("ultrachat", base.select(doc.alias("prompt_id"), chat.alias("messages"))),
+        judge_corpus("sharegpt", base.select(doc.alias("id"), said.alias("conversations"))),
+        judge_corpus(
+            "allava4v", base.select(doc.alias("id"), image.alias("image"), seen.alias("conversations")), present=present
+        ).drop("image"),
+        judge_corpus("gsm8k", base.select(F.col("head").alias("question"), F.col("rest").alias("answer"))),
+    ]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.union(part)
+    return merged
+
+
+@query("corpus_rejects", f"with {JUDGED_SQL} select corpus, id, reason from judged where reason is not null")
+def corpus_rejects(t: Tables) -> DataFrame:
+    return judged_corpora(t).filter("reason is not null").select("corpus", "id", "reason")
+
+
+@query(
+    "sink_summary",
+    f"""
+    with {JUDGED_SQL}
+    select corpus, reason, count(*) as rows, cast(sum(messages) as bigint) as kept, cast(sum(skipped) as bigint) as skipped
+    from judged group by corpus, reason
+    """,
+)
+def sink_summary(t: Tables) -> DataFrame:
+    return N.sink_summary(judged_corpora(t))
+
+
 @query("row_index", "select doc_id, cast(row_number() over (order by doc_id) - 1 as bigint) as idx from documents")
 def row_index(t: Tables) -> DataFrame:
     return with_row_index(t.documents.select("doc_id"), "doc_id", rows_per_bucket=500)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkdraft.operators.rowindex import with_row_index
 from sparkdraft.schemas import require_columns
@@ -50,12 +51,11 @@ def _sciq(df: DataFrame) -> DataFrame:
 
 
 def _messages(df: DataFrame) -> DataFrame:
-    good, _ = N.messages_to_conversation(df)
-    return good
+    return N.judged_messages(df)
 
 
 def _speakers(df: DataFrame) -> DataFrame:
-    return N.rolemap_conversation(df).drop("skipped")
+    return N.rolemap_conversation(df)
 
 
 def _uuid_speakers(df: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def _as_is(df: DataFrame) -> DataFrame:
 
 
 def _images(df: DataFrame) -> DataFrame:
-    return N.image_conversation(df, "images")
+    return N.judged_images(df, "images")
 
 
 # Corpus names, their columns and their subsets.
@@ -121,11 +121,19 @@ def register_corpus(name: str, spec: CorpusSpec, override: bool = False) -> None
     CATALOG[name] = spec
 
 
-def normalise_corpus(name: str, raw: DataFrame, position: str | None = None) -> DataFrame:
-    """Raw rows of a named corpus as conversations.
+def judge_corpus(
+    name: str,
+    raw: DataFrame,
+    position: str | None = None,
+    image_root: str = "images",
+    present: DataFrame | None = None,
+) -> DataFrame:
+    """All raw rows of a named corpus: ``corpus, id, [image,] conversations, skipped, reason``.
 
-    ``position`` names a unique numeric column that fixes the row order for
-    corpora whose id is the row number.
+    ``reason`` says why a row is rejected and is null for good rows; ``skipped``
+    counts messages left out.  ``position`` names a unique numeric column that
+    fixes the row order for corpora whose id is the row number.  ``present`` (one
+    column ``path``) lists the images that exist.
     """
     if name not in CATALOG:
         raise ValueError(f"unknown corpus {name!r}; known: {sorted(CATALOG)}")
@@ -135,7 +143,23 @@ def normalise_corpus(name: str, raw: DataFrame, position: str | None = None) ->
         if position is None:
             raise ValueError(f"corpus {name!r} numbers its rows and needs a position column")
         raw = with_row_index(raw, position, name="id")
-    return spec.adapter(raw)
+    rows = N.judged_images(raw, image_root, present) if spec.adapter is _images else spec.adapter(raw)
+    skipped = F.col("skipped") if "skipped" in rows.columns else F.lit(0)
+    reason = F.col("reason") if "reason" in rows.columns else F.lit(None)
+    image = ["image"] if "image" in rows.columns else []
+    return rows.select(
+        F.lit(name).alias("corpus"),
+        "id",
+        *image,
+        "conversations",
+        skipped.cast("bigint").alias("skipped"),
+        reason.cast("string").alias("reason"),
+    )
+
+
+def normalise_corpus(name: str, raw: DataFrame, position: str | None = None, **images) -> DataFrame:
+    """The good rows of :func:`judge_corpus` as conversations."""
+    return judge_corpus(name, raw, position, **images).filter("reason is null").drop("corpus", "skipped", "reason")
 
 
 def load_corpus(
@@ -144,11 +168,15 @@ def load_corpus(
     path: str | dict[str, str],
     subset: str = "all",
     position: str | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Read and normalise a corpus; a mapping ``subset -> path`` is concatenated."""
+    """Read and normalise a corpus; a mapping ``subset -> path`` is concatenated.
+
+    With a ``schema`` text formats are read once, without a scan to infer it.
+    """
     if isinstance(path, str):
-        raw = read_any(spark, path)
+        raw = read_any(spark, path, schema)
     else:
         wanted = list(path) if subset == "all" else check_subsets([subset], list(path))
-        raw = merge_sources({s: read_any(spark, path[s]) for s in wanted})
+        raw = merge_sources({s: read_any(spark, path[s], schema) for s in wanted})
     return normalise_corpus(name, raw, position)

@@ -46,19 +46,31 @@ def qa_to_conversation(
     )
 
 
-def messages_to_conversation(
-    df: DataFrame, id: str = "prompt_id", messages: str = "messages"
-) -> tuple[DataFrame, DataFrame]:
-    """``(good, rejects)``: rejects hold a role other than user or assistant."""
+# Why rows are rejected.
+ODD_ROLE = "role other than user or assistant"
+NO_IMAGE = "image is missing"
+
+
+def judged_messages(df: DataFrame, id: str = "prompt_id", messages: str = "messages") -> DataFrame:
+    """``id, conversations, skipped, reason``; the reason is null for good rows."""
     odd = F.exists(messages, lambda m: ~F.coalesce(m["role"].isin("user", "assistant"), F.lit(False)))
-    shaped = df.select(
+    return df.select(
         F.col(id).cast("string").alias("id"),
         F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias(
             "conversations"
         ),
-        odd.alias("_odd"),
+        F.lit(0).alias("skipped"),
+        F.when(odd, ODD_ROLE).alias("reason"),
     )
-    return shaped.filter(~F.col("_odd")).drop("_odd"), shaped.filter("_odd").drop("_odd")
+
+
+def messages_to_conversation(
+    df: DataFrame, id: str = "prompt_id", messages: str = "messages"
+) -> tuple[DataFrame, DataFrame]:
+    """``(good, rejects)``: rejects hold a role other than user or assistant."""
+    judged = judged_messages(df, id, messages)
+    columns = ("id", "conversations")
+    return judged.filter("reason is null").select(*columns), judged.filter("reason is not null").select(*columns)
 
 
 def role_lookup(role: Column, mapping: Mapping[str, str] = ROLE_MAP) -> Column:
@@ -103,16 +115,19 @@ def rolemap_turns(
     return turns.withColumn("role", role_lookup(F.col(role_field), role_map))
 
 
-def image_conversation(df: DataFrame, root: str, present: DataFrame | None = None) -> DataFrame:
-    """Role-mapped conversations with an image path below ``root``.
+def judged_images(df: DataFrame, root: str, present: DataFrame | None = None) -> DataFrame:
+    """``id, image, conversations, skipped, reason`` with an image path below ``root``.
 
     ``present`` (one column ``path``) lists the files that exist; rows whose
-    image is not among them are dropped.
+    image is not among them have a reason.
     """
     path = F.concat(F.lit(root.rstrip("/") + "/"), F.col("image"))
     rows = df.withColumn("image", path)
+    reason = F.lit(None).cast("string")
     if present is not None:
-        rows = rows.join(present.select(F.col("path").alias("image")), "image", "left_semi")
+        known = present.select(F.col("path").alias("image"), F.lit(True).alias("_there")).dropDuplicates(["image"])
+        rows = rows.join(known, "image", "left")
+        reason = F.when(F.col("_there").isNull(), NO_IMAGE)
     mapped = F.transform(
         "conversations",
         lambda m: F.struct(role_lookup(m["from"]).alias("role"), m["value"].alias("content")),
@@ -132,9 +147,15 @@ def image_conversation(df: DataFrame, root: str, present: DataFrame | None = Non
         "image",
         cleaned.alias("conversations"),
         (F.size("conversations") - F.size(kept)).alias("skipped"),
+        reason.alias("reason"),
     )
 
 
+def image_conversation(df: DataFrame, root: str, present: DataFrame | None = None) -> DataFrame:
+    """The good rows of :func:`judged_images`."""
+    return judged_images(df, root, present).filter("reason is null").drop("reason")
+
+
 def shuffled_choices(answers: list[Column], key: Column, seed: int = 0) -> Column:
     """The answers in an order that depends on the seed and the key alone."""
     ranked = F.array(
@@ -166,6 +187,19 @@ def mcq_to_conversation(
     return qa_to_conversation(staged, F.col("_user"), F.col("_reply"))
 
 
+def sink_summary(judged: DataFrame) -> DataFrame:
+    """One row per corpus and reason: rows, messages kept and messages skipped.
+
+    ``judged`` has ``corpus, conversations, skipped, reason``; the rows without a
+    reason are those a sink writes.
+    """
+    return judged.groupBy("corpus", "reason").agg(
+        F.count("*").alias("rows"),
+        F.sum(F.size("conversations")).cast("bigint").alias("kept"),
+        F.sum("skipped").cast("bigint").alias("skipped"),
+    )
+
+
 def skip_statistics(normalised: DataFrame) -> DataFrame:
     """One row: rows seen, messages kept and messages skipped."""
     return normalised.agg(
