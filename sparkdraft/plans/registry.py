@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkdraft.session import importable
 
 
 class Query(NamedTuple):
@@ -33,6 +34,7 @@ class Tables:
     """The input tables of one folder, read on demand."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        importable(spark)
         self.spark = spark
         self.folder = folder.rstrip("/")
 

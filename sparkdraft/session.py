@@ -24,7 +24,22 @@ def get_spark(app: str = "sparkdraft", master: str | None = None, **extra: str)
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    importable(spark)
+    return spark
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    For local sessions and shared installations; on a cluster without either, ship
+    the package with ``--py-files``.  A further place on the workers' path does no harm.
+    """
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    places = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in places:
+        environment["PYTHONPATH"] = os.pathsep.join([*places, here])
 
 
 def shared_folder(spark: SparkSession) -> str:
