@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdraft.llm.common import query
+from sparkdraft.session import importable
 
 # Element names, words of class and id attributes, stop words, thresholds.
 RAW = frozenset("script style noscript template iframe object textarea title svg canvas math audio video select".split())
@@ -278,6 +279,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     A null page is an empty one.  Null and repeated keys are kept as they are;
     other columns are not looked at.
     """
+    importable(pages.sparkSession)
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     return pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), main_text_column(body).alias("text"))
 

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from sparkdraft.functions.rows import evaluate_once
 from sparkdraft.llm.common import query, text_or_empty
+from sparkdraft.session import importable
 
 DIMENSIONS = 8192
 SAMPLE = 512
@@ -180,6 +181,7 @@ def fit(
     ``max_languages`` languages are refused.  Without a labelled row the model
     knows no language.
     """
+    importable(docs.sparkSession)
     labelled = docs.select(
         text_or_empty(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("id")
     ).filter("lang is not null and text <> ''")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdraft.llm.common import query, text_or_empty
+from sparkdraft.session import importable
 
 
 class Template(NamedTuple):
@@ -283,6 +284,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     Null and repeated keys are kept as they are; other columns are not looked at.
     Spans may overlap, as licences quote each other.
     """
+    importable(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), scan_column(text_or_empty(text), **options).alias("found"))
     return rows.select("doc_id", "found.n_words", "found.spans")
 

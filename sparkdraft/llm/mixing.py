@@ -10,14 +10,16 @@ distribution and every shard gets its whole number of blocks.  Only then are
 tickets exchanged for blocks: the quota of a shard from a source is a stretch of
 that source's permuted blocks, disjoint from those of all other shards.
 
-Blocks are at least ``block_words`` long and at most about ``max_blocks`` many:
-the tables of the tree are bounded whatever the size of the corpus, and only they
+Blocks are at least ``block_words`` long and at most about ``max_blocks`` many,
+and shards come with the words of the mix, up to a quarter of that number: the tables of the tree are bounded whatever the size of the corpus, and only they
 are broadcast.  The rows themselves meet their block in a map-side join and are
 shuffled once, to their shard.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,8 +30,10 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_PASSES = 2
 BLOCK_WORDS = 32_768
-MAX_BLOCKS = 16_384
-SHARDS = 16
+MAX_BLOCKS = 65_536
+#: Words in an output shard, about, and most shards; a shard is one task's work.
+SHARD_WORDS = 4_000_000
+MAX_SHARDS = 16_384
 SEED = 42
 
 
@@ -149,7 +153,7 @@ def mix_sources(
     weights: tuple[int, ...] = WEIGHTS,
     share: float = SHARE,
     most: int = MAX_PASSES,
-    shards: int = SHARDS,
+    shards: int | None = None,
     block_words: int = BLOCK_WORDS,
     max_blocks: int = MAX_BLOCKS,
     seed: int = SEED,
@@ -177,6 +181,9 @@ def mix_sources(
     )
     sums = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     targets = stored(source_targets(sums, weights, share, most), "targets")
+    if shards is None:
+        words = targets.agg(F.sum("target")).first()[0] or 0
+        shards = max(1, min(MAX_SHARDS, math.ceil(words / SHARD_WORDS)))
     whole = Window.partitionBy()
     per_block = F.greatest(F.lit(block_words), F.sum("source_size").over(whole) / max_blocks)
     counts = targets.select(

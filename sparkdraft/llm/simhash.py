@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkdraft.llm.common import query, stored, text_or_empty
 from sparkdraft.llm.components import connected_components
+from sparkdraft.session import importable
 
 SHINGLE = 3
 SEED = 42
@@ -194,6 +195,7 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK
     """``u, v``: links between distinct fingerprints ``fp`` that connect what is to be connected."""
     if threshold != THRESHOLD:
         raise ValueError("two stretches with anchors of radius one serve a threshold of three")
+    importable(prints.sparkSession)
     rows = anchored(prints)
     # Anchors with many at home: usually none, and at most a BLOCKth of all fingerprints.
     crowded = stored(
@@ -239,6 +241,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     ids last.  A null text counts as empty; texts without a word have fingerprint
     zero and link like any other.  Other columns are not looked at.
     """
+    importable(docs.sparkSession)
     rows = stored(
         docs.select(
             F.monotonically_increasing_id().alias("row"),

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sparkdraft.llm.common import query, stored
+from sparkdraft.session import importable
 
 MAX_INDEXED = 100_000
 
@@ -187,6 +188,7 @@ def judge_urls(
     """
     rules = list(rules)
     spark = pages.sparkSession
+    importable(spark)
     host, path = address_columns(F.col(url))
     addresses = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     table = spark.createDataFrame(
