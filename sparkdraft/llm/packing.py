@@ -10,9 +10,13 @@ sequences, so that a group leaves at most one sequence with padding.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdraft.llm.common import query, text_or_empty
+from sparkdraft.session import importable
 
 LENGTH = 4096
 END_ID = 2
@@ -28,17 +33,27 @@ SEED = 42
 #: Bytes of text in a group, about; a group's ids fit a task's memory several times.
 GROUP_BYTES = 8_000_000
 #: Words whose ids a task remembers, twice at most.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Rooms below this are left as padding rather than cutting a document for them.
 LEAST_CUT = 16
 
 
+#: Words looked up at a time, about.
+_WORDS = 600_000
+
+#: Marks that no contraction begins with, and letters of ASCII and Latin-1, each one code point in both cases.
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word, from a tokenizer whose tokens never span white space.
 
     Each distinct word (a run between the six ASCII white space characters) goes
     through the tokenizer once as long as it is remembered: the words of the
-    last generation and those of the one before that were used again.
+    last generation and those of the one before that were used again.  Where the
+    tokenizer lowers case and says which ids end a word, A-Z are lowered first, and
+    letters followed by punctuation are put together from the ids of both parts.
     """
 
     def __init__(self, definition: str, remembered: int = REMEMBERED):
@@ -49,36 +64,110 @@ class WordTokenizer:
         self.remembered = remembered
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        fresh = []
-        for word in words:
-            known = self.old.get(word)
-            if known is None:
-                fresh.append(word)
-            else:
-                self.young[word] = known
-        for start in range(0, len(fresh), 1000):
-            part = fresh[start : start + 1000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)
-            for word, encoding in zip(part, found):
-                self.young[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+        shape = json.loads(definition)
+        self.ends = self._word_ends(shape)
+        lower = any(n.get("type") == "Lowercase" for n in (shape.get("normalizer") or {}).get("normalizers", []))
+        self.splits = lower and self.ends is not None
+
+    @staticmethod
+    def _word_ends(shape: dict) -> np.ndarray | None:
+        """For each id, whether it ends a word; None where the vocabulary does not say."""
+        suffix = shape["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        vocabulary = shape["model"]["vocab"]
+        ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return ends
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Each word through the tokenizer on its own."""
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
+        return [np.array(encoding.ids, dtype="<u4").tobytes() for encoding in found]
+
+    def _letter_ids(self, words: list[bytes]) -> list[bytes]:
+        """The same for words of letters, many in one text: each ends in an id that ends a word."""
+        lines = [b" ".join(words[i : i + 200]).decode("utf-8") for i in range(0, len(words), 200)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.array([i for encoding in found for i in encoding.ids], dtype="<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(words):
+            return self._ids(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+    def _known(self, word: bytes) -> bytes | None:
+        found = self.young.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is not None:
+                self.young[word] = found
+        return found
+
+    def _learn(self, words: set[bytes], encode) -> None:
+        fresh = [w for w in words if self._known(w) is None]
+        self.young.update(zip(fresh, encode(fresh)))
+
+    def _ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct words."""
+        if len(self.young) > self.remembered:
+            self.old, self.young = self.young, {}
+        letters, others, split = set(), set(), []
+        # What the young ones know costs one look-up; set arithmetic finds the rest.
+        young = self.young
+        found = {w: young[w] for w in words & young.keys()}
+        for word in words - found.keys():
+            ids = self.old.get(word)
+            if ids is not None:
+                found[word] = young[word] = ids
+                continue
+            head = word.rstrip(_MARKS) if self.splits else b""
+            if not (head.isalpha() and head.islower() or _LETTERS.fullmatch(head)):
+                others.add(word)
+                continue
+            letters.add(head)
+            tail = word[len(head) :]
+            if tail:
+                others.add(tail)
+            split.append((word, head, tail))
+        plain = [w for w in others if w not in found]
+        self._learn(letters, self._letter_ids)
+        self._learn(others, self._ids)
+        for word, head, tail in split:
+            found[word] = young[head] + young[tail] if tail else young[head]
+        for word in plain:
+            found[word] = young[word]
+        return found
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        held: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            body = text.encode("utf-8")
+            # A special token in capitals is none.
+            if self.splits and b"<|" not in body:
+                body = body.lower()
+            held.append(body.split())
+            size += len(held[-1])
+            if size >= _WORDS:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        ids = self._ids_of(set(chain.from_iterable(texts)))
+        for words in texts:
+            yield b"".join(map(ids.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.encode("utf-8").split()
-        parts = []
-        for start in range(0, len(words), 10_000):
-            some = words[start : start + 10_000]
-            ids = list(map(self.young.get, some))
-            if None in ids:
-                if len(self.young) > self.remembered:
-                    self.old, self.young = self.young, {}
-                    ids = [None]
-                self._learn(list({w for w in some if w not in self.young}))
-                ids = list(map(self.young.get, some))
-            parts.append(b"".join(ids))
-        return b"".join(parts)
+        return next(self.encode_many([text]))
+
+
+@lru_cache(maxsize=1)
+def word_tokenizer(definition: str) -> WordTokenizer:
+    """One per worker process: what it remembers serves all its tasks."""
+    return WordTokenizer(definition)
 
 
 class TournamentTree:
@@ -179,7 +268,7 @@ def tokenised(docs: DataFrame, definition: str, key: str, text: str, length: int
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(definition)
+        tokenizer = word_tokenizer(definition)
         end = np.array([end_id], dtype="<u4").tobytes()
 
         def flush(out: list) -> pd.DataFrame:
@@ -187,8 +276,9 @@ def tokenised(docs: DataFrame, definition: str, key: str, text: str, length: int
 
         for batch in batches:
             out, held = [], 0
-            for row, doc_id, body in zip(batch["row"].tolist(), batch["doc_id"].tolist(), batch["text"]):
-                ids = tokenizer.encode(body) + end
+            encoded = tokenizer.encode_many(batch["text"].tolist())
+            for row, doc_id, ids in zip(batch["row"].tolist(), batch["doc_id"].tolist(), encoded):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     piece = ids[4 * start : 4 * (start + length)]
@@ -223,6 +313,7 @@ def pack_documents(
     sequence, where pieces follow each other without a gap.  Null and repeated keys
     are packed like any others, each row for itself.  Other columns are not looked at.
     """
+    importable(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = file.read()
     size = docs.agg(F.sum(F.octet_length(text_or_empty(text)).cast("bigint"))).first()[0] or 0
