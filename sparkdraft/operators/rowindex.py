@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Upper bound on buckets, and so on rows of the broadcast offset table.
-MAX_BUCKETS = 4096
-_FANOUT = 64
+MAX_BUCKETS = 32_768
+_FANOUT = 181
 
 #: Positions per chunk when a group is cut along its own order.
 CHUNK = 512
@@ -70,31 +70,36 @@ def with_row_index(
 
 
 def running_totals(
-    df: DataFrame, key: str, position: str, values: dict[str, Column], size: int = CHUNK
+    df: DataFrame, key: str, position: str, values: dict[str, Column], size: int = CHUNK, levels: int = 2
 ) -> DataFrame:
     """Sums over the earlier positions of the same key, one column per value.
 
     The group is cut into chunks of ``size`` positions: totals run inside a
-    chunk, and the chunk sums (one row each) run along the group.  A key with a
-    third of all rows is thus spread over as many tasks as it has chunks.
-    ``position`` is an integer, unique within the key.
+    chunk, and the chunk sums (one row each) run along the group, themselves cut
+    into chunks while ``levels`` last.  A key with a third of all rows is thus
+    spread over as many tasks as it has chunks, and its last window holds one row
+    per ``size ** levels`` positions.  ``position`` is an integer, unique within
+    the key.
     """
-    temp = {name: f"_v{i}" for i, name in enumerate(values)}
-    rows = df.withColumn("_chunk", F.floor(F.col(position) / size))
+    chunk = f"_chunk{levels}"
+    temp = {name: f"_v{levels}_{i}" for i, name in enumerate(values)}
+    rows = df.withColumn(chunk, F.floor(F.col(position) / size))
     for name, value in values.items():
         rows = rows.withColumn(temp[name], value)
-    inside = (
-        Window.partitionBy(key, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    along = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(key, "_chunk").agg(*[F.sum(t).alias(t) for t in temp.values()])
-    before = sums.select(
-        key, "_chunk", *[F.coalesce(F.sum(t).over(along), F.lit(0)).alias(t + "b") for t in temp.values()]
-    )
+    inside = Window.partitionBy(key, chunk).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(key, chunk).agg(*[F.sum(t).alias(t) for t in temp.values()])
+    if levels > 1:
+        totals = running_totals(sums, key, chunk, {t + "b": F.col(t) for t in temp.values()}, size, levels - 1)
+        before = totals.drop(*temp.values())
+    else:
+        along = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+        before = sums.select(
+            key, chunk, *[F.coalesce(F.sum(t).over(along), F.lit(0)).alias(t + "b") for t in temp.values()]
+        )
     local = rows.select(
         "*", *[F.coalesce(F.sum(t).over(inside), F.lit(0)).alias(t + "l") for t in temp.values()]
     )
-    joined = local.join(before, [key, "_chunk"])
+    joined = local.join(before, [key, chunk])
     return joined.select(
         *df.columns,
         *[(F.col(t + "b") + F.col(t + "l")).cast("bigint").alias(name) for name, t in temp.items()],

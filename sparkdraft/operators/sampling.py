@@ -61,6 +61,13 @@ def min_loss_filter(df: DataFrame, block_size: int, mask: str = "loss_mask") ->
     return df.filter(total(F.col(mask)) >= 2 * block_size)
 
 
+def min_loss_report(df: DataFrame, block_size: int, mask: str = "loss_mask") -> DataFrame:
+    """One row: rows before and after :func:`min_loss_filter`, and the share that stays."""
+    enough = total(F.col(mask)) >= 2 * block_size
+    counted = df.agg(F.count("*").alias("before"), F.count_if(enough).alias("after"))
+    return counted.withColumn("share", F.try_divide(F.col("after"), F.col("before")))
+
+
 def drop_empty(df: DataFrame, column: str = "conversations") -> DataFrame:
     """Rows whose conversation exists and is not empty."""
     return df.filter(F.size(column) > 0)

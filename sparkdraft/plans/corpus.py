@@ -583,3 +583,15 @@ SEQ_SQL = """
 def min_loss_filter(t: Tables) -> DataFrame:
     kept = S.min_loss_filter(word_sequences(t.spread_documents), block_size=16)
     return kept.select("sample", F.size("input_ids").alias("n"), S.total(F.col("loss_mask")).alias("loss_tokens"))
+
+
+@query(
+    "min_loss_report",
+    f"""
+    with {SEQ_SQL}, n as (
+        select count(*) as before, count(*) filter (where list_sum(mask) >= 32) as after from seqs)
+    select before, after, cast(after as double) / before as share from n
+    """,
+)
+def min_loss_report(t: Tables) -> DataFrame:
+    return S.min_loss_report(word_sequences(t.spread_documents), block_size=16)

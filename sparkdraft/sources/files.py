@@ -115,9 +115,21 @@ def write_samples(df: DataFrame, path: str, idx: str = "sample_idx", group_size:
     out.option("compression", "gzip" if gzip else "zstd").parquet(path)
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Stored samples; unreadable files are left out, never replaced by others."""
-    return spark.read.option("ignoreCorruptFiles", True).parquet(path)
+def read_samples(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Stored samples; unreadable files are left out, never replaced by others.
+
+    With a ``schema`` none is inferred, so the first file may be damaged too.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    return (reader if schema is None else reader.schema(schema)).parquet(path)
+
+
+def unreadable_samples(spark: SparkSession, path: str, schema: T.StructType | str, suffix: str = ".parquet") -> DataFrame:
+    """``path`` of the stored files that give :func:`read_samples` no row: damaged or empty ones."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    seen = read_samples(spark, path, schema).select(plain(F.col("_metadata.file_path")).alias("path")).distinct()
+    listed = list_files(spark, path, (suffix,)).select(plain(F.col("path")).alias("path"))
+    return listed.join(seen, "path", "left_anti")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -268,3 +268,20 @@ def test_metric_rows_leave_nulls_out(spark):
     assert sorted((r.step, r.name, r.value) for r in out.collect()) == [(1, "train/loss", 0.5), (2, "train/acc", 1.0), (2, "train/loss", 0.25)]
     stamp = spark.sql("select timestamp '2024-01-02 03:04:05' as t").select(files.result_name("x", F.col("t")))
     assert stamp.first()[0] == "x_results_20240102_030405"
+
+
+def test_damaged_samples_are_listed(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("sample_idx"), F.array(F.lit(1)).alias("input_ids"))
+    files.write_samples(rows, str(tmp_path / "s"), group_size=10)
+    kind = "sample_idx bigint, input_ids array<int>"
+    assert files.unreadable_samples(spark, str(tmp_path / "s"), kind).count() == 0
+    (tmp_path / "s" / "bucket=rows_0-10" / "broken.parquet").write_bytes(b"PAR1 not really")
+    (bad,) = files.unreadable_samples(spark, str(tmp_path / "s"), kind).collect()
+    assert bad.path.endswith("broken.parquet") and files.read_samples(spark, str(tmp_path / "s"), kind).count() == 40
+
+
+def test_running_totals_in_levels(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.floor(F.col("id") / 3).cast("bigint").alias("at"))
+    for levels in (1, 2, 3):
+        got = running_totals(rows, "k", "at", {"n": F.lit(1), "s": F.col("at")}, size=7, levels=levels).collect()
+        assert len(got) == 3000 and all(r.n == r["at"] and r.s == r["at"] * (r["at"] - 1) // 2 for r in got)
