@@ -251,6 +251,44 @@ def render_channels(t: Tables) -> DataFrame:
     return opened.select("conv_id", "turn", R.channel_piece(F.col("role"), F.col("text")).alias("piece"))
 
 
+@query(
+    "render_channels_nested",
+    """
+    with pieces as (
+        select conv_id, turn,
+               '<|start|>' || case role when 'assistant' then 'assistant<|channel|>' ||
+                   case turn % 3 when 0 then 'analysis' when 1 then 'final' else 'commentary' end else role end
+               || '<|message|>' || text || '<|end|>' as piece, turn = 0 and role = 'system' as own
+        from conversations)
+    select conv_id, md5(case when bool_or(own) then '' else
+               '<|start|>system<|message|>You are ChatGPT, a large language model trained by OpenAI.\nKnowledge cutoff: 2024-06\n'
+               || 'Current date: 2025-06-28\n\nReasoning: low\n\n# Valid channels: analysis, commentary, final. '
+               || 'Channel must be included for every message.<|end|>' end || string_agg(piece, '' order by turn)) as text_md5
+    from pieces group by conv_id
+    """,
+)
+def render_channels_nested(t: Tables) -> DataFrame:
+    """Whole conversations through the operator that writes them."""
+    nested = TN.nest_turns(channel_roles(t.conversations))
+    return nested.select("conv_id", F.md5(R.render_channels(F.col("conversations"))).alias("text_md5"))
+
+
+@query(
+    "render_thinking_nested",
+    f"""
+    with {cut_sql('conversations')}, {with_prompt_sql('You are a helpful assistant.')},
+    ends as (select conv_id, arg_max(role, turn) as last_role from full_turns group by conv_id),
+    ready as (select f.* from full_turns f join ends using (conv_id) where last_role = 'assistant'),
+    pieces as ({chatml_sql('ready', '<|im_start|>assistant' + chr(10) + '<think>' + chr(10))})
+    select conv_id, md5(string_agg(piece, '' order by turn)) as text_md5 from pieces group by conv_id
+    """,
+)
+def render_thinking_nested(t: Tables) -> DataFrame:
+    nested = TN.nest_turns(t.conversations)
+    text = R.render(F.col("conversations"), "qwen3-next-thinking")
+    return nested.select("conv_id", F.md5(text).alias("text_md5")).filter("text_md5 is not null")
+
+
 @query(
     "channel_split",
     f"""
@@ -287,16 +325,37 @@ def channel_split(t: Tables) -> DataFrame:
 
 
 GENERAL = {n: x for n, x in TEMPLATES.items() if x.parser_type != "openai-harmony"}
-TEMPLATE_VALUES_SQL = ", ".join(
-    f"({lit(n)}, {len(x.user_header)}, {len(x.assistant_header) + len(x.end_of_turn or '')})"
-    for n, x in GENERAL.items()
-)
+# What stands before a user's and around an assistant's text, typed in apart from the registry.
+WRITTEN_SQL = """
+    ('llama3', '<|start_header_id|>user<|end_header_id|>', '<|start_header_id|>assistant<|end_header_id|>__<|eot_id|>'),
+    ('llama4', '<|header_start|>user<|header_end|>', '<|header_start|>assistant<|header_end|>__<|eot|>'),
+    ('qwen', '<|im_start|>user_', '<|im_start|>assistant_<|im_end|>_'),
+    ('qwen2-vl', '<|im_start|>user_', '<|im_start|>assistant_<|im_end|>_'),
+    ('phi3', '<|user|>_', '<|assistant|>_<|end|>_'),
+    ('phi4', '<|im_start|>user<|im_sep|>', '<|im_start|>assistant<|im_sep|><|im_end|>'),
+    ('phi4-mini', '<|user|>', '<|assistant|><|end|>'),
+    ('gpt-oss-naive', '<|start|>user<|message|>', '<|start|>assistant<|channel|>analysis<|message|><|end|>'),
+    ('deepseek-r1-distill', '<｜User｜>', '<｜Assistant｜>'),
+    ('qwen3-thinking', '<|im_start|>user_', '<|im_start|>assistant_<|im_end|>_'),
+    ('qwen3-instruct', '<|im_start|>user_', '<|im_start|>assistant_<think>__</think>_<|im_end|>_'),
+    ('qwen3-next-thinking', '<|im_start|>user_', '<|im_start|>assistant_<think>_<|im_end|>_'),
+    ('kimi-k2-thinking', '<|im_start|>user_', '<|im_assistant|>assistant<|im_middle|><|im_end|>'),
+    ('kimi-k2-instruct', '<|im_start|>user_', '<|im_assistant|>assistant<|im_middle|><|im_end|>'),
+    ('deepseek-v3', '<｜User｜>', '<｜Assistant｜><｜end▁of▁sentence｜>'),
+    ('ling-flash-2.0', '<role>HUMAN</role>', '<role>ASSISTANT</role><|role_end|>'),
+    ('deepseek-v32', '<｜User｜>', '<｜Assistant｜><｜end▁of▁sentence｜>'),
+    ('gemma', '<start_of_turn>user_', '<start_of_turn>model_<end_of_turn>_'),
+    ('longcat', ' USER:', ' ASSISTANT:</longcat_s>'),
+    ('longcat_xml', '<longcat_user>', '<longcat_assistant></longcat_s>')
+"""
 
 
 @query(
     "templates",
     f"""
-    with registry(template, user_extra, assistant_extra) as (values {TEMPLATE_VALUES_SQL}),
+    with written(template, before_user, around_assistant) as (values {WRITTEN_SQL}),
+    registry as (
+        select template, length(before_user) as user_extra, length(around_assistant) as assistant_extra from written),
     said as (select role, count(*) as n, cast(sum(length(text)) as bigint) as chars from conversations group by role)
     select template, cast(sum(n) as bigint) as turns,
            cast(sum(chars + n * case role when 'user' then user_extra
@@ -691,6 +750,21 @@ def build_dataset_query(t: Tables) -> DataFrame:
     return mask_summary(rows, "conv_id", "ids_md5").select("conv_id", "n_tokens", "n_loss", "mask_md5", "ids_md5")
 
 
+@query(
+    "attention_mask",
+    f"""
+    with {DATASET_SQL}
+    select conv_id, cast(len(toks) as int) as n, cast(len(toks) as int) as attended from dataset
+    """,
+)
+def attention_mask(t: Tables) -> DataFrame:
+    return training_rows(t).select(
+        "conv_id",
+        F.size("attention_mask").alias("n"),
+        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attended"),
+    )
+
+
 @query(
     "mask_runs",
     f"""

@@ -251,6 +251,23 @@ def norm_skip_stats(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "skip_statistics",
+    """
+    select count(distinct conv_id) as rows, count(*) filter (where role <> 'system') as kept,
+           count(*) filter (where role = 'system') as skipped
+    from conversations
+    """,
+)
+def skip_statistics(t: Tables) -> DataFrame:
+    """The nested form through the operator itself; system is a speaker outside the map."""
+    turn = F.struct("turn", F.col("from"), F.col("text").alias("value"))
+    nested = speakers(t.conversations).groupBy(F.col("conv_id").alias("id")).agg(
+        F.array_sort(F.collect_list(turn)).alias("conversations")
+    )
+    return N.skip_statistics(N.rolemap_conversation(nested))
+
+
 @query(
     "norm_image",
     f"""
@@ -494,6 +511,11 @@ def seeded_shuffle(t: Tables) -> DataFrame:
     return S.shuffle_rank(t.documents.select("doc_id"), "doc_id", rows_per_bucket=500)
 
 
+@query("hash_shuffle", "select doc_id, md5('42|' || doc_id) as shuffle_key from documents")
+def hash_shuffle(t: Tables) -> DataFrame:
+    return S.hash_shuffle(t.documents.select("doc_id"), "doc_id")
+
+
 @query(
     "drop_empty",
     """
