@@ -13,7 +13,7 @@ from sparkdraft.operators import tokens as TK
 from sparkdraft.operators import turns as TN
 from sparkdraft.operators.templates import TEMPLATES, get_template
 from sparkdraft.plans.corpus import HEAD_SQL, REST_SQL, head_rest
-from sparkdraft.plans.dataset import build_dataset
+from sparkdraft.plans.dataset import build_dataset, image_texts
 from sparkdraft.plans.registry import Tables, query
 
 #: Longest training row, in tokens.
@@ -750,6 +750,33 @@ def build_dataset_query(t: Tables) -> DataFrame:
     return mask_summary(rows, "conv_id", "ids_md5").select("conv_id", "n_tokens", "n_loss", "mask_md5", "ids_md5")
 
 
+@query(
+    "image_texts",
+    """
+    with heads as (select conv_id, cast(role <> 'user' as int) as skip from conversations where turn = 0),
+    said as (
+        select conv_id, turn - skip as spot, text,
+               case when turn > 0 and (conv_id + turn) % 31 = 3 then 'tool' else role end as role
+        from conversations join heads using (conv_id) where turn >= skip),
+    judged as (
+        select conv_id, bool_or(role <> case when spot % 2 = 0 then 'user' else 'assistant' end) as odd,
+               '<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n' || string_agg(
+                   '<|im_start|>' || role || '\n'
+                   || case role when 'user' then '<|vision_start|><|image_pad|><|vision_end|>' else '' end
+                   || text || '<|im_end|>\n', '' order by spot) as txt
+        from said group by conv_id)
+    select conv_id, case when not odd then md5(txt) end as text_md5,
+           case when odd then 'user and assistant do not alternate' end as reason
+    from judged
+    """,
+)
+def image_texts_query(t: Tables) -> DataFrame:
+    odd = ((F.col("conv_id") + F.col("turn")) % 31 == 3) & (F.col("turn") > 0)
+    roles = F.when(odd, "tool").otherwise(F.col("role"))
+    nested = TN.nest_turns(t.conversations.withColumn("role", roles))
+    return image_texts(nested).select("conv_id", F.md5("text").alias("text_md5"), "reason")
+
+
 @query(
     "attention_mask",
     f"""

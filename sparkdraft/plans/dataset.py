@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkdraft.functions.hashing import seeded_hex
 from sparkdraft.functions.rows import evaluate_once
-from sparkdraft.operators.render import render
+from sparkdraft.operators.render import native_piece, render
 from sparkdraft.operators.sampling import drop_empty
 from sparkdraft.operators.spans import assistant_spans, masked_tokens, offset_mask
 from sparkdraft.operators.templates import get_template
@@ -83,6 +83,45 @@ def _contained(df: DataFrame, template: str, max_length: int, last_only: bool, v
     )
 
 
+# What a user's turn shows in place of its image, and why rows are rejected.
+IMAGE_TEXT = "<|vision_start|><|image_pad|><|vision_end|>"
+NO_TURNS = "no turns"
+NOT_ALTERNATING = "user and assistant do not alternate"
+
+
+def image_texts(df: DataFrame, template: str = "qwen2-vl") -> DataFrame:
+    """Image conversations as ``text``, or a ``reason``; other columns are kept.
+
+    A first message that is not the user's is left out, the others must alternate
+    from the user on.  Every user turn shows the row's image before its words; the
+    system prompt is always the template's.
+    """
+    t = get_template(template)
+    turns = F.col("conversations")
+    skip = F.when(F.get(turns, F.lit(0))["role"].eqNullSafe(F.lit("user")), 0).otherwise(1)
+    rest = F.when(F.size(turns) > 0, F.slice(turns, skip + 1, F.size(turns))).otherwise(turns)
+    staged = df.withColumn("_rest", rest)
+    wrong = F.exists(
+        F.transform(
+            "_rest", lambda m, i: ~m["role"].eqNullSafe(F.when(i % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")))
+        ),
+        lambda odd: odd,
+    )
+
+    def piece(m):
+        shown = F.when(m["role"] == "user", F.concat(F.lit(IMAGE_TEXT), m["content"])).otherwise(m["content"])
+        return native_piece(t, m["role"], shown)
+
+    opening = f"{t.bos}{t.system_header}{t.system_prompt}{t.system_suffix}{t.end_of_turn}"
+    reason = F.when(F.coalesce(F.size(turns), F.lit(0)) <= 0, NO_TURNS).when(wrong, NOT_ALTERNATING)
+    text = F.concat(F.lit(opening), F.array_join(F.transform("_rest", piece), ""))
+    return staged.select(
+        *[c for c in df.columns if c != "conversations"],
+        F.when(reason.isNull(), text).alias("text"),
+        reason.alias("reason"),
+    )
+
+
 def image_dataset(df: DataFrame, template: str, max_length: int = 2048, vocab_size: int = VOCAB_SIZE) -> DataFrame:
     """Rows of ready texts of image conversations: strict spans, overlap rule."""
     spanned = assistant_spans(df, "text", template, kind="pair")
