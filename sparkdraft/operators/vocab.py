@@ -6,7 +6,7 @@ that follows the count works on a table of known, small size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,6 +105,16 @@ def to_target(df: DataFrame, draft: DataFrame, size: int, draft_id: str = "draft
     return df.join(maps, draft_id).withColumn("token_id", F.col(draft_id) + F.col("offset")).drop("offset")
 
 
+def position_masks(df: DataFrame, flags: Column, ids: str = "input_ids", mask: str = "loss_mask") -> DataFrame:
+    """Add ``position_masks``: the same for whole rows, looked up where they lie.
+
+    ``flags`` is the array of the target vocabulary's flags, as long as that vocabulary.
+    """
+    staged = df.withColumn("_flags", flags)
+    kept = F.zip_with(ids, mask, lambda i, m: F.coalesce(F.get("_flags", i), F.lit(False)).cast("int") * m)
+    return staged.withColumn("position_masks", kept).drop("_flags")
+
+
 def position_mask(df: DataFrame, flags: DataFrame, size: int, best: str = "best", mask: str = "loss_mask") -> DataFrame:
     """Add ``position_mask``: 1 where the best target id is kept and the mask is 1."""
     known = _bounded(flags.select(F.col("token_id").alias(best), "in_draft"), size)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdraft.functions.rows import explode_rows
 from sparkdraft.operators import vocab as V
+from sparkdraft.operators.training_metrics import flag_list
 from sparkdraft.plans.chat import DATASET_SQL, ID_SQL, training_rows
 from sparkdraft.plans.registry import Tables, query
 
@@ -104,11 +104,11 @@ def t2d(t: Tables) -> DataFrame:
 def apply_vocab(t: Tables) -> DataFrame:
     rows = training_rows(t).select("conv_id", "input_ids", "loss_mask")
     draft = V.draft_vocab(V.token_frequency(rows), DRAFT)
-    pairs = F.arrays_zip(F.col("input_ids").alias("best"), F.col("loss_mask").alias("loss_mask"))
-    places = explode_rows(rows, pairs, "conv_id", item="p").select("conv_id", "p.best", "p.loss_mask")
-    masked = V.position_mask(places, V.target_flags(draft, TARGET), TARGET)
-    return masked.groupBy("conv_id").agg(
-        F.count("*").alias("positions"), F.sum("position_mask").cast("bigint").alias("kept")
+    masked = V.position_masks(rows, flag_list(V.target_flags(draft, TARGET)))
+    return masked.select(
+        "conv_id",
+        F.size("input_ids").cast("bigint").alias("positions"),
+        F.aggregate("position_masks", F.lit(0).cast("bigint"), lambda a, m: a + m).alias("kept"),
     )
 
 
