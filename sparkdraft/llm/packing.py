@@ -33,13 +33,13 @@ SEED = 42
 #: Bytes of text in a group, about; a group's ids fit a task's memory several times.
 GROUP_BYTES = 8_000_000
 #: Words whose ids a task remembers, twice at most.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Rooms below this are left as padding rather than cutting a document for them.
 LEAST_CUT = 16
 
 
 #: Words looked up at a time, about.
-_WORDS = 600_000
+_WORDS = 300_000
 
 #: Marks that no contraction begins with, and letters of ASCII and Latin-1, each one code point in both cases.
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
