@@ -144,7 +144,7 @@ LINES = [
 
 def test_lines_to_training_rows(spark, tmp_path):
     lines = [
-        '{"conversations": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo", "tool_calls": [{"n": 1}]}]}',
+        '{"conversations": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo", "tool_calls": [{"name": "f", "arguments": {"n": 1}}]}]}',
         '{"conversations": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "bad call", "tool_calls": "{oops"}]}',
         '{"conversations": [{"role": "system", "content": "s", "tool_calls": "{oops"}, {"role": "user", "content": "q"}]}',
         "broken",
@@ -156,7 +156,7 @@ def test_lines_to_training_rows(spark, tmp_path):
     texts = sorted("".join(r.pieces) for r in rows.collect())
     head = "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\nhi<|im_end|>\n"
     assert texts == sorted([
-        head + "<|im_start|>assistant\nyo<|im_end|>\n",
+        head + "<|im_start|>assistant\nyo\n<tool_call>\n" + '{"name": "f", "arguments": {"n":1}}\n</tool_call><|im_end|>\n',
         head,
         "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nq<|im_end|>\n",
     ])
