@@ -228,14 +228,18 @@ def render(
             )
         return F.concat(F.lit(t.bos), F.array_join(pieces, ""))
 
-    if not thinking:
-        return write(messages, True)
-    last = F.try_element_at(messages, F.lit(-1))
-    history = F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
-    return F.when(
-        last["role"] == "assistant",
-        F.concat(write(history, False), F.lit(t.assistant_header), last["content"], F.lit(t.end_of_turn or "")),
-    )
+    def whole(messages):
+        if not thinking:
+            return write(messages, True)
+        last = F.try_element_at(messages, F.lit(-1))
+        history = F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
+        return F.when(
+            last["role"] == "assistant",
+            F.concat(write(history, False), F.lit(t.assistant_header), last["content"], F.lit(t.end_of_turn or "")),
+        )
+
+    # The messages are used several times: bound once, they are computed once.
+    return F.get(F.transform(F.array(messages), whole), F.lit(0))
 
 
 def render_channels(conversation: Column, effort: str = "low", compat: bool = False) -> Column:

@@ -722,7 +722,7 @@ def mask_overlap(t: Tables) -> DataFrame:
 
 def training_rows(t: Tables, template: str = "qwen") -> DataFrame:
     """The conversations table as training rows."""
-    nested = TN.nest_turns(t.conversations, MAX_LENGTH)
+    nested = t.spread(TN.nest_turns(t.conversations, MAX_LENGTH), "conv_id")
     return build_dataset(nested, template, MAX_LENGTH)
 
 
