@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """``row, whole``: the rows of ``docs`` as structs beside what names them in every scan.
+
+    How a scan is split, and with it ``monotonically_increasing_id``, follows the
+    cores that are there when it is planned.  Who decides about rows in one scan and
+    picks them in another needs names that hold in both: for a table read from
+    Parquet files the file and the place in it, else numbers stored with the rows.
+    """
+    if _is_file_scan(docs):
+        place = F.struct("_metadata.file_path", "_metadata.row_index")
+        return docs.select(place.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("whole")), label)
+
+
+def _is_file_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a table of Parquet files as read, with no step above the scan."""
+    plan = getattr(docs, "_jdf", None) and docs._jdf.queryExecution().analyzed()
+    if not plan or plan.getClass().getSimpleName() != "LogicalRelation" or "_metadata" in docs.columns:
+        return False
+    try:
+        return docs.select("_metadata.file_path", "_metadata.row_index").columns == ["file_path", "row_index"]
+    except AnalysisException:
+        return False  # other formats do not count rows
+
+
 #: White space between words and inside texts that are compared: six ASCII characters.
 SPACE = r"[\x20\x09-\x0D]"
 

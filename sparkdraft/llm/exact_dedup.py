@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkdraft.llm.common import SPACE, query, stored, text_or_empty
+from sparkdraft.llm.common import SPACE, numbered, query, stored, text_or_empty
 
 #: Entries per bucket before it splits, and bits of the key that the directory may use.
 BUCKET_ROWS = 100_000
@@ -58,14 +58,15 @@ def build_index(
     text: str = "text",
     bucket_rows: int = BUCKET_ROWS,
     max_depth: int = MAX_DEPTH,
+    row: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Stored tables ``(entries, index)``.
 
-    ``entries``: one row per input row with ``row`` (its place in the input).
+    ``entries``: one row per input row with its number ``row``.
     ``index``: one row per distinct text with the row that stays.
     """
     source = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         F.col(key).alias("doc_id"),
         F.length(text_or_empty(text)).cast("bigint").alias("n_chars"),
         normalised(text_or_empty(text)).alias("norm"),
@@ -122,16 +123,18 @@ def _compare_bytes(source: DataFrame, index: DataFrame) -> None:
         raise ValueError("two different texts have the same SHA-256 digest")
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **sizes: int) -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", row: Column | None = None, **sizes: int
+) -> DataFrame:
     """One row per input row: ``row, doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when their characters other than white space are; a null
     text counts as empty.  Of equal texts the one with the most characters
     stays, then the smallest id (null ids come last), then the first row.  Other
-    columns are not looked at.  ``row`` numbers the rows of ``docs`` as
-    ``monotonically_increasing_id`` does, for callers that filter them.
+    columns are not looked at.  Rows are numbered by ``row``; without it the
+    numbers are of this scan and name no row of another one.
     """
-    entries, index = build_index(docs, key, text, **sizes)
+    entries, index = build_index(docs, key, text, row=row, **sizes)
     copies = index.filter("group_size > 1").select("hash", "digest", "group_size", "keep_id", "keep_row")
     # Rows without a copy need no partner; a text with many copies is split by the skew join.
     return entries.join(copies, ["hash", "digest"], "left").select(
@@ -146,10 +149,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **size
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows that :func:`exact_dedup` drops."""
-    marked = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("kept_row"))
-    dropped = exact_dedup(docs, key, text).filter(~F.col("kept")).select("row")
+    rows = numbered(docs, "exact-rows")
+    found = exact_dedup(rows, f"whole.{key}", f"whole.{text}", F.col("row"))
+    dropped = found.filter(~F.col("kept")).select("row")
     # The list grows with the corpus: merged at every size, never broadcast.
-    return marked.join(stored(dropped, "dropped").hint("merge"), "row", "left_anti").select("kept_row.*")
+    return rows.join(stored(dropped, "dropped").hint("merge"), "row", "left_anti").select("whole.*")
 
 
 @query(

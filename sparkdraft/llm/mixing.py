@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkdraft.llm.common import query, stored, text_or_empty, words_of
+from sparkdraft.llm.common import numbered, query, stored, text_or_empty, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -157,6 +157,7 @@ def mix_sources(
     block_words: int = BLOCK_WORDS,
     max_blocks: int = MAX_BLOCKS,
     seed: int = SEED,
+    row: Column | None = None,
 ) -> DataFrame:
     """One row per input row: ``row, doc_id, size, source_size, target, taken, shards``.
 
@@ -167,11 +168,12 @@ def mix_sources(
     null source is a source like any other, the last one.  Choices are functions
     of the seed, the key and the text, so reruns agree and repeated rows are
     treated alike but for the one in which a part ends.  Other columns are not
-    looked at.
+    looked at.  Rows are numbered by ``row``; without it the numbers are of this
+    scan and name no row of another one.
     """
     sized = stored(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            (F.monotonically_increasing_id() if row is None else row).alias("row"),
             F.col(key).alias("doc_id"),
             F.col(source).cast("string").alias("source"),
             word_count(text_or_empty(text)).alias("size"),
@@ -233,14 +235,12 @@ def write_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     taken.  Rows come by shard and, in a shard, in random order.
     """
     seed = options.get("seed", SEED)
-    marked = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("mixed"))
-    chosen = stored(
-        mix_sources(docs, key, text, source, **options).filter("taken > 0").select("row", "size", "taken", "shards"),
-        "chosen",
-    )
-    uses = marked.join(chosen.hint("merge"), "row").select(
+    rows = numbered(docs, "mix-rows")
+    found = mix_sources(rows, f"whole.{key}", f"whole.{text}", f"whole.{source}", row=F.col("row"), **options)
+    chosen = stored(found.filter("taken > 0").select("row", "size", "taken", "shards"), "chosen")
+    uses = rows.join(chosen.hint("merge"), "row").select(
         "row",
-        "mixed",
+        F.col("whole").alias("mixed"),
         "size",
         "taken",
         F.posexplode(F.slice("shards", 1, F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("use", "shard"),
@@ -251,7 +251,7 @@ def write_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     return (
         uses.withColumn("mixed", F.col("mixed").withField(f"`{text}`", F.when(words < F.col("size"), cut).otherwise(body)))
         .repartition("shard")
-        .sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "row", "use"), "row")
+        .sortWithinPartitions("shard", F.xxhash64(F.lit(seed), F.col(f"mixed.{key}").cast("string"), "use"), "row", "use")
         .select("mixed.*")
     )
 

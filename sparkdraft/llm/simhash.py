@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdraft.llm.common import query, stored, text_or_empty
+from sparkdraft.llm.common import numbered, query, stored, text_or_empty
 from sparkdraft.llm.components import connected_components
 from sparkdraft.session import importable
 
@@ -232,19 +232,21 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK
     return grouped.mapInPandas(_compare(threshold), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, row: Column | None = None
+) -> DataFrame:
     """One row per input row: ``row, doc_id, fp, component_id, first_row``.
 
     ``component_id`` is the smallest id that can be reached over links, the own
-    one included (null only where all ids are null); ``first_row`` is the row,
-    as numbered by ``monotonically_increasing_id``, with the smallest id, null
-    ids last.  A null text counts as empty; texts without a word have fingerprint
+    one included (null only where all ids are null); ``first_row`` is the row
+    with the smallest id, null ids last.  Rows are numbered by ``row``; without it
+    the numbers are of this scan and name no row of another one.  A null text counts as empty; texts without a word have fingerprint
     zero and link like any other.  Other columns are not looked at.
     """
     importable(docs.sparkSession)
     rows = stored(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            (F.monotonically_increasing_id() if row is None else row).alias("row"),
             F.col(key).alias("doc_id"),
             fingerprint_column(text_or_empty(text), shingle).alias("fp"),
         ),
@@ -268,10 +270,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs``, all columns, with one row of each component: that with the smallest id."""
-    marked = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("kept_row"))
-    dropped = near_duplicates(docs, key, text, shingle).filter("row <> first_row").select("row")
+    rows = numbered(docs, "near-rows")
+    found = near_duplicates(rows, f"whole.{key}", f"whole.{text}", shingle, F.col("row"))
+    dropped = found.filter("row <> first_row").select("row")
     # The list grows with the corpus: merged at every size, never broadcast.
-    return marked.join(stored(dropped, "dropped").hint("merge"), "row", "left_anti").select("kept_row.*")
+    return rows.join(stored(dropped, "dropped").hint("merge"), "row", "left_anti").select("whole.*")
 
 
 @query("op10_simhash_near_dedup")
