@@ -1,17 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
 A page is walked once and cut into blocks at block-level tags.  The first pass
-decides blocks on their own: link density, length and stop-word density, inside or
-outside the page's article.  Short and middling blocks stay open; in the second
-pass they inherit the label of the nearest decided neighbour.  Menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments that the markup
-names are left out before any rule.
+decides blocks on their own: link density, length and stop-word density.  Blocks of
+an article need no stop words, as soon as one of them is long and not a list of
+links.  Short and middling blocks stay open; in the second pass they inherit the
+label of the nearest decided neighbour, in the article or outside as they are.
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments that
+the markup names are left out before any rule, with the articles inside a closed
+sidebar, menu, advert or list of related pages.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
 
@@ -42,6 +45,13 @@ MARKS = frozenset(
     "signup social sponsor sponsored subscribe teaser toolbar widget".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+#: What stands beside the text: an article inside is a teaser.  Forms and notices may hold the whole page.
+BESIDE = frozenset("aside footer menu nav".split())
+BESIDE_MARKS = frozenset(
+    "ad ads adv advert advertisement advertising breadcrumb breadcrumbs footer menu nav navbar navigation newsletter "
+    "pager pagination promo promoted promotion recommended related sidebar sponsor sponsored teaser widget "
+    "complementary contentinfo menubar".split()
+)
 HEADLINE_MARKS = frozenset("header masthead banner".split())
 COMMENT_MARKS = frozenset("comment comments disqus replies respond".split())
 STOP_WORDS = frozenset(
@@ -84,6 +94,9 @@ class _Open(NamedTuple):
     left_out: bool
     article: bool
     comments: bool
+    #: Whether the element itself stands beside the text, and where it starts.
+    beside: bool = False
+    start: int = 0
 
 
 _NOTHING = _Open("", False, False, False)
@@ -96,15 +109,66 @@ def _marks(attributes: str) -> set[str]:
     return set(_NAME.findall(_CAMEL.sub(" ", found).lower()))
 
 
-def blocks_of(html: str) -> list[Block]:
-    """All blocks with a text that the markup does not name as something else."""
+def _pieces(html: str) -> Iterator[tuple[int, str | None, str, bool, str]]:
+    """``start, text, name, closing, attributes`` of texts and tags; scripts and the like are one tag."""
+    end_of_raw: dict[str, re.Pattern] = {}
+    at, size, last_tag = 0, len(html), html.rfind(">")
+    while at < size:
+        start = at
+        piece = _PIECE.match(html, at)
+        text = piece["text"]
+        if text == "<" and at > last_tag and html[at + 1 : at + 2].isalpha():
+            break  # an unclosed tag at the end of the page
+        at = piece.end()
+        if text is not None:
+            yield start, text, "", False, ""
+        elif piece["name"] is not None:
+            name = piece["name"].lower()
+            closing = bool(piece["end"])
+            if name in RAW and not closing and not piece["attributes"].endswith("/"):
+                if name not in end_of_raw:
+                    end_of_raw[name] = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+                stop = end_of_raw[name].search(html, at)
+                at = stop.end() if stop else size
+            yield start, None, name, closing, piece["attributes"]
+
+
+def _closed(html: str) -> set[int]:
+    """Where the containers start that an end tag of their own closes."""
+    closed: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    for start, _, name, closing, attributes in _pieces(html):
+        if name not in CONTAINERS:
+            continue
+        if closing:
+            while opened[name]:
+                last, where = stack.pop()
+                opened[last] -= 1
+                if last == name:
+                    closed.add(where)
+                    break
+        elif not attributes.endswith("/"):
+            if name in ("html", "body"):
+                stack.clear()
+                opened.clear()
+            stack.append((name, start))
+            opened[name] += 1
+    return closed
+
+
+def blocks_of(html: str, lift: bool = False) -> list[Block]:
+    """All blocks with a text that the markup does not name as something else.
+
+    ``lift`` takes articles out of whatever is around them.
+    """
     blocks: list[Block] = []
     stack: list[_Open] = []
     opened: Counter[str] = Counter()
     parts: list[str] = []
     links = [0, 0]
     in_link, skip, breaks = False, False, 0
-    end_of_raw: dict[str, re.Pattern] = {}
+    closed: set[int] | None = None
 
     def flush() -> None:
         nonlocal in_link
@@ -116,13 +180,7 @@ def blocks_of(html: str) -> list[Block]:
         links[:] = [0, 0]
         in_link = False
 
-    at, size, last_tag = 0, len(html), html.rfind(">")
-    while at < size:
-        piece = _PIECE.match(html, at)
-        text = piece["text"]
-        if text == "<" and at > last_tag and html[at + 1 : at + 2].isalpha():
-            break  # an unclosed tag at the end of the page
-        at = piece.end()
+    for start, text, name, closing, attributes in _pieces(html):
         if text is not None:
             if not (skip or stack and stack[-1].left_out):
                 text = unescape(text)
@@ -132,17 +190,7 @@ def blocks_of(html: str) -> list[Block]:
                     if in_link:
                         links[0] += len("".join(text.split()))
             continue
-        name = piece["name"]
-        if name is None:
-            continue
-        name = name.lower()
-        closing = bool(piece["end"])
         if name in RAW:
-            if not closing and not piece["attributes"].endswith("/"):
-                if name not in end_of_raw:
-                    end_of_raw[name] = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
-                stop = end_of_raw[name].search(html, at)
-                at = stop.end() if stop else size
             parts.append(" ")
             continue
         if name == "br":
@@ -160,9 +208,9 @@ def blocks_of(html: str) -> list[Block]:
             breaks = 0
             skip = False
         if name not in CONTAINERS:
-            if name in BLOCKS and not closing and len(piece["attributes"]) > 6:
+            if name in BLOCKS and not closing and len(attributes) > 6:
                 # A paragraph may be a notice of its own; it ends where the next block begins.
-                skip = _element(stack[-1] if stack else _NOTHING, name, piece["attributes"]).left_out
+                skip = _element(stack[-1] if stack else _NOTHING, name, attributes).left_out
             continue
         if closing:
             # Up to the element's own start, if it has one.
@@ -171,20 +219,23 @@ def blocks_of(html: str) -> list[Block]:
                 opened[last.name] -= 1
                 if last.name == name:
                     break
-        elif not piece["attributes"].endswith("/"):
+        elif not attributes.endswith("/"):
             if name in ("html", "body"):
                 stack.clear()  # the page's own element ends an unclosed head
                 opened.clear()
-            if name in ARTICLES and stack and not stack[-1].comments:
-                while stack and stack[-1].left_out:  # nor is an article part of an unclosed advert
-                    opened[stack.pop().name] -= 1
-            stack.append(_element(stack[-1] if stack else _NOTHING, name, piece["attributes"]))
+            if name in ARTICLES and stack and stack[-1].left_out and not stack[-1].comments:
+                if closed is None and name == "article" and not lift:
+                    closed = _closed(html)
+                if lift or name != "article" or not any(e.beside and e.start in closed for e in stack):
+                    while stack and stack[-1].left_out:  # nor is an article part of an unclosed advert
+                        opened[stack.pop().name] -= 1
+            stack.append(_element(stack[-1] if stack else _NOTHING, name, attributes, start))
             opened[name] += 1
     flush()
     return blocks
 
 
-def _element(above: _Open, name: str, attributes: str) -> _Open:
+def _element(above: _Open, name: str, attributes: str, start: int = 0) -> _Open:
     """What an element and those around it say about its text."""
     marks = _marks(attributes) if "=" in attributes else set()
     comments = above.comments or bool(marks & COMMENT_MARKS)
@@ -196,23 +247,28 @@ def _element(above: _Open, name: str, attributes: str) -> _Open:
     marked = marks & (MARKS | ROLES) - (HEADLINE_MARKS if above.article else frozenset())
     named = bool(marked) or name in LEFT_OUT and not (name == "header" and above.article)
     hidden = bool(attributes) and bool(_HIDDEN.search(attributes))
-    return _Open(name, above.left_out or named or hidden, above.article, comments)
+    beside = name in BESIDE or bool(marked & BESIDE_MARKS)
+    return _Open(name, above.left_out or named or hidden, above.article, comments, beside, start)
 
 
 GOOD, BAD, OPEN = 1, -1, 0
 
 
-def _decide(block: Block, has_article: bool) -> int:
-    """The label of a block on its own."""
+def _linked(block: Block) -> float:
     letters = len(block.text.replace(" ", ""))
-    linked = block.link_chars / letters if letters else 0.0
-    if has_article:
-        if not block.in_article:
-            return BAD
-        if linked > LINKED_ARTICLE and block.n_links > 1:
-            return BAD
-        return GOOD if len(block.text) >= SHORT else OPEN
-    if linked > LINKED:
+    return block.link_chars / letters if letters else 0.0
+
+
+def _decide_article(block: Block) -> int:
+    """The label of an article's block on its own."""
+    if _linked(block) > LINKED_ARTICLE and block.n_links > 1:
+        return BAD
+    return GOOD if len(block.text) >= SHORT else OPEN
+
+
+def _decide(block: Block) -> int:
+    """The label of any other block on its own."""
+    if _linked(block) > LINKED:
         return BAD
     if len(block.text) < SHORT:
         return OPEN
@@ -223,47 +279,71 @@ def _decide(block: Block, has_article: bool) -> int:
     return OPEN if stops >= STOPS_LOW else BAD
 
 
-def labels_of(blocks: list[Block]) -> list[int]:
-    """Both passes: every block is good or bad."""
-    has_article = any(b.in_article for b in blocks)
-    labels = [_decide(b, has_article) for b in blocks]
-    # Neighbours are those in the article where there is one.
-    chosen = [i for i, b in enumerate(blocks) if b.in_article or not has_article]
-    before, after = {}, {}
-    last = None
-    for place, i in enumerate(chosen):
-        if labels[i] != OPEN:
-            last = place
-        before[i] = last
-    last = None
-    for place in range(len(chosen) - 1, -1, -1):
-        if labels[chosen[place]] != OPEN:
-            last = place
-        after[chosen[place]] = last
+def _has_article(blocks: list[Block]) -> bool:
+    return any(b.in_article and _decide_article(b) == GOOD for b in blocks)
+
+
+def _settle(blocks: list[Block], labels: list[int], alone: int) -> list[int]:
+    """The second pass over neighbours; ``alone`` is the label where none is decided."""
+    before: list[int | None] = []
+    after: list[int | None] = []
+    for places, found in ((range(len(blocks)), before), (range(len(blocks) - 1, -1, -1), after)):
+        last = None
+        for place in places:
+            if labels[place] != OPEN:
+                last = place
+            found.append(last)
+    after.reverse()
     out = list(labels)
-    for place, i in enumerate(chosen):
-        if labels[i] != OPEN:
+    for place, (left, right) in enumerate(zip(before, after)):
+        if labels[place] != OPEN:
             continue
-        left, right = before[i], after[i]
         if left is None and right is None:
-            out[i] = GOOD  # nothing on the page speaks against it
+            out[place] = alone
         elif left is None or right is None:
-            out[i] = labels[chosen[right if left is None else left]]
+            out[place] = labels[right if left is None else left]
         elif place - left < right - place:
-            out[i] = labels[chosen[left]]
+            out[place] = labels[left]
         elif place - left > right - place:
-            out[i] = labels[chosen[right]]
+            out[place] = labels[right]
         else:
             # As near to one as to the other: a block without a link is text.
-            same = labels[chosen[left]] == labels[chosen[right]]
-            out[i] = labels[chosen[left]] if same else (BAD if blocks[i].n_links else GOOD)
+            same = labels[left] == labels[right]
+            out[place] = labels[left] if same else (BAD if blocks[place].n_links else GOOD)
+    return out
+
+
+def labels_of(blocks: list[Block]) -> list[int]:
+    """Both passes: every block is good or bad.
+
+    Where there is an article, blocks have their neighbours on their own side of
+    its edge, and open ones outside need a good one there.
+    """
+    if not _has_article(blocks):
+        # Nothing on the page speaks against a page of open blocks.
+        return _settle(blocks, [_decide(b) for b in blocks], GOOD)
+    out = [BAD] * len(blocks)
+    for inside, decide, alone in ((True, _decide_article, GOOD), (False, _decide, BAD)):
+        chosen = [i for i, b in enumerate(blocks) if b.in_article == inside]
+        own = [blocks[i] for i in chosen]
+        for i, label in zip(chosen, _settle(own, [decide(b) for b in own], alone)):
+            out[i] = label
     return out
 
 
 def main_text(html: str) -> str:
-    """The good blocks of a whole page in their order, one line each."""
+    """The good blocks of a whole page in their order, one line each.
+
+    A page whose only text is an article in an element that is named as something
+    else, by a misleading class say, is that article.
+    """
     blocks = blocks_of(html)
-    return "\n".join(b.text for b, label in zip(blocks, labels_of(blocks)) if label == GOOD)
+    labels = labels_of(blocks)
+    if GOOD not in labels:
+        lifted = blocks_of(html, lift=True)
+        if _has_article(lifted):
+            blocks, labels = lifted, labels_of(lifted)
+    return "\n".join(b.text for b, label in zip(blocks, labels) if label == GOOD)
 
 
 def main_text_column(html: Column) -> Column:

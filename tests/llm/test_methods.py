@@ -344,6 +344,43 @@ def test_main_text_of_small_pages(html, text):
     assert HT.main_text(html) == text
 
 
+PROSE = LONG_TEXT * 3
+NAMES = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda Omikron Rho Sigma Tau Ypsilon"
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        # Teasers in a closed aside are not the page's text.
+        (f"<body><div><p>{PROSE}</p></div><aside><article><h3>Teaser</h3></article></aside>", PROSE),
+        (f"<div><p>{PROSE}</p></div><aside><article><p>{LONG_TEXT}</p></article>{LONG_TEXT}</aside><p>{PROSE}</p>", f"{PROSE}\n{PROSE}"),
+        (f"<article><p>{LONG_TEXT}</p></article><div class='related'><article><p>{LONG_TEXT}</p></article></div>", LONG_TEXT),
+        (f"<nav><article><p>{LONG_TEXT}</p></article></nav><main><p>{LONG_TEXT}</p></main>", LONG_TEXT),
+        # An article of a few words leaves the page to the rules for all blocks.
+        (f"<p>{PROSE}</p><article><h3>Teaser</h3></article>", f"{PROSE}\nTeaser"),
+        # Blocks outside an article are judged: text stays; lists of names and of links go.
+        (f"<p>{PROSE}</p><article><p>{LONG_TEXT}</p></article><p>{NAMES}</p><p><a>{PROSE}</a></p>", f"{PROSE}\n{LONG_TEXT}"),
+        # Elements that hold the whole page, or are never closed, do not hide its article.
+        (f"<form id='all'><article><p>{LONG_TEXT}</p></article></form>", LONG_TEXT),
+        (f"<div class='with-x widget'><article><p>{LONG_TEXT}</p></article></div>", LONG_TEXT),
+        (f"<aside>Buy<article><p>{LONG_TEXT}</p></article>", LONG_TEXT),
+    ],
+)
+def test_main_text_where_articles_mislead(html, text):
+    assert HT.main_text(html) == text
+
+
+def test_two_passes_find_the_article_without_its_element(pages):
+    want = found = 0
+    for r in pages.collect():
+        lines = HT.main_text(r["html"]).split("\n")
+        judged = HT.main_text(re.sub(r"<(/?)article>", r"<\1div>", r["html"])).split("\n")
+        assert set(judged) <= {*lines, ""}
+        want += sum(map(len, lines))
+        found += sum(map(len, judged))
+    assert found >= 0.9 * want
+
+
 # --- URL filters -------------------------------------------------------------
 
 
