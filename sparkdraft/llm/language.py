@@ -3,15 +3,18 @@
 A text is a vector of hashed character n-grams of its letters, weighted by
 TF-IDF and normalised.  Every language has a few centroids, found by clustering
 a bounded sample of its labelled texts; the nearest centroid by cosine gives the
-language.  A text that is further from it than the sample's texts of like length
+language.  A text that is further from it than the labelled texts of like length
 is rejected.
 
-Document frequencies cover all labelled texts that may be learned from.  Only the
-clustering works on a sample, of about :data:`SAMPLE` texts per language.
+Document frequencies and the likeness at each length cover all labelled texts that
+may be learned from.  Only the clustering works on a sample, of about :data:`SAMPLE`
+texts per language.  Lengths that few labelled texts have are learned from the
+beginnings of the sample's texts, longer ones from the longest that are known.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -32,11 +35,14 @@ CENTROIDS = 4
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 
-#: A text is rejected below this part of the similarity that nearly all of the sample reach.
+#: A text is rejected below this part of the similarity that nearly all labelled texts reach.
 FLOOR_PART = 0.5
 FLOOR_QUANTILE = 0.01
-#: Fewer sample texts of a length say nothing about that length.
+#: Fewer texts of a length say nothing about that length.
 FLOOR_TEXTS = 8
+#: Powers of two that lengths are told apart by, and the longest beginning that is looked at.
+LENGTHS = 32
+LONGEST_START = 12
 
 # Odd multipliers of a multiplicative hash.
 _MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], dtype=np.uint32)
@@ -118,7 +124,7 @@ def _length_bin(letters: np.ndarray) -> np.ndarray:
 
 
 class LanguageModel(NamedTuple):
-    """``floors``: the least similarity by language and length; zero never rejects."""
+    """``floors``: the least similarity by language and length, for every length."""
 
     languages: list[str]
     owner: np.ndarray
@@ -164,6 +170,67 @@ def _cluster(vectors: np.ndarray, k: int) -> np.ndarray:
     return centroids
 
 
+def _likeness(texts: DataFrame, model: LanguageModel) -> DataFrame:
+    """``language, whole, size, likeness``: each text by its own language's centroids, and its beginnings where drawn."""
+    number = {name: i for i, name in enumerate(model.languages)}
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts, own, whole = [], [], []
+            for text, lang, drawn in zip(batch["text"].tolist(), batch["lang"].tolist(), batch["drawn"].tolist()):
+                starts = [text[: 1 << k] for k in range(LONGEST_START) if 1 << k < len(text)] if drawn else []
+                parts += [text, *starts]
+                own += [number[lang]] * (1 + len(starts))
+                whole += [True] + [False] * len(starts)
+            at = 0
+            for strip in _strips(parts):
+                here = slice(at, at + len(strip))
+                at += len(strip)
+                counts, letters = count_ngrams(strip, len(model.idf))
+                mine = np.array(own[here])
+                every = _vectors(counts, model.idf) @ model.centroids.T
+                likeness = np.where(model.owner[None, :] == mine[:, None], every, -1).max(axis=1).astype(float)
+                out = pd.DataFrame({"language": mine, "whole": whole[here], "size": _length_bin(letters), "likeness": likeness})
+                # A sample without a letter leaves a language without centroids.
+                yield out[(letters > 0) & (likeness >= 0)]
+
+    return texts.select("text", "lang", "drawn").mapInPandas(
+        measure, "language bigint, whole boolean, size bigint, likeness double"
+    )
+
+
+def _floors(texts: DataFrame, model: LanguageModel) -> dict[tuple[int, int], float]:
+    """The least likeness for every language and length.
+
+    Whole texts say it for their length where there are enough, beginnings where
+    there are not, and the nearest length for those without either.  A language
+    with too few texts takes the lowest floor that the others have; if no language
+    has enough, nothing can be told and nothing is rejected by distance.
+    """
+    found = (
+        _likeness(texts, model)
+        .groupBy("language", "whole", "size")
+        .agg(F.count("*").alias("n"), F.percentile_approx("likeness", FLOOR_QUANTILE, 10_000).alias("floor"))
+        .collect()  # at most two numbers for each language and length
+    )
+    texts_of, known = Counter(), {}
+    for row in sorted(found, key=lambda r: r["whole"]):
+        if row["whole"]:
+            texts_of[row["language"]] += row["n"]
+        if row["n"] >= FLOOR_TEXTS:
+            known.setdefault(row["language"], {})[row["size"]] = row["floor"]
+    floors = {}
+    for language, sizes in known.items():
+        if texts_of[language] >= FLOOR_TEXTS:
+            for size in range(LENGTHS):
+                floors[language, size] = sizes[min(sizes, key=lambda s: (abs(s - size), s))]
+    told = {language for language, _ in floors}
+    for language in set(range(len(model.languages))) - told if told else ():
+        for size in range(LENGTHS):
+            floors[language, size] = min(floors[other, size] for other in told)
+    return floors
+
+
 def fit(
     docs: DataFrame,
     text: str = "text",
@@ -204,45 +271,31 @@ def fit(
                 part = batch.iloc[start : start + _STRIP_TEXTS]
                 counted, letters = count_ngrams(part["text"].tolist(), dimensions)
                 rows = _vectors(counted, idf).astype("<f4")
-                out = pd.DataFrame({"lang": part["lang"].tolist(), "letters": letters, "vector": [r.tobytes() for r in rows]})
-                yield out[out["letters"] > 0]
+                out = pd.DataFrame({"lang": part["lang"].tolist(), "vector": [r.tobytes() for r in rows]})
+                yield out[letters > 0]
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vector", kind="stable")
         rows = np.stack([np.frombuffer(v, "<f4") for v in group["vector"]])
         found = _cluster(rows, centroids).astype("<f4")
-        likeness = (rows @ found.T).max(axis=1)
-        bins = _length_bin(group["letters"].to_numpy())
-        floors = {
-            int(b): float(np.quantile(likeness[bins == b], FLOOR_QUANTILE))
-            for b in np.unique(bins)
-            if (bins == b).sum() >= FLOOR_TEXTS
-        }
-        return pd.DataFrame(
-            {
-                "lang": [group["lang"].iloc[0]],
-                "centroids": [found.tobytes()],
-                "bins": [list(floors)],
-                "floors": [list(floors.values())],
-            }
-        )
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "centroids": [found.tobytes()]})
 
     learned = (
         labelled.filter(drawn)
-        .mapInPandas(vectors, "lang string, letters bigint, vector binary")
+        .mapInPandas(vectors, "lang string, vector binary")
         .groupBy("lang")
-        .applyInPandas(learn, "lang string, centroids binary, bins array<bigint>, floors array<double>")
+        .applyInPandas(learn, "lang string, centroids binary")
         .collect()  # a few centroids per language, bounded by max_languages
     )
-    owner, matrix, floors = [], [], {}
+    owner, matrix = [], []
     for row in sorted(learned, key=lambda r: r["lang"]):
         rows = np.frombuffer(row["centroids"], "<f4").reshape(-1, dimensions)
         number = names.index(row["lang"])
         owner += [number] * len(rows)
         matrix.append(rows)
-        floors |= {(number, b): f for b, f in zip(row["bins"], row["floors"])}
     all_rows = np.concatenate(matrix) if matrix else np.zeros((0, dimensions), np.float32)
-    return LanguageModel(names, np.array(owner, dtype=np.int64), all_rows, idf, floors)
+    model = LanguageModel(names, np.array(owner, dtype=np.int64), all_rows, idf, {})
+    return model._replace(floors=_floors(labelled.withColumn("drawn", drawn), model)) if matrix else model
 
 
 _RESULT = T.StructType(

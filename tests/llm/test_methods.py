@@ -10,6 +10,7 @@ import xxhash
 
 from sparkdraft.llm import components as CO
 from sparkdraft.llm import html_text as HT
+from sparkdraft.llm import language as LA
 from sparkdraft.llm import license_scan as LS
 from sparkdraft.llm import mixing as MI
 from sparkdraft.llm import packing as PA
@@ -251,6 +252,27 @@ def test_languages_of_held_out_documents(spark, documents):
     assert sum(r["rejected"] for r in rows) <= 0.02 * len(rows)
 
 
+FOREIGN = {
+    "Russian": "Этот город стоит на реке и в нём живут люди которые любят читать книги ",
+    "Greek": "Η πόλη είναι μεγάλη και οι άνθρωποι διαβάζουν βιβλία κάθε μέρα ",
+    "gibberish": "xqzvk wqjx zzkq vxwq jjqz kxvw qzxj wvkx ",
+}
+
+
+def test_foreign_texts_of_all_lengths_are_rejected(spark, documents):
+    rare = spark.createDataFrame([(-i, f"lorem ipsum dolor {i}a sit amet", "la", "x") for i in range(1, 6)], "doc_id bigint, text string, lang string, source string")
+    model = LA.fit(documents.select(*rare.columns).union(rare))
+    own = [r["text"] for r in documents.filter("length(text) > 40000").limit(2).collect()]
+    own += [r["text"] for r in documents.filter("length(text) between 1000 and 3000").limit(4).collect()]
+    texts = [(t[:n], False) for t in own for n in (60, 400, 50_000)]
+    texts += [((t * (n // len(t) + 1))[:n], True) for t in FOREIGN.values() for n in (8, 40, 90, 1000, 5000, 60_000)]
+    df = spark.createDataFrame(texts, "text string, foreign boolean")
+    for r in df.select(df["text"], "foreign", LA.identify(model, df["text"]).alias("f")).collect():
+        assert r["f"]["rejected"] == r["foreign"], (r["text"][:60], len(r["text"]), r["f"])
+    assert model.languages == ["de", "en", "es", "fr", "la"]
+    assert all(model.floors[i, size] > 0 for i in range(5) for size in range(20))
+
+
 # --- licences ----------------------------------------------------------------
 
 
