@@ -26,7 +26,7 @@ from sparkdraft.llm.common import query
 from sparkdraft.session import importable
 
 # Element names, words of class and id attributes, stop words, thresholds.
-RAW = frozenset("script style noscript template iframe object textarea title svg canvas math audio video select".split())
+RAW = frozenset("script style noscript template iframe object textarea title svg canvas audio video select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody "
@@ -69,7 +69,10 @@ STOPS_HIGH = 0.12
 
 _PIECE = re.compile(
     r"<!--(?s:.*?)(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^<>\"'=]++"
+    # A quoted value may hold anything, markup too, if it ends where a value can.
+    r"|=\s*+\"[^\"]*+\"(?=[\s/>])|=\s*+'[^']*+'(?=[\s/>])"
+    r"|\"[^\"<]*+\"|'[^'<]*+'|[\"'=])*+)>"
     r"|<[!?/][^>]*+>"
     r"|(?P<text>[^<]++|<)"
 )
@@ -80,6 +83,8 @@ _WITHOUT = re.compile(r"(?i)\b(?:no|has|with|without)[-_]+[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: The next start or end of a link.
+_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 
 
 class Block(NamedTuple):
@@ -87,6 +92,8 @@ class Block(NamedTuple):
     link_chars: int
     n_links: int
     in_article: bool
+    #: Whether the block begins inside a link, as the blocks of a linked card do.
+    in_link: bool = False
 
 
 class _Open(NamedTuple):
@@ -168,17 +175,20 @@ def blocks_of(html: str, lift: bool = False) -> list[Block]:
     parts: list[str] = []
     links = [0, 0]
     in_link, skip, breaks = False, False, 0
+    #: Whether the open link has an end of its own, and whether the block began in it.
+    ended, began = False, False
     closed: set[int] | None = None
 
     def flush() -> None:
-        nonlocal in_link
+        nonlocal in_link, began
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(text, links[0], links[1], bool(stack) and stack[-1].article))
+                blocks.append(Block(text, links[0], links[1], bool(stack) and stack[-1].article, began))
             parts.clear()
-        links[:] = [0, 0]
-        in_link = False
+        # A link that nothing ends goes no further than its block.
+        in_link = began = in_link and ended
+        links[:] = [0, int(in_link)]
 
     for start, text, name, closing, attributes in _pieces(html):
         if text is not None:
@@ -202,6 +212,9 @@ def blocks_of(html: str, lift: bool = False) -> list[Block]:
         if name == "a":
             in_link = not closing
             links[1] += not closing
+            if in_link:
+                following = _LINK.search(html, start + 2)
+                ended = following is not None and following[1] == "/"
             continue
         if name in BLOCKS:
             flush()
@@ -261,17 +274,19 @@ def _linked(block: Block) -> float:
 
 def _decide_article(block: Block) -> int:
     """The label of an article's block on its own."""
-    if _linked(block) > LINKED_ARTICLE and block.n_links > 1:
+    if _linked(block) > LINKED_ARTICLE and (block.n_links > 1 or block.in_link):
         return BAD
     return GOOD if len(block.text) >= SHORT else OPEN
 
 
-def _decide(block: Block) -> int:
-    """The label of any other block on its own."""
+def _decide(block: Block, known: bool = True) -> int:
+    """The label of any other block on its own; by links and length alone if the page's language is not ``known``."""
     if _linked(block) > LINKED:
         return BAD
     if len(block.text) < SHORT:
         return OPEN
+    if not known:
+        return GOOD
     words = _WORD.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if stops >= STOPS_HIGH:
@@ -279,6 +294,11 @@ def _decide(block: Block) -> int:
     return OPEN if stops >= STOPS_LOW else BAD
 
 
+def _known_language(blocks: list[Block]) -> bool:
+    """Whether a listed stop word stands anywhere on the page."""
+    return any(w in STOP_WORDS for b in blocks for w in _WORD.findall(b.text.lower()))
+
+
 def _has_article(blocks: list[Block]) -> bool:
     return any(b.in_article and _decide_article(b) == GOOD for b in blocks)
 
@@ -321,7 +341,8 @@ def labels_of(blocks: list[Block]) -> list[int]:
     """
     if not _has_article(blocks):
         # Nothing on the page speaks against a page of open blocks.
-        return _settle(blocks, [_decide(b) for b in blocks], GOOD)
+        known = _known_language(blocks)
+        return _settle(blocks, [_decide(b, known) for b in blocks], GOOD)
     out = [BAD] * len(blocks)
     for inside, decide, alone in ((True, _decide_article, GOOD), (False, _decide, BAD)):
         chosen = [i for i, b in enumerate(blocks) if b.in_article == inside]

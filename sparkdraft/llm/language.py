@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sparkdraft.functions.rows import evaluate_once
 from sparkdraft.llm.common import query, text_or_empty
@@ -243,27 +244,35 @@ def fit(
 ) -> LanguageModel:
     """Learn from the rows of ``docs`` with a text and a language.
 
-    The sample of a language is chosen by a hash of the rows, so that about
-    ``sample`` of them are clustered, all where there are fewer.  More than
-    ``max_languages`` languages are refused.  Without a labelled row the model
-    knows no language.
+    The sample of a language are its ``sample`` distinct texts of the smallest hash,
+    all where there are fewer: repeated rows are drawn as one, and no language is
+    without a sample.  More than ``max_languages`` languages are refused.  Without a
+    labelled row the model knows no language.
     """
     importable(docs.sparkSession)
-    labelled = docs.select(
-        text_or_empty(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("id")
-    ).filter("lang is not null and text <> ''")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1)
-    languages = sorted(counts.collect())
+    labelled = docs.select(text_or_empty(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text <> ''")
+    labelled = labelled.withColumn("hash", F.xxhash64(F.lit(1), "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    # A language's smallest hashes, and the last of them: one row per language.
+    ends = (
+        labelled.select("lang", "hash")
+        .distinct()
+        .withColumn("place", place)
+        .filter(F.col("place") <= sample)
+        .groupBy("lang")
+        .agg(F.max("hash").alias("last"))
+        .limit(max_languages + 1)
+    )
+    languages = sorted(ends.collect())
     if len(languages) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     names = [row["lang"] for row in languages]
     frequencies = _document_frequencies(labelled, dimensions)
     n_texts = frequencies[-1]
     idf = (np.log((1 + n_texts) / (1 + frequencies[:-1])) + 1).astype(np.float32)
-    share = F.coalesce(
-        *[F.when(F.col("lang") == row["lang"], F.lit(min(1.0, sample / row["n"]))) for row in languages], F.lit(0.0)
+    drawn = F.coalesce(
+        *[F.when(F.col("lang") == row["lang"], F.col("hash") <= row["last"]) for row in languages], F.lit(False)
     )
-    drawn = F.pmod(F.xxhash64(F.lit(1), "id", "text"), F.lit(1 << 40)) < share * float(1 << 40)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -282,6 +291,8 @@ def fit(
 
     learned = (
         labelled.filter(drawn)
+        .groupBy("lang", "hash")
+        .agg(F.first("text").alias("text"))
         .mapInPandas(vectors, "lang string, vector binary")
         .groupBy("lang")
         .applyInPandas(learn, "lang string, centroids binary")

@@ -59,10 +59,13 @@ def address_rule(name: str, verdict: str) -> Rule:
 
     The last token of a path that does not end in a separator may be the start of a
     longer one, so it is not a literal token.  Longer rules win over shorter ones.
+    A host holds no slash and a path that is not empty starts with one: what comes before
+    the first slash is the host, whatever line breaks either has.
     """
     host, slash, path = name.partition("/")
     path = slash + path
-    pattern = rf"(?:^|\.){re.escape(ascii_lower(host))}\n{re.escape(path)}"
+    rest = re.escape(path) or "(?![^/])"
+    pattern = rf"\A(?:[^/]*\.)?{re.escape(ascii_lower(host))}\n{rest}"
     whole = re.sub(_TOKEN + r"\Z", "", ascii_lower(path))
     return Rule(name, verdict, pattern, tokens_of(host + whole), 1_000_000 + len(name))
 
@@ -102,14 +105,17 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(both, F.lit(f"({_TOKEN})"), F.lit(1)))
 
 
-def rule_index(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+def rule_index(addresses: DataFrame, rules: DataFrame, in_tasks: bool = False) -> DataFrame:
     """``rules`` with ``token``: the token of each that is rarest in all ``addresses``.
 
     Ties go to the token that sorts first; rules without a literal token keep null.
     Tokens are counted in the tasks first, so the shuffle moves only what occurs in a rule.
+    ``in_tasks`` says that the rules are few enough to travel with the tasks; their tokens then do too.
     """
     literal = rules.select("rule", F.explode("tokens").alias("token"))
     wanted = literal.select("token").distinct()
+    if in_tasks:
+        wanted = F.broadcast(wanted)
     seen = addresses.select(F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
     counts = seen.join(wanted, "token").groupBy("token").agg(F.count("*").alias("n"))
     order = Window.partitionBy("rule").orderBy(F.coalesce("n", F.lit(0)), "token")
@@ -195,7 +201,7 @@ def judge_urls(
         [(r.name, r.verdict, r.pattern, list(r.tokens), r.rank) for r in rules],
         "rule string, verdict string, pattern string, tokens array<string>, rank bigint",
     )
-    index = rule_index(addresses, table)
+    index = rule_index(addresses, table, len(rules) <= max_indexed)
     if len(rules) <= max_indexed:
         judged = _judge_in_place(addresses, index.collect())
     else:

@@ -40,6 +40,18 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(LINE)), F.lit(""))
 
 
+def _escaped(key: Column) -> Column:
+    """A key as the value of a field: line ends would end it."""
+    text = F.regexp_replace(key.cast("string"), "%", "%25")
+    return F.regexp_replace(F.regexp_replace(text, "\r", "%0D"), "\n", "%0A")
+
+
+def key_field(name: str) -> Column:
+    """The key in a field, as it was before it was written."""
+    text = F.regexp_replace(F.regexp_replace(header_field(name), "%0A", "\n"), "%0D", "\r")
+    return F.regexp_replace(text, "%25", "%")
+
+
 def _record_id(key: Column, digest: Column) -> Column:
     """A record's own URI, the same whenever the same page is written."""
     h = F.md5(F.concat_ws("\x00", F.coalesce(key.cast("string"), F.lit("-")), digest))
@@ -58,12 +70,12 @@ def _header(first: Column) -> Column:
         _field("WARC-Record-ID", _record_id(F.col("page"), F.col("digest"))),
         _field("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
         _field("WARC-Target-URI", url),
-        _field("X-Page-ID", F.col("page")),
+        _field("X-Page-ID", _escaped(F.col("page"))),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         _field("X-Payload-Length", F.col("n_bytes")),
         _field("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         _field("WARC-Refers-To", F.when(revisit, _record_id(first, F.col("digest")))),
-        _field("X-Refers-To-Page-ID", F.when(revisit, first)),
+        _field("X-Refers-To-Page-ID", F.when(revisit, _escaped(first))),
         _field("Content-Type", F.lit("text/html; charset=utf-8")),
         _field("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes"))),
         F.lit(LINE),
@@ -185,9 +197,9 @@ def op4(pages: DataFrame) -> DataFrame:
     kind = dict(pages.dtypes)["page_id"]
     archive = write_archive(pages, new_folder(spark, "warc"))
     return read_records(spark, archive).select(
-        header_field("X-Page-ID").cast(kind).alias("page_id"),
+        key_field("X-Page-ID").cast(kind).alias("page_id"),
         "payload_bytes",
         "payload_digest",
         header_field("WARC-Type").alias("record_type"),
-        header_field("X-Refers-To-Page-ID").cast(kind).alias("refers_to"),
+        key_field("X-Refers-To-Page-ID").cast(kind).alias("refers_to"),
     )
