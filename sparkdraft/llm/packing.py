@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdraft.llm.common import query, text_or_empty
+from sparkdraft.llm.token_counts import Tokenizer as Cutter
+from sparkdraft.llm.token_counts import _words as words_between_spaces
 from sparkdraft.session import importable
 
 LENGTH = 4096
@@ -33,13 +35,14 @@ SEED = 42
 #: Bytes of text in a group, about; a group's ids fit a task's memory several times.
 GROUP_BYTES = 8_000_000
 #: Words whose ids a task remembers, twice at most.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Rooms below this are left as padding rather than cutting a document for them.
 LEAST_CUT = 16
 
 
-#: Words looked up at a time, about.
-_WORDS = 300_000
+#: Words looked up at a time, about, and texts that go through the tokenizer in one call.
+_WORDS = 150_000
+_CALL = 4_000
 
 #: Marks that no contraction begins with, and letters of ASCII and Latin-1, each one code point in both cases.
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
@@ -47,9 +50,11 @@ _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 class WordTokenizer:
-    """Ids of whole texts, word by word, from a tokenizer whose tokens never span white space.
+    """Ids of whole texts, word by word, where the tokenizer's tokens end with words.
 
-    Each distinct word (a run between the six ASCII white space characters) goes
+    Each distinct word (a run between the six ASCII white space characters, or what
+    :class:`Cutter` says for tokens that hold the space before a word; whole texts where
+    nothing is known of the tokenizer) goes
     through the tokenizer once as long as it is remembered: the words of the
     last generation and those of the one before that were used again.  Where the
     tokenizer lowers case and says which ids end a word, A-Z are lowered first, and
@@ -67,7 +72,8 @@ class WordTokenizer:
         shape = json.loads(definition)
         self.ends = self._word_ends(shape)
         lower = any(n.get("type") == "Lowercase" for n in (shape.get("normalizer") or {}).get("normalizers", []))
-        self.splits = lower and self.ends is not None
+        self.cut = Cutter._json_cut(shape)
+        self.splits = lower and self.ends is not None and self.cut is words_between_spaces
 
     @staticmethod
     def _word_ends(shape: dict) -> np.ndarray | None:
@@ -82,14 +88,21 @@ class WordTokenizer:
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """Each word through the tokenizer on its own."""
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [np.array(encoding.ids, dtype="<u4").tobytes() for encoding in found]
+        return [ids.tobytes() for ids in self._encoded([w.decode("utf-8") for w in words])]
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; few texts at a time, as what the library returns is far larger than they are."""
+        for start in range(0, len(texts), _CALL):
+            for encoding in self.tokenizer.encode_batch_fast(texts[start : start + _CALL], add_special_tokens=False):
+                yield np.array(encoding.ids, dtype="<u4")
 
     def _letter_ids(self, words: list[bytes]) -> list[bytes]:
         """The same for words of letters, many in one text: each ends in an id that ends a word."""
+        if not words:
+            return []
         lines = [b" ".join(words[i : i + 200]).decode("utf-8") for i in range(0, len(words), 200)]
-        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.array([i for encoding in found for i in encoding.ids], dtype="<u4")
+        found = [ids for i in range(0, len(lines), 20) for ids in self._encoded(lines[i : i + 20])]
+        ids = np.concatenate(found)
         stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(stops) != len(words):
             return self._ids(words)
@@ -144,11 +157,7 @@ class WordTokenizer:
         held: list[list[bytes]] = []
         size = 0
         for text in texts:
-            body = text.encode("utf-8")
-            # A special token in capitals is none.
-            if self.splits and b"<|" not in body:
-                body = body.lower()
-            held.append(body.split())
+            held.append(self.cut(text))
             size += len(held[-1])
             if size >= _WORDS:
                 yield from self._joined(held)

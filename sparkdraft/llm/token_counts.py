@@ -39,6 +39,8 @@ ENTRY_BYTES = 64
 REMEMBERED = 200_000
 #: Pre-tokens looked up at a time, about.
 _WORDS = 300_000
+#: Texts that go through the tokenizer in one call.
+_CALL = 4_000
 
 #: The pre-tokenizer pattern (fixed value) whose tokens hold no white space, as it keeps matches only.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -96,8 +98,12 @@ class Tokenizer:
             self.cut = self._piece_cut()
 
     def _json_lengths(self, words: list[bytes]) -> list[int]:
-        found = self._library.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [len(e.ids) for e in found]
+        found: list[int] = []
+        # Few at a time, as what the library returns is far larger than the words.
+        for start in range(0, len(words), _CALL):
+            texts = [w.decode("utf-8") for w in words[start : start + _CALL]]
+            found += (len(e) for e in self._library.encode_batch_fast(texts, add_special_tokens=False))
+        return found
 
     def _piece_lengths(self, words: list[bytes]) -> list[int]:
         found = self._library.encode([w.decode("utf-8") for w in words], num_threads=1)
