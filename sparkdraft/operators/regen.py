@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkdraft.functions.hashing import seeded_fraction
 from sparkdraft.functions.text import word_count
 from sparkdraft.operators.rowindex import running_totals
+from sparkdraft.session import stored
 
 # Messages of rejected rows and the weights of the effort choice.
 STARTS_WITH_ASSISTANT = "Data starts with an assistant message"
@@ -113,6 +114,63 @@ def plan_requests(turns: DataFrame) -> DataFrame:
     )
 
 
+def request_messages(turns: DataFrame) -> DataFrame:
+    """The requests as a linked table: ``conv_id, request, previous, place, turn, role, text``.
+
+    One row per system or user turn, filed under the request that sends it first: the
+    next user turn, or its own.  ``place`` is its place among all messages of the
+    request's context.  ``previous`` is the request whose context and answer come
+    before (null for the first), so no row is copied from request to request.  System
+    turns after the last user turn belong to no request.
+    """
+    counted = running_totals(
+        turns.filter(F.col("role").isin("system", "user")).select("conv_id", "turn", "role", "text"),
+        "conv_id",
+        "turn",
+        {"request": (F.col("role") == "user").cast("bigint"), "_said": F.lit(1).cast("bigint")},
+    )
+    asked = turns.filter("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("_asked"))
+    return counted.join(asked, "conv_id").filter("request < _asked").select(
+        "conv_id",
+        "request",
+        F.when(F.col("request") > 0, F.col("request") - 1).alias("previous"),
+        # Each earlier request has had its answer.
+        (F.col("_said") + F.col("request")).alias("place"),
+        "turn",
+        "role",
+        "text",
+    )
+
+
+def request_context(messages: DataFrame, wanted: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """All messages of the ``wanted(conv_id, request)``: ``conv_id, request, place, role, text``.
+
+    The links of the linked table are followed by pointer doubling: in each round what is
+    known of a request grows by what is known of the one it points to, so that the
+    longest conversation takes the logarithm of its requests in rounds.  ``answers``
+    (``conv_id, request, text``) are the replies to earlier requests; without them
+    their places are left out.
+    """
+    links = messages.select("conv_id", "request", "previous").distinct()
+    # A request reaches itself, and over its pointer the requests at ever greater distance.
+    reach = wanted.select("conv_id", "request", F.col("request").alias("at"))
+    jump = links.filter("previous is not null").select("conv_id", F.col("request").alias("at"), F.col("previous").alias("to"))
+    while not jump.isEmpty():
+        further = reach.join(jump, ["conv_id", "at"]).select("conv_id", "request", F.col("to").alias("at"))
+        reach = stored(reach.unionByName(further), "reach")
+        onward = jump.select("conv_id", F.col("at").alias("to"), F.col("to").alias("far"))
+        jump = stored(jump.join(onward, ["conv_id", "to"]).select("conv_id", "at", F.col("far").alias("to")), "jumps")
+    said = messages.select("conv_id", F.col("request").alias("at"), "place", "role", "text")
+    if answers is not None:
+        after = messages.filter("role = 'user'").select("conv_id", "request", (F.col("place") + 1).alias("place"))
+        replies = answers.join(after, ["conv_id", "request"]).select(
+            # A reply is part of the context of the requests after its own.
+            "conv_id", (F.col("request") + 1).alias("at"), "place", F.lit("assistant").alias("role"), "text"
+        )
+        said = said.unionByName(replies)
+    return reach.join(said, ["conv_id", "at"]).select("conv_id", "request", "place", "role", "text")
+
+
 class _Talk:
     """One conversation under way: its context so far, and why it ended."""
 
@@ -137,7 +195,11 @@ class _Talk:
         if role == "system":
             return None
         try:
-            reply = {"thinking": None, **self.responder(list(self.context), self.params)}
+            given = self.responder(list(self.context), self.params)
+            reply = {"content": given["content"], "thinking": given.get("thinking")}
+        except KeyError as e:
+            self.error = f"the reply has no {e.args[0]}" if e.args else "the reply is incomplete"
+            return None
         except Exception as e:  # any failure of the model ends the conversation as an error
             self.error = str(e)
             return None

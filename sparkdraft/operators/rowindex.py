@@ -2,70 +2,48 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Upper bound on buckets, and so on rows of the broadcast offset table.
-MAX_BUCKETS = 32_768
-_FANOUT = 181
+from sparkdraft.session import stored
 
 #: Positions per chunk when a group is cut along its own order.
 CHUNK = 512
 
 
-def _bucket(key: Column, bounds: list) -> Column:
-    """How many bounds are at or below the key, found in two short scans."""
-    if not bounds:
-        return F.lit(0)
-    tops = bounds[_FANOUT - 1 :: _FANOUT]
-    parts = [bounds[i : i + _FANOUT] for i in range(0, len(bounds), _FANOUT)]
-    if len(parts) == len(tops):
-        parts.append([])
-    top = F.lit(0) if not tops else F.size(F.filter(F.array(*map(F.lit, tops)), lambda b: b <= key))
-    kind = f"array<{'double' if isinstance(bounds[0], float) else 'bigint'}>"
-    rest = F.get(F.array(*[F.array(*map(F.lit, p)).cast(kind) for p in parts]), top)
-    return top * _FANOUT + F.size(F.filter(rest, lambda b: b <= key))
+#: A number that Spark gives a row holds the partition above these bits and the place in it below.
+_PLACE_BITS = 33
 
 
-def with_row_index(
-    df: DataFrame,
-    key: str,
-    order_by: list[Column] | None = None,
-    name: str = "idx",
-    rows_per_bucket: int = 1_000_000,
-) -> DataFrame:
-    """Number the rows 0, 1, 2, … in the order of a unique numeric ``key``.
+def with_row_index(df: DataFrame, key: str, order_by: list[Column] | None = None, name: str = "idx") -> DataFrame:
+    """Number the rows 0, 1, 2, … in the order of a unique ``key``, or of ``order_by``; null keys come first.
 
-    A light pass over the key finds bucket bounds, another counts per bucket,
-    and the rows are numbered inside their bucket.  The bounds are
-    constants in the plan, so a retried task sorts rows into the same buckets.
-    ``order_by`` refines the order where ``key`` is a monotone stand-in, for
-    instance the leading digits of a digest.
+    The rows are dealt into ranges of the key by bounds that Spark samples, sorted
+    there and stored, each with its range and its place in it.  A row's number is its
+    place plus the rows of the ranges before, of which the driver adds up one count per
+    range.  The plan is the same for ten rows and for any number of them: there are
+    as many ranges as shuffle partitions (less those that adaptive execution joins),
+    and no task sees more than a range.
     """
-    wanted = min(MAX_BUCKETS, max(1, -(-df.count() // rows_per_bucket)))
-    bounds = []
-    if wanted > 1:
-        steps = [i / wanted for i in range(1, wanted)]
-        found = df.agg(F.percentile_approx(key, F.lit(steps), F.lit(20 * wanted))).first()[0]
-        bounds = sorted(set(found or []))
-    marked = df.withColumn("_bucket", _bucket(F.col(key), bounds))
-    ordered = [F.col(key)] if order_by is None else order_by
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*ordered)) - 1
-    if not bounds:
-        return marked.withColumn(name, local.cast("bigint")).drop("_bucket")
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most MAX_BUCKETS rows, whatever the data: a safe window and broadcast.
-    offsets = (
-        marked.groupBy("_bucket")
-        .agg(F.count("*").alias("_n"))
-        .select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    order = [F.col(key)] if order_by is None else order_by
+    placed = stored(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()),
+        "row-index",
+    ).withColumn("_range", F.shiftright("_at", _PLACE_BITS))
+    sizes = sorted(map(tuple, placed.groupBy("_range").agg(F.count("*")).collect()))
+    starts = accumulate((n for _, n in sizes), initial=0)
+    offsets = df.sparkSession.createDataFrame(
+        [(number, start) for (number, _), start in zip(sizes, starts)], "_range bigint, _before bigint"
     )
+    place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    # One row per range.
     return (
-        marked.withColumn("_local", local)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint"))
-        .drop("_bucket", "_local", "_offset")
+        placed.join(F.broadcast(offsets), "_range")
+        .withColumn(name, F.col("_before") + place)
+        .drop("_range", "_at", "_before")
     )
 
 

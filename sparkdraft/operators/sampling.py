@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkdraft.functions.arrays import total
-from sparkdraft.functions.hashing import leading_number, seeded_fraction, seeded_hex
+from sparkdraft.functions.hashing import seeded_fraction, seeded_hex
 from sparkdraft.operators.rowindex import with_row_index
 
 
@@ -21,13 +21,10 @@ def hash_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.withColumn("shuffle_key", seeded_hex(seed, F.col(key))).orderBy("shuffle_key", key)
 
 
-def shuffle_rank(df: DataFrame, key: str, seed: int = 42, name: str = "position", **options) -> DataFrame:
+def shuffle_rank(df: DataFrame, key: str, seed: int = 42, name: str = "position") -> DataFrame:
     """The position of every row in the seeded order of :func:`hash_shuffle`."""
-    hexed = df.withColumn("_hex", seeded_hex(seed, F.col(key))).withColumn(
-        "_lead", leading_number(F.col("_hex"), 15)
-    )
-    ranked = with_row_index(hexed, "_lead", [F.col("_hex"), F.col(key)], name, **options)
-    return ranked.drop("_hex", "_lead")
+    hexed = df.withColumn("_hex", seeded_hex(seed, F.col(key)))
+    return with_row_index(hexed, key, [F.col("_hex"), F.col(key)], name).drop("_hex")
 
 
 def hash_split(

@@ -3,6 +3,8 @@
 All of it is per row: arrays in, arrays out, no shuffle.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +15,7 @@ from sparkdraft.functions.arrays import shift
 from sparkdraft.functions.rows import explode_rows
 from sparkdraft.functions.text import find_all, quote
 from sparkdraft.operators.templates import Template, get_template
-from sparkdraft.operators.tokens import VOCAB_SIZE, pieces, token_ids
+from sparkdraft.operators.tokens import TOKEN, VOCAB_SIZE, pieces, token_ids
 
 # Terminators of the round and channel formats.
 ROUND_END = ("[", r"Round \d+\] USER:")
@@ -183,6 +185,67 @@ def segments(text: Column, parts: Column, header: str, last_only: bool = False)
     )
 
 
+def edges_part_tokens(template: str | Template, kind: str | None = None) -> bool:
+    """Whether the marks of a template keep tokens from reaching over the edges of its spans.
+
+    A token of more than one character is a run of letters and digits or a marker
+    ``<|name|>``.  A span starts after the header, and ends after the end mark or
+    before the mark that follows it (or before a line break, or with the text).
+    """
+    t = get_template(template) if isinstance(template, str) else template
+    chosen = kind or ("channels" if t.parser_type == "openai-harmony" else t.pattern_type)
+    header, _ = template_pattern(t, kind)
+    kept = {"pair": [], "channels": []}.get(chosen, [t.end_of_turn] if t.end_of_turn else [])
+    following = {"pair": [f"{t.end_of_turn or ''}{t.user_header}"], "channels": [CHANNEL_USER], "round": []}.get(
+        chosen, [] if t.end_of_turn else [t.user_header]
+    )
+    after = all(re.search(r"[^0-9A-Za-z_<|]\Z", mark) for mark in (header, *kept))
+    # A round ends with its user mark, which is kept and ends in a colon.
+    return after and all(re.match(r"[^0-9A-Za-z_|>]", mark) for mark in following)
+
+
+def prefix_mask(token_texts: Column, spans: Column) -> Column:
+    """1 for the tokens between the token counts of the text up to a span's start and up to its end.
+
+    The tokens whose end is not past an edge are found by one search over the ends of all
+    tokens of a batch.  A token that reaches over the edge counts for as many tokens
+    as its part before the edge has on its own.
+    """
+    whole = re.compile(TOKEN)
+
+    @F.arrow_udf("array<int>")
+    def mask(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+        tokens = texts.flatten()
+        width = pc.utf8_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = _sums_before(width, lengths)
+        stop = start + width
+        first, n_spans = _flat(firsts)
+        last = _flat(lasts)[0]
+        wide = int(max(stop.max(initial=0), last.max(initial=0))) + 2
+        ends = np.repeat(np.arange(len(lengths)), lengths) * wide + stop
+        base, of = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(n_spans)), n_spans)
+
+        def counted(edge: np.ndarray) -> np.ndarray:
+            """Where the token after each edge stands among all tokens, not past its row's last."""
+            at = np.searchsorted(ends, of * wide + edge, "right")
+            limit = base[of] + lengths[of]
+            inside = np.flatnonzero(at < limit)
+            for i in inside[start[at[inside]] < edge[inside]].tolist():
+                part = tokens[int(at[i])].as_py()[: int(edge[i] - start[at[i]])]
+                at[i] += len(whole.findall(part))
+            return np.minimum(at, limit)
+
+        steps = np.zeros(len(width) + 1, np.int64)
+        opening, closing = counted(first), counted(last)
+        some = opening < closing
+        np.add.at(steps, opening[some], 1)
+        np.add.at(steps, closing[some], -1)
+        return _listed((np.cumsum(steps)[:-1] > 0).astype(np.int32), lengths, texts)
+
+    return mask(token_texts, F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]))
+
+
 def masked_tokens(
     df: DataFrame,
     text: str,
@@ -194,11 +257,23 @@ def masked_tokens(
 ) -> DataFrame:
     """Add ``pieces, input_ids, loss_mask, attention_mask`` under the prefix rule.
 
-    A span's tokens are those between the token counts of the text up to its
-    start and up to its end.  The text is cut at the span edges and each part
-    tokenised on its own, which gives just these counts in one linear pass.
+    The pieces are those of the whole text.  A span's tokens are those between the
+    token counts of the text up to its start and up to its end.  Where no token can
+    reach over a span's edge, the text is cut there and each part tokenised on its
+    own, which gives just these counts in one linear pass; else :func:`prefix_mask`
+    finds them from the offsets of the whole text's tokens.
     """
     header, _ = template_pattern(template, kind)
+    if not edges_part_tokens(template, kind):
+        spanned = assistant_spans(df, text, template, kind, last_only)
+        found = pieces(F.col(text))
+        if max_length is not None:
+            found = F.slice(found, 1, max_length)
+        rows = spanned.withColumn("pieces", found)
+        rows = rows.withColumn("loss_mask", prefix_mask(F.col("pieces"), F.col("spans"))).drop("spans")
+        return rows.withColumn("input_ids", token_ids(F.col("pieces"), vocab_size)).withColumn(
+            "attention_mask", F.array_repeat(F.lit(1), F.size("pieces"))
+        )
     parted = df.withColumn("_p", span_parts(F.col(text), template, kind))
     tokenised = F.transform(
         segments(F.col(text), F.col("_p"), header, last_only),

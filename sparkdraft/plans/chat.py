@@ -11,7 +11,7 @@ from sparkdraft.operators import render as R
 from sparkdraft.operators import spans as SP
 from sparkdraft.operators import tokens as TK
 from sparkdraft.operators import turns as TN
-from sparkdraft.operators.templates import TEMPLATES, get_template
+from sparkdraft.operators.templates import Template, TEMPLATES, get_template
 from sparkdraft.plans.corpus import HEAD_SQL, REST_SQL, head_rest
 from sparkdraft.plans.dataset import build_dataset, image_texts
 from sparkdraft.plans.registry import Tables, query
@@ -644,6 +644,24 @@ def mask_prefix(t: Tables) -> DataFrame:
     return mask_summary(SP.masked_tokens(chatml_texts(t), "text", "qwen"), "doc_id")
 
 
+# Marks of letters, which run together with the words beside them.
+PLAIN_MARKS = Template("BOT", "USR", None, "END")
+
+
+@query(
+    "mask_prefix_any_template",
+    f"""
+    with rendered as (
+        select doc_id as id, 'USR' || replace(text, chr(10), 'ENDBOT') || 'END' as txt from documents),
+    {regex_spans_sql("BOT", "END")}, {PREFIX_MASK_SQL} {MASK_COLUMNS_SQL}
+    """,
+)
+def mask_prefix_any_template(t: Tables) -> DataFrame:
+    text = F.concat(F.lit("USR"), F.replace("text", F.lit("\n"), F.lit("ENDBOT")), F.lit("END"))
+    rows = t.spread_documents.select("doc_id", text.alias("text"))
+    return mask_summary(SP.masked_tokens(rows, "text", PLAIN_MARKS), "doc_id")
+
+
 def offset_mask_sql(candidate: str, inside: str) -> str:
     """Judge each token ``[s, e)`` by the last span ``[ss, se)`` that is a candidate."""
     return f"""

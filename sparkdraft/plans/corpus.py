@@ -468,7 +468,7 @@ def sink_summary(t: Tables) -> DataFrame:
 
 @query("row_index", "select doc_id, cast(row_number() over (order by doc_id) - 1 as bigint) as idx from documents")
 def row_index(t: Tables) -> DataFrame:
-    return with_row_index(t.documents.select("doc_id"), "doc_id", rows_per_bucket=500)
+    return with_row_index(t.documents.select("doc_id"), "doc_id")
 
 
 @query("head_sample", "select doc_id, lang, n_chars from documents order by doc_id limit 100")
@@ -508,7 +508,7 @@ def split_exact(t: Tables) -> DataFrame:
     """,
 )
 def seeded_shuffle(t: Tables) -> DataFrame:
-    return S.shuffle_rank(t.documents.select("doc_id"), "doc_id", rows_per_bucket=500)
+    return S.shuffle_rank(t.documents.select("doc_id"), "doc_id")
 
 
 @query("hash_shuffle", "select doc_id, md5('42|' || doc_id) as shuffle_key from documents")

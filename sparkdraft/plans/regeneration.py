@@ -30,6 +30,52 @@ def regen_plan(t: Tables) -> DataFrame:
     return RG.plan_requests(t.conversations)
 
 
+MESSAGES_SQL = """
+    told as (
+        select conv_id, turn, role, text, count(*) filter (where role = 'user') over before as request,
+               count(*) over before as said, count(*) filter (where role = 'user') over (partition by conv_id) as asked
+        from conversations where role in ('system', 'user')
+        window before as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)),
+    messages as (
+        select conv_id, request, case when request > 0 then request - 1 end as previous, said + request as place,
+               turn, role, text
+        from told where request < asked)
+"""
+
+
+@query(
+    "regen_messages",
+    f"with {MESSAGES_SQL} select conv_id, request, previous, place, turn, role, md5(text) as text_md5 from messages",
+)
+def regen_messages(t: Tables) -> DataFrame:
+    return RG.request_messages(t.conversations).select(
+        "conv_id", "request", "previous", "place", "turn", "role", F.md5("text").alias("text_md5")
+    )
+
+
+@query(
+    "regen_context",
+    f"""
+    with {MESSAGES_SQL}, wanted as (select conv_id, max(request) as request from messages group by conv_id),
+    replies as (
+        select conv_id, request + 1 as request, place + 1 as place, 'assistant' as role, 'answer ' || request as text
+        from messages where role = 'user')
+    select w.conv_id, w.request, m.place, m.role, md5(m.text) as text_md5
+    from wanted w join (select conv_id, request, place, role, text from messages union all select * from replies) m
+    on m.conv_id = w.conv_id and m.request <= w.request
+    """,
+)
+def regen_context(t: Tables) -> DataFrame:
+    """The whole context of each conversation's last request, with an answer to each earlier one."""
+    messages = RG.request_messages(t.conversations)
+    wanted = messages.groupBy("conv_id").agg(F.max("request").alias("request"))
+    asked = messages.filter("role = 'user'").select("conv_id", "request")
+    answers = asked.withColumn("text", F.concat(F.lit("answer "), F.col("request").cast("string")))
+    return RG.request_context(messages, wanted, answers).select(
+        "conv_id", "request", "place", "role", F.md5("text").alias("text_md5")
+    )
+
+
 STATUS_SQL = f"""
     {MESSY_SQL},
     judged as (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -167,12 +168,84 @@ def cache_key_column(*parts: Column) -> Column:
     return F.md5(F.concat_ws("-", *[p.cast("string") for p in parts]))
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system of ``path``, and a maker of its paths."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly below ``path``, sorted, hidden ones left out."""
+    files, at = _file_system(spark, path)
+    if not files.exists(at(path)):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(at(path)) if f.getPath().getName()[0] not in "._")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    files, at = _file_system(spark, path)
+    files.delete(at(path), True)
+
+
+def publish(df: DataFrame, path: str, number: int = 0, keep: int = 2) -> None:
+    """Make ``df`` the table at ``path``; readers see the old one whole or the new one whole.
+
+    The rows go to a folder of their own.  Then one small file, the pointer of this
+    ``number``, is renamed into place; it names the folder, and exists or does not.
+    The highest number counts.  What only older pointers name is removed but for
+    ``keep`` versions, so that a reader who has followed a pointer can finish; folders
+    of writers that never got to publish go with the numbers below theirs.  Publishing a
+    number again leaves what was published first.
+    """
+    spark = df.sparkSession
+    name = f"{number:020d}"
+    if name in folders(spark, f"{path}/pointers"):
+        return
+    folder = f"{name}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/versions/{folder}")
+    files, at = _file_system(spark, path)
+    waiting = at(f"{path}/pointers/.{folder}")
+    out = files.create(waiting, True)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    if not files.rename(waiting, at(f"{path}/pointers/{name}")):
+        files.delete(waiting, False)  # another writer published this number first
+    # Pointers go before the folders they name.
+    for old in folders(spark, f"{path}/pointers")[:-keep]:
+        remove(spark, f"{path}/pointers/{old}")
+    oldest = folders(spark, f"{path}/pointers")[0]
+    for old in folders(spark, f"{path}/versions"):
+        if old.split("-")[0] < oldest:
+            remove(spark, f"{path}/versions/{old}")
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """The folder that the highest pointer names; None before the first."""
+    pointers = folders(spark, f"{path}/pointers")
+    if not pointers:
+        return None
+    (line,) = spark.read.text(f"{path}/pointers/{pointers[-1]}").first()
+    return f"{path}/versions/{line}"
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path`` as last published."""
+    folder = published(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(folder)
+
+
 def cached(spark: SparkSession, root: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table stored under ``root/key``, built and written on first use."""
+    """The table stored under ``root/key``, built and published on first use.
+
+    Two builders of one key write side by side; all readers see the one published first.
+    """
     path = f"{root.rstrip('/')}/{key}"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if published(spark, path) is None:
+        publish(build(), path)
+    return read_published(spark, path)
 
 
 def result_name(name: str | None, stamp: Column) -> Column:

@@ -8,16 +8,15 @@ micro-batch overwrites its own output folder, so nothing is written twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sparkdraft.operators.regen import Responder, regenerate, route
 from sparkdraft.operators.training_metrics import metric_windows
 from sparkdraft.operators.vocab import token_frequency
 from sparkdraft.plans.dataset import build_dataset
-from sparkdraft.sources.files import exists
+from sparkdraft.sources.files import exists, folders, publish, remove
 from sparkdraft.sources.jsonl import clean_lines
 
 
@@ -30,20 +29,6 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All finished micro-batches below ``path``; no rows before the first."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
-
-
-def stored_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The same with the number of the micro-batch that wrote a row, as ``batch``."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
-
 def ingest(lines: DataFrame, good_path: str, rejects_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """JSON lines to a table of clean conversations and a table of rejects."""
 
@@ -67,18 +52,33 @@ def training_rows(
 
 
 def token_counts(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Running loss-token counts; the table at ``path`` holds the latest ones.
+    """Running loss-token counts; :func:`read_published` of ``path`` gives the latest ones.
 
-    State and table have one row per id of the target vocabulary.
+    State and table have one row per id of the target vocabulary.  Each micro-batch
+    publishes a version of its own, so that a reader never meets half a table.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+        publish(batch.coalesce(1), path, batch_id)
 
     counts = token_frequency(rows)
     return _start(counts.writeStream.outputMode("complete").foreachBatch(write), checkpoint, once)
 
 
+def first_of_each(rows: DataFrame, id: str, time: str | None = None, lateness: str = "1 day") -> DataFrame:
+    """One row per id over the life of a stream, by keyed state.
+
+    The state holds the ids seen, spread over the shuffle partitions; it is part of
+    the checkpoint, so a replayed micro-batch finds it as it was.  With a ``time``
+    column an id is kept until the watermark has passed the row by ``lateness``, which
+    bounds the state; without one it is kept for good.  Null ids count as one id.
+    """
+    named = rows.withColumn(id, F.col(id).cast("string"))
+    if time is None:
+        return named.dropDuplicates([id])
+    return named.withWatermark(time, lateness).dropDuplicatesWithinWatermark([id])
+
+
 def regeneration(
     conversations: DataFrame,
     responder: Responder,
@@ -88,33 +88,35 @@ def regeneration(
     checkpoint: str,
     once: bool = True,
     id: str = "id",
+    time: str | None = None,
+    lateness: str = "1 day",
 ) -> StreamingQuery:
     """Answer new conversations; those already answered or failed are passed over.
 
-    Ids seen in earlier micro-batches are found by an anti-join with the stored
-    outputs, which keeps no state in the stream and survives any restart.  The
-    answers of a micro-batch are first written to a folder of their own.  When the
+    Ids seen in earlier micro-batches are in the stream's state
+    (:func:`first_of_each`), so a micro-batch reads its own input only, whatever was
+    stored before.  Its answers are first written to a folder of their own.  When the
     batch is replayed, that folder is used again if it was finished, so the model
-    is asked once and the outputs come out the same.
+    is asked once and the outputs come out the same.  A micro-batch begins after the one
+    before it is done with: it removes the folders of earlier ones.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         answers = f"{checkpoint}/answers/batch={batch_id}"
-        if not exists(spark, f"{answers}/_SUCCESS"):
-            keyed = batch.withColumn(id, F.col(id).cast("string")).dropDuplicates([id])
-            seen = T.StructType([T.StructField(id, T.StringType()), T.StructField("batch", T.LongType())])
-            earlier = [
-                stored_batches(spark, path, seen).filter(F.col("batch") < batch_id).select(id)
-                for path in (success_path, error_path)
-            ]
-            fresh = keyed.join(earlier[0].union(earlier[1]), id, "left_anti")
-            regenerate(fresh, responder, params).write.mode("overwrite").parquet(answers)
+        if exists(spark, f"{answers}/_SUCCESS"):
+            batch.write.format("noop").mode("overwrite").save()  # the state takes the ids again
+        else:
+            regenerate(batch, responder, params).write.mode("overwrite").parquet(answers)
         success, errors = route(spark.read.parquet(answers))
         _write_batch(errors, error_path, batch_id)
         _write_batch(success, success_path, batch_id)
+        for folder in folders(spark, f"{checkpoint}/answers"):
+            if folder.startswith("batch=") and int(folder.removeprefix("batch=")) < batch_id:
+                remove(spark, f"{checkpoint}/answers/{folder}")
 
-    return _start(conversations.writeStream.foreachBatch(write), checkpoint, once)
+    fresh = first_of_each(conversations, id, time, lateness)
+    return _start(fresh.writeStream.foreachBatch(write), checkpoint, once)
 
 
 def live_metrics(

@@ -1,5 +1,7 @@
 """Regeneration, and the streaming jobs against their batch forms."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from sparkdraft.operators.training_metrics import metric_windows
 from sparkdraft.operators.vocab import token_frequency
 from sparkdraft.plans.dataset import build_dataset
 from sparkdraft.sources.jsonl import as_messages, clean_lines, read_conversations
+from sparkdraft.sources.files import read_published
 from sparkdraft.streaming import jobs
 
 SCHEMA = "id string, conversations array<struct<role:string, content:string>>"
@@ -187,7 +190,7 @@ def test_stream_rows_and_counts_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, streamed.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
     rows = spark.readStream.schema(streamed.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "rows"))
     jobs.token_counts(rows, str(tmp_path / "counts"), str(tmp_path / "ck2")).awaitTermination()
-    got = {r.token_id: r.freq for r in spark.read.parquet(str(tmp_path / "counts")).collect()}
+    got = {r.token_id: r.freq for r in read_published(spark, str(tmp_path / "counts")).collect()}
     assert got == {r.token_id: r.freq for r in token_frequency(batch).collect()}
 
 
@@ -219,6 +222,34 @@ def test_stream_regeneration_resumes(spark, tmp_path):
     (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
     jobs.regeneration(stream(), never, *args).awaitTermination()
     assert outcome() == done
+    assert [p.name for p in (tmp_path / "ck" / "answers").glob("batch=*")] == [f"batch={commits[-1].name}"]
+
+
+def test_stream_regeneration_reads_no_output_of_its_own(spark, tmp_path):
+    """Each run writes elsewhere: what was handled is in the state, with and without a watermark."""
+    for name, options in (("plain", {}), ("bounded", {"time": "at", "lateness": "1 hour"})):
+        base = tmp_path / name
+        kind = SCHEMA + ", at timestamp" if isinstance(SCHEMA, str) else SCHEMA.add("at", "timestamp")
+        asked = spark.sparkContext.accumulator(0)
+
+        def count(messages, params, asked=asked):
+            asked.add(1)
+            return {"content": "x"}
+
+        def run(ids, part):
+            at = datetime.datetime(2024, 1, 1)
+            rows = [(str(i), say(("user", f"q {i}")), at) for i in ids]
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(base / "in"))
+            source = spark.readStream.schema(kind).parquet(str(base / "in"))
+            jobs.regeneration(
+                source, count, RG.request_parameters(**PARAMS), str(base / part), str(base / "err"), str(base / "ck"), **options
+            ).awaitTermination()
+            return sorted(r.id for r in spark.read.parquet(str(base / part)).collect())
+
+        assert run(range(5), "first") == list("01234")
+        assert run([3, 4, 5, 5], "second") == ["5"]
+        assert run([0, 6, 7], "third") == ["6", "7"]
+        assert asked.value == 8
 
 
 def test_live_windows_equal_batch_for_closed_windows(spark, tmp_path):

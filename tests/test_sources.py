@@ -1,5 +1,6 @@
 """Readers, normalisers, sinks, sampling and indexing on small fixtures."""
 
+import re
 import hashlib
 import json
 import math
@@ -208,13 +209,29 @@ def test_load_corpus_subsets(spark, tmp_path):
         register_corpus("camel", CATALOG["camel"])
 
 
-@pytest.mark.parametrize("per_bucket", [10, 137, 10_000])
-def test_row_index_is_dense_and_ordered(spark, per_bucket):
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_row_index_is_dense_and_ordered(spark, coalesced, kind):
     # Keys with wide gaps, so that equal-width buckets would be useless.
-    keys = sorted({i**3 % 100_003 for i in range(1000)})
-    rows = spark.createDataFrame([(k,) for k in keys], "k long").repartition(7)
-    got = {r.k: r.idx for r in with_row_index(rows, "k", rows_per_bucket=per_bucket).collect()}
-    assert got == {k: i for i, k in enumerate(keys)}
+    keys = sorted({i**3 % 100_003 for i in range(1000)}) if kind == "long" else sorted({f"k{i}" for i in range(999)})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        rows = spark.createDataFrame([(None, "x"), *((k, "y") for k in keys)], f"k {kind}, v string").repartition(7)
+        numbered = with_row_index(rows, "k")
+        assert numbered.columns == ["k", "v", "idx"]
+        got = {r.k: r.idx for r in numbered.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {k: i for i, k in enumerate([None, *keys])}
+
+
+def test_row_index_has_one_plan_for_all_sizes(spark):
+    plans = [
+        with_row_index(spark.range(n).withColumnRenamed("id", "k"), "k")._jdf.queryExecution().optimizedPlan().toString()
+        for n in (10, 100_000)
+    ]
+    shapes = [re.sub(r"#\d+L?|\d{2,}|parquet.*", "", p) for p in plans]
+    assert shapes[0] == shapes[1] and "Window" not in shapes[0]
 
 
 def test_row_index_of_nothing(spark):
@@ -238,7 +255,7 @@ def test_exact_split_and_shuffle(spark):
     assert 120 < loose < 210
     order = [r.id for r in S.hash_shuffle(rows, "id").collect()]
     assert order == sorted(range(333), key=lambda i: (md5(f"42|{i}"), i)) and order != list(range(333))
-    ranks = {r.id: r.position for r in S.shuffle_rank(rows, "id", rows_per_bucket=20).collect()}
+    ranks = {r.id: r.position for r in S.shuffle_rank(rows, "id").collect()}
     assert [ranks[i] for i in order] == list(range(333))
 
 
