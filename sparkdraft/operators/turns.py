@@ -185,15 +185,17 @@ def nest_turns(turns: DataFrame, max_tokens: int | None = None, size: int = CHUN
     A caller that cuts token sequences at ``max_tokens`` passes that number: a
     user's or an assistant's turn is rendered to one token at least, so turns after
     that many of them cannot reach the result, and are not gathered.  Turns of
-    other roles are not counted, as some templates write nothing for them.  The
-    cut is found from roles alone, per chunk and then per conversation; only
-    conversations that are cut meet it.  Not for work that looks at a
+    other roles are not counted, as some templates write nothing for them.  Turns are
+    numbered from 0, so only a conversation with a turn of that number can be cut, and a
+    scan that skips lower numbers by the files' statistics finds these.  Their
+    cut is found from roles alone, per chunk and then per conversation.  Not for work that looks at a
     conversation's end (last turn only, thinking templates).
     """
     rows = turns
     if max_tokens is not None:
         own = chunk_of(F.col("turn"), size)
-        chunks = turns.groupBy("conv_id", own.alias("_chunk")).agg(
+        far = turns.filter(F.col("turn") >= max_tokens).select("conv_id").distinct()
+        chunks = turns.join(far, "conv_id", "left_semi").groupBy("conv_id", own.alias("_chunk")).agg(
             F.count_if(F.col("role").isin("user", "assistant")).alias("_n")
         )
         before = Window.partitionBy("conv_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -740,7 +740,8 @@ def mask_overlap(t: Tables) -> DataFrame:
 
 def training_rows(t: Tables, template: str = "qwen") -> DataFrame:
     """The conversations table as training rows."""
-    nested = t.spread(TN.nest_turns(t.conversations, MAX_LENGTH), "conv_id")
+    # Not by conv_id: that is how the turns were gathered, in as few partitions as small tables get.
+    nested = t.spread(TN.nest_turns(t.conversations, MAX_LENGTH))
     return build_dataset(nested, template, MAX_LENGTH)
 
 

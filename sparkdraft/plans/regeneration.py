@@ -201,7 +201,7 @@ LENGTH_SQL = f"""
 
 @query("context_len", f"with {LENGTH_SQL} select conv_id, context_length from lengths")
 def context_len(t: Tables) -> DataFrame:
-    return RG.turn_context_length(t.conversations)
+    return RG.turn_context_length(t.spread_conversations)
 
 
 @query(
@@ -214,4 +214,4 @@ def context_len(t: Tables) -> DataFrame:
     """,
 )
 def context_stats(t: Tables) -> DataFrame:
-    return RG.context_stats(RG.turn_context_length(t.conversations))
+    return RG.context_stats(RG.turn_context_length(t.spread_conversations))
