@@ -99,11 +99,7 @@ def src_jsonl_rejects(t: Tables) -> DataFrame:
 
 @query("union_subsets", "select lang as subset, doc_id, n_chars from documents")
 def union_subsets(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "n_chars", "lang")
-    # The subsets are those that the table has, a missing one included.
-    langs = sorted((r["lang"] for r in docs.select("lang").distinct().collect()), key=lambda x: (x is None, x or ""))
-    parts = {lang: docs.filter(F.col("lang").eqNullSafe(F.lit(lang))).drop("lang") for lang in langs}
-    return files.merge_sources(parts).select("subset", "doc_id", "n_chars")
+    return files.tag_subsets(t.documents.select("lang", "doc_id", "n_chars"), "lang")
 
 
 @query(

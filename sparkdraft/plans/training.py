@@ -12,14 +12,15 @@ from sparkdraft.plans.corpus import metric_long
 from sparkdraft.plans.registry import QUERIES, Tables, query
 from sparkdraft.plans.shaping import BLOCK, LABEL_SQL, anchored
 
-TARGET_IDS = 16
+TARGET_IDS = 64
 
-# The embedding's first places serve as target logits over 16 ids, of which 11
-# are kept; 11 later places serve as the draft's logits over the kept ids.
+# The whole embedding serves as target logits over 64 ids, of which 43 are kept; read
+# backwards, its places at the kept ids serve as the draft's logits over these.
 POSITIONS_SQL = """
     positions as (
-        select vec_id, label, list_transform(embedding[1:16], lambda x: cast(x as double)) as target,
-               list_transform(embedding[33:43], lambda x: cast(x as double)) as logits,
+        select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as target,
+               list_transform(list_filter(list_reverse(embedding), lambda x, i: (i - 1) % 3 <> 1),
+                              lambda x: cast(x as double)) as logits,
                cast(vec_id % 4 <> 0 as int) as loss_mask
         from embeddings),
     kept as (
@@ -36,8 +37,8 @@ def positions(t: Tables) -> DataFrame:
     rows = t.embeddings.select(
         "vec_id",
         "label",
-        F.slice("embedding", 1, TARGET_IDS).alias("target"),
-        F.slice("embedding", 33, 11).alias("logits"),
+        F.col("embedding").alias("target"),
+        F.filter(F.reverse("embedding"), lambda x, i: i % 3 != 1).alias("logits"),
         (F.col("vec_id") % 4 != 0).cast("int").alias("loss_mask"),
     )
     flags = t.spark.range(TARGET_IDS).select(

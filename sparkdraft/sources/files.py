@@ -56,6 +56,16 @@ def merge_sources(sources: dict[str, DataFrame], name: str = "subset") -> DataFr
     return merged
 
 
+def tag_subsets(df: DataFrame, column: str, wanted: list[str] | None = None, name: str = "subset") -> DataFrame:
+    """The subsets that a column of one table tells apart, concatenated in one scan.
+
+    ``column`` becomes the tag ``name``; rows without one are a subset of their own.
+    ``wanted`` names the subsets to take (a filter that reaches the scan), all by default.
+    """
+    rows = df if wanted is None else df.filter(F.col(column).isin(wanted))
+    return rows.select(F.col(column).alias(name), *[c for c in df.columns if c != column])
+
+
 def check_subsets(wanted: list[str], known: list[str]) -> list[str]:
     """``wanted`` itself, or an error that names an unknown subset."""
     unknown = [s for s in wanted if s not in known]

@@ -150,3 +150,15 @@ def test_requests_hold_new_messages_only_and_resolve_to_all(spark):
         assert r["place"] == len(found)
         found.append((r["role"], r["text"]))
     assert got == want
+
+
+# --- subsets -----------------------------------------------------------------
+
+
+def test_subsets_of_one_table(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("a", 4)], "kind string, n int")
+    tagged = files.tag_subsets(rows, "kind")
+    assert sorted(map(tuple, tagged.collect()), key=repr) == [("a", 1), ("a", 4), ("b", 2), (None, 3)]
+    assert tagged.columns == ["subset", "n"]
+    assert files.tag_subsets(rows, "kind", ["b"]).collect() == [("b", 2)]
+    assert files.tag_subsets(rows, "kind", []).count() == 0
