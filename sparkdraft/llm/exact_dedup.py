@@ -2,16 +2,18 @@
 
 1. One pass over the texts writes the entries: key, digest, length and id of a
    row, some hundred bytes whatever the length of its text.
-2. The directory is built from counts of key prefixes.  A bucket that holds more
+2. Entries with one key and digest are combined in segments of rows, so that a text
+   that a third of all rows share counts as at most ``SEGMENTS`` entries from here on.
+3. The directory is built from counts of key prefixes.  A bucket that holds more
    than its capacity is split by one more bit of the key, which doubles the
-   directory where it needs the bit, down to the deepest level; a bucket that is
-   still overfull there has a chain instead of a split.
-3. Owner tasks work on the buckets.  Entries with one key are chained and told
-   apart by digest; counts combine before the shuffle, so a text that a third of
-   all rows share arrives as one row from each task.  The index is written in key
-   order, one range of keys per file.
-4. Texts behind one digest are compared byte by byte: they are grouped by digest
+   directory where it needs the bit.  Levels of ``LEVEL_BITS`` bits are added where
+   a bucket is still overfull, until all fit or the key has no bits left.
+4. Owner tasks take ranges of keys that consist of whole buckets.  Inside a bucket
+   the entries of one key are chained: each digest is a link, and the copies behind
+   it are a group.  The index is written in key order, one range of keys per file.
+5. Texts behind one digest are compared byte by byte: they are grouped by digest
    and bytes, copies combine before the shuffle, and a digest must keep one text.
+   They do not travel with the buckets, as each copy of a text would have to.
 """
 
 from __future__ import annotations
@@ -22,9 +24,13 @@ from pyspark.sql.window import Window
 
 from sparkdraft.llm.common import SPACE, numbered, query, stored, text_or_empty
 
-#: Entries per bucket before it splits, and bits of the key that the directory may use.
+#: Entries per bucket before it splits, and bits of the key per level of the directory.
 BUCKET_ROWS = 100_000
-MAX_DEPTH = 12
+LEVEL_BITS = 12
+#: Bits of the key that buckets may use; what shares them all is one chain.
+KEY_BITS = 60
+#: Parts in which the copies of one text are combined before they meet in a bucket.
+SEGMENTS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -32,24 +38,66 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE + "+", "")
 
 
-def directory(entries: DataFrame, bucket_rows: int = BUCKET_ROWS, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Which bucket owns which prefix of ``max_depth`` bits: ``leaf, depth, bucket``.
+def prefix(bits: int) -> Column:
+    """The first ``bits`` bits of the key."""
+    return F.expr(f"shiftrightunsigned(hash, {64 - bits})") if bits else F.lit(0).cast("bigint")
 
-    At most ``2 ** max_depth`` rows, whatever the data.  A leaf belongs to the
-    shallowest prefix that holds no more than ``bucket_rows`` entries.
+
+def directory(
+    keys: DataFrame, bucket_rows: int = BUCKET_ROWS, level_bits: int = LEVEL_BITS, level: int = 1
+) -> DataFrame:
+    """One level of the directory: ``leaf, depth, bucket, held``.
+
+    ``leaf`` is a prefix of ``level * level_bits`` bits of the column ``hash``.  It
+    belongs to the shallowest prefix, of ``depth`` bits, that holds no more than
+    ``bucket_rows`` entries; ``bucket`` is the first key of that prefix.  Where
+    ``held`` is above, the next level splits on.  A level has at most
+    ``2 ** level_bits`` rows for each bucket that it splits.
     """
-    leaves = entries.groupBy("leaf").agg(F.count("*").alias("n"))
-    levels = leaves.select(
-        "leaf", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")
-    ).withColumn("bucket", F.expr(f"shiftright(leaf, {max_depth} - depth)"))
-    filled = levels.withColumn("held", F.sum("n").over(Window.partitionBy("depth", "bucket")))
-    fits = (F.col("held") <= bucket_rows) | (F.col("depth") == max_depth)
-    return (
-        filled.filter(fits)
-        .groupBy("leaf")
-        .agg(F.min("depth").alias("depth"))
-        .withColumn("bucket", F.expr(f"shiftright(leaf, {max_depth} - depth)"))
+    base, deepest = (level - 1) * level_bits, level * level_bits
+    counts = keys.groupBy(prefix(deepest).alias("leaf")).agg(F.count("*").alias("n"))
+    held = (
+        counts.select("leaf", "n", F.explode(F.sequence(F.lit(base), F.lit(deepest))).alias("depth"))
+        .groupBy("depth", F.expr(f"shiftright(leaf, {deepest} - depth)").alias("prefix"))
+        .agg(F.sum("n").alias("held"))
+    )
+    fits = F.col("held") <= bucket_rows
+    split = held.filter(~fits).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+    # A bucket fits where its parent does not.
+    buckets = (
+        held.filter(fits | (F.col("depth") == deepest))
+        .withColumn("parent", F.expr("shiftright(prefix, 1)"))
+        .join(split, ["depth", "parent"], "left_semi")
+        .select("depth", "prefix", "held")
+        .union(held.filter(fits & (F.col("depth") == base)).select("depth", "prefix", "held"))
     )
+    low, high = (F.expr(f"shiftleft({p}, {deepest} - depth)") for p in ("prefix", "prefix + 1"))
+    return buckets.select(
+        F.explode(F.sequence(low, high - 1)).alias("leaf"),
+        "depth",
+        F.expr("shiftleft(prefix, 64 - depth)").alias("bucket"),
+        "held",
+    )
+
+
+def with_buckets(keys: DataFrame, bucket_rows: int = BUCKET_ROWS, level_bits: int = LEVEL_BITS) -> DataFrame:
+    """``keys`` with ``bucket`` and ``depth``; their directory is stored level by level."""
+    found, rest, level = keys.select("*", F.lit(None).cast("bigint").alias("bucket"), F.lit(0).alias("depth")), keys, 1
+    while True:
+        slots = stored(directory(rest, bucket_rows, level_bits, level), "directory")
+        named = slots.select("leaf", F.col("bucket").alias("own"), F.col("depth").alias("own_depth"))
+        found = (
+            found.withColumn("leaf", prefix(level * level_bits))
+            .join(named, "leaf", "left")
+            .withColumn("bucket", F.coalesce("own", "bucket"))
+            .withColumn("depth", F.coalesce("own_depth", "depth"))
+            .drop("leaf", "own", "own_depth")
+        )
+        overfull = slots.filter(F.col("held") > bucket_rows).select("leaf")
+        if (level + 1) * level_bits > KEY_BITS or overfull.isEmpty():
+            return found
+        rest = rest.withColumn("leaf", prefix(level * level_bits)).join(overfull, "leaf", "left_semi").drop("leaf")
+        level += 1
 
 
 def build_index(
@@ -57,13 +105,14 @@ def build_index(
     key: str = "doc_id",
     text: str = "text",
     bucket_rows: int = BUCKET_ROWS,
-    max_depth: int = MAX_DEPTH,
+    level_bits: int = LEVEL_BITS,
     row: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Stored tables ``(entries, index)``.
 
     ``entries``: one row per input row with its number ``row``.
-    ``index``: one row per distinct text with the row that stays.
+    ``index``: one row per distinct text with its bucket, its link in the chain of
+    its key, and the row that stays.
     """
     source = docs.select(
         (F.monotonically_increasing_id() if row is None else row).alias("row"),
@@ -77,41 +126,46 @@ def build_index(
             "doc_id",
             "n_chars",
             F.xxhash64("norm").alias("hash"),
-            F.expr(f"cast(shiftrightunsigned(xxhash64(norm), {64 - max_depth}) as int)").alias("leaf"),
             F.sha2("norm", 256).alias("digest"),
         ),
         "entries",
     )
-    # At most 2 ** max_depth rows of three numbers.
-    owners = F.broadcast(directory(entries, bucket_rows, max_depth))
     order = F.struct(
         (-F.col("n_chars")).alias("a"),
         F.col("doc_id").isNull().alias("b"),
         F.col("doc_id").alias("c"),
         F.col("row").alias("d"),
     )
-    groups = (
-        entries.groupBy("leaf", "hash", "digest")
-        .agg(F.count("*").alias("group_size"), F.min(order).alias("first"))
-        .join(owners, "leaf")
-        .select(
+    combined = stored(
+        entries.groupBy(F.pmod(F.xxhash64("row"), F.lit(SEGMENTS)).alias("segment"), "hash", "digest")
+        .agg(F.count("*").alias("n"), F.min(order).alias("first"))
+        .drop("segment"),
+        "combined",
+    )
+    # Ranges of whole buckets: what follows stays in the task that owns them.
+    owned = with_buckets(combined, bucket_rows, level_bits).repartitionByRange("bucket")
+    groups = owned.groupBy("bucket", "depth", "hash", "digest").agg(
+        F.sum("n").alias("group_size"), F.min("first").alias("first")
+    )
+    chain = Window.partitionBy("bucket", "hash").orderBy("digest")
+    index = stored(
+        groups.select(
             "bucket",
             "depth",
             "hash",
             "digest",
+            F.row_number().over(chain).alias("link"),
             "group_size",
             F.col("first.c").alias("keep_id"),
             F.col("first.d").alias("keep_row"),
-        )
-    )
-    index = stored(
-        groups.repartitionByRange("hash").sortWithinPartitions("bucket", "hash", "digest"), "index"
+        ),
+        "index",
     )
-    _compare_bytes(source, index)
+    _compare_bytes(source)
     return entries, index
 
 
-def _compare_bytes(source: DataFrame, index: DataFrame) -> None:
+def _compare_bytes(source: DataFrame) -> None:
     """Stop if two different texts have one digest."""
     # Copies meet in the task that reads them; one text per task and digest is moved.
     chains = (

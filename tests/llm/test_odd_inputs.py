@@ -93,16 +93,37 @@ def test_repeated_rows_leave_one(odd_documents):
 def test_buckets_split_alike(documents):
     columns = ["doc_id", "keep_id", "group_size", "kept"]
     whole = ED.exact_dedup(documents).select(*columns).collect()
-    split = ED.exact_dedup(documents, bucket_rows=3, max_depth=8).select(*columns).collect()
+    split = ED.exact_dedup(documents, bucket_rows=3, level_bits=2).select(*columns).collect()
     assert sorted(whole) == sorted(split)
 
 
 def test_directory_doubles_where_it_is_full(spark):
     leaves = [0] * 5 + [1] * 5 + [2] + [7] * 9
-    df = spark.createDataFrame([(i,) for i in leaves], "leaf int")
-    found = {r["leaf"]: (r["depth"], r["bucket"]) for r in ED.directory(df, bucket_rows=6, max_depth=3).collect()}
-    # 11 below prefix 0 and 10 below 00 are too many, one below 01 is not; 9 at the last level stay together.
-    assert found == {0: (3, 0), 1: (3, 1), 2: (2, 1), 7: (3, 7)}
+    df = spark.createDataFrame([(i - 8 if i > 3 else i,) for i in leaves], "leaf bigint")
+    keys = df.selectExpr("shiftleft(leaf, 61) as hash")
+    rows = ED.directory(keys, bucket_rows=6, level_bits=3).collect()
+    found = {r["leaf"]: (r["depth"], r["bucket"] % 2**64 >> 64 - r["depth"], r["held"]) for r in rows}
+    # 11 below prefix 0 and 10 below 00 are too many, one below 01 is not; 9 at the last bit stay together.
+    assert found == {0: (3, 0, 5), 1: (3, 1, 5), 2: (2, 1, 1), 3: (2, 1, 1), 7: (3, 7, 9)}
+
+
+def test_buckets_split_until_they_fit(spark):
+    keys = spark.range(400).selectExpr("shiftright(xxhash64(id), 20) as hash").union(
+        spark.range(9).selectExpr("cast(77 as bigint) as hash")
+    )
+    rows = ED.with_buckets(keys, bucket_rows=4, level_bits=5).collect()
+    assert len(rows) == 409
+    held = Counter((r["depth"], r["bucket"]) for r in rows)
+    assert max(d for d, _ in held) == 60 and max(n for (d, _), n in held.items() if d < 60) <= 4
+    for r in rows:
+        assert (r["hash"] % 2**64) >> (64 - r["depth"]) == (r["bucket"] % 2**64) >> (64 - r["depth"])
+
+
+def test_links_of_a_chain(documents):
+    _, index = ED.build_index(documents.union(documents.limit(3)), bucket_rows=5, level_bits=3)
+    rows = index.collect()
+    assert {r["link"] for r in rows} == {1} and len({r["bucket"] for r in rows}) > 3
+    assert sum(r["group_size"] for r in rows) == documents.count() + 3
 
 
 def test_simhash_of_nothing(odd_documents):
