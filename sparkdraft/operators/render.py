@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkdraft.functions.arrays import shift
 from sparkdraft.functions.rows import explode_rows
 from sparkdraft.functions.text import find_all, quote, strip
-from sparkdraft.operators.templates import Template, get_template
+from sparkdraft.operators.templates import CHATML_CALL, CHATML_TOOLS, Template, get_template
 from sparkdraft.operators.turns import breaks_order, invalid_json, with_neighbours
 
 # Markers and preamble of the channel format.
@@ -190,8 +190,29 @@ def valid_prefix(conversation: Column, tool_calls: bool = False) -> Column:
     return F.transform(kept, message)
 
 
+#: Columns that say how a row is rendered.
+RENDER_OPTIONS = ("tools", "enable_thinking", "reasoning_effort")
+
+
+def list_tools(messages: Column, tools: Column) -> Column:
+    """The messages with the row's tools, JSON texts, listed in an opening system message."""
+    opening, closing = CHATML_TOOLS
+    lines = F.array_join(F.transform(tools, lambda x: F.concat(F.lit("\n"), x)), "")
+    listed = F.when(F.size(tools) > 0, F.concat(F.lit(opening), lines, F.lit(closing)))
+
+    def add(m, i):
+        text = F.concat(F.coalesce(m["content"], F.lit("")), F.coalesce(listed, F.lit("")))
+        return m.withField("content", F.when((i == 0) & (m["role"] == "system"), text).otherwise(m["content"]))
+
+    return F.transform(messages, add)
+
+
 def render(
-    conversation: Column, template: str | Template, mode: str = "native", tool_calls: bool = False
+    conversation: Column,
+    template: str | Template,
+    mode: str = "native",
+    tool_calls: bool = False,
+    options: dict[str, Column] | None = None,
 ) -> Column:
     """A message array as one text.
 
@@ -199,13 +220,29 @@ def render(
     resolved first.  A ``thinking`` template ends in the last assistant message
     after a generation prompt and is null where the last message is another's.
     ``mode`` is ``native`` or ``fallback``; ``tool_calls`` as in :func:`valid_prefix`.
+
+    ``options`` are columns that may differ from row to row: ``tools``, an array of JSON
+    texts, is listed in the opening system message of native ChatML layouts;
+    ``enable_thinking`` false closes the thought of a ``thinking`` template before the
+    last answer, where the template has a mark for it; ``reasoning_effort`` goes into the
+    preamble of the channel format.  A null option is the template's default, and one
+    that the template has no place for changes nothing.
     """
     t = _template(template)
+    options = options or {}
+    if unknown := sorted(set(options) - set(RENDER_OPTIONS)):
+        raise ValueError(f"unknown render options {unknown}; known: {list(RENDER_OPTIONS)}")
     if t.parser_type == "openai-harmony":
-        return render_channels(conversation)
+        return render_channels(conversation, options.get("reasoning_effort", "low"))
     use_fallback = mode == "fallback" or t.system_header is None
     messages = resolve_system(valid_prefix(conversation, tool_calls), t.system_prompt)
+    if "tools" in options and not use_fallback and t.tool_call == CHATML_CALL:
+        messages = list_tools(messages, options["tools"])
     thinking = t.parser_type == "thinking"
+    thinks = F.coalesce(options.get("enable_thinking", F.lit(None)).cast("boolean"), F.lit(t.enable_thinking))
+    prompt = F.lit(t.assistant_header or "")
+    if t.thought_off is not None:
+        prompt = F.concat(prompt, F.when(thinks, "").otherwise(t.thought_off))
 
     def write(part, ended):
         """All messages; ``ended`` says whether the last of them ends the conversation."""
@@ -235,22 +272,25 @@ def render(
         history = F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
         return F.when(
             last["role"] == "assistant",
-            F.concat(write(history, False), F.lit(t.assistant_header), last["content"], F.lit(t.end_of_turn or "")),
+            F.concat(write(history, False), prompt, last["content"], F.lit(t.end_of_turn or "")),
         )
 
     # The messages are used several times: bound once, they are computed once.
     return F.get(F.transform(F.array(messages), whole), F.lit(0))
 
 
-def render_channels(conversation: Column, effort: str = "low", compat: bool = False) -> Column:
+def render_channels(conversation: Column, effort: str | Column = "low", compat: bool = False) -> Column:
     """The channel format, with a preamble unless the data opens with its own.
 
+    ``effort`` may be a column; a null one is low.
+
     With ``compat`` the preamble is always written and a system or effort
     message replaces all text before it, wherever it stands.  Null where a role
     is unknown.
     """
     head, tail = CHANNEL_PREAMBLE.split("{effort}")
-    preamble = F.lit(head + effort + tail)
+    level = F.lit(effort) if isinstance(effort, str) else F.coalesce(F.lower(effort), F.lit("low"))
+    preamble = F.concat(F.lit(head), level, F.lit(tail))
     resets = F.transform(conversation, lambda m: m["role"].isin("system", EFFORT_ROLE))
     pieces = F.transform(conversation, lambda m: channel_piece(m["role"], m["content"]))
     known = ~F.exists(pieces, lambda p: p.isNull())

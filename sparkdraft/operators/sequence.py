@@ -148,6 +148,25 @@ def anchor_candidates(mask: Column, block: int) -> Column:
     return F.filter(F.transform(room, lambda m, i: F.when(m == 1, i)), lambda i: i.isNotNull())
 
 
+#: Positions of a row are below this; hashes above it make numbers of at most 63 bits.
+PLACES = 1 << 31
+
+
+def smallest(values: str, n: Column) -> Column:
+    """The ``n`` smallest of an array of hashes times ``PLACES``, in order.
+
+    Hashes are spread evenly over 32 bits, so the share of them that is wanted, with
+    some room, gives a bound below which almost always enough lie: few are sorted.
+    Where too few lie below it, all are.
+    """
+    room = n + 4 * F.sqrt(n) + 8
+    bound = (room / F.size(values) * float(PLACES * 2**32)).cast("double")
+    few = F.array(F.filter(values, lambda x: x <= bound))
+    # Bound to a name, the filtered array is computed once.
+    pool = F.get(F.transform(few, lambda f: F.when(F.size(f) >= n, f).otherwise(F.col(values))), F.lit(0))
+    return F.slice(F.array_sort(pool), F.lit(1), n)
+
+
 def sample_anchors(
     df: DataFrame, block: int, n: int, key: str, seed: int = 42, cap: str = "row", batch: str | None = None
 ) -> DataFrame:
@@ -171,16 +190,18 @@ def sample_anchors(
     limited = evaluate_once(
         found.withColumn("_n", F.least(F.lit(n), most - 1)).withColumn("_start", start)
     ).filter("_n > 0")
-    ranked = F.array_sort(
-        F.transform(
+    # Hash and position in one number, which sorts without a comparator.
+    drawn = evaluate_once(
+        limited.withColumn(
             "_valid",
-            lambda p: F.struct(
-                mix32(((p.cast("bigint") + 1) * 40503).bitwiseXOR(F.col("_start"))).alias("h"), p.alias("p")
+            F.transform(
+                "_valid",
+                lambda p: mix32(((p.cast("bigint") + 1) * 40503).bitwiseXOR(F.col("_start"))) * PLACES + p,
             ),
         )
     )
-    chosen = F.array_sort(F.transform(F.slice(ranked, F.lit(1), F.col("_n")), lambda x: x["p"]))
-    picked = limited.withColumn("_a", chosen)
+    chosen = F.array_sort(F.transform(smallest("_valid", F.col("_n")), lambda x: (x % PLACES).cast("int")))
+    picked = drawn.withColumn("_a", chosen)
     return (
         picked.withColumn("anchors", pad_right(F.col("_a"), F.col("_n"), F.lit(0)))
         .withColumn("keep", pad_right(F.array_repeat(F.lit(1), F.size("_a")), F.col("_n"), F.lit(0)))

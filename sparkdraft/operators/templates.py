@@ -37,6 +37,8 @@ class Template:
     tool_call: tuple[str, str] | None = None
     #: Earlier answers are written without the thoughts before this mark.
     thought_end: str | None = None
+    #: What follows the assistant header where a row's thinking is off.
+    thought_off: str | None = None
 
 
 # The markers below must be exactly what the models were trained on.
@@ -53,6 +55,13 @@ CHATML_SYSTEM = "<|im_start|>system\n"
 CHATML_TOOL = "<|im_start|>tool\n"
 CHATML_ASSISTANT = "<|im_start|>assistant\n"
 CHATML_REPLY = ("\n<tool_response>\n", "\n</tool_response>")
+CHATML_TOOLS = (
+    "\n\n# Tools\n\nYou may call one or more functions to assist with the user query.\n\n"
+    "You are provided with function signatures within <tools></tools> XML tags:\n<tools>",
+    "\n</tools>\n\nFor each function call, return a json object with function name and arguments "
+    "within <tool_call></tool_call> XML tags:\n<tool_call>\n"
+    '{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>',
+)
 CHATML_CALL = ("\n<tool_call>\n", "\n</tool_call>")
 THOUGHT_END = "</think>"
 KIMI_USER = "<|im_user|>user<|im_middle|>"
@@ -142,6 +151,7 @@ TEMPLATES: dict[str, Template] = {
         tool_reply=CHATML_REPLY,
         tool_call=CHATML_CALL,
         thought_end=THOUGHT_END,
+        thought_off="<think>\n\n</think>\n\n",
     ),
     "qwen3-instruct": Template(
         "<|im_start|>assistant\n<think>\n\n</think>\n",
@@ -169,6 +179,7 @@ TEMPLATES: dict[str, Template] = {
         tool_call=CHATML_CALL,
         history_assistant=CHATML_ASSISTANT,
         thought_end=THOUGHT_END,
+        thought_off="\n</think>\n\n",
     ),
     "kimi-k2-thinking": Template(
         "<|im_assistant|>assistant<|im_middle|>",
@@ -211,6 +222,7 @@ TEMPLATES: dict[str, Template] = {
         parser_type="thinking",
         enable_thinking=True,
         bos=DEEPSEEK_BOS,
+        thought_off="</think>",
     ),
     "gemma": Template(
         "<start_of_turn>model\n",

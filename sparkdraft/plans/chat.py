@@ -289,6 +289,68 @@ def render_thinking_nested(t: Tables) -> DataFrame:
     return nested.select("conv_id", F.md5(text).alias("text_md5")).filter("text_md5 is not null")
 
 
+OPTIONS_SQL = f"""
+    {cut_sql('conversations')}, {with_prompt_sql('You are a helpful assistant.')},
+    tooled as (
+        select conv_id, turn, role, text || case when role <> 'system' or turn > 0 or conv_id % 3 = 0 then '' else
+            chr(10) || chr(10) || '# Tools' || chr(10) || chr(10)
+            || 'You may call one or more functions to assist with the user query.' || chr(10) || chr(10)
+            || 'You are provided with function signatures within <tools></tools> XML tags:' || chr(10) || '<tools>'
+            || repeat(chr(10) || '{{"name": "f' || conv_id || '"}}', cast(conv_id % 3 as int)) || chr(10) || '</tools>'
+            || chr(10) || chr(10) || 'For each function call, return a json object with function name and arguments '
+            || 'within <tool_call></tool_call> XML tags:' || chr(10) || '<tool_call>' || chr(10)
+            || '{{"name": <function-name>, "arguments": <args-json-object>}}' || chr(10) || '</tool_call>' end as text
+        from full_turns),
+    tool_pieces as ({chatml_sql('tooled')}),
+    ends as (select conv_id, arg_max(role, turn) as last_role, max(turn) as last_turn from full_turns group by conv_id),
+    thought_pieces as ({chatml_sql('full_turns')}),
+    thought as (
+        select p.conv_id, p.turn, case when p.turn < last_turn then piece else
+            replace(piece, '<|im_start|>assistant' || chr(10), '<|im_start|>assistant' || chr(10) || '<think>' || chr(10)
+                    || case when p.conv_id % 2 = 0 then chr(10) || '</think>' || chr(10) || chr(10) else '' end) end as piece
+        from thought_pieces p join ends using (conv_id) where last_role = 'assistant'),
+    spoken as (
+        select conv_id, string_agg('<|start|>' || case role when 'assistant' then 'assistant<|channel|>' ||
+                   case turn % 3 when 0 then 'analysis' when 1 then 'final' else 'commentary' end else role end
+               || '<|message|>' || text || '<|end|>', '' order by turn) as body, bool_or(turn = 0 and role = 'system') as own
+        from conversations group by conv_id),
+    channels as (
+        select conv_id, case when own then '' else replace({lit(R.CHANNEL_PREAMBLE)}, '{{effort}}',
+            case conv_id % 3 when 0 then 'low' when 1 then 'medium' else 'high' end) end || body as txt
+        from spoken)
+"""
+
+
+@query(
+    "render_options",
+    f"""
+    with {OPTIONS_SQL}
+    select 'tools' as option, conv_id, md5(string_agg(piece, '' order by turn)) as text_md5 from tool_pieces group by conv_id
+    union all
+    select 'enable_thinking', conv_id, md5(string_agg(piece, '' order by turn)) from thought group by conv_id
+    union all
+    select 'reasoning_effort', conv_id, md5(txt) from channels
+    """,
+)
+def render_options(t: Tables) -> DataFrame:
+    """Each conversation with options of its own; a third leaves tools and effort to the default."""
+    conv = F.col("conv_id")
+    tool = F.concat(F.lit('{"name": "f'), conv.cast("string"), F.lit('"}'))
+    given = {
+        "tools": F.when(conv % 3 > 0, F.array_repeat(tool, (conv % 3).cast("int"))),
+        "enable_thinking": F.when(conv % 2 == 0, False),
+        "reasoning_effort": F.get(F.array(F.lit(None), F.lit("medium"), F.lit("HIGH")), (conv % 3).cast("int")),
+    }
+    written = {"tools": "qwen", "enable_thinking": "qwen3-next-thinking", "reasoning_effort": "gpt-oss"}
+    parts = []
+    for option, template in written.items():
+        turns = channel_roles(t.conversations) if option == "reasoning_effort" else t.conversations
+        nested = TN.nest_turns(turns).withColumn(option, given[option])
+        text = R.render(F.col("conversations"), template, options={option: F.col(option)})
+        parts.append(nested.select(F.lit(option).alias("option"), "conv_id", F.md5(text).alias("text_md5")))
+    return parts[0].union(parts[1]).union(parts[2]).filter("text_md5 is not null")
+
+
 @query(
     "channel_split",
     f"""

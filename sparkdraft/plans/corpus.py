@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkdraft.functions.hashing import leading_number
 from sparkdraft.functions.rows import evaluate_once, explode_rows
 from sparkdraft.operators import sampling as S
 from sparkdraft.operators.rowindex import with_row_index
 from sparkdraft.operators.turns import start_role_rejects
 from sparkdraft.plans.registry import Tables, query
 from sparkdraft.schemas import require_columns
+from sparkdraft.session import shared_folder
 from sparkdraft.sources import files, jsonl
 from sparkdraft.sources import normalise as N
 from sparkdraft.sources.catalog import judge_corpus, normalise_corpus
@@ -140,6 +144,29 @@ def sample_bucket(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "sample_status",
+    """
+    select 'rows_' || (vec_id - vec_id % 100) || '-' || (vec_id - vec_id % 100 + 100) as bucket, 'ok' as status,
+           count(*) as rows, cast(sum(len(embedding)) as bigint) as numbers
+    from embeddings group by all
+    union all select 'rows_none', 'empty', 0, null
+    union all select 'rows_torn', 'damaged', 0, null
+    """,
+)
+def sample_status(t: Tables) -> DataFrame:
+    """Samples and the state of their files from one read; one folder has no rows, one files of another kind."""
+    path = f"{shared_folder(t.spark)}/samples-{uuid.uuid4().hex}"
+    samples = t.embeddings.select(F.col("vec_id").alias("sample_idx"), "embedding")
+    files.write_samples(samples, path, group_size=100)
+    samples.filter("false").write.parquet(f"{path}/bucket=rows_none")
+    samples.select(F.col("sample_idx").cast("string")).write.text(f"{path}/bucket=rows_torn")
+    found = files.sample_files(t.spark, path, samples.schema, ("parquet", "txt"))
+    return found.groupBy(F.regexp_extract("path", "bucket=([^/]+)", 1).alias("bucket"), "status").agg(
+        F.count("sample").alias("rows"), F.sum(F.size("sample.embedding")).cast("bigint").alias("numbers")
+    )
+
+
 @query(
     "cache_key",
     """
@@ -380,24 +407,110 @@ QA_COLUMNS = {
 }
 
 
+# Names of the other corpora, by the shape of their rows.
+MESSAGE_CORPORA = ("ultrachat", "eaglechat")
+SPEAKER_CORPORA = ("sharegpt", "magpie-qwen2.5-pro-1m-v0.1", "sharegpt4v", "allava4v")
+NUMBERED_CORPORA = (
+    "perfectblend",
+    "perfectblend-llama3.1-8b-instruct",
+    "perfectblend-llama3.3-70b-instruct",
+    "perfectblend-llama4-scout-instruct",
+    "perfectblend-llama4-maverick-instruct",
+)
+
+
+def names_sql(names) -> str:
+    return f"unnest([{', '.join(repr(n) for n in names)}]) as u(corpus)"
+
+
 @query(
     "corpus_catalog",
     f"""
-    with base as (select md5({HEAD_SQL} || {REST_SQL}) as id from documents)
-    select corpus, count(*) as n, count(distinct id) as ids, min(id) as first_id
-    from base, unnest([{", ".join(f"'{c}'" for c in QA_COLUMNS)}]) as u(corpus) group by corpus
+    with base as (
+        select *, {HEAD_SQL} as head, {REST_SQL} as rest, row_number() over (order by doc_id) - 1 as idx,
+               [lang, 'none', cast(n_chars as varchar), source] as a
+        from documents),
+    ranked as (
+        select doc_id, a[i] as answer,
+               row_number() over (partition by doc_id order by md5('0|' || head || '|' || (i - 1)), a[i]) as slot
+        from base, unnest([1, 2, 3, 4]) as u(i)),
+    listed as (
+        select doc_id, string_agg(substr('abcd', cast(slot as int), 1) || ') ' || answer, chr(10) order by slot) as opts
+        from ranked group by doc_id),
+    marked as (
+        select r.doc_id, substr('abcd', cast(min(slot) as int), 1) as letter
+        from ranked r join base b on r.doc_id = b.doc_id and r.answer = b.source group by r.doc_id),
+    chosen as (
+        select head || chr(10) || opts as u, rest || chr(10) || 'answer: ' || letter || ') ' || source as v
+        from base join listed using (doc_id) join marked using (doc_id)),
+    said as (
+        select corpus, cast(doc_id as varchar) as id, head as u, rest as v
+        from base, {names_sql((*MESSAGE_CORPORA, *SPEAKER_CORPORA))}
+        union all
+        select corpus, cast(idx as varchar), head, rest from base, {names_sql(NUMBERED_CORPORA)}
+        union all
+        select corpus, md5(head || rest), head, rest from base, {names_sql(QA_COLUMNS)}
+        union all
+        select 'math_qa', md5(head || chr(10) || lang || rest), head || chr(10) || lang, rest from base
+        union all
+        select 'sciq', md5(u || v), u, v from chosen)
+    select corpus, count(*) as n, count(distinct id) as ids, min(id) as first_id, cast(2 * count(*) as bigint) as turns,
+           cast(sum(length(u) + length(v)) as bigint) as chars,
+           cast(sum(cast('0x' || substr(md5(id || '|user:' || u || '|assistant:' || v), 1, 8) as bigint)) as bigint) as digest
+    from said group by corpus
     """,
 )
 def corpus_catalog(t: Tables) -> DataFrame:
+    """Every named corpus from rows of its own shape: ids, turns, and a digest of the conversations."""
     base = head_rest(t.spread_documents)
-    parts = {}
+    doc = F.col("doc_id")
+
+    def turns(name: str, text: str, *who: str) -> Column:
+        texts = ("head", "rest", "lang")
+        return F.array(*[F.struct(F.lit(w).alias(name), F.col(x).alias(text)) for w, x in zip(who, texts)])
+
+    messages = turns("role", "content", "user", "assistant")
+    # The third speaker is none of the known ones and left out.
+    speakers = turns("from", "value", "human", "gpt", "narrator").alias("conversations")
+    image = F.lit("a.png").alias("image")
+    raw = {
+        "ultrachat": [doc.alias("prompt_id"), messages.alias("messages")],
+        "eaglechat": [doc.alias("id"), messages.alias("conversations")],
+        "sharegpt": [doc.alias("id"), speakers],
+        "magpie-qwen2.5-pro-1m-v0.1": [doc.alias("uuid"), speakers],
+        "sharegpt4v": [doc.alias("id"), image, speakers],
+        "allava4v": [doc.alias("id"), image, speakers],
+        "math_qa": [F.col("head").alias("Problem"), F.col("lang").alias("options"), F.col("rest").alias("Rationale")],
+        "sciq": [
+            F.col("head").alias("question"),
+            F.col("source").alias("correct_answer"),
+            F.lit("none").alias("distractor1"),
+            F.col("n_chars").cast("string").alias("distractor2"),
+            F.col("lang").alias("distractor3"),
+            F.col("rest").alias("support"),
+        ],
+    }
+    for corpus in NUMBERED_CORPORA:
+        raw[corpus] = [doc, speakers if corpus == "perfectblend" else messages.alias("conversations")]
     for corpus, (user, assistant) in QA_COLUMNS.items():
-        raw = base.select(F.col("head").alias(user), F.col("rest").alias(assistant))
-        parts[corpus] = normalise_corpus(corpus, raw).select("id")
+        raw[corpus] = [F.col("head").alias(user), F.col("rest").alias(assistant)]
+    parts = {}
+    for corpus, columns in raw.items():
+        position = "doc_id" if corpus in NUMBERED_CORPORA else None
+        good = normalise_corpus(corpus, base.select(*columns), position)
+        lines = F.transform("conversations", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
+        chars = F.aggregate("conversations", F.lit(0), lambda n, m: n + F.length(m["content"]))
+        parts[corpus] = good.select(
+            "id",
+            F.size("conversations").alias("turns"),
+            chars.alias("chars"),
+            leading_number(F.md5(F.concat("id", F.lit("|"), F.array_join(lines, "|"))), 8).alias("digest"),
+        )
     # One row per corpus and id first, so that the distinct count needs no second expand.
-    merged = files.merge_sources(parts, "corpus").groupBy("corpus", "id").agg(F.count("*").alias("c"))
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("turns", "chars", "digest")]
+    merged = files.merge_sources(parts, "corpus").groupBy("corpus", "id").agg(F.count("*").alias("c"), *sums)
     return merged.groupBy("corpus").agg(
-        F.sum("c").cast("bigint").alias("n"), F.count("*").alias("ids"), F.min("id").alias("first_id")
+        F.sum("c").cast("bigint").alias("n"), F.count("*").alias("ids"), F.min("id").alias("first_id"), *sums
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkdraft.functions.hashing import seeded_hex
 from sparkdraft.functions.rows import evaluate_once
-from sparkdraft.operators.render import native_piece, render
+from sparkdraft.operators.render import RENDER_OPTIONS, native_piece, render
 from sparkdraft.operators.sampling import drop_empty
 from sparkdraft.operators.spans import assistant_spans, masked_tokens, offset_mask
 from sparkdraft.operators.templates import get_template
@@ -33,6 +33,7 @@ def build_dataset(
     ``preformatted``; all other columns are kept.  Everything is a projection
     over the input rows; a ``seed`` adds the sort of a seeded shuffle.
     Conversations a thinking or channel template cannot render are left out.
+    Columns named in ``RENDER_OPTIONS`` drive the rendering of their rows.
     """
     t = get_template(template)
     if preformatted:
@@ -40,7 +41,8 @@ def build_dataset(
     else:
         nested = drop_empty(require_columns(df, "conversations"))
         fields = df.schema["conversations"].dataType.elementType.names
-        text = render(F.col("conversations"), t, render_mode, "tool_calls" in fields)
+        options = {name: F.col(name) for name in RENDER_OPTIONS if name in nested.columns}
+        text = render(F.col("conversations"), t, render_mode, "tool_calls" in fields, options)
         ready = nested.withColumn("text", text).drop("conversations")
         if t.parser_type != "general":
             ready = evaluate_once(ready).filter("text is not null")

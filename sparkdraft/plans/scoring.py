@@ -345,6 +345,19 @@ def ans_letter_range(t: Tables) -> DataFrame:
     return outputs(t).select("q_idx", pred.alias("pred"))
 
 
+# Extracted code in SQL, over a table with the column ``output``.
+CODED_SQL = (
+    rf"""
+    starts as (select *, regexp_extract(output, '(?s)(def\s+\w+\([^)]*\):.*)', 1) as tail from {{source}}),
+    coded as (
+        select *, case
+            when regexp_matches(output, '(?s)```(?:python)?\n(.*?)```') then trim(regexp_extract(output, '(?s)```(?:python)?\n(.*?)```', 1), {WS})
+            when tail <> '' then trim(string_split_regex(tail, '\n\ndef\s')[1], {WS})
+            else nullif(trim(output, {WS}), '') end as pred
+        from starts)
+"""
+)
+
 CODE_SQL = rf"""
     {BASE_SQL},
     programs as (
@@ -353,13 +366,7 @@ CODE_SQL = rf"""
             when 1 then 'Sure. def f(a, b):' || chr(10) || '  ' || head || chr(10) || chr(10) || 'def g():' || chr(10) || rest
             else text end as output
         from base),
-    starts as (select *, regexp_extract(output, '(?s)(def\s+\w+\([^)]*\):.*)', 1) as tail from programs),
-    coded as (
-        select *, case
-            when regexp_matches(output, '(?s)```(?:python)?\n(.*?)```') then trim(regexp_extract(output, '(?s)```(?:python)?\n(.*?)```', 1), {WS})
-            when tail <> '' then trim(string_split_regex(tail, '\n\ndef\s')[1], {WS})
-            else nullif(trim(output, {WS}), '') end as pred
-        from starts)
+    {CODED_SQL.format(source="programs")}
 """
 
 
@@ -637,6 +644,7 @@ PREDICTIONS = {
             from outputs)""",
         "ranged",
     ),
+    "code": (f"{OUTPUTS_SQL}, {CODED_SQL.format(source='outputs')}", "coded"),
     "as_is": (f"{OUTPUTS_SQL}, plain as (select *, output as pred from outputs)", "plain"),
 }
 LETTER_LABEL = "substr('ABCD', cast(q_idx % 4 as int) + 1, 1)"
@@ -655,6 +663,7 @@ SCORED = {
     "financeqa": ("as_is", "null", None, "true"),
     "simpleqa": ("as_is", "null", None, "true"),
     "mtbench": ("as_is", "null", None, "true"),
+    "humaneval": ("code", "null", None, "true"),
 }
 
 
@@ -664,6 +673,7 @@ ASKED = {
     "math500": "problem",
     "simpleqa": "problem",
     "livecodebench": "question_content",
+    "humaneval": "prompt",
 }
 
 

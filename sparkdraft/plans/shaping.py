@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdraft.functions.arrays import shift
 from sparkdraft.functions.text import digest
 from sparkdraft.operators import sequence as SQ
-from sparkdraft.operators.sampling import skip_existing
+from sparkdraft.operators.sampling import skip_existing, skip_existing_bucketed
 from sparkdraft.plans.corpus import SEQ_SQL, word_sequences
 from sparkdraft.plans.registry import Tables, query
+from sparkdraft.session import shared_folder
+from sparkdraft.sources.files import save_bucketed
+
+#: Buckets of the stored samples; a table of 100 TB would take some 100,000.
+BUCKETS = 16
 
 
 def md5_sql(items: str) -> str:
@@ -161,6 +168,17 @@ def resume_anti(t: Tables) -> DataFrame:
     return skip_existing(t.embeddings.select("vec_id", "label"), stored, "vec_id")
 
 
+@query("resume_anti_bucketed", "select vec_id, label from embeddings where vec_id not in (select doc_id from labels)")
+def resume_anti_bucketed(t: Tables) -> DataFrame:
+    """Wanted and stored samples, both kept in buckets by id."""
+    name = f"resume_{uuid.uuid4().hex}"
+    path = f"{shared_folder(t.spark)}/{name}"
+    wanted = save_bucketed(t.embeddings.select("vec_id", "label"), f"{name}_wanted", f"{path}/wanted", "vec_id", BUCKETS)
+    done = t.labels.select(F.col("doc_id").alias("vec_id"))
+    stored = save_bucketed(done, f"{name}_stored", f"{path}/stored", "vec_id", BUCKETS)
+    return skip_existing_bucketed(wanted, stored, "vec_id")
+
+
 @query(
     "shift_left",
     f"with {SEQ_SQL} select sample, {md5_sql('list_concat(ids[2:], [0])')} as left_md5, "

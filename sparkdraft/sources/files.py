@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # File suffix -> Spark format.
 SUFFIX_FORMAT = {
@@ -143,6 +144,62 @@ def unreadable_samples(spark: SparkSession, path: str, schema: T.StructType | st
     return listed.join(seen, "path", "left_anti")
 
 
+def sample_files(
+    spark: SparkSession, path: str, schema: T.StructType, suffixes: tuple[str, ...] = ("parquet",)
+) -> DataFrame:
+    """Stored samples with the state of their files, from one read: ``path, status, sample``.
+
+    A file that can be read gives its rows with status ``ok``; one without rows, or one
+    that cannot be read or lacks a column, gives one row without a sample, ``empty`` or
+    ``damaged``.  A file is decoded whole by the task that reads it; sample folders keep
+    files to one group of samples.
+    """
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+    shape = to_arrow_schema(schema)
+    row = T.StructType([T.StructField("path", T.StringType()), T.StructField("status", T.StringType()), T.StructField("sample", schema)])
+
+    def decode(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        def rows(path, status, sample):
+            columns = [pa.array([c] * len(sample), pa.string()) for c in (path, status)]
+            return pa.RecordBatch.from_arrays([*columns, sample], names=["path", "status", "sample"])
+
+        kind = pa.struct(list(shape))
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                try:
+                    table = pq.read_table(pa.BufferReader(content.as_buffer()), columns=shape.names)
+                    table = table.select(shape.names).cast(shape)
+                except (pa.ArrowException, OSError, KeyError):
+                    yield rows(path, "damaged", pa.nulls(1, kind))
+                    continue
+                if not table.num_rows:
+                    yield rows(path, "empty", pa.nulls(1, kind))
+                for part in table.to_batches(max_chunksize=1000):
+                    yield rows(path, "ok", pa.StructArray.from_arrays(part.columns, fields=list(shape)))
+
+    stored = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
+        .load(path)
+    )
+    return stored.select("path", "content").mapInArrow(decode, row)
+
+
+def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table below ``path`` in ``buckets`` files by key, each sorted.
+
+    Tables with one number of buckets are joined by key without a shuffle, however
+    often; a resumed job pays for the layout once.
+    """
+    spread = df.repartition(buckets, key)
+    spread.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file lies at ``path``; resolving a reader checks just that."""
     try:

@@ -207,3 +207,13 @@ def test_anchor_seeds_are_independent(spark):
             if first is not second:
                 # Some 9 of 60 coincide by chance; a shifted copy would share nearly all.
                 assert max(len({x + d for x in first} & second) for d in range(-20, 21)) < 35
+
+
+@pytest.mark.parametrize("n", [1, 3, 40, 400])
+def test_smallest_agrees_with_a_full_sort(spark, n):
+    rng = random.Random(n)
+    even = [rng.randrange(2**32) * SQ.PLACES + i for i in range(400)]
+    crowded = [(2**32 - 1 - i) * SQ.PLACES + i for i in range(400)]
+    df = spark.createDataFrame([(even,), (crowded,)], "v array<bigint>")
+    got = [r.s for r in df.select(SQ.smallest("v", F.lit(n)).alias("s")).collect()]
+    assert sorted(got) == sorted([sorted(even)[:n], sorted(crowded)[:n]])

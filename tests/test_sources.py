@@ -302,3 +302,32 @@ def test_running_totals_in_levels(spark):
     for levels in (1, 2, 3):
         got = running_totals(rows, "k", "at", {"n": F.lit(1), "s": F.col("at")}, size=7, levels=levels).collect()
         assert len(got) == 3000 and all(r.n == r["at"] and r.s == r["at"] * (r["at"] - 1) // 2 for r in got)
+
+
+def test_samples_and_damage_come_from_one_read(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("sample_idx"), F.array(F.lit(1)).alias("input_ids"))
+    files.write_samples(rows, str(tmp_path / "s"), group_size=10)
+    (tmp_path / "s" / "bucket=rows_0-10" / "broken.parquet").write_bytes(b"PAR1 not really")
+    rows.filter("false").write.parquet(str(tmp_path / "s" / "none"))
+    rows.select("sample_idx").write.parquet(str(tmp_path / "s" / "short"))
+    found = files.sample_files(spark, str(tmp_path / "s"), rows.schema).collect()
+    good = [r for r in found if r.status == "ok"]
+    assert sorted(r.sample.sample_idx for r in good) == list(range(40)) and {tuple(r.sample.input_ids) for r in good} == {(1,)}
+    bad = {r.path.split("/")[-2] for r in found if r.status == "damaged"}
+    assert bad == {"bucket=rows_0-10", "short"} and all(r.sample is None for r in found if r.status != "ok")
+    assert {r.path.split("/")[-2] for r in found if r.status == "empty"} == {"none"}
+
+
+def test_buckets_meet_without_a_shuffle(spark, tmp_path):
+    wanted = files.save_bucketed(spark.range(50).toDF("k"), "wanted_k", str(tmp_path / "w"), "k", 4)
+    done = files.save_bucketed(spark.range(0, 50, 3).toDF("k"), "done_k", str(tmp_path / "d"), "k", 4)
+    rest = S.skip_existing_bucketed(wanted, done, "k")
+    assert "Exchange" not in rest._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.k for r in rest.collect()) == [i for i in range(50) if i % 3]
+
+
+def test_catalog_query_knows_all_names():
+    from sparkdraft.plans import corpus as C
+
+    asked = {*C.MESSAGE_CORPORA, *C.SPEAKER_CORPORA, *C.NUMBERED_CORPORA, *C.QA_COLUMNS, "math_qa", "sciq"}
+    assert asked == set(CATALOG)

@@ -474,3 +474,28 @@ def test_patterns_stay_linear_on_hostile_texts(spark):
     assert R.split_channels(rows).filter("channel = 'text'").count() == len(bits)
     masked = SP.masked_tokens(rows, "text", "qwen").select(F.size("pieces") == F.size("loss_mask"))
     assert {r[0] for r in masked.collect()} == {True}
+
+
+def test_render_options_differ_by_row(spark):
+    talk = say(("user", "q"), ("assistant", "a"))
+    rows = [("1", talk, ['{"n":1}', '{"n":2}'], False, "High"), ("2", talk, None, None, None), ("3", talk, [], True, "low")]
+    kind = f"{SCHEMA}, tools array<string>, enable_thinking boolean, reasoning_effort string"
+    df = spark.createDataFrame(rows, kind)
+
+    def texts(template, *options):
+        text = R.render(F.col("conversations"), template, options={o: F.col(o) for o in options})
+        return [r.t for r in df.select("id", text.alias("t")).orderBy("id").collect()]
+
+    one, two, three = texts("qwen", "tools", "reasoning_effort")
+    assert two == three and "# Tools" not in two
+    assert '<tools>\n{"n":1}\n{"n":2}\n</tools>' in one.split("<|im_end|>")[0]
+    off, default, on = texts("qwen3-thinking", "enable_thinking")
+    assert default == on and off.endswith("assistant\n<think>\n\n</think>\n\na<|im_end|>\n") and "think" not in on
+    channels = F.transform("conversations", lambda m: m.withField("role", F.replace(m["role"], F.lit("assistant"), F.lit("assistant_final"))))
+    df = df.withColumn("conversations", channels)
+    high, low, same = texts("gpt-oss", "reasoning_effort")
+    assert "Reasoning: high" in high and low == same and "Reasoning: low" in low
+    with pytest.raises(ValueError):
+        texts("qwen", "id")
+    built = build_dataset(df, "gpt-oss").select("id", F.array_join("pieces", "").alias("t")).orderBy("id").collect()
+    assert [r.t for r in built] == [high, low, same]
