@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -462,7 +463,7 @@ def names_sql(names) -> str:
 )
 def corpus_catalog(t: Tables) -> DataFrame:
     """Every named corpus from rows of its own shape: ids, turns, and a digest of the conversations."""
-    base = head_rest(t.spread_documents)
+    base = evaluate_once(head_rest(t.spread_documents))
     doc = F.col("doc_id")
 
     def turns(name: str, text: str, *who: str) -> Column:
@@ -494,18 +495,23 @@ def corpus_catalog(t: Tables) -> DataFrame:
         raw[corpus] = [doc, speakers if corpus == "perfectblend" else messages.alias("conversations")]
     for corpus, (user, assistant) in QA_COLUMNS.items():
         raw[corpus] = [F.col("head").alias(user), F.col("rest").alias(assistant)]
-    parts = {}
-    for corpus, columns in raw.items():
+
+    def part(corpus: str) -> DataFrame:
         position = "doc_id" if corpus in NUMBERED_CORPORA else None
-        good = normalise_corpus(corpus, base.select(*columns), position)
+        # Bound here, the conversations are built once for all that looks at them.
+        good = evaluate_once(normalise_corpus(corpus, base.select(*raw[corpus]), position))
         lines = F.transform("conversations", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
         chars = F.aggregate("conversations", F.lit(0), lambda n, m: n + F.length(m["content"]))
-        parts[corpus] = good.select(
+        return good.select(
             "id",
             F.size("conversations").alias("turns"),
             chars.alias("chars"),
             leading_number(F.md5(F.concat("id", F.lit("|"), F.array_join(lines, "|"))), 8).alias("digest"),
         )
+
+    # Numbering takes a few small jobs for each corpus, which need not wait for each other.
+    with ThreadPoolExecutor(len(NUMBERED_CORPORA)) as pool:
+        parts = dict(zip(raw, pool.map(part, raw)))
     # One row per corpus and id first, so that the distinct count needs no second expand.
     sums = [F.sum(c).cast("bigint").alias(c) for c in ("turns", "chars", "digest")]
     merged = files.merge_sources(parts, "corpus").groupBy("corpus", "id").agg(F.count("*").alias("c"), *sums)
