@@ -258,5 +258,6 @@ def write_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 @query("op3_mix_sources")
 def op3(documents: DataFrame) -> DataFrame:
-    """The contract's columns of every document."""
-    return mix_sources(documents).select("doc_id", "size", "source_size", "target", "taken")
+    """The contract's columns of every document, and the output shard of each of its uses."""
+    shards = F.array_join("shards", ",").alias("shards")
+    return mix_sources(documents).select("doc_id", "size", "source_size", "target", "taken", shards)
