@@ -35,13 +35,13 @@ SEED = 42
 #: Bytes of text in a group, about; a group's ids fit a task's memory several times.
 GROUP_BYTES = 8_000_000
 #: Words whose ids a task remembers, twice at most.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Rooms below this are left as padding rather than cutting a document for them.
 LEAST_CUT = 16
 
 
 #: Words looked up at a time, about, and texts that go through the tokenizer in one call.
-_WORDS = 300_000
+_WORDS = 150_000
 _CALL = 4_000
 
 #: Marks that no contraction begins with, and letters of ASCII and Latin-1, each one code point in both cases.
