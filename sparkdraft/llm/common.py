@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdraft.session import shared_folder
+from sparkdraft.session import importable, shared_folder
 
 
 class Query(NamedTuple):
@@ -55,6 +55,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of texts that go to a Python worker at a time, where the session does not say.
+TEXT_BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+
+
+def text_workers(spark: SparkSession) -> None:
+    """Prepare a session for Python workers that read whole texts.
+
+    A batch lies in the executor's memory, in the worker's Arrow buffers and again as
+    Python strings, once per core; Spark's default of 10,000 rows is meant for numbers.
+    What the session sets itself is left alone.  Results do not depend on batches.
+    """
+    importable(spark)
+    told = spark.conf.getAll
+    for key, value in TEXT_BATCH.items():
+        if key not in told:
+            spark.conf.set(key, value)
+
+
 def numbered(docs: DataFrame, label: str) -> DataFrame:
     """``row, whole``: the rows of ``docs`` as structs beside what names them in every scan.
 

@@ -27,8 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sparkdraft.functions.rows import evaluate_once
-from sparkdraft.llm.common import query, text_or_empty
-from sparkdraft.session import importable
+from sparkdraft.llm.common import query, text_or_empty, text_workers
 
 DIMENSIONS = 8192
 SAMPLE = 512
@@ -249,7 +248,7 @@ def fit(
     without a sample.  More than ``max_languages`` languages are refused.  Without a
     labelled row the model knows no language.
     """
-    importable(docs.sparkSession)
+    text_workers(docs.sparkSession)
     labelled = docs.select(text_or_empty(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text <> ''")
     labelled = labelled.withColumn("hash", F.xxhash64(F.lit(1), "text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))

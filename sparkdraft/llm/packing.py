@@ -23,10 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdraft.llm.common import query, text_or_empty
+from sparkdraft.llm.common import query, text_or_empty, text_workers
 from sparkdraft.llm.token_counts import Tokenizer as Cutter
 from sparkdraft.llm.token_counts import _words as words_between_spaces
-from sparkdraft.session import importable
 
 LENGTH = 4096
 END_ID = 2
@@ -322,7 +321,7 @@ def pack_documents(
     sequence, where pieces follow each other without a gap.  Null and repeated keys
     are packed like any others, each row for itself.  Other columns are not looked at.
     """
-    importable(docs.sparkSession)
+    text_workers(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = file.read()
     size = docs.agg(F.sum(F.octet_length(text_or_empty(text)).cast("bigint"))).first()[0] or 0

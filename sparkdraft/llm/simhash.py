@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdraft.llm.common import numbered, query, stored, text_or_empty
+from sparkdraft.llm.common import numbered, query, stored, text_or_empty, text_workers
 from sparkdraft.llm.components import connected_components
 from sparkdraft.session import importable
 
@@ -243,7 +243,7 @@ def near_duplicates(
     the numbers are of this scan and name no row of another one.  A null text counts as empty; texts without a word have fingerprint
     zero and link like any other.  Other columns are not looked at.
     """
-    importable(docs.sparkSession)
+    text_workers(docs.sparkSession)
     rows = stored(
         docs.select(
             (F.monotonically_increasing_id() if row is None else row).alias("row"),
