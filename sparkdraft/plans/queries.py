@@ -7,6 +7,7 @@ from sparkdraft.plans import (  # noqa: F401
     regeneration,
     scoring,
     shaping,
+    stores,
     training,
     vocabulary,
 )

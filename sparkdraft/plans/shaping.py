@@ -128,6 +128,25 @@ def batch_pad(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "batch_pad_rows",
+    f"""
+    with {SEQ_SQL},
+    sized as (
+        select *, sample // {BATCH} as batch, max(len(ids)) over (partition by sample // {BATCH}) as width from seqs)
+    select sample, batch, cast(width as int) as padded_length,
+           {md5_sql('list_concat(ids, repeat([0], width - len(ids)))')} as ids_md5
+    from sized
+    """,
+)
+def batch_pad_rows(t: Tables) -> DataFrame:
+    """Padding of image rows: no rounding, and the last batch stays."""
+    padded = SQ.pad_batches(
+        word_sequences(t.spread_documents), BATCH, index="sample", arrays=("input_ids",), drop_last=False
+    )
+    return padded.select("sample", "batch", "padded_length", digest(F.col("input_ids")).alias("ids_md5"))
+
+
 WORLD = 7
 
 
