@@ -230,3 +230,18 @@ def test_pipeline_of_odd_documents(spark, odd_documents, tmp_path):
     assert pieces and all(p["length"] > 0 for p in pieces)
     odd_documents.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_batches_of_texts_leave_the_session_its_own(spark):
+    from sparkdraft.llm.common import TEXT_BATCH, text_workers
+
+    rows, size = TEXT_BATCH
+    before = {key: spark.conf.getAll.get(key) for key in TEXT_BATCH}
+    try:
+        spark.conf.set(rows, "7")
+        spark.conf.unset(size)
+        text_workers(spark)
+        assert spark.conf.get(rows) == "7" and spark.conf.get(size) == TEXT_BATCH[size]
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
