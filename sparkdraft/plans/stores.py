@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkdraft.operators import turns as TN
 from sparkdraft.plans.chat import DATASET_SQL, MAX_LENGTH, mask_summary, training_rows
+from sparkdraft.plans.corpus import dirty_lines
 from sparkdraft.plans.dataset import vocab_mapping
 from sparkdraft.plans.registry import Tables, query
 from sparkdraft.plans.vocabulary import DRAFT, FREQ_SQL, TARGET, kept_sql
@@ -109,3 +110,26 @@ def stream_counts(t: Tables) -> DataFrame:
     rows = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
     jobs.token_counts(rows, f"{root}/counts", f"{root}/checkpoint").awaitTermination()
     return files.read_published(t.spark, f"{root}/counts")
+
+
+@query(
+    "stream_ingest",
+    """
+    select doc_id, case doc_id % 8 when 1 then 'invalid json' when 3 then 'conversations is not a list' end as reason,
+           cast(case when doc_id % 8 in (5, 7) then 1 when doc_id % 8 = 6 then 2 when doc_id % 8 in (2, 4) then 0 end
+                as int) as messages
+    from documents where doc_id % 8 <> 0
+    """,
+)
+def stream_ingest(t: Tables) -> DataFrame:
+    """Lines with defects through a stream: what it stored as good, and what as rejects."""
+    root = new_folder(t, "stream-ingest")
+    lines = dirty_lines(t.documents)
+    lines.write.parquet(f"{root}/lines")
+    source = t.spark.readStream.schema(lines.schema).parquet(f"{root}/lines")
+    jobs.ingest(source, f"{root}/good", f"{root}/rejects", f"{root}/checkpoint").awaitTermination()
+    good = t.spark.read.parquet(f"{root}/good")
+    rejects = t.spark.read.parquet(f"{root}/rejects")
+    return good.select("doc_id", F.lit(None).cast("string").alias("reason"), F.size("conversations").alias("messages")).unionByName(
+        rejects.select("doc_id", "reason", F.lit(None).cast("int").alias("messages"))
+    )
