@@ -55,11 +55,13 @@ def token_counts(rows: DataFrame, path: str, checkpoint: str, once: bool = True)
     """Running loss-token counts; :func:`read_published` of ``path`` gives the latest ones.
 
     State and table have one row per id of the target vocabulary.  Each micro-batch
-    publishes a version of its own, so that a reader never meets half a table.
+    publishes a version of its own, so that a reader never meets half a table.  The
+    counts are shuffled into one file: merely coalesced, the task that writes would
+    merge all partitions of the state itself, and hold the memory of each.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        publish(batch.coalesce(1), path, batch_id)
+        publish(batch.repartition(1), path, batch_id)
 
     counts = token_frequency(rows)
     return _start(counts.writeStream.outputMode("complete").foreachBatch(write), checkpoint, once)

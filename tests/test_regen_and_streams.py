@@ -194,6 +194,23 @@ def test_stream_rows_and_counts_equal_batch(spark, tmp_path):
     assert got == {r.token_id: r.freq for r in token_frequency(batch).collect()}
 
 
+def test_stream_counts_merge_their_state_in_many_tasks(spark, tmp_path):
+    talks = [(str(i), say(("user", f"q {i}"), ("assistant", f"answer {i} yes"))) for i in range(20)]
+    batch = build_dataset(spark.createDataFrame(talks, SCHEMA), "qwen", max_length=64)
+    batch.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "rows"))
+    query = jobs.token_counts(rows, str(tmp_path / "counts"), str(tmp_path / "ck"))
+    query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
+    tasks = [found.numTasks for s in stages if (found := tracker.getStageInfo(s))]
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) in tasks
+    (version,) = [p for p in (tmp_path / "counts" / "versions").iterdir()]
+    assert len(list(version.glob("*.parquet"))) == 1
+    got = {r.token_id: r.freq for r in read_published(spark, str(tmp_path / "counts")).collect()}
+    assert got == {r.token_id: r.freq for r in token_frequency(batch).collect()}
+
+
 def test_stream_regeneration_resumes(spark, tmp_path):
     source_dir = str(tmp_path / "in")
     spark.createDataFrame(TALKS[:3], SCHEMA).coalesce(1).write.parquet(source_dir)
