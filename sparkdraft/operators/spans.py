@@ -4,6 +4,7 @@ All of it is per row: arrays in, arrays out, no shuffle.
 """
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ ROUND_END = ("[", r"Round \d+\] USER:")
 CHANNEL_HEADER = "<|start|>assistant"
 CHANNEL_USER = "<|start|>user<|message|>"
 
+#: Elements that a Python worker turns over at a time, whatever its batch holds.
+SLICE = 1 << 18
+
 
 def _literal(text: str) -> tuple[str, str]:
     """A literal as its first character and a pattern for the others."""
@@ -111,6 +115,23 @@ def _listed(values: np.ndarray, lengths: np.ndarray, like: pa.Array) -> pa.Array
     return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()), mask=mask)
 
 
+def _in_slices(work: Callable[..., pa.Array], *lists: pa.Array) -> pa.Array:
+    """``work`` over slices of the rows, of about :data:`SLICE` elements of the first list array.
+
+    A batch holds thousands of rows, and the work on it many 64-bit numbers for each
+    element: over slices that memory does not grow with the batch.  A row is not cut.
+    """
+    lengths = pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    cuts = [0]
+    while cuts[-1] < len(ends):
+        done = ends[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, done + SLICE, "right"))))
+    if len(cuts) <= 2:
+        return work(*lists)
+    return pa.concat_arrays([work(*[a.slice(i, j - i) for a in lists]) for i, j in zip(cuts, cuts[1:])])
+
+
 def _sums_before(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Within each row, the sum of the elements before a place: one running sum over all."""
     before = np.cumsum(values) - values
@@ -122,16 +143,19 @@ def _sums_before(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def prefix_sums(array: Column) -> Column:
     """The sum of the elements before each place.
 
-    Spark has no running sum over an array in linear time; this is one, over a
-    whole batch of rows at a time.
+    Spark has no running sum over an array in linear time; this is one, over
+    many rows at a time.
     """
 
-    @F.arrow_udf("array<int>")
     def sums(lists: pa.Array) -> pa.Array:
         values, lengths = _flat(lists)
         return _listed(_sums_before(values, lengths), lengths, lists)
 
-    return sums(array)
+    @F.arrow_udf("array<int>")
+    def before(lists: pa.Array) -> pa.Array:
+        return _in_slices(sums, lists)
+
+    return before(array)
 
 
 def assistant_spans(
@@ -213,8 +237,7 @@ def prefix_mask(token_texts: Column, spans: Column) -> Column:
     """
     whole = re.compile(TOKEN)
 
-    @F.arrow_udf("array<int>")
-    def mask(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+    def marked(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
         tokens = texts.flatten()
         width = pc.utf8_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
         lengths = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -243,6 +266,10 @@ def prefix_mask(token_texts: Column, spans: Column) -> Column:
         np.add.at(steps, closing[some], -1)
         return _listed((np.cumsum(steps)[:-1] > 0).astype(np.int32), lengths, texts)
 
+    @F.arrow_udf("array<int>")
+    def mask(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+        return _in_slices(marked, texts, firsts, lasts)
+
     return mask(token_texts, F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]))
 
 
@@ -324,13 +351,16 @@ def offset_mask_at(starts: Column, ends: Column, spans: Column, policy: str, clo
     """:func:`offset_mask` for tokens given by character offsets, of any tokenizer."""
     contained = _checked(policy)
 
-    @F.arrow_udf("array<int>")
-    def mask(starts: pa.Array, ends: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+    def marked(starts: pa.Array, ends: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
         start, lengths = _flat(starts)
         first, spans = _flat(firsts)
         hit = _hits(start, _flat(ends)[0], lengths, first, _flat(lasts)[0], spans, contained, closed_end)
         return _listed(hit, lengths, starts)
 
+    @F.arrow_udf("array<int>")
+    def mask(starts: pa.Array, ends: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+        return _in_slices(marked, starts, ends, firsts, lasts)
+
     return mask(starts, ends, F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]))
 
 
@@ -343,14 +373,17 @@ def offset_mask(token_texts: Column, spans: Column, policy: str, closed_end: boo
     """
     contained = _checked(policy)
 
-    @F.arrow_udf("array<int>")
-    def mask(widths: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+    def marked(widths: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
         width, lengths = _flat(widths)
         start = _sums_before(width, lengths)
         first, spans = _flat(firsts)
         hit = _hits(start, start + width, lengths, first, _flat(lasts)[0], spans, contained, closed_end)
         return _listed(hit, lengths, widths)
 
+    @F.arrow_udf("array<int>")
+    def mask(widths: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+        return _in_slices(marked, widths, firsts, lasts)
+
     return mask(
         F.transform(token_texts, F.length),
         F.transform(spans, lambda s: s["start"]),

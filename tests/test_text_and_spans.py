@@ -499,3 +499,58 @@ def test_render_options_differ_by_row(spark):
         texts("qwen", "id")
     built = build_dataset(df, "gpt-oss").select("id", F.array_join("pieces", "").alias("t")).orderBy("id").collect()
     assert [r.t for r in built] == [high, low, same]
+
+
+def workers_of(monkeypatch, make):
+    """The functions that ``make`` would send to Python workers."""
+    found = []
+    with monkeypatch.context() as m:
+        m.setattr(SP.F, "arrow_udf", lambda kind: lambda f: found.append(f) or (lambda *columns: F.lit(None)))
+        make()
+    return found
+
+
+def test_memory_of_masks_does_not_grow_with_the_batch(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, each = 4000, 500
+    listed = lambda values, size: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), pa.array(values, pa.int32()))
+    widths = listed(np.full(n * each, 2), each)
+    starts = listed(np.tile(np.arange(each) * 2, n), each)
+    ends = listed(np.tile(np.arange(each) * 2 + 2, n), each)
+    first, last = listed(np.tile([10, 100], n), 2), listed(np.tile([20, 200], n), 2)
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    (sums,) = workers_of(monkeypatch, lambda: SP.prefix_sums(a))
+    (mask,) = workers_of(monkeypatch, lambda: SP.offset_mask(a, b, "contained"))
+    (mask_at,) = workers_of(monkeypatch, lambda: SP.offset_mask_at(a, b, c, "contained"))
+    for work, given in ((sums, [widths]), (mask, [widths, first, last]), (mask_at, [starts, ends, first, last])):
+        tracemalloc.start()
+        out = work(*given)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) == n and out[n - 1].values == out[0].values
+        # One array of 64-bit numbers over the whole batch would be 16 MB.
+        assert peak < 32e6
+
+
+def test_slices_of_a_batch_give_what_the_batch_gives(spark, monkeypatch):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.int32())
+    widths = pa.array([[1, 2, 3], None, [], [4] * 9, [1], [2, 2]], kind)
+    first = pa.array([[0, 3], None, [], [4, 16], [], [0]], kind)
+    last = pa.array([[1, 6], None, [], [12, 36], [], [4]], kind)
+    (sums,) = workers_of(monkeypatch, lambda: SP.prefix_sums(F.col("a")))
+    (mask,) = workers_of(monkeypatch, lambda: SP.offset_mask(F.col("a"), F.col("b"), "contained"))
+    (prefix,) = workers_of(monkeypatch, lambda: SP.prefix_mask(F.col("a"), F.col("b")))
+    texts = pa.array([["a", "bc", "def"], None, [], ["wxyz"] * 9, ["a"], ["ab", "cd"]], pa.list_(pa.string()))
+    whole = sums(widths), mask(widths, first, last), prefix(texts, first, last)
+    assert whole[0].to_pylist() == [[0, 1, 3], None, [], [4 * i for i in range(9)], [0], [0, 2]]
+    assert whole[1].to_pylist() == [[1, 0, 1], None, [], [0, 1, 1, 0, 1, 1, 1, 1, 1], [0], [1, 1]]
+    for size in (1, 3, 4, 10):
+        monkeypatch.setattr(SP, "SLICE", size)
+        sliced = sums(widths), mask(widths, first, last), prefix(texts, first, last)
+        assert [a.to_pylist() for a in sliced] == [a.to_pylist() for a in whole]
