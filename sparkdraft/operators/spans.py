@@ -25,6 +25,8 @@ CHANNEL_USER = "<|start|>user<|message|>"
 
 #: Elements that a Python worker turns over at a time, whatever its batch holds.
 SLICE = 1 << 18
+#: Characters whose tokens share a row on their way to a range join.
+STRETCH = 256
 
 
 def _literal(text: str) -> tuple[str, str]:
@@ -391,31 +393,89 @@ def offset_mask(token_texts: Column, spans: Column, policy: str, closed_end: boo
     )
 
 
-def token_rows(df: DataFrame, key: str, tokens: str = "pieces") -> DataFrame:
-    """``key, place, start, stop``: one row per token with its character offsets."""
+def token_rows(df: DataFrame, key: str, tokens: str = "pieces", stretch: int | None = None) -> DataFrame:
+    """``key, place, start, stop``: one row per token with its character offsets.
+
+    With a ``stretch``, tokens that start within the same so many characters of a text
+    share a row: ``place`` and ``start`` are those of the first, ``stop`` that of the last,
+    and ``offsets`` says for each how far after the first it starts.
+    """
     widths = F.transform(tokens, F.length)
+    if stretch is not None:
+        blocks = df.select(key, _blocks(widths, stretch).alias("_b"))
+        return explode_rows(blocks, F.col("_b"), key, item="b").select(key, "b.*")
     placed = df.select(key, widths.alias("_w")).withColumn("_s", prefix_sums(F.col("_w")))
     pairs = F.arrays_zip(F.col("_w").alias("w"), F.col("_s").alias("s"))
     rows = explode_rows(placed, pairs, key, pos="place", item="t")
     return rows.select(key, "place", F.col("t.s").alias("start"), (F.col("t.s") + F.col("t.w")).alias("stop"))
 
 
-def tokens_in_spans(tokens: DataFrame, spans: DataFrame, key: str, width: int = 256) -> DataFrame:
+def _blocks(widths: Column, stretch: int) -> Column:
+    """Tokens of the given widths by the stretch they start in: ``array<struct<place, start, stop, offsets>>``."""
+    if not 0 < stretch <= 1 << 15:
+        raise ValueError(f"a stretch has 1 to {1 << 15} characters, not {stretch}")
+
+    def blocks(lists: pa.Array) -> pa.Array:
+        width, lengths = _flat(lists)
+        start = _sums_before(width, lengths)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        cut = start // stretch
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (cut[1:] != cut[:-1]))[: len(row)])
+        ends = np.append(first[1:], len(row))[: len(first)]
+        base = np.cumsum(lengths) - lengths
+        offsets = (start - np.repeat(start[first], ends - first)).astype(np.int16)
+        found = pa.StructArray.from_arrays(
+            [
+                pa.array(first - base[row[first]], pa.int32()),
+                pa.array(start[first], pa.int32()),
+                pa.array((start + width)[ends - 1], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(offsets, pa.int16())),
+            ],
+            ["place", "start", "stop", "offsets"],
+        )
+        n_blocks = np.bincount(row[first], minlength=len(lengths))
+        places = pa.array(np.concatenate(([0], np.cumsum(n_blocks))), pa.int32())
+        return pa.ListArray.from_arrays(places, found, mask=lists.is_null() if lists.null_count else None)
+
+    @F.arrow_udf("array<struct<place:int,start:int,stop:int,offsets:array<smallint>>>")
+    def cut_up(lists: pa.Array) -> pa.Array:
+        return _in_slices(blocks, lists)
+
+    return cut_up(widths)
+
+
+def tokens_in_spans(tokens: DataFrame, spans: DataFrame, key: str, width: int = STRETCH) -> DataFrame:
     """Tokens wholly inside a span of the same text, by a bucketed range join.
 
     ``spans`` has ``key, start, stop``, disjoint within a key.  Offsets are cut
     into buckets of ``width`` characters and a span is sent to each bucket it
     touches, so a bucket pairs at most ``width`` tokens with ``width`` spans and
-    a long text is spread over its buckets.
+    a long text is spread over its buckets.  Tokens that share rows, by a ``stretch``
+    of :func:`token_rows` that divides ``width``, are shuffled so and told apart after
+    the join; the result has a row per token either way.
     """
     first, last = F.floor(F.col("start") / width), F.floor(F.col("stop") / width)
     reached = spans.select(
         key, F.col("start").alias("_from"), F.col("stop").alias("_to"), F.explode(F.sequence(first, last)).alias("_bucket")
     )
-    cut = tokens.withColumn("_bucket", first)
-    return cut.join(reached, [key, "_bucket"]).filter(
-        (F.col("start") >= F.col("_from")) & (F.col("stop") <= F.col("_to"))
-    ).select(*tokens.columns)
+    met = tokens.withColumn("_bucket", first).join(reached, [key, "_bucket"])
+    columns = tokens.columns
+    if "offsets" in columns:
+        columns = [c for c in columns if c != "offsets"]
+        others = [c for c in columns if c not in ("place", "start", "stop")]
+        # A token ends where the next one starts, the last one where its row says.
+        ends = F.concat(F.slice("offsets", F.lit(2), F.size("offsets")), F.array((F.col("stop") - F.col("start"))))
+        pairs = F.arrays_zip(F.col("offsets").alias("s"), ends.alias("e"))
+        apart = explode_rows(met, pairs, *others, "place", "start", "_from", "_to", pos="_i", item="_t")
+        met = apart.select(
+            *others,
+            "_from",
+            "_to",
+            (F.col("place") + F.col("_i")).alias("place"),
+            (F.col("start") + F.col("_t.s")).alias("start"),
+            (F.col("start") + F.col("_t.e")).alias("stop"),
+        )
+    return met.filter((F.col("start") >= F.col("_from")) & (F.col("stop") <= F.col("_to"))).select(*columns)
 
 
 def mask_runs(df: DataFrame, key: str, tokens: str = "pieces", mask: str = "loss_mask") -> DataFrame:

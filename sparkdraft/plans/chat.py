@@ -778,7 +778,7 @@ def mask_from_offsets(t: Tables) -> DataFrame:
 )
 def span_range_join(t: Tables) -> DataFrame:
     texts = channel_texts(t)
-    tokens = SP.token_rows(texts.select("doc_id", TK.pieces(F.col("text")).alias("pieces")), "doc_id")
+    tokens = SP.token_rows(texts.select("doc_id", TK.pieces(F.col("text")).alias("pieces")), "doc_id", stretch=SP.STRETCH)
     spans = span_rows(SP.assistant_spans(texts, "text", "gpt-oss")).select("doc_id", "start", "stop")
     return SP.tokens_in_spans(tokens, spans, "doc_id").select("doc_id", "place")
 

@@ -554,3 +554,41 @@ def test_slices_of_a_batch_give_what_the_batch_gives(spark, monkeypatch):
         monkeypatch.setattr(SP, "SLICE", size)
         sliced = sums(widths), mask(widths, first, last), prefix(texts, first, last)
         assert [a.to_pylist() for a in sliced] == [a.to_pylist() for a in whole]
+
+
+def test_range_join_shuffles_stretches_and_gives_tokens(spark, monkeypatch, tmp_path):
+    rng = random.Random(7)
+    data = [(1, "a" * 900 + " b"), (2, ""), (3, None), (None, "x y"), (5, "no"), (5, "no yes")]
+    data += [(10 + i, "".join(rng.choices(["ab", " ", "x9", "<|end|>", "é", "🌞🌞", "w" * 300], k=200))) for i in range(12)]
+    rows = spark.createDataFrame(data, "id int, text string")
+    tokens = {r.id: offsets_of(r.p or []) for r in rows.select("id", TK.pieces(F.col("text")).alias("p")).collect() if r.id != 5}
+    spans = [(1, 0, 900), (1, 900, 902), (3, 0, 4), (None, 0, 3), (5, 0, 2), (5, 3, 6)]
+    for i in range(12):
+        cuts = sorted(rng.sample(range(tokens[10 + i][-1][1] + 1), 6))
+        spans += [(10 + i, a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+    reach = spark.createDataFrame(spans, "id int, start int, stop int")
+    want = [(5, 0, 0, 2), (5, 0, 0, 2), (5, 2, 3, 6)]
+    for key, start, stop in spans:
+        if key not in (None, 5):
+            want += [(key, i, s, e) for i, (s, e) in enumerate(tokens[key]) if start <= s and e <= stop]
+    pieces = rows.select("id", TK.pieces(F.col("text")).alias("pieces"))
+    for stretch, width in ((None, 256), (256, 256), (4, 8), (1, 2)):
+        got = SP.tokens_in_spans(SP.token_rows(pieces, "id", stretch=stretch), reach, "id", width)
+        assert got.columns == ["id", "place", "start", "stop"]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    with pytest.raises(ValueError):
+        SP.token_rows(pieces, "id", stretch=1 << 16)
+    # The query sends a row per stretch to the join, not one per token.
+    from sparkdraft.plans import chat
+    from sparkdraft.plans.registry import Tables
+
+    text = "one two three four\nfive six seven, eight\nnine ten"
+    spark.createDataFrame([(i, text) for i in range(3)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sent = []
+    join = SP.tokens_in_spans
+    monkeypatch.setattr(SP, "tokens_in_spans", lambda tokens, *rest: sent.append(tokens) or join(tokens, *rest))
+    found = chat.span_range_join(Tables(spark, str(tmp_path)))
+    texts = chat.channel_texts(Tables(spark, str(tmp_path))).collect()
+    assert sent[0].count() <= sum(-(-len(r.text) // 256) for r in texts)
+    marked = chat.mask_contained(Tables(spark, str(tmp_path)))
+    assert found.count() == marked.agg(F.sum("n_loss")).first()[0] > 0
