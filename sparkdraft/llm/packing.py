@@ -20,6 +20,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,31 +35,45 @@ SEED = 42
 
 #: Bytes of text in a group, about; a group's ids fit a task's memory several times.
 GROUP_BYTES = 8_000_000
-#: Words whose ids a task remembers, twice at most.
+#: Words and marks whose ids a task remembers, twice at most, and bytes of the longest.
 REMEMBERED = 100_000
+ENTRY_BYTES = 64
 #: Rooms below this are left as padding rather than cutting a document for them.
 LEAST_CUT = 16
 
 
 #: Words looked up at a time, about, and texts that go through the tokenizer in one call.
-_WORDS = 150_000
+_WORDS = 300_000
 _CALL = 4_000
 
-#: Marks that no contraction begins with, and letters of ASCII and Latin-1, each one code point in both cases.
-_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Letters of ASCII and Latin-1, each one code point in both cases, and marks that no contraction begins with.
+_LETTERS = "a-zÀ-ÖØ-öø-ÿ"
+_SPLIT = rf"^(?P<head>[{_LETTERS}]+)(?P<tail>[!-&(-/:-@\[-`{{-~]*)$"
+
+
+def _table(ids: np.ndarray, stops: np.ndarray) -> pa.LargeBinaryArray:
+    """One entry for each of ``stops``: the bytes of ``ids`` from the one before."""
+    ends = np.concatenate([[0], stops]).astype("<i8") * ids.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+
+
+def _ends(column: pa.Array) -> np.ndarray:
+    """Where the entries of a column of bytes or text begin, and where the last one ends."""
+    if not len(column):
+        return np.zeros(1, dtype="<i8")
+    return np.frombuffer(column.buffers()[1], "<i8", len(column) + 1, 8 * column.offset)
 
 
 class WordTokenizer:
     """Ids of whole texts, word by word, where the tokenizer's tokens end with words.
 
-    Each distinct word (a run between the six ASCII white space characters, or what
+    The words of many texts (runs between the six ASCII white space characters, or what
     :class:`Cutter` says for tokens that hold the space before a word; whole texts where
-    nothing is known of the tokenizer) goes
-    through the tokenizer once as long as it is remembered: the words of the
-    last generation and those of the one before that were used again.  Where the
-    tokenizer lowers case and says which ids end a word, A-Z are lowered first, and
-    letters followed by punctuation are put together from the ids of both parts.
+    nothing is known of the tokenizer) are looked up at once, as Arrow columns.  Where
+    the tokenizer lowers case and says which ids end a word, A-Z are lowered first, and
+    letters followed by punctuation are put together from the ids of both parts.  Each
+    distinct part goes through the tokenizer once as long as it is remembered: those
+    used last are.
     """
 
     def __init__(self, definition: str, remembered: int = REMEMBERED):
@@ -66,13 +82,16 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.remembered = remembered
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.parts = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_binary())
+        self.used = np.zeros(0, dtype=np.int64)
+        self.rounds = 0
         shape = json.loads(definition)
         self.ends = self._word_ends(shape)
         lower = any(n.get("type") == "Lowercase" for n in (shape.get("normalizer") or {}).get("normalizers", []))
         self.cut = Cutter._json_cut(shape)
         self.splits = lower and self.ends is not None and self.cut is words_between_spaces
+        self.letters = self._letter_tokenizer(shape) if self.splits else self.tokenizer
 
     @staticmethod
     def _word_ends(shape: dict) -> np.ndarray | None:
@@ -85,71 +104,73 @@ class WordTokenizer:
         ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         return ends
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        """Each word through the tokenizer on its own."""
-        return [ids.tobytes() for ids in self._encoded([w.decode("utf-8") for w in words])]
+    def _letter_tokenizer(self, shape: dict):
+        """The same vocabulary without the steps that leave small letters between spaces as they are."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        added = [token["content"] for token in shape.get("added_tokens") or []]
+        if any(re.fullmatch(rf"[A-Z{_LETTERS}]+", content) for content in added):
+            return self.tokenizer
+        tokenizer = Tokenizer(self.tokenizer.model)
+        tokenizer.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        return tokenizer
 
-    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _encoded(self, texts: list[str], tokenizer, call: int) -> Iterator[np.ndarray]:
         """The ids of each text; few texts at a time, as what the library returns is far larger than they are."""
-        for start in range(0, len(texts), _CALL):
-            for encoding in self.tokenizer.encode_batch_fast(texts[start : start + _CALL], add_special_tokens=False):
+        for start in range(0, len(texts), call):
+            for encoding in tokenizer.encode_batch_fast(texts[start : start + call], add_special_tokens=False):
                 yield np.array(encoding.ids, dtype="<u4")
 
-    def _letter_ids(self, words: list[bytes]) -> list[bytes]:
+    def _ids(self, words: pa.Array) -> pa.LargeBinaryArray:
+        """Each word through the tokenizer on its own."""
+        found = [ids.tobytes() for ids in self._encoded(words.to_pylist(), self.tokenizer, _CALL)]
+        return pa.array(found, pa.large_binary())
+
+    def _letter_ids(self, words: pa.Array) -> pa.LargeBinaryArray:
         """The same for words of letters, many in one text: each ends in an id that ends a word."""
-        if not words:
-            return []
-        lines = [b" ".join(words[i : i + 200]).decode("utf-8") for i in range(0, len(words), 200)]
-        found = [ids for i in range(0, len(lines), 20) for ids in self._encoded(lines[i : i + 20])]
-        ids = np.concatenate(found)
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(stops) != len(words):
+        if not len(words):
             return self._ids(words)
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
-
-    def _known(self, word: bytes) -> bytes | None:
-        found = self.young.get(word)
-        if found is None:
-            found = self.old.get(word)
-            if found is not None:
-                self.young[word] = found
-        return found
-
-    def _learn(self, words: set[bytes], encode) -> None:
-        fresh = [w for w in words if self._known(w) is None]
-        self.young.update(zip(fresh, encode(fresh)))
-
-    def _ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        small = pc.utf8_lower(words).to_pylist()
+        lines = [" ".join(small[i : i + 200]) for i in range(0, len(small), 200)]
+        ids = np.concatenate(list(self._encoded(lines, self.letters, 20)))
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        return _table(ids, stops) if len(stops) == len(words) else self._ids(words)
+
+    def _part_ids(self, parts: pa.Array) -> pa.LargeBinaryArray:
+        """The ids of distinct parts; those not known yet are learnt."""
+        self.rounds += 1
+        at = pc.index_in(parts, value_set=self.parts)
+        fresh = parts.filter(at.is_null())
+        self.used[at.drop_null().to_numpy()] = self.rounds
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = pc.match_substring_regex(fresh, pattern=f"^[{_LETTERS}]+$") if self.splits else pa.repeat(False, len(fresh))
+        plain = letters.to_numpy(zero_copy_only=False)
+        missing = np.flatnonzero(at < 0)
+        at[np.concatenate([missing[plain], missing[~plain]])] = len(self.parts) + np.arange(len(missing))
+        new = [fresh.filter(letters), fresh.filter(pc.invert(letters))]
+        self.parts = pa.concat_arrays([self.parts, *new])
+        self.ids = pa.concat_arrays([self.ids, self._letter_ids(new[0]), self._ids(new[1])])
+        self.used = np.concatenate([self.used, np.full(len(fresh), self.rounds)])
+        return self.ids.take(pa.array(at))
+
+    def _forget(self) -> None:
+        """Keep the parts that were used last, and no long ones, where too much is held."""
+        if len(self.parts) <= 2 * self.remembered and self.parts.nbytes <= 2 * self.remembered * ENTRY_BYTES:
+            return
+        last = np.argsort(-self.used, kind="stable")[: self.remembered]
+        kept = np.sort(last[np.diff(_ends(self.parts))[last] <= ENTRY_BYTES])
+        self.parts, self.ids, self.used = self.parts.take(kept), self.ids.take(kept), self.used[kept]
+
+    def _ids_of(self, words: pa.Array) -> pa.LargeBinaryArray:
         """The ids of distinct words."""
-        if len(self.young) > self.remembered:
-            self.old, self.young = self.young, {}
-        letters, others, split = set(), set(), []
-        # What the young ones know costs one look-up; set arithmetic finds the rest.
-        young = self.young
-        found = {w: young[w] for w in words & young.keys()}
-        for word in words - found.keys():
-            ids = self.old.get(word)
-            if ids is not None:
-                found[word] = young[word] = ids
-                continue
-            head = word.rstrip(_MARKS) if self.splits else b""
-            if not (head.isalpha() and head.islower() or _LETTERS.fullmatch(head)):
-                others.add(word)
-                continue
-            letters.add(head)
-            tail = word[len(head) :]
-            if tail:
-                others.add(tail)
-            split.append((word, head, tail))
-        plain = [w for w in others if w not in found]
-        self._learn(letters, self._letter_ids)
-        self._learn(others, self._ids)
-        for word, head, tail in split:
-            found[word] = young[head] + young[tail] if tail else young[head]
-        for word in plain:
-            found[word] = young[word]
-        return found
+        if not self.splits:
+            return self._part_ids(words)
+        head, tail = pc.extract_regex(words, pattern=_SPLIT).flatten()
+        parts = pa.concat_arrays([pc.coalesce(head, words), pc.fill_null(tail, "")]).dictionary_encode()
+        ids = self._part_ids(parts.dictionary)
+        heads, tails = parts.indices[: len(words)], parts.indices[len(words) :]
+        return pc.binary_join_element_wise(ids.take(heads), ids.take(tails), pa.scalar(b"", pa.large_binary()))
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -164,9 +185,13 @@ class WordTokenizer:
         yield from self._joined(held)
 
     def _joined(self, texts: list[list[bytes]]) -> Iterator[bytes]:
-        ids = self._ids_of(set(chain.from_iterable(texts)))
-        for words in texts:
-            yield b"".join(map(ids.__getitem__, words))
+        words = pa.array(list(chain.from_iterable(texts)), pa.large_string()).dictionary_encode()
+        ids = self._ids_of(words.dictionary).take(words.indices)
+        self._forget()
+        ends = _ends(ids)[np.cumsum([0, *map(len, texts)])].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        for start, end in zip(ends, ends[1:]):
+            yield data[start:end].tobytes()
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_many([text]))

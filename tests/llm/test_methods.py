@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -213,6 +214,65 @@ def test_words_tokenise_as_whole_texts(documents):
         assert got == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("remembered", [100_000, 500])
+def test_words_are_looked_up_without_a_step_for_each(remembered):
+    from tokenizers import Tokenizer
+
+    path = PA.default_tokenizer()
+    whole = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        words = PA.WordTokenizer(file.read(), remembered)
+    rng = random.Random(7)
+    letters = "aeioulnrstdéüÀ"
+    texts = [" ".join("".join(rng.choices(letters, k=6)) + rng.choice(["", "", ",", "."]) for _ in range(2000)) for _ in range(10)]
+    want = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+    steps = 0
+
+    def traced(frame, event, arg):
+        nonlocal steps
+        steps += frame.f_code.co_filename == PA.__file__ and event == "line"
+        return traced
+
+    for _ in range(2):
+        sys.settrace(traced)
+        try:
+            got = list(words.encode_many(texts))
+        finally:
+            sys.settrace(None)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want
+    assert steps < 2000  # of 40,000 words
+    assert len(words.parts) <= 2 * remembered
+
+
+def test_nothing_to_tokenise_and_long_words():
+    from tokenizers import Tokenizer
+
+    path = PA.default_tokenizer()
+    whole = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        words = PA.WordTokenizer(file.read(), remembered=40)
+    assert list(words.encode_many([])) == []
+    assert list(words.encode_many(["", " \n", ""])) == [b"", b"", b""]
+    texts = ["a" * 9000 + "!!", "", "-" * 5000 + "a" + "é" * 3000, "x,y 1." * 50, "", "日本語" * 700]
+    for _ in range(3):
+        got = list(words.encode_many(texts))
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert words.parts.nbytes <= 2 * 40 * PA.ENTRY_BYTES
+
+
+def test_added_tokens_of_letters_keep_the_whole_tokenizer():
+    import json
+
+    with open(PA.default_tokenizer(), encoding="utf-8") as file:
+        shape = json.load(file)
+    words = PA.WordTokenizer(json.dumps(shape))
+    assert words.letters is not words.tokenizer
+    shape["added_tokens"].append(shape["added_tokens"][0] | {"id": 49408, "content": "stop"})
+    words = PA.WordTokenizer(json.dumps(shape))
+    assert words.letters is words.tokenizer
+    assert np.frombuffer(words.encode("a stop, b"), "<u4").tolist() == words.tokenizer.encode("a stop, b", add_special_tokens=False).ids
+
+
 def test_pack_query(spark, documents):
     from tokenizers import Tokenizer
 
