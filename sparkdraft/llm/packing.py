@@ -144,10 +144,12 @@ class WordTokenizer:
         fresh = parts.filter(at.is_null())
         self.used[at.drop_null().to_numpy()] = self.rounds
         at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        letters = pc.match_substring_regex(fresh, pattern=f"^[{_LETTERS}]+$") if self.splits else pa.repeat(False, len(fresh))
-        plain = letters.to_numpy(zero_copy_only=False)
+        letters = pa.repeat(False, len(fresh))
+        if self.splits:
+            letters = pc.match_substring_regex(fresh, pattern=f"^[{_LETTERS}]+$")
+        first = letters.to_numpy(zero_copy_only=False)
         missing = np.flatnonzero(at < 0)
-        at[np.concatenate([missing[plain], missing[~plain]])] = len(self.parts) + np.arange(len(missing))
+        at[np.concatenate([missing[first], missing[~first]])] = len(self.parts) + np.arange(len(missing))
         new = [fresh.filter(letters), fresh.filter(pc.invert(letters))]
         self.parts = pa.concat_arrays([self.parts, *new])
         self.ids = pa.concat_arrays([self.ids, self._letter_ids(new[0]), self._ids(new[1])])
